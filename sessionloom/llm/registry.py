@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, simhash
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_benchmark_decontamination": decontaminate.ORACLE}
 
 
 def queries() -> dict:
-    ops = [simhash.op1_simhash_near_dedup]
+    ops = [simhash.op1_simhash_near_dedup, decontaminate.op8_benchmark_decontamination]
     return {f.__name__: f for f in ops}
 
 
