@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import decontaminate, language, quality, simhash, toxicity
 
 ORACLES: dict[str, str] = {"op8_benchmark_decontamination": decontaminate.ORACLE}
 
 
 def queries() -> dict:
-    ops = [simhash.op1_simhash_near_dedup, decontaminate.op8_benchmark_decontamination]
+    ops = [
+        simhash.op1_simhash_near_dedup,
+        toxicity.op2_toxicity,
+        quality.op6_quality_classifier,
+        decontaminate.op8_benchmark_decontamination,
+        language.op9_language_id,
+    ]
     return {f.__name__: f for f in ops}
 
 

@@ -53,14 +53,16 @@ def word_units(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
 
 def read_words(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a slice of texts: text number and distinct-word number of each word,
-    the hashes of the distinct words, and their units (word, bucket)."""
+    the hashes of the distinct words, and their units (word, bucket). A word
+    that follows itself counts once, so a stutter says no more than the word."""
     buf, text_end = common.joined([b"", *part])
     start, end = common.runs(_LETTER[buf])
     doc = np.searchsorted(text_end, start, "right") - 1
     h = common.range_hash(common.prefix_hash(buf), start, end)
     distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
     units = word_units(buf, start[first], end[first])
-    return doc, which, distinct, *units
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (which[1:] != which[:-1])))[: len(doc)]
+    return doc[new], which[new], distinct, *units
 
 
 @dataclass
