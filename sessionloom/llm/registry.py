@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, quality, simhash, toxicity
+from . import covertree, decontaminate, language, quality, simhash, toxicity, warc
 
-ORACLES: dict[str, str] = {"op8_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_embedding_near_dedup": covertree.ORACLE,
+    "op7_warc": warc.ORACLE,
+    "op8_benchmark_decontamination": decontaminate.ORACLE,
+}
 
 
 def queries() -> dict:
     ops = [
         simhash.op1_simhash_near_dedup,
         toxicity.op2_toxicity,
+        covertree.op5_embedding_near_dedup,
         quality.op6_quality_classifier,
+        warc.op7_warc,
         decontaminate.op8_benchmark_decontamination,
         language.op9_language_id,
     ]
