@@ -36,6 +36,17 @@ def per_text(docs: DataFrame, keep: list[str], schema: str, work: Callable[[list
     return docs.select(*keep, text_col).mapInArrow(run, f"{head}, {schema}")
 
 
+def numbered(docs: DataFrame, name: str, **more) -> DataFrame:
+    """The rows as a written table (rid, row and the columns ``more``): a row
+    keeps its number, whatever its ids and column names are."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return materialize(whole.select(F.monotonically_increasing_id().alias("rid"), "row", *[c.alias(n) for n, c in more.items()]), name)
+
+
+def unwrapped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+
+
 def crc_mod(doc_id, n: int):
     """crc32 of the id written as text, modulo n; null ids count as remainder
     null, so they are neither learned from nor held out."""

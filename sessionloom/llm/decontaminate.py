@@ -278,6 +278,13 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The documents that are not contaminated, as they are."""
+    rows = common.numbered(docs, "rows")
+    found = report(contamination(rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")), benchmark, size))
+    return common.unwrapped(rows.join(found.where("contaminated").select(F.col("doc_id").alias("rid")), "rid", "left_anti"), docs.columns)
+
+
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return report(contamination(docs, items))

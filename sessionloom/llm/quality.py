@@ -174,19 +174,31 @@ def train(sample: list[tuple[str, int]], hidden: int = 24, epochs: int = 120, se
     return model
 
 
-def scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, per_class: int = 3000, max_chars: int = 20_000, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (doc_id), held_out, score and predicted of every row."""
-    r = common.crc_mod(F.col("doc_id"), modulus)
-    model = train(common.labelled_sample(docs, labels, "quality", r != held, per_class, max_chars))
+def fitted(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, per_class: int = 3000, max_chars: int = 20_000):
+    """A function from texts to probabilities of good quality."""
+    model = train(common.labelled_sample(docs, labels, "quality", common.crc_mod(F.col("doc_id"), modulus) != held, per_class, max_chars))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY + SHAPES vectors
+    return lambda texts: shared.value.score(texts) if shared.value else np.ones(len(texts))
+
+
+def scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, **bounds) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row."""
+    score = fitted(docs, labels, modulus, held, **bounds)
 
     def work(texts: list) -> dict:
-        s = shared.value.score(texts) if shared.value else np.ones(len(texts))
+        s = score(texts)
         return {"score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
-    keep = keep or ["doc_id"]
-    made = common.per_text(docs, keep, "score double, predicted int", work)
-    return made.select(*keep, F.coalesce(r == held, F.lit(False)).alias("held_out"), "score", "predicted")
+    made = common.per_text(docs, ["doc_id"], "score double, predicted int", work)
+    return made.select("doc_id", F.coalesce(common.crc_mod(F.col("doc_id"), modulus) == held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, **bounds) -> DataFrame:
+    """The documents whose score is at least ``least``, as they are."""
+    score = fitted(docs, labels, **bounds)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    made = common.per_text(rows, ["row"], "score double", lambda texts: {"score": score(texts)})
+    return common.unwrapped(made.where(F.col("score") >= least), docs.columns)
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

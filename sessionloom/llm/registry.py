@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import covertree, decontaminate, language, quality, simhash, toxicity, warc
+from . import covertree, decontaminate, language, licences, mixing, quality, secrets, simhash, toxicity, warc
 
 ORACLES: dict[str, str] = {
     "op5_embedding_near_dedup": covertree.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
+    "op10_mixing": mixing.oracle(),
 }
 
 
@@ -15,11 +16,14 @@ def queries() -> dict:
     ops = [
         simhash.op1_simhash_near_dedup,
         toxicity.op2_toxicity,
+        licences.op3_licence_scan,
+        secrets.op4_secret_scan,
         covertree.op5_embedding_near_dedup,
         quality.op6_quality_classifier,
         warc.op7_warc,
         decontaminate.op8_benchmark_decontamination,
         language.op9_language_id,
+        mixing.op10_mixing,
     ]
     return {f.__name__: f for f in ops}
 

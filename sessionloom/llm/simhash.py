@@ -134,15 +134,33 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     return near.mapInArrow(run, "a long, b long")
 
 
+def roots(fps: DataFrame, distance: int) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of ``fps``; root names the group."""
+    distinct = materialize(fps.select("fp").distinct(), "distinct")
+    comp = common.components(linked(distinct, distance))
+    return distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The documents, one of each near-duplicate group: that with the smallest
+    doc_id, null ids last, and of rows that repeat an id one."""
+    rows = common.numbered(docs, "rows")
+    keyed = rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    fps = materialize(common.per_text(keyed, ["rid", "doc_id"], "fp long", lambda texts: {"fp": np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)}), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    # one row of each fingerprint, then of each group: copies collapse before the join
+    lead = fps.groupBy("fp").agg(first)
+    kept = lead.join(roots(fps, distance), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
+    return common.unwrapped(rows.join(kept, "rid", "left_semi"), docs.columns)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Equal fingerprints collapse before any comparison, so large groups of copies
     cost no more than one; components are over distinct fingerprints."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    comp = common.components(linked(classes, distance))
-    classes = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(roots(fps, distance), "fp")
     lowest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = classes.join(lowest, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
