@@ -82,10 +82,10 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     A bucket over BLOCK rows is dealt to pairs of blocks, so that no task holds
     a whole bucket."""
     keys = fps.select("fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
-    sizes = keys.groupBy("key").count().where("count > 1")
+    large = keys.groupBy("key").count().where(F.col("count") > BLOCK)
     near = (
-        keys.join(sizes, "key")
-        .withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+        keys.join(large, "key", "left")
+        .withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK).cast("int"), F.lit(1)))
         .withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "fp", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
