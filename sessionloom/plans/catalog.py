@@ -2,10 +2,177 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from sessionloom.functions import events as E
+from sessionloom.operators import commands as C
+from sessionloom.operators import enrich as N
+from sessionloom.operators import live as L
+from sessionloom.plans import oracles
+from sessionloom.plans.adapter import NOW, telemetry
+
+
+class Tables:
+    """The derived tables over one set of benchmark files, each made on demand
+    and lazily."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+        self.raw = telemetry(spark, sf_dir)
+
+    @property
+    def events(self) -> DataFrame:
+        return N.enrich(self.raw)
+
+    @property
+    def projected(self) -> DataFrame:
+        return E.with_projections(self.raw)
+
+    @property
+    def base(self) -> DataFrame:
+        return N.sessions(self.events)
+
+    @property
+    def sessions(self) -> DataFrame:
+        return N.with_lineage(self.base)
+
+    @property
+    def tool_rows(self) -> DataFrame:
+        return N.tool_call_rows(self.events)
+
+    @property
+    def tool_calls(self) -> DataFrame:
+        return N.fold_tool_calls(self.tool_rows)
+
+    @property
+    def config_versions(self) -> DataFrame:
+        return self.spark.createDataFrame([("cfg0", "2024-01-01", "first"), ("cfg1", "2024-01-02", None)], "version_hash string, captured_at string, description string")
+
+    @property
+    def annotations(self) -> DataFrame:
+        return self.base.where("total_events % 2 = 1").select("session_id", F.lit("odd").alias("label"))
+
+
+def _path_prefix(t: Tables) -> DataFrame:
+    dirs = t.raw.where("agent_type = 'search'").select("session_id", E.parent_dir(F.col("file_path")).alias("path")).distinct()
+    paths = t.raw.where("agent_type = 'worker'").select("session_id", "file_path").distinct()
+    return paths.withColumn("path", F.explode(E.ancestors(F.col("file_path")))).join(dirs, ["session_id", "path"], "left_semi").select("session_id", "file_path").distinct()
+
+
+def _in_session(order: tuple[str, ...] = N.ORDER):
+    return W.partitionBy("session_id").orderBy(*order)
+
+
+def _sql(t: Tables) -> DataFrame:
+    return t.spark.sql("SELECT event_type, count(*) AS n, count(DISTINCT session_id) AS s FROM {events} GROUP BY event_type HAVING count(*) > 10", events=t.raw)
+
+
+def _coverage_input(t: Tables) -> DataFrame:
+    return t.raw.withColumn("pattern", F.col("tool_input"))
+
+
+_IDS = ("raw_index", "session_id", "event_type")
+_SINCE, _SPLIT = "2024-01-20 12:00:00", "2024-01-15"
+
+_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
+    # enrichment
+    "payload_extract": lambda t: t.raw.select("raw_index", "k", (F.col("k") % 2).alias("flag")),
+    "truthy_flags": lambda t: t.raw.select("raw_index", E.truthy(F.to_json(F.struct("k")), "k").alias("flag")),
+    "field_isolation": lambda t: t.projected.select("raw_index", "source", "reason", "compact_trigger", "task_id"),
+    "slash_flag": lambda t: t.projected.select("raw_index", "is_slash_command"),
+    "skill_detect": lambda t: t.projected.select("raw_index", "skill_name", "skill_type"),
+    "byte_len": lambda t: t.projected.select("raw_index", "input_bytes", "output_bytes"),
+    "event_hash": lambda t: t.projected.select("raw_index", "event_hash"),
+    "sequence_num": lambda t: t.events.select(*_IDS, "sequence_num"),
+    "tool_duration": lambda t: t.events.select(*_IDS, "duration_ms"),
+    "context_cumulative": lambda t: t.events.select(*_IDS, "input_bytes", "output_bytes", "context_cumulative_bytes"),
+    "event_dedup": lambda t: N.first_of_hash(t.projected.withColumn("full", F.col("event_hash")).withColumn("event_hash", F.substring("event_hash", 1, 3))).select("raw_index", F.col("full").alias("event_hash")),
+    "session_rows": lambda t: N.session_rows(t.events),
+    "session_upsert": lambda t: N.fold_sessions(N.session_rows(t.events)),
+    "session_counters": lambda t: N.counters(t.events),
+    "tool_call_pairing": lambda t: t.tool_rows,
+    "tool_call_upsert": lambda t: t.tool_calls,
+    "lineage_score": lambda t: N.parents(t.base),
+    "lineage_parent": lambda t: N.parents(t.base).select("session_id", "parent_session_id"),
+    "lineage_chain": lambda t: t.sessions.select("session_id", "chain_id"),
+    "lineage_candidates": lambda t: N.lineage_candidates(t.base, _SINCE),
+    "git_join": lambda t: t.raw.join(F.broadcast(t.spark.createDataFrame([("/proj/0", "main"), ("/proj/1", "dev")], "cwd string, branch string")), "cwd", "left").select("raw_index", "cwd", "branch"),
+    "payload_merge": lambda t: t.projected.select("raw_index", F.coalesce("skill_name", "agent_type").alias("merged")),
+    # scalar functions
+    "days_to_date": lambda t: t.raw.select("k", E.days_to_date(F.col("k") * 200).alias("day")).distinct(),
+    "parse_ts": lambda t: t.raw.select("raw_index", F.unix_micros(E.parse_ts(F.col("timestamp"))).alias("micros"), E.event_date(F.col("timestamp")).cast("string").alias("day")),
+    "normalize_ts": lambda t: t.raw.select("raw_index", E.normalize_ts(F.col("timestamp")).alias("normalized")),
+    "fmt_duration": lambda t: t.raw.select("raw_index", E.fmt_duration(F.col("k") * F.col("k") * F.col("k")).alias("shown")),
+    "fmt_bytes": lambda t: t.raw.select("raw_index", E.fmt_bytes(F.col("k") * F.col("k") * F.col("k") * 7).alias("shown")),
+    "truncate": lambda t: t.raw.select("raw_index", E.truncate(F.col("file_path"), 8).alias("shown")),
+    "commas": lambda t: t.raw.select("raw_index", E.commas(F.col("k") * 12345).alias("shown")),
+    # commands
+    "summary": lambda t: C.summary(t.base, NOW),
+    "sessions": lambda t: C.session_list(t.sessions, NOW, cwd="PROJ", branch="b1", label="odd", annotations=t.annotations),
+    "session_timeline": lambda t: C.session_timeline(t.events, t.base, "u8"),
+    "session_events": lambda t: C.session_events(t.events, t.base, "u8").drop("config_source"),
+    "last": lambda t: C.last_session(t.events, t.base),
+    "chain": lambda t: C.chain(t.sessions, "u1"),
+    "tools": lambda t: C.tools(t.tool_calls),
+    "tools_current": lambda t: C.tools_current(t.tool_calls, t.base),
+    "agents": lambda t: C.agents(t.tool_calls),
+    "skills": lambda t: C.skills(t.projected),
+    "failures": lambda t: C.failures(t.events, NOW),
+    "before_stop": lambda t: C.before_stop(t.events),
+    "compactions": lambda t: C.compactions(t.events),
+    "configs": lambda t: C.configs(t.base, t.config_versions),
+    "table_counts": lambda t: C.table_counts({"events": t.raw, "sessions": t.base, "tool_calls": t.tool_calls}),
+    "chain_stats": lambda t: C.chain_stats(t.sessions),
+    **{f"trends_{m}": (lambda t, m=m: C.trends(t.base, m, NOW)) for m in C.TRENDS},
+    "sparkline": lambda t: C.sparkline(C.trends(t.base, "tool_calls", NOW)),
+    "slow": lambda t: C.slow(t.tool_calls),
+    "tokens": lambda t: C.tokens(t.base),
+    "export": lambda t: C.export(t.sessions, "2024-01-05", "2024-01-20"),
+    "daily_totals": lambda t: C.daily_totals(t.base, "2024-01-08"),
+    "label_upsert": lambda t: C.label_newest(t.base, t.config_versions, "stable", NOW),
+    "prune_counts": lambda t: C.prune_counts({"events": t.raw, "sessions": t.base, "tool_calls": t.tool_calls}, _SPLIT),
+    "sql_passthrough": _sql,
+    # live
+    "coverage": lambda t: L.coverage(_coverage_input(t), "a3"),
+    "provenance_sessions": lambda t: L.provenance_sessions(t.raw),
+    "provenance_total": lambda t: L.provenance_total(t.raw),
+    "gate_decisions": lambda t: L.gate(t.raw),
+    "session_diff": lambda t: C.session_diff(t.events, t.base, "u1", "u2"),
+    "top_tools": lambda t: C.top_tools(t.raw),
+    # relational shapes
+    "join_inner_filter": lambda t: t.raw.join(t.base.where("config_version = 'cfg1'").select("session_id", "total_events"), "session_id").select("raw_index", "session_id", "total_events"),
+    "join_left_dim": lambda t: t.base.join(t.config_versions, F.col("version_hash") == F.col("config_version"), "left").select("session_id", "description"),
+    "join_self_agg": lambda t: (lambda c: c.join(c.where("agent_id IS NOT NULL").groupBy("agent_id").agg(F.count("*").alias("n")), "agent_id", "left").select("session_id", "tool_use_id", "n"))(t.tool_calls),
+    "semi_exists": lambda t: t.raw.select("session_id").distinct().join(t.raw.where("event_type = 'PostToolUseFailure'"), "session_id", "left_semi"),
+    "in_list": lambda t: t.raw.where(F.col("tool_name").isin("Read", "Grep")).select("raw_index"),
+    "paths_intersect": lambda t: t.raw.where("agent_type = 'worker'").select("session_id", "file_path").intersect(t.raw.where("agent_type = 'search'").select("session_id", "file_path")),
+    "paths_except": lambda t: t.raw.where("agent_type = 'worker'").select("session_id", "file_path").subtract(t.raw.where("agent_type = 'search'").select("session_id", "file_path")),
+    "path_prefix": _path_prefix,
+    "like_prefix": lambda t: t.raw.select("session_id").distinct().where(E.any_case_like(F.col("session_id"), "U1%")),
+    "like_substring": lambda t: t.raw.where(E.any_case_like(F.col("file_path"), "%/F1%")).select("raw_index"),
+    "agg_basic": lambda t: t.projected.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("output_bytes").alias("total"), F.avg("output_bytes").alias("mean"), F.min("output_bytes").alias("low"), F.max("output_bytes").alias("high")),
+    "agg_distinct": lambda t: t.raw.groupBy("event_type").agg(F.count_distinct("session_id").alias("sessions"), F.count_distinct("tool_name").alias("tools")),
+    "agg_conditional": lambda t: t.tool_calls.groupBy("tool_name").agg(C.failure_rate().alias("failure_rate")),
+    "agg_global": lambda t: t.projected.agg(F.count("*").alias("n"), F.coalesce(F.sum("output_bytes"), F.lit(0)).alias("total")),
+    "agg_nested": lambda t: t.raw.groupBy("session_id").agg(F.count("*").alias("n")).agg(F.avg("n").alias("mean_size"), F.max("n").alias("max_size")),
+    "agg_by_date": lambda t: t.raw.groupBy(E.event_date(F.col("timestamp")).cast("string").alias("day"), "event_type").agg(F.count("*").alias("n")),
+    "window_lag": lambda t: t.raw.select("raw_index", F.lag("event_type").over(_in_session()).alias("prev")),
+    "window_running_sum": lambda t: N.running(t.projected, {"total": F.col("output_bytes")}, ("session_id",)).select("raw_index", "total"),
+    "window_row_number": lambda t: t.raw.select("raw_index", F.row_number().over(_in_session()).alias("n")),
+    "window_asof_last": lambda t: t.raw.where("tool_use_id IS NOT NULL").select("raw_index", F.last(F.when(F.col("event_type") == "PreToolUse", F.col("timestamp")), ignorenulls=True).over(W.partitionBy("session_id", "tool_use_id").orderBy(*N.ORDER).rowsBetween(W.unboundedPreceding, 0)).alias("pre")),
+    "topk": lambda t: t.projected.orderBy(F.desc("output_bytes"), "raw_index").limit(20).select("raw_index", "output_bytes"),
+    "union_files": lambda t: t.raw.where(F.col("timestamp") < _SPLIT).select("raw_index").unionByName(t.raw.where(F.col("timestamp") >= _SPLIT).select("raw_index")),
+    "daily_window": lambda t: t.raw.groupBy(F.window(E.parse_ts(F.col("timestamp")), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("w.start").cast("string").alias("day"), "event_type", "n"),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
