@@ -117,12 +117,14 @@ def train(sample: list[tuple[str, int]], epochs: int = 14, seed: int = 7, least_
         for k, i in enumerate(who):
             lo, hi = np.searchsorted(doc, (k, k + 1))
             doc_words[i] = np.concatenate((doc_words[i], ids[which[lo:hi]]))
+    if not unit_lists:
+        return None
     n_units = np.array([len(u) for u in unit_lists])
     flat, unit_end = np.concatenate(unit_lists), np.cumsum(n_units)
     seen = np.zeros(1 << BUCKET_BITS, np.int32)
     for w in doc_words:
-        u = np.unique(w)
-        seen[np.unique(np.concatenate([unit_lists[i] for i in u.tolist()]))] += 1 if len(u) else 0
+        if len(w):
+            seen[np.unique(np.concatenate([unit_lists[i] for i in np.unique(w).tolist()]))] += 1
     known = seen >= least_docs  # rarer units stay at zero
     emb = rng.normal(0, 0.05, (len(known), DIM)).astype(np.float32) * known[:, None]
     soft, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
