@@ -9,11 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionloom.functions import events as E
+from sessionloom.functions import json_text
 from sessionloom.operators import commands as C
+from sessionloom.operators import diff as D
 from sessionloom.operators import enrich as N
 from sessionloom.operators import live as L
+from sessionloom.operators import policy as P
+from sessionloom.operators import search as S
 from sessionloom.plans import oracles
 from sessionloom.plans.adapter import NOW, telemetry
+from sessionloom.sources import jsonl
 
 
 class Tables:
@@ -24,6 +29,18 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
         self.raw = telemetry(spark, sf_dir)
 
+    @property
+    def lines(self) -> DataFrame:
+        """The events as lines of a log, some of them broken."""
+        payload = F.struct(F.col("event_type").alias("hook_event_name"), "session_id", "tool_name", "tool_use_id", "agent_id", "agent_type", F.struct("file_path", "k").alias("tool_input"), F.col("tool_result").alias("tool_response"), "error", F.col("prompt_text").alias("prompt"), "prompt_length", "source", "cwd", "model")
+        whole = F.to_json(F.struct(F.lit(1).alias("v"), F.col("timestamp").alias("ts"), payload.alias("p")))
+        broken = F.when(F.col("k") % 50 == 0, "{broken").when(F.col("k") % 50 == 1, '{"v":1,"ts":"x","p":3}').when(F.col("k") % 50 == 2, '{"v":1,"ts":"x","p":{}}')
+        return self.raw.select("source_file", "raw_index", F.coalesce(broken, whole).alias("raw_line"))
+
+    @property
+    def documents(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/documents.parquet")
+
     @property
     def events(self) -> DataFrame:
         return N.enrich(self.raw)
@@ -75,6 +92,50 @@ def _coverage_input(t: Tables) -> DataFrame:
     return t.raw.withColumn("pattern", F.col("tool_input"))
 
 
+def _changed(events: DataFrame) -> DataFrame:
+    """Some rows gone, some values changed: the other side of a table diff."""
+    kept = events.where("raw_index % 101 <> 0")
+    return kept.withColumns({"tool_name": F.when(F.col("raw_index") % 97 == 0, "Other").otherwise(F.col("tool_name")), "timestamp": F.regexp_replace("timestamp", "Z$", "+00:00")})
+
+
+def _events_diff(t: Tables) -> DataFrame:
+    cols = ("raw_index", "session_id", "event_type", "tool_name", "timestamp", "tool_input")
+    return D.table_diff(t.raw.select(*cols), _changed(t.raw).select(*cols), ["raw_index"], json=("tool_input",), times=("timestamp",))
+
+
+def _sessions_diff(t: Tables) -> DataFrame:
+    cols = ("session_id", "started_at", "ended_at", "source", "model", "total_events")
+    changed = N.sessions(N.enrich(_changed(t.raw).withColumn("timestamp", F.regexp_replace("timestamp", r"\\+00:00$", "Z"))))
+    return D.sessions_diff(t.base.select(*cols), changed.select(*cols))
+
+
+def _tool_calls_diff(t: Tables) -> DataFrame:
+    cols = ("session_id", "tool_use_id", "tool_name", "succeeded", "error", "started_at")
+    return D.tool_calls_diff(t.tool_calls.select(*cols), t.tool_calls.where("succeeded = 1").withColumn("error", F.lit("x")).select(*cols))
+
+
+def _searched(t: Tables) -> DataFrame:
+    return S.build(t.documents, "doc_id", ["text"])
+
+
+def _boolean(t: Tables) -> DataFrame:
+    i = _searched(t)
+    return S.but_not(S.any_of(S.all_of(S.term(i, "the"), S.term(i, "licensed")), S.term(i, "token")), S.term(i, "released"))
+
+
+def _policy(t: Tables) -> DataFrame:
+    make = t.spark.createDataFrame
+    rules = P.Rules(
+        make([("search", "reader"), ("worker", "editor"), ("", "main")], "agent string, profile string"),
+        make([("reader", "Read"), ("reader", "G*"), ("editor", "*"), ("main", "Bash")], "profile string, tool string"),
+        make([("main", "search")], "profile string, target string"),
+        make([("editor", "git status"), ("main", "ls")], "profile string, words string"),
+    )
+    command = F.when(F.col("tool_name") == "Bash", F.when(F.col("k") % 3 == 0, "git status -s").when(F.col("k") % 3 == 1, "/bin/ls -l").otherwise("sudo rm x"))
+    calls = t.raw.where("event_type = 'PreToolUse'").select(F.col("raw_index").alias("call_id"), "agent_type", "tool_name", command.alias("command"), F.lit(None).cast("string").alias("target"), F.lit(False).alias("bypass"))
+    return P.audit(calls, rules)
+
+
 _IDS = ("raw_index", "session_id", "event_type")
 _SINCE, _SPLIT = "2024-01-20 12:00:00", "2024-01-15"
 
@@ -102,6 +163,31 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "lineage_candidates": lambda t: N.lineage_candidates(t.base, _SINCE),
     "git_join": lambda t: t.raw.join(F.broadcast(t.spark.createDataFrame([("/proj/0", "main"), ("/proj/1", "dev")], "cwd string, branch string")), "cwd", "left").select("raw_index", "cwd", "branch"),
     "payload_merge": lambda t: t.projected.select("raw_index", F.coalesce("skill_name", "agent_type").alias("merged")),
+    # log lines
+    "scan_jsonl": lambda t: t.lines.select("raw_index", F.length("raw_line").alias("n")).where("n > 30").select("raw_index"),
+    "parse_envelope": lambda t: jsonl.envelopes(t.lines).select("raw_index", "ts"),
+    "malformed_lines": lambda t: jsonl.malformed(t.lines).select("raw_index", "error"),
+    "events_row": lambda t: jsonl.events(jsonl.envelopes(t.lines)).select("raw_index", "session_id", "event_type", "tool_name", "file_path", "prompt_text", "prompt_length"),
+    "tool_payload_text": lambda t: jsonl.events(jsonl.envelopes(t.lines)).select("raw_index", "tool_input", "tool_result"),
+    "replay": lambda t: jsonl.replay(t.lines).select("line", "ts", "session_id", "event_type"),
+    "tail_projection": lambda t: jsonl.tail_lines(t.lines, "bash").select("raw_index", "shown"),
+    "legacy_normalize": lambda t: jsonl.normalize_legacy(t.lines, NOW).where("length(raw_line) < 30").select("raw_index", "raw_line"),
+    "ingest_stats": lambda t: jsonl.parse(t.lines).agg(F.count_if(F.col("error").isNull()).alias("events_seen"), F.count("error").alias("malformed")),
+    "json_compact": lambda t: t.raw.select("raw_index", json_text.compact(F.concat(F.lit('{"b" : '), F.col("k").cast("string"), F.lit(', "a":[1 ,2.0]}'))).alias("j")),
+    "json_canonical": lambda t: t.raw.select("raw_index", json_text.canonical(F.concat(F.lit('{"b" : '), F.col("k").cast("string"), F.lit(', "a":[1 ,2.0]}'))).alias("j")),
+    "json_equal": lambda t: t.raw.select("raw_index", json_text.equal(F.concat(F.lit('{"b":1,"a":'), (F.col("k") % 2).cast("string"), F.lit("}")), F.lit('{"a":1,"b":1}')).alias("same")),
+    "annotate": lambda t: C.by_prefix(t.base, "u9").select("session_id", F.lit("odd").alias("label")),
+    # search, diffs, policy
+    "search_boolean": _boolean,
+    "search_phrase": lambda t: S.phrase(_searched(t), ["licensed", "under", "the"]),
+    "search_near": lambda t: S.near(_searched(t), "license", "version", 3),
+    "search_prefix": lambda t: S.prefix(_searched(t), "licen"),
+    "search": lambda t: S.ranked(_searched(t), ["license", "version"]).select("id", F.round("score", 9).alias("score")),
+    "parity_events": _events_diff,
+    "full_outer_diff": lambda t: D.report(_events_diff(t)),
+    "parity_sessions": _sessions_diff,
+    "parity_tool_calls": _tool_calls_diff,
+    "policy_audit": _policy,
     # scalar functions
     "days_to_date": lambda t: t.raw.select("k", E.days_to_date(F.col("k") * 200).alias("day")).distinct(),
     "parse_ts": lambda t: t.raw.select("raw_index", F.unix_micros(E.parse_ts(F.col("timestamp"))).alias("micros"), E.event_date(F.col("timestamp")).cast("string").alias("day")),

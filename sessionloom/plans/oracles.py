@@ -148,7 +148,47 @@ judged AS (
   FROM pt w WHERE agent_type = 'worker')
 SELECT session_id, file_path, timestamp, raw_index, CASE WHEN open AND row_number() OVER (PARTITION BY session_id, file_path ORDER BY open DESC, timestamp, raw_index) = 1 THEN 'warn' ELSE 'allow' END AS decision FROM judged"""
 
+_WORDS = """, docs AS (SELECT doc_id AS id, regexp_extract_all(translate(lower(coalesce(text, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+') AS w FROM documents),
+idx AS (SELECT id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM docs)
+"""
+_CHANGED = """, chg AS (SELECT * REPLACE (CASE WHEN raw_index % 97 = 0 THEN 'Other' ELSE tool_name END AS tool_name) FROM tev WHERE raw_index % 101 <> 0),
+evdiff AS (
+  SELECT CAST(raw_index AS VARCHAR) AS key, 'only_a' AS kind, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b FROM tev WHERE raw_index % 101 = 0
+  UNION ALL SELECT CAST(x.raw_index AS VARCHAR), 'differs', 'tool_name', x.tool_name, y.tool_name FROM tev x JOIN chg y USING (raw_index) WHERE x.tool_name IS DISTINCT FROM y.tool_name)
+"""
+
 _BODIES = {
+    # log lines
+    "scan_jsonl": "SELECT raw_index FROM tev WHERE k % 50 > 2",
+    "parse_envelope": "SELECT raw_index, timestamp AS ts FROM tev WHERE k % 50 > 2",
+    "malformed_lines": "SELECT raw_index, CASE k % 50 WHEN 0 THEN 'JSON parse error' WHEN 1 THEN 'payload is not a JSON object' ELSE 'missing hook_event_name or session_id' END AS error FROM tev WHERE k % 50 < 3",
+    "events_row": "SELECT raw_index, session_id, event_type, tool_name, file_path, prompt_text, prompt_length FROM tev WHERE k % 50 > 2",
+    "tool_payload_text": "SELECT raw_index, '{\"file_path\":\"' || file_path || '\",\"k\":' || k || '}' AS tool_input, tool_result FROM tev WHERE k % 50 > 2",
+    "replay": "SELECT raw_index + 1 AS line, CASE WHEN k % 50 = 0 THEN '' WHEN k % 50 < 3 THEN 'x' ELSE substr(timestamp, 1, 19) END AS ts, CASE WHEN k % 50 < 3 THEN '' ELSE substr(session_id, 1, 8) END AS session_id, CASE WHEN k % 50 = 0 THEN 'MALFORMED' WHEN k % 50 < 3 THEN '' ELSE event_type END AS event_type FROM tev",
+    "tail_projection": "SELECT raw_index, CASE WHEN k % 50 = 0 THEN '[malformed] {broken' ELSE concat_ws('  ', substr(timestamp, 1, 19), substr(session_id, 1, 8), rpad(event_type, 25, ' '), tool_name) END AS shown FROM tev WHERE k % 50 = 0 OR (k % 50 > 2 AND tool_name = 'Bash')",
+    "legacy_normalize": "SELECT raw_index, CASE WHEN k % 50 = 1 THEN '{\"v\":1,\"ts\":\"x\",\"p\":3}' ELSE '{\"v\":1,\"ts\":\"x\",\"p\":{}}' END AS raw_line FROM tev WHERE k % 50 IN (1, 2)",
+    "ingest_stats": "SELECT count(*) FILTER (k % 50 > 2) AS events_seen, count(*) FILTER (k % 50 < 3) AS malformed FROM tev",
+    "json_compact": "SELECT raw_index, '{\"b\":' || k || ',\"a\":[1,2.0]}' AS j FROM tev",
+    "json_canonical": "SELECT raw_index, '{\"a\":[1,2.0],\"b\":' || k || '}' AS j FROM tev",
+    "json_equal": "SELECT raw_index, k % 2 = 1 AS same FROM tev",
+    "annotate": "SELECT session_id, 'odd' AS label FROM sessions WHERE session_id LIKE 'u9%' ORDER BY session_id LIMIT 1",
+    # search, diffs, policy
+    "search_boolean": _WORDS + "SELECT id FROM docs WHERE ((list_contains(w, 'the') AND list_contains(w, 'licensed')) OR list_contains(w, 'token')) AND NOT list_contains(w, 'released')",
+    "search_phrase": _WORDS + "SELECT DISTINCT a.id FROM idx a JOIN idx b ON a.id = b.id AND b.pos = a.pos + 1 JOIN idx c ON a.id = c.id AND c.pos = a.pos + 2 WHERE a.term = 'licensed' AND b.term = 'under' AND c.term = 'the'",
+    "search_near": _WORDS + "SELECT DISTINCT a.id FROM idx a JOIN idx b ON a.id = b.id AND abs(a.pos - b.pos) <= 3 WHERE a.term = 'license' AND b.term = 'version'",
+    "search_prefix": _WORDS + "SELECT DISTINCT id FROM idx WHERE starts_with(term, 'licen')",
+    "search": _WORDS
+    + """, n AS (SELECT id, len(w) AS n FROM docs WHERE len(w) > 0), s AS (SELECT count(*) AS docs, avg(n) AS mean FROM n),
+tf AS (SELECT id, term, count(*) AS tf FROM idx WHERE term IN ('license', 'version') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 9) AS score FROM tf JOIN df USING (term) JOIN n USING (id), s GROUP BY id ORDER BY score DESC, id LIMIT 50""",
+    "parity_events": _CHANGED + "SELECT * FROM evdiff",
+    "full_outer_diff": _CHANGED + "SELECT kind, field, count(*) AS n FROM evdiff GROUP BY ALL",
+    "parity_tool_calls": "SELECT session_id || '|' || tool_use_id AS key, 'only_a' AS kind, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b FROM tool_calls WHERE succeeded = 0 UNION ALL SELECT session_id || '|' || tool_use_id, 'differs', 'error', error, 'x' FROM tool_calls WHERE succeeded = 1 AND error IS DISTINCT FROM 'x'",
+    "policy_audit": """, c AS (SELECT raw_index AS call_id, tool_name, k, CASE agent_type WHEN 'search' THEN 'reader' WHEN 'worker' THEN 'editor' WHEN 'reviewer' THEN NULL ELSE 'main' END AS profile FROM tev WHERE event_type = 'PreToolUse')
+SELECT call_id, profile, CASE WHEN profile IS NULL THEN 'unknown agent'
+  WHEN profile = 'reader' AND NOT (tool_name = 'Read' OR starts_with(tool_name, 'G')) OR profile = 'main' AND tool_name <> 'Bash' THEN 'tool not allowed'
+  WHEN tool_name = 'Bash' AND k % 3 = 2 THEN 'wrapper command'
+  WHEN tool_name = 'Bash' AND (profile = 'editor' AND k % 3 <> 0 OR profile = 'main' AND k % 3 <> 1) THEN 'command not allowed' END AS denied FROM c""",
     # enrichment
     "payload_extract": "SELECT raw_index, k, k % 2 AS flag FROM tev",
     "truthy_flags": "SELECT raw_index, CAST(k <> 0 AS BIGINT) AS flag FROM tev",

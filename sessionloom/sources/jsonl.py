@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -167,24 +166,24 @@ def tail_lines(lines: DataFrame, only: str | None = None) -> DataFrame:
 def normalize_legacy(lines: DataFrame, now: str) -> DataFrame:
     """Lines of the older formats as envelopes: v1 lines pass; ``phase`` pre and
     post become tool events; other objects keep their fields if they name a
-    session; what is no JSON object goes."""
-    raw = F.trim("raw_line")
-    j = F.col("j")
-    first = lambda *ks: reduce(lambda a, b: F.when(_kind(j, f"$.{b}") != "ABSENT", F.coalesce(_typed(j, f"$.{b}", "STRING"), F.lit(None).cast("string"))).otherwise(a), ks[::-1], F.lit(None).cast("string"))
-    text = lambda *ks: F.coalesce(first(*ks), F.lit(""))
-    parsed = lines.withColumn("j", F.try_parse_json(raw)).where(F.schema_of_variant(j).startswith("OBJECT"))
-    v1 = (_kind(j, "$.v") != "ABSENT") & (_kind(j, "$.p") != "ABSENT") & (_kind(j, "$.ts") != "ABSENT")
-    ident = F.coalesce(_typed(j, "$.tool_use_id", "STRING"), F.concat(F.lit("legacy_"), F.lower(F.hex(F.xxhash64(raw)))))
-    common = [text("session_id").alias("session_id"), text("tool", "tool_name").alias("tool_name"), ident.alias("tool_use_id")]
+    session; what is no JSON object goes. Numbers count as their text, nulls as
+    absent."""
+    raw = F.col("raw_line")
+    keys = ("v", "p", "ts", "timestamp", "phase", "session_id", "tool", "tool_name", "tool_use_id", "cwd", "input_summary", "response_summary", "event_type", "hook_event_name")
+    parsed = lines.withColumn("raw_line", F.trim("raw_line")).where(F.col("raw_line").startswith("{")).withColumn("j", F.from_json("raw_line", ", ".join(f"{k} string" for k in (*keys, "_bad")), {"columnNameOfCorruptRecord": "_bad"}))
+    parsed = parsed.where("j._bad IS NULL").select("source_file", "raw_index", "raw_line", "j.*")
+    either = F.coalesce
+    ident = F.coalesce("tool_use_id", F.concat(F.lit("legacy_"), F.lower(F.hex(F.xxhash64(raw)))))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"^\{\"x\":(.*)\}$", 1)
+    common = [text("session_id").alias("session_id"), text(either("tool", "tool_name")).alias("tool_name"), ident.alias("tool_use_id")]
     pre = F.struct(F.lit("PreToolUse").alias("hook_event_name"), *common, F.struct(text("input_summary").alias("_legacy_summary")).alias("tool_input"), text("cwd").alias("cwd"))
     post = F.struct(F.lit("PostToolUse").alias("hook_event_name"), *common, text("response_summary").alias("tool_response"), text("cwd").alias("cwd"))
-    name = F.coalesce(first("event_type", "hook_event_name"), F.lit("UnknownEvent"))
-    # all fields, with the event's name put in front: later equal keys are renamed out of the way
-    rest = F.regexp_replace(F.get_json_object(raw, "$"), r'"hook_event_name":', '"_hook_event_name":')
-    other = F.concat(F.lit('{"hook_event_name":'), F.to_json(F.array(name)).substr(F.lit(2), F.length(F.to_json(F.array(name))) - 2), F.when(rest == "{}", "").otherwise(","), F.expr("substr(_rest, 2)"))
-    ts = F.to_json(F.array(F.coalesce(first("timestamp", "ts"), F.lit(now))))
-    phase = text("phase")
-    payload = F.when(phase == "pre", F.to_json(pre)).when(phase == "post", F.to_json(post)).when(text("session_id") != "", other)
-    made = parsed.withColumn("_rest", rest).withColumn("payload", payload).where(v1 | F.col("payload").isNotNull())
-    line = F.when(v1, raw).otherwise(F.concat(F.lit('{"v":1,"ts":'), F.substr(ts, F.lit(2), F.length(ts) - 2), F.lit(',"p":'), F.col("payload"), F.lit("}")))
-    return made.select("source_file", "raw_index", line.alias("raw_line"))
+    # all fields, with the event's name put in front; an older name field steps aside
+    rest = F.replace(F.substring(raw, 2, 1 << 30), F.lit('"hook_event_name"'), F.lit('"_hook_event_name"'))
+    name = F.coalesce(either("event_type", "hook_event_name"), F.lit("UnknownEvent"))
+    other = F.concat(F.lit('{"hook_event_name":'), quoted(name), F.lit(","), rest)
+    payload = F.when(F.col("phase") == "pre", F.to_json(pre)).when(F.col("phase") == "post", F.to_json(post)).when(text("session_id") != "", other)
+    v1 = F.col("v").isNotNull() & F.col("p").isNotNull() & F.col("ts").isNotNull()
+    line = F.concat(F.lit('{"v":1,"ts":'), quoted(F.coalesce(either("timestamp", "ts"), F.lit(now))), F.lit(',"p":'), payload, F.lit("}"))
+    return parsed.withColumn("raw_line", F.when(v1, raw).otherwise(line)).where("raw_line IS NOT NULL").select("source_file", "raw_index", "raw_line")
