@@ -42,9 +42,10 @@ def n_tokens(text: Column) -> Column:
 def layout(text: Column, tokens: Column) -> Column:
     """caps, table, marked or prose: whether half of the letters a-z are upper
     case, a tenth of the tokens are bars, or there is a sign for each fourth."""
-    full, count = F.coalesce(text, F.lit("")), lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+    full = F.coalesce(text, F.lit(""))
+    count = lambda kind: F.length(full) - F.length(F.regexp_replace(full, f"[{kind}]+", ""))
     bars = F.length(full) - F.length(F.replace(full, F.lit("|"), F.lit("")))
-    return F.when(count("[A-Z]") > count("[a-z]"), "caps").when(10 * bars > tokens, "table").when(4 * count("[#$%&*!]") > tokens, "marked").otherwise("prose")
+    return F.when(count("A-Z") > count("a-z"), "caps").when(10 * bars > tokens, "table").when(4 * count("#$%&*!") > tokens, "marked").otherwise("prose")
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -91,13 +92,13 @@ def _of(given: dict[str, float], d: str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[x for k, v in given.items() for x in (F.lit(k), F.lit(float(v)))]), F.col(d)), F.lit(0.0))
 
 
-def plan(docs: DataFrame, targets=None, budget: float = 0.5, alpha: float = 0.7, sweeps: int = SWEEPS, topic=layout) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, keep: list[str], targets=None, budget: float = 0.5, alpha: float = 0.7, sweeps: int = SWEEPS, topic=layout) -> tuple[DataFrame, DataFrame]:
     """The documents with their cell (columns row, source, lang, topic,
-    n_tokens) and the cells with weight and probability."""
-    text = F.col("row.text")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    keyed = keyed.select("row", n_tokens(text).alias("n_tokens"), *[F.coalesce(F.col(f"row.{d}").cast("string"), F.lit("")).alias(d) for d in ("source", "lang")])
-    keyed = keyed.withColumn("topic", F.coalesce(topic(text, F.col("n_tokens")), F.lit("")))
+    n_tokens; row has the columns ``keep``) and the cells with weight and
+    probability. Texts are looked at once: the first result is written."""
+    named = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    keyed = docs.select(named, F.col("text").alias("_text"), n_tokens(F.col("text")).alias("n_tokens"), *[F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in ("source", "lang")])
+    keyed = materialize(keyed.withColumn("topic", F.coalesce(topic(F.col("_text"), F.col("n_tokens")), F.lit(""))).drop("_text"), "cells-of-rows")
     cells = keyed.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     fitted = materialize(rake(cells, targets, alpha, sweeps), "raked")
     total = fitted.agg(F.sum("tokens")).first()[0]
@@ -117,10 +118,10 @@ def plan(docs: DataFrame, targets=None, budget: float = 0.5, alpha: float = 0.7,
     return keyed, fitted.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * factor))
 
 
-def calibrated(docs: DataFrame, seed: int = 42, **how) -> DataFrame:
-    """row, source, lang, topic, n_tokens, weight, probability and selected of
-    every document."""
-    keyed, cells = plan(docs, **how)
+def calibrated(docs: DataFrame, keep: list[str] | None = None, seed: int = 42, **how) -> DataFrame:
+    """row (the columns ``keep``, doc_id at least), source, lang, topic,
+    n_tokens, weight, probability and selected of every document."""
+    keyed, cells = plan(docs, keep or ["doc_id"], **how)
     cells = cells.select(*DIMENSIONS, "weight", "probability")
     joined = keyed.join(cells, list(DIMENSIONS), "left")
     some = F.col("n_tokens") > 0
@@ -130,7 +131,7 @@ def calibrated(docs: DataFrame, seed: int = 42, **how) -> DataFrame:
 
 def sample(docs: DataFrame, seed: int = 42, **how) -> DataFrame:
     """The drawn documents as they are, with their probability in ``p_selected``."""
-    drawn = calibrated(docs, seed, **how).where("selected")
+    drawn = calibrated(docs, docs.columns, seed, **how).where("selected")
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "p_selected"]
     return drawn.select(*kept, F.col("probability").alias("p_selected"))
 
