@@ -37,9 +37,10 @@ from sessionloom.runtime import materialize
 from . import common
 
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
-BLOCK = 2048
+BLOCK = 4096
 CELLS = 1024
 SLACK = 1e-6
+COARSE = 1e-4
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -76,7 +77,8 @@ class Tree:
     """Points in depth-first order; node k covers points start[k]:end[k] within
     radius[k] of point centre[k]; its children are nodes low[k]:high[k]."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, weight: np.ndarray):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, weight: np.ndarray):
+        x = unit(vectors)
         self.centre, self.start, self.end, self.radius, self.low, self.high = [0], [0], [len(x)], [0.0], [0], [0]
         order: list[int] = []
         todo = [(0, np.arange(len(x)), 0, 0)]  # node, points, centre, level; last in, first out keeps depth-first order
@@ -107,12 +109,20 @@ class Tree:
             todo.extend((first + k, groups[k], int(centres[k]), level) for k in range(len(centres) - 1, -1, -1))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.x, self.ids, self.weight = x[order], ids[order], weight[order]
+        self.vectors, self.x, self.ids, self.weight = vectors[order], x[order], ids[order], weight[order]
         self.centre = place[np.array(self.centre)]
         self.start, self.end, self.low, self.high = (np.array(v) for v in (self.start, self.end, self.low, self.high))
         self.radius = np.array(self.radius)
         self.sums = np.concatenate(([0], np.cumsum(self.weight)))
 
+    def __getstate__(self) -> dict:
+        """Vectors travel as they came, often half as wide as unit vectors."""
+        return {k: v for k, v in self.__dict__.items() if k != "x"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.x = unit(self.vectors)
+
 
 def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row number and value of every integer of the ranges."""
@@ -151,6 +161,26 @@ def dual(a: Tree, b: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
         go = ~single & ~inside & (dot >= 1.0 - (both + reach + SLACK) ** 2 / 2.0)
         return i[go], j[go]
 
+    def close(i: np.ndarray, j: np.ndarray, far: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of the two sets of nodes that may hold a link. Points (far = 0)
+        go through a product in single precision first, whose error is below
+        COARSE; what passes is computed again."""
+        if not len(i) or not len(j):
+            return
+        right = b.x[b.centre[j]]
+        narrow = right.astype(np.float32).T
+        for lo in range(0, len(i), 512):
+            at = i[lo : lo + 512]
+            left = a.x[a.centre[at]]
+            if far is not None:
+                p, q = np.nonzero(left.astype(np.float32) @ narrow >= np.float32(cosine - COARSE))
+                dot = np.einsum("nd,nd->n", left[p], right[q])
+            else:
+                full = left @ right.T
+                p, q = np.nonzero(full >= 1.0 - (a.radius[at, None] + b.radius[None, j] + reach + SLACK) ** 2 / 2.0)
+                dot = full[p, q]
+            yield at[p], j[q], dot
+
     zero = np.zeros(1, np.int64)
     fi, fj = sort_out(zero, zero, np.array([a.x[a.centre[0]] @ b.x[b.centre[0]]]))
     while len(fi):
@@ -160,12 +190,11 @@ def dual(a: Tree, b: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
         size = (ahi - alo) * (bhi - blo)
         nexts = []
         for k in np.flatnonzero(size >= 4096):
-            for lo in range(alo[k], ahi[k], 512):
-                hi = min(ahi[k], lo + 512)
-                dot = a.x[a.centre[lo:hi]] @ b.x[b.centre[blo[k] : bhi[k]]].T
-                both = a.radius[lo:hi, None] + b.radius[None, blo[k] : bhi[k]]
-                i, j = np.nonzero(dot >= 1.0 - (both + reach + SLACK) ** 2 / 2.0)
-                nexts.append(sort_out(i + lo, j + blo[k], dot[i, j]))
+            i, j = np.arange(alo[k], ahi[k]), np.arange(blo[k], bhi[k])
+            one, two = i[a.radius[i] == 0], j[b.radius[j] == 0]
+            for i, j, far in ((one, two, 0.0), (i[a.radius[i] > 0], j, None), (one, j[b.radius[j] > 0], None)):
+                for found in close(i, j, far):
+                    nexts.append(sort_out(*found))
         few = np.flatnonzero(size < 4096)
         stop = np.cumsum(size[few])
         for lo in range(0, int(stop[-1]) if len(few) else 0, 1 << 15):
@@ -223,7 +252,7 @@ def class_links(classes: DataFrame, dim: int, cosine: float, cells: int, block:
 
         def emit(cell: int, part: int, rows: list) -> Iterator[pa.RecordBatch]:
             ids, weight, x = (np.concatenate(v) for v in zip(*rows, strict=True))
-            tree = pickle.dumps(Tree(unit(x), ids, weight), protocol=5)
+            tree = pickle.dumps(Tree(x, ids, weight), protocol=5)
             me = int(first[cell]) + part
             for c in np.flatnonzero(meet[cell] & (parts > 0)):
                 for other in range(int(first[c]), int(first[c] + parts[c])):
