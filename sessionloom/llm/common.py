@@ -9,11 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.runtime import materialize
 
 ROWS_PER_BATCH = 256
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -23,17 +24,20 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def per_text(docs: DataFrame, keep: list[str], schema: str, work: Callable[[list], dict], text_col: str = "text") -> DataFrame:
-    """``keep`` columns plus what ``work(list of texts)`` returns as columns."""
+    """``keep`` columns plus what ``work(list of texts)`` returns as columns. Where
+    text_col is a.b, the text is field b of the kept struct a and travels once."""
     small_batches(docs.sparkSession)
+    whole, _, field = text_col.rpartition(".")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                made = work(b.column(len(keep)).to_pylist())
+                texts = b.column(keep.index(whole)).field(field) if whole else b.column(len(keep))
+                made = work(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]], names=[*keep, *made])
 
-    head = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, text_col).mapInArrow(run, f"{head}, {schema}")
+    fields = T.StructType([*(docs.schema[k] for k in keep), *T.StructType.fromDDL(schema)])
+    return docs.select(*keep, *([] if whole else [text_col])).mapInArrow(run, fields)
 
 
 def numbered(docs: DataFrame, name: str, **more) -> DataFrame:

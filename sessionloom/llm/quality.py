@@ -32,6 +32,7 @@ NONZERO = 4
 REACH = 2
 VOCABULARY = 20_000
 SHAPES = 48
+ONES = np.ones(4096, np.float32)
 
 _KIND = np.full(256, 3, np.int8)  # 0 space, 1 letter, 2 digit, 3 sign
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -108,11 +109,13 @@ def pool(texts: list[str | None], known: np.ndarray, vectors: np.ndarray) -> np.
             continue
         ids = lookup(known, h, shape)
         first = np.flatnonzero(np.diff(np.concatenate(([-1], doc))))
-        rows = np.array(who)[doc[first]]
-        v = vectors[ids]
-        n[rows] += np.diff([*first, len(doc)])
-        total[rows] += np.add.reduceat(v, first)
-        square[rows] += np.add.reduceat(v * v, first)
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True):
+            i = who[doc[lo]]
+            n[i] += hi - lo
+            for at in range(lo, hi, 4096):
+                v = vectors[ids[at : min(hi, at + 4096)]]
+                total[i] += ONES[: len(v)] @ v
+                square[i] += np.einsum("nd,nd->d", v, v)
     m = total / np.maximum(n, 1)[:, None]
     sd = np.sqrt(np.maximum(square / np.maximum(n, 1)[:, None] - m * m, 0))
     return np.concatenate([m, sd, np.log1p(n)[:, None]], 1)
@@ -196,8 +199,8 @@ def scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1,
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, **bounds) -> DataFrame:
     """The documents whose score is at least ``least``, as they are."""
     score = fitted(docs, labels, **bounds)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    made = common.per_text(rows, ["row"], "score double", lambda texts: {"score": score(texts)})
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    made = common.per_text(rows, ["row"], "score double", lambda texts: {"score": score(texts)}, "row.text")
     return common.unwrapped(made.where(F.col("score") >= least), docs.columns)
 
 
