@@ -69,6 +69,12 @@ def _kind(v: Column, path: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("ABSENT"))
 
 
+def _parsed_once(lines: DataFrame) -> DataFrame:
+    """Adds j, the line as a variant. It comes out of a generator, below which no
+    filter is pushed: as a plain column it would be parsed again in each."""
+    return lines.select("*", F.explode(F.array(F.try_parse_json("raw_line"))).alias("j"))
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Adds v, ts, h, j (the line as a variant) and error, null for envelopes."""
     j = F.col("j")
@@ -79,8 +85,7 @@ def parse(lines: DataFrame) -> DataFrame:
         .when(~_kind(j, "$.p").startswith("OBJECT"), F.lit("payload is not a JSON object"))
         .when(~(named("$.p.hook_event_name") & named("$.p.session_id")), F.lit("missing hook_event_name or session_id"))
     )
-    parsed = lines.withColumn("j", F.try_parse_json("raw_line"))
-    return parsed.withColumns({"ts": _typed(j, "$.ts", "STRING"), "h": _typed(j, "$.h", "STRING"), "error": error})
+    return _parsed_once(lines).withColumns({"ts": _typed(j, "$.ts", "STRING"), "h": _typed(j, "$.h", "STRING"), "error": error})
 
 
 def envelopes(lines: DataFrame) -> DataFrame:
@@ -141,9 +146,9 @@ def events(envelopes: DataFrame) -> DataFrame:
 def replay(lines: DataFrame) -> DataFrame:
     """The failed-events file for display: line from 1, ts, session_id, event_type
     (MALFORMED where it is no JSON) and the first 80 characters."""
-    j = F.try_parse_json("raw_line")
+    j = F.col("j")
     get = lambda p: F.coalesce(_typed(j, p, "STRING"), F.lit(""))
-    return lines.select(
+    return _parsed_once(lines).select(
         (F.col("raw_index") + 1).alias("line"),
         F.substring(get("$.ts"), 1, 19).alias("ts"),
         F.substring(get("$.p.session_id"), 1, 8).alias("session_id"),
@@ -155,11 +160,11 @@ def replay(lines: DataFrame) -> DataFrame:
 def tail_lines(lines: DataFrame, only: str | None = None) -> DataFrame:
     """Lines for the eye: time, session, type in 25 columns, tool; ``only`` keeps
     those whose type or tool contains it, in any case (and malformed ones)."""
-    j = F.try_parse_json("raw_line")
+    j = F.col("j")
     get = lambda p: F.coalesce(_typed(j, p, "STRING"), F.lit(""))
     kind, tool = get("$.p.hook_event_name"), get("$.p.tool_name")
     shown = F.concat_ws("  ", F.substring(get("$.ts"), 1, 19), F.substring(get("$.p.session_id"), 1, 8), F.when(F.length(kind) < 25, F.rpad(kind, 25, " ")).otherwise(kind), tool)
-    out = lines.select(*lines.columns, F.when(j.isNull(), F.concat(F.lit("[malformed] "), F.substring(F.trim("raw_line"), 1, 80))).otherwise(shown).alias("shown"), (j.isNull() | F.lower(kind).contains((only or "").lower()) | F.lower(tool).contains((only or "").lower())).alias("_keep"))
+    out = _parsed_once(lines).select(*lines.columns, F.when(j.isNull(), F.concat(F.lit("[malformed] "), F.substring(F.trim("raw_line"), 1, 80))).otherwise(shown).alias("shown"), (j.isNull() | F.lower(kind).contains((only or "").lower()) | F.lower(tool).contains((only or "").lower())).alias("_keep"))
     return out.where("_keep").drop("_keep")
 
 
