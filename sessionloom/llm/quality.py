@@ -4,7 +4,8 @@ Tokens are runs of letters, of digits and of other signs; a word that the
 fitting sample has too rarely stands for its shape (case, length). Each token
 type has a fixed sparse random index vector, and its word vector is the sum of
 the index vectors of its neighbours. A document is the mean and the spread of
-the word vectors of its tokens; a network with one hidden layer, trained in
+the word vectors of its tokens, its length, and the share of its tokens that
+repeat one of the two before; a network with one hidden layer, trained in
 numpy, gives a logit, and a temperature fitted on rows kept out of the training
 turns it into a probability.
 
@@ -100,25 +101,31 @@ def lookup(known: np.ndarray, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
 
 
 def pool(texts: list[str | None], known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of the token vectors, and log(1 + tokens)."""
-    n = np.zeros(len(texts))
+    """Mean and standard deviation of the token vectors, log(1 + tokens) and the
+    share of tokens that repeat one of the two before."""
+    n, again = np.zeros(len(texts)), np.zeros(len(texts))
     total, square = np.zeros((len(texts), DIM)), np.zeros((len(texts), DIM))
     for who, part in common.slices([(t or "").encode("utf-8", "surrogatepass") for t in texts]):
         doc, h, shape = tokens(part)
         if not len(doc):
             continue
         ids = lookup(known, h, shape)
+        same = np.zeros(len(h), bool)
+        for step in (1, 2):
+            same[step:] |= (h[step:] == h[:-step]) & (doc[step:] == doc[:-step])
+        repeats = np.bincount(doc[same], minlength=len(who))
         first = np.flatnonzero(np.diff(np.concatenate(([-1], doc))))
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True):
             i = who[doc[lo]]
             n[i] += hi - lo
+            again[i] += repeats[doc[lo]]
             for at in range(lo, hi, 4096):
                 v = vectors[ids[at : min(hi, at + 4096)]]
                 total[i] += ONES[: len(v)] @ v
                 square[i] += np.einsum("nd,nd->d", v, v)
     m = total / np.maximum(n, 1)[:, None]
     sd = np.sqrt(np.maximum(square / np.maximum(n, 1)[:, None] - m * m, 0))
-    return np.concatenate([m, sd, np.log1p(n)[:, None]], 1)
+    return np.concatenate([m, sd, np.log1p(n)[:, None], (again / np.maximum(n, 1))[:, None]], 1)
 
 
 def train(sample: list[tuple[str, int]], hidden: int = 24, epochs: int = 120, seed: int = 11) -> Model | None:
