@@ -87,9 +87,9 @@ def tools(tool_calls: DataFrame) -> DataFrame:
 def tools_current(tool_calls: DataFrame, sessions: DataFrame) -> DataFrame:
     """As tools(), for calls of sessions with the newest config version; where no
     session has one, for all."""
-    ids = sessions.join(F.broadcast(newest_version(sessions)), "config_version", "left_semi").select("session_id")
-    none = sessions.where("config_version IS NOT NULL").limit(1).isEmpty()
-    return tools(tool_calls if none else tool_calls.join(ids, "session_id", "left_semi"))
+    newest = F.broadcast(newest_version(sessions).agg(F.first("config_version").alias("newest")))  # one row, null where there is none
+    ids = sessions.join(newest, F.col("newest").isNull() | (F.col("config_version") == F.col("newest"))).select("session_id")
+    return tools(tool_calls.join(ids, "session_id", "left_semi"))
 
 
 def agents(tool_calls: DataFrame) -> DataFrame:

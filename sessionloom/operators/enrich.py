@@ -176,9 +176,10 @@ def parents(sessions: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     A range join on half-hour slots. What ended within the look-back lies in
     three slots; the first session beyond it does too, or else is the newest of
     the nearest slot before them. Slots are bounded by time, not by rows."""
-    eligible = sessions.where(F.col("source").isin("startup", "resume"))
     slot = lambda ts: F.floor(F.unix_seconds(ts) / LOOK_BACK_S)
     fields = ("session_id", "started_at", "ended_at", "cwd", "git_branch", "model", "end_reason")
+    # written, as both sides of several joins come from it
+    eligible = materialize(sessions.where(F.col("source").isin("startup", "resume")).select(*within, *[f for f in fields if f not in within]), "eligible")
     side = lambda name, text: eligible.withColumn("_at", E.parse_ts(F.col(text))).where("_at IS NOT NULL").select(*within, F.struct("_at", *fields).alias(name), slot(F.col("_at")).alias("slot"))
     ended, started = side("prev", "ended_at"), side("cur", "started_at").withColumnRenamed("slot", "here")
     near = started.withColumn("slot", F.explode(F.array("here", F.col("here") - 1, F.col("here") - 2))).join(ended, [*within, "slot"]).select(*within, "cur", "prev")

@@ -191,4 +191,5 @@ def normalize_legacy(lines: DataFrame, now: str) -> DataFrame:
     payload = F.when(F.col("phase") == "pre", F.to_json(pre)).when(F.col("phase") == "post", F.to_json(post)).when(text("session_id") != "", other)
     v1 = F.col("v").isNotNull() & F.col("p").isNotNull() & F.col("ts").isNotNull()
     line = F.concat(F.lit('{"v":1,"ts":'), quoted(F.coalesce(either("timestamp", "ts"), F.lit(now))), F.lit(',"p":'), payload, F.lit("}"))
-    return parsed.withColumn("raw_line", F.when(v1, raw).otherwise(line)).where("raw_line IS NOT NULL").select("source_file", "raw_index", "raw_line")
+    made = F.explode(F.array(F.when(v1, raw).otherwise(line))).alias("raw_line")
+    return parsed.select("source_file", "raw_index", made).where("raw_line IS NOT NULL")
