@@ -175,7 +175,9 @@ def normalize_legacy(lines: DataFrame, now: str) -> DataFrame:
     absent."""
     raw = F.col("raw_line")
     keys = ("v", "p", "ts", "timestamp", "phase", "session_id", "tool", "tool_name", "tool_use_id", "cwd", "input_summary", "response_summary", "event_type", "hook_event_name")
-    parsed = lines.withColumn("raw_line", F.trim("raw_line")).where(F.col("raw_line").startswith("{")).withColumn("j", F.from_json("raw_line", ", ".join(f"{k} string" for k in (*keys, "_bad")), {"columnNameOfCorruptRecord": "_bad"}))
+    j = F.from_json("raw_line", ", ".join(f"{k} string" for k in (*keys, "_bad")), {"columnNameOfCorruptRecord": "_bad"})
+    trimmed = lines.withColumn("raw_line", F.trim("raw_line")).where(F.col("raw_line").startswith("{"))
+    parsed = trimmed.select("*", F.explode(F.array(j)).alias("j"))  # parsed once, as in _parsed_once
     parsed = parsed.where("j._bad IS NULL").select("source_file", "raw_index", "raw_line", "j.*")
     either = F.coalesce
     ident = F.coalesce("tool_use_id", F.concat(F.lit("legacy_"), F.lower(F.hex(F.xxhash64(raw)))))
