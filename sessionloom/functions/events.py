@@ -19,11 +19,12 @@ def event_date(text: Column) -> Column:
 
 def millis_between(start: Column, end: Column) -> Column:
     """Whole milliseconds from start to end (ISO texts), cut towards zero."""
-    return _div(F.unix_micros(parse_ts(end)) - F.unix_micros(parse_ts(start)), 1000)
+    return div(F.unix_micros(parse_ts(end)) - F.unix_micros(parse_ts(start)), 1000)
 
 
-def _div(x: Column, by: int) -> Column:
-    return (F.signum(x) * F.floor(F.abs(x) / by)).cast("long")
+def div(x: Column, by: int) -> Column:
+    """Integer division, cut towards zero."""
+    return F.call_function("div", x, F.lit(by))
 
 
 def event_hash(session_id: Column, event_type: Column, ts: Column, tool_use_id: Column, given: Column | None = None) -> Column:
@@ -49,6 +50,7 @@ def slash_command(event_type: Column, prompt: Column) -> Column:
 
 
 def skill_path(text: Column) -> Column:
+    """Fixed value: the folder under which skills are kept."""
     return F.nullif(F.regexp_extract(text, r"(?i)\.claude/skills/([^\s\"']+)", 1), F.lit(""))
 
 
@@ -79,7 +81,7 @@ def fmt_duration(ms: Column) -> Column:
         F.when(ms.isNull(), "")
         .when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms")))
         .when(ms < 60000, F.format_string("%.1fs", ms / 1000.0))
-        .otherwise(F.concat(_div(ms, 60000).cast("string"), F.lit("m"), _div(ms % 60000, 1000).cast("string"), F.lit("s")))
+        .otherwise(F.concat(div(ms, 60000).cast("string"), F.lit("m"), div(ms % 60000, 1000).cast("string"), F.lit("s")))
     )
 
 

@@ -229,7 +229,7 @@ def slow(tool_calls: DataFrame, threshold: int = 5000, tool: str | None = None,
 
 def tokens(sessions: DataFrame, prefix: str | None = None, limit: int = 20) -> DataFrame:
     """Bytes and a quarter of them as tokens: the largest, or by prefix."""
-    made = sessions.select("session_id", "context_total_bytes", E._div(F.col("context_total_bytes"), 4).alias("est_tokens"), "started_at")
+    made = sessions.select("session_id", "context_total_bytes", E.div(F.col("context_total_bytes"), 4).alias("est_tokens"), "started_at")
     if prefix is not None:
         return made.where(E.any_case_like(F.col("session_id"), prefix + "%")).orderBy(F.desc("started_at"), "session_id")
     return made.where("context_total_bytes > 0").orderBy(F.desc("context_total_bytes"), "session_id").limit(limit)

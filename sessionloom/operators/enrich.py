@@ -163,7 +163,7 @@ def lineage_score(prev: str, cur: str) -> Column:
 
 
 def gap_seconds(prev: str, cur: str) -> Column:
-    return E._div(F.unix_micros(E.parse_ts(F.col(f"{cur}.started_at"))) - F.unix_micros(E.parse_ts(F.col(f"{prev}.ended_at"))), 1_000_000)
+    return E.div(F.unix_micros(E.parse_ts(F.col(f"{cur}.started_at"))) - F.unix_micros(E.parse_ts(F.col(f"{prev}.ended_at"))), 1_000_000)
 
 
 def parents(sessions: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
