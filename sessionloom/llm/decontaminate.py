@@ -16,7 +16,6 @@ Terms are compared by a 64-bit hash of their bytes.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
