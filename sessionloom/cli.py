@@ -11,8 +11,9 @@ from sessionloom.operators import commands as C
 from sessionloom.operators import live, search
 from sessionloom.render import render
 from sessionloom.runtime import build_session
-from sessionloom.sources import jsonl
-from sessionloom.store import Store
+from sessionloom.sources import jsonl, legacy_sqlite
+from sessionloom.store import TABLES, Store
+from sessionloom.streaming import jobs
 
 
 def questions(store: Store, now: str) -> dict:
@@ -32,7 +33,6 @@ def questions(store: Store, now: str) -> dict:
         "before-stop": lambda a: C.before_stop(t("events")),
         "compactions": lambda a: C.compactions(t("events")),
         "configs": lambda a: C.configs(t("sessions"), t("config_versions")),
-        "health": lambda a: C.table_counts({n: t(n) for n in ("events", "sessions", "tool_calls", "config_versions", "annotations")}),
         "diff": lambda a: C.session_diff(t("events"), t("sessions"), *a.args[:2]),
         "trends": lambda a: C.trends(t("sessions"), a.args[0], now, a.days),
         "slow": lambda a: C.slow(t("tool_calls"), a.threshold, *a.args[:1]),
@@ -55,6 +55,21 @@ def found(events: DataFrame, words: list[str]) -> DataFrame:
     return hits.join(events.select("event_hash", "session_id", "timestamp", "event_type"), "event_hash").orderBy("score", ascending=False)
 
 
+def tail(stream: DataFrame, only: str | None = None) -> None:
+    """Prints new lines until interrupted."""
+
+    def show(df: DataFrame, _: int) -> None:
+        for r in jsonl.tail_lines(df, only).orderBy("raw_index").toLocalIterator():
+            print(r.shown, flush=True)
+
+    query = stream.writeStream.foreachBatch(show).trigger(processingTime="500 milliseconds").start()
+    try:
+        query.awaitTermination()
+    except KeyboardInterrupt:
+        query.stop()
+        raise SystemExit(130) from None
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="sessionloom")
     p.add_argument("--store", required=True)
@@ -74,6 +89,13 @@ def main(argv: list[str] | None = None) -> None:
     store = Store(spark, a.store)
     if a.command == "ingest":
         print(store.ingest(a.args or jsonl.unprocessed(jsonl.log_files(spark, a.logs), a.now, a.include_today)))
+    elif a.command == "import-legacy":
+        old = legacy_sqlite.read_events(spark, a.args[0]) if a.args[0].endswith(".db") else jsonl.scan(spark, a.args)
+        print(store.ingest_lines(jsonl.normalize_legacy(old, a.now)))
+    elif a.command == "tail":
+        tail(jobs.tail(spark, a.args[0]), *a.args[1:2])
+    elif a.command == "health":
+        print(f"store: {store.check()}", render(C.table_counts({n: store.table(n) for n in TABLES}), a.format), render(C.chain_stats(store.table("sessions")), a.format), sep="\n")
     elif a.command == "rebuild":
         print(store.rebuild())
     elif a.command == "backup":

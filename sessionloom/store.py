@@ -9,6 +9,7 @@ the job that owns the folder."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -28,6 +29,11 @@ TABLES = ("lines", "events", "sessions", "tool_calls", *USER_TABLES)
 MUTATIONS = ("INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "REPLACE")
 
 
+def config_hash(contents: list[bytes]) -> str:
+    """Eight hex digits that name a configuration: its files' contents, in order."""
+    return hashlib.sha256(b"".join(contents)).hexdigest()[:8]
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -83,9 +89,16 @@ class Store:
 
     # ingest
 
-    def ingest(self, paths: list[str]) -> dict[str, int]:
+    def ingest(self, paths: list[str], **known) -> dict[str, int]:
         """Adds log files. Lines of a file that was there are replaced."""
-        lines = jsonl.scan(self.spark, paths)
+        return self.ingest_lines(jsonl.scan(self.spark, paths), **known)
+
+    def ingest_lines(self, lines: DataFrame, config_version: str | None = None, git: dict[str, tuple[str, str]] | None = None) -> dict[str, int]:
+        """Adds lines (source_file, raw_index, raw_line), with what is known when
+        they come in: the configuration's version, and branch and commit by
+        working folder. Both stay with the lines and win over the payload."""
+        text = "string"
+        lines = lines.withColumn("config_version", F.lit(config_version).cast(text)).withColumn("git", F.lit(json.dumps(git) if git else None).cast(text))
         if "lines" in self.current():
             old = self.table("lines")
             lines = old.join(lines.select("source_file").distinct(), "source_file", "left_anti").unionByName(lines)
@@ -96,7 +109,7 @@ class Store:
         if lines is not None:
             self.write(lines=lines)
         lines = self.table("lines")
-        raw = jsonl.events(jsonl.envelopes(lines))
+        raw = self._known(jsonl.events(jsonl.envelopes(lines)), lines)
         size = F.col("input_bytes") + F.col("output_bytes") + F.coalesce("prompt_length", F.lit(0))
         numbered = N.running(N.tool_duration(raw), {"_n": F.lit(1), "context_cumulative_bytes": size}).withColumn("sequence_num", F.col("_n") - 1).drop("_n")
         # duplicates take part in numbers and pairs before they go
@@ -109,6 +122,13 @@ class Store:
         stored = self.table("events").count()
         return {"events_seen": seen, "events_stored": stored, "duplicates": seen - stored, "malformed": bad, "sessions": self.table("sessions").count(), "tool_calls": self.table("tool_calls").count()}
 
+    def _known(self, events: DataFrame, lines: DataFrame) -> DataFrame:
+        """What was known at ingest, put over the payload's fields."""
+        sources = lines.groupBy("source_file").agg(F.max("config_version").alias("_version"), F.max("git").alias("_git"))
+        pair = F.from_json("_git", "map<string,array<string>>")[F.col("cwd")]
+        joined = events.join(sources, "source_file")
+        return joined.withColumns({"config_version": F.coalesce("_version", "config_version"), "git_branch": F.coalesce(pair[0], F.col("git_branch")), "git_commit": F.coalesce(pair[1], F.col("git_commit"))}).drop("_version", "_git")
+
     # changes by users
 
     def annotate(self, prefix: str, label: str, notes: str | None, now: str) -> int:

@@ -11,7 +11,7 @@ from sessionloom.functions import json_text
 from sessionloom.operators import commands as C
 from sessionloom.operators import diff, live
 from sessionloom.sources import jsonl, legacy_sqlite
-from sessionloom.store import Store
+from sessionloom.store import Store, config_hash
 
 
 def line(ts, event, session="s1", h=None, **p):
@@ -205,3 +205,28 @@ def test_session_by_prefix_ignores_case(store, logs):
     store.ingest([logs(HAPPY)])
     assert C.session_timeline(store.table("events"), store.table("sessions"), "S").count() == 5
     assert C.chain(store.table("sessions"), "s1").count() == 0
+
+
+def test_what_is_known_at_ingest_wins(store, logs):
+    store.ingest([logs([line("01.000", "SessionStart", cwd="/w", git_branch="old", config_version="p"), line("02.000", "Stop", cwd="/else", git_branch="kept")])], config_version=config_hash([b"a", b"b"]), git={"/w": ("main", "abc")})
+    got = {r.raw_index: (r.config_version, r.git_branch, r.git_commit) for r in store.table("events").collect()}
+    assert got == {0: ("fb8e20fc", "main", "abc"), 1: ("fb8e20fc", "kept", None)}
+    store.rebuild()
+    assert store.table("sessions").first().git_branch == "main"
+
+
+def test_command_line(spark, logs, tmp_path, capsys, monkeypatch):
+    from sessionloom import cli
+
+    monkeypatch.setattr(cli, "build_session", lambda: spark)
+    folder = str(tmp_path / "cli")
+    path = logs(HAPPY)
+    go = lambda *a: (cli.main(["--store", folder, "--logs", str(tmp_path), "--now", "2026-02-02", *a]), capsys.readouterr().out)[1]
+    assert "'sessions': 1" in go("ingest")
+    assert "2026-02-01" in go("summary") and "Read" in go("tools") and "happy" not in go("sessions")
+    assert "UserPromptSubmit" in go("session", "s1") and '"n": 5' in go("--format", "json", "sql", "SELECT count(*) AS n FROM events")
+    assert "store: ok" in go("health") and "/go now" not in go("search", "go") and go("annotate", "s1", "good").strip() == "1"
+    old = tmp_path / "old.jsonl"
+    old.write_text(json.dumps({"phase": "pre", "ts": "2026-01-01T00:00:00Z", "session_id": "z", "tool": "Read"}) + "\n")
+    assert "'sessions': 2" in go("import-legacy", str(old))
+    assert path
