@@ -104,15 +104,20 @@ def pool(texts: list[str | None], known: np.ndarray, vectors: np.ndarray) -> np.
     """Mean and standard deviation of the token vectors, log(1 + tokens) and the
     share of tokens that repeat one of the two before."""
     n, again = np.zeros(len(texts)), np.zeros(len(texts))
+    going, before = None, np.zeros(0, np.uint64)
     total, square = np.zeros((len(texts), DIM)), np.zeros((len(texts), DIM))
     for who, part in common.slices([(t or "").encode("utf-8", "surrogatepass") for t in texts]):
         doc, h, shape = tokens(part)
         if not len(doc):
             continue
         ids = lookup(known, h, shape)
-        same = np.zeros(len(h), bool)
+        if len(who) > 1 or who[0] != going:  # else a further piece of the same text
+            going, before = who[0] if len(who) == 1 else None, h[:0]
+        past, owner = np.concatenate((before, h)), np.concatenate((doc[:1].repeat(len(before)), doc))
+        same = np.zeros(len(past), bool)
         for step in (1, 2):
-            same[step:] |= (h[step:] == h[:-step]) & (doc[step:] == doc[:-step])
+            same[step:] |= (past[step:] == past[:-step]) & (owner[step:] == owner[:-step])
+        same, before = same[len(before) :], past[-2:]
         repeats = np.bincount(doc[same], minlength=len(who))
         first = np.flatnonzero(np.diff(np.concatenate(([-1], doc))))
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True):
