@@ -30,8 +30,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens meet the targets for sources, languages and
-    topics, each document with its probability."""
+    """A sample whose expected tokens meet the targets for sources, languages
+    and topics, or are all there are where a target is more than that; each
+    document with its probability."""
     return mixing.sample(docs)
 
 

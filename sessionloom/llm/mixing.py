@@ -2,10 +2,18 @@
 
 Documents are summed to cells (source, language, topic) of tokens. The cells'
 weights are raked to target shares of each source, language and topic in turn
-until all three marginals hold. A cell's ratio of raked to natural share, times
-one factor that brings the expected sample to ``budget`` of all tokens, is the
-probability of its documents, at most 1; documents are then drawn by a hash of
-their id. DataFrame functions only.
+until all three marginals hold; a cell's ratio of raked to natural share is its
+weight. Raking then goes on with the cells' expected tokens, none over the
+tokens it has, until the expected sample has ``budget`` of all tokens and meets
+the targets (``bound``). Expected tokens over tokens are the probability of a
+cell's documents, which are drawn by a hash of their id. DataFrame functions only.
+
+A value whose target is more than all of its tokens cannot meet it: ``budget``
+times its target share is over its natural share. All its documents are drawn,
+and the other values of its dimension share what it lacks in proportion to their
+targets. With ``bounded=False``, as in the query op10_mixing and its SQL, weights
+times one factor are cut at 1 instead, so that values which could meet their
+target fall short too.
 
 Where no targets are given, a value's target is its share of the tokens to the
 power ``alpha``, normalised: small sources, languages and topics gain.
@@ -33,6 +41,8 @@ from sessionloom.runtime import materialize
 DIMENSIONS = ("source", "lang", "topic")
 SWEEPS = 8
 ROUNDS = 12
+STRETCH = 4  # sweeps in one plan
+CLOSE = 1e-5
 
 
 def n_tokens(text: Column) -> Column:
@@ -55,8 +65,8 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: float, sweeps: int) -> DataFrame:
-    """Adds ``w``, the raked share of each cell; cells are (source, lang, topic,
-    tokens) with tokens over 0."""
+    """Adds ``w``, the raked share of each cell, and ``g_d``, the target share of
+    its value of d; cells are (source, lang, topic, tokens) with tokens over 0."""
     over = {d: W.partitionBy(d) for d in DIMENSIONS}
     with_sums = cells
     for d in DIMENSIONS:
@@ -72,7 +82,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: f
             scale.append(F.sum(F.col("tokens") / F.col(f"m_{d}") * F.pow(F.col(f"m_{d}"), F.lit(alpha))).alias(f"norm_{d}"))
     s = with_sums.agg(*scale).first().asDict()
     if not s["total"]:
-        return with_sums.withColumn("w", F.lit(0.0))
+        return with_sums.withColumns({"w": F.lit(0.0), **{f"g_{d}": F.lit(0.0) for d in DIMENSIONS}})
     for d in DIMENSIONS:
         given = (targets or {}).get(d)
         if given:
@@ -85,14 +95,48 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: f
     for _ in range(sweeps):
         for d in DIMENSIONS:
             fitted = fitted.withColumn("w", F.coalesce(F.try_divide(F.col("w") * goals[d], F.sum("w").over(over[d])), F.lit(0.0)))
-    return fitted
+    return fitted.withColumns({f"g_{d}": goals[d] for d in DIMENSIONS})
+
+
+def bound(fitted: DataFrame, total: float, budget: float) -> DataFrame:
+    """Adds ``u``, raked so that the expected tokens least(tokens, u) of each
+    value are its target, or all it has. Raised values take a Newton step: what
+    full cells cannot give comes from the others."""
+    size = dict.fromkeys(DIMENSIONS, budget * total)  # tokens for a target share of 1, full values aside
+    for _ in range(ROUNDS):
+        full = {d: F.col(f"g_{d}") * size[d] >= F.col(f"m_{d}") for d in DIMENSIONS}
+        of_value = {d: F.col("tokens") / F.col(f"m_{d}") for d in DIMENSIONS}
+        s = fitted.agg(
+            *[F.sum(F.when(full[d], F.col("tokens")).otherwise(F.lit(0))).cast("double").alias(f"full_{d}") for d in DIMENSIONS],
+            *[F.sum(F.when(full[d], F.lit(0.0)).otherwise(F.col(f"g_{d}") * of_value[d])).alias(f"rest_{d}") for d in DIMENSIONS],
+        ).first()
+        better = {d: max(size[d], (budget * total - s[f"full_{d}"]) / s[f"rest_{d}"]) if s[f"rest_{d}"] > 1e-12 else size[d] for d in DIMENSIONS}
+        if all(better[d] <= size[d] * (1 + 1e-12) for d in DIMENSIONS):
+            break
+        size = better
+    goal = {d: F.least(F.col(f"m_{d}"), F.col(f"g_{d}") * size[d]) for d in DIMENSIONS}
+    sums = lambda d: {"_all": F.sum(F.least("tokens", "u")).over(W.partitionBy(d)), "_full": F.sum(F.when(F.col("u") >= F.col("tokens"), F.col("tokens")).otherwise(F.lit(0))).over(W.partitionBy(d)).cast("double")}
+    raked = fitted.withColumn("u", F.col("w") * F.lit(budget * total))
+    for _ in range(ROUNDS):
+        for _ in range(STRETCH):
+            for d in DIMENSIONS:
+                free = F.col("_all") - F.col("_full")
+                step = F.when(goal[d] < F.col("_all"), goal[d] / F.col("_all")).when(free > F.lit(1e-12 * total), (goal[d] - F.col("_full")) / free).otherwise(1.0)
+                raked = raked.withColumns(sums(d)).withColumn("u", F.col("u") * step).drop("_all", "_full")
+        raked = materialize(raked, "bounded")
+        gaps = raked
+        for d in DIMENSIONS:
+            gaps = gaps.withColumns(sums(d)).withColumn(f"gap_{d}", F.abs(F.col("_all") - goal[d])).drop("_all", "_full")
+        if gaps.agg(F.max(F.greatest(*[f"gap_{d}" for d in DIMENSIONS]))).first()[0] <= CLOSE * budget * total:
+            break
+    return raked
 
 
 def _of(given: dict[str, float], d: str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[x for k, v in given.items() for x in (F.lit(k), F.lit(float(v)))]), F.col(d)), F.lit(0.0))
 
 
-def plan(docs: DataFrame, keep: list[str], targets=None, budget: float = 0.5, alpha: float = 0.7, sweeps: int = SWEEPS, topic=layout) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, keep: list[str], targets=None, budget: float = 0.5, alpha: float = 0.7, sweeps: int = SWEEPS, topic=layout, bounded: bool = True) -> tuple[DataFrame, DataFrame]:
     """The documents with their cell (columns row, source, lang, topic,
     n_tokens; row has the columns ``keep``) and the cells with weight and
     probability. Texts are looked at once: the first result is written."""
@@ -105,17 +149,20 @@ def plan(docs: DataFrame, keep: list[str], targets=None, budget: float = 0.5, al
     if not total:
         return keyed, fitted.withColumn("weight", F.lit(0.0)).withColumn("probability", F.lit(0.0))
     fitted = fitted.withColumn("weight", F.col("w") * F.lit(float(total)) / F.col("tokens"))
-    factor = budget
+    cut, factor = F.col("weight"), budget
+    if bounded:
+        fitted = bound(fitted, float(total), budget)
+        cut, factor = F.col("u") / F.col("tokens"), 1.0
     for _ in range(ROUNDS):  # cells that reach probability 1 leave their rest to the others
         full, rest = fitted.agg(
-            F.sum(F.when(F.col("weight") * factor >= 1, F.col("tokens")).otherwise(0)).cast("double"),
-            F.sum(F.when(F.col("weight") * factor >= 1, F.lit(0.0)).otherwise(F.col("weight") * F.col("tokens"))),
+            F.sum(F.when(cut * factor >= 1, F.col("tokens")).otherwise(0)).cast("double"),
+            F.sum(F.when(cut * factor >= 1, F.lit(0.0)).otherwise(cut * F.col("tokens"))),
         ).first()
         better = (budget * total - full) / rest if rest else factor
         if better <= factor * (1 + 1e-12):
             break
         factor = better
-    return keyed, fitted.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * factor))
+    return keyed, fitted.withColumn("probability", F.least(F.lit(1.0), cut * factor))
 
 
 def calibrated(docs: DataFrame, keep: list[str] | None = None, seed: int = 42, **how) -> DataFrame:
@@ -137,7 +184,7 @@ def sample(docs: DataFrame, seed: int = 42, **how) -> DataFrame:
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    drawn = calibrated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    drawn = calibrated(spark.read.parquet(f"{sf_dir}/documents.parquet"), bounded=False)
     return drawn.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected")
 
 

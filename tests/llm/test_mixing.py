@@ -56,3 +56,40 @@ def test_layout(spark, text, topic):
 def test_draw_is_uniform(spark):
     u = [r[0] for r in spark.range(4000).select(M.draw(F.col("id"), 42)).collect()]
     assert all(0 <= x < 1 for x in u) and abs(sum(u) / len(u) - 0.5) < 0.02
+
+
+def _reached(cells, budget=0.5):
+    """By dimension and value: expected tokens, target, and all tokens there are;
+    what a value lacks is shared by the others in proportion to their targets."""
+    total, out = sum(c.tokens for c in cells), {}
+    for dim in M.DIMENSIONS:
+        expected, natural = defaultdict(float), defaultdict(float)
+        for c in cells:
+            expected[c[dim]] += c.tokens * c.probability
+            natural[c[dim]] += c.tokens
+        share = {k: (v / total) ** 0.7 for k, v in natural.items()}
+        full = set()
+        while True:
+            left = (budget * total - sum(natural[k] for k in full)) / sum(v for k, v in share.items() if k not in full)
+            more = {k for k in share if k not in full and share[k] * left > natural[k]}
+            if not more:
+                break
+            full |= more
+        out |= {(dim, k): (expected[k], natural[k] if k in full else share[k] * left, natural[k]) for k in natural}
+    return out
+
+
+def test_the_sample_meets_the_targets(spark, sf):
+    _, cells = M.plan(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"), ["doc_id"])
+    cells = cells.collect()
+    reached = _reached(cells)
+    assert all(c.probability <= 1 for c in cells) and any(math.isclose(want, most) for _, want, most in reached.values())
+    for key, (got, want, _) in reached.items():
+        assert math.isclose(got, want, rel_tol=1e-3), key
+
+
+def test_a_value_beyond_its_target_is_taken_whole(spark):
+    rows = [(i, prose(20, i), "en" if i % 10 else "de", "big" if i % 40 else "small") for i in range(800)]
+    _, cells = M.plan(docs(spark, rows), ["doc_id"], targets={"source": {"small": 0.5}})
+    for c in cells.collect():
+        assert c.source == "big" or math.isclose(c.probability, 1)
