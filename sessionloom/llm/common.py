@@ -7,34 +7,35 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.runtime import materialize
 
 ROWS_PER_BATCH = 256
+SAMPLE_PARTS = 12
 SLICE_BYTES = 1 << 18
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts can be long, so Arrow batches carry few rows."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+def batches_of(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
+    """Spark bounds its Arrow batches in bytes; here they are cut to few rows,
+    so that what is made of them stays small too."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
 
 
 def per_text(docs: DataFrame, keep: list[str], schema: str, work: Callable[[list], dict], text_col: str = "text") -> DataFrame:
     """``keep`` columns plus what ``work(list of texts)`` returns as columns. Where
     text_col is a.b, the text is field b of the kept struct a and travels once."""
-    small_batches(docs.sparkSession)
     whole, _, field = text_col.rpartition(".")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                texts = b.column(keep.index(whole)).field(field) if whole else b.column(len(keep))
-                made = work(texts.to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]], names=[*keep, *made])
+        for b in batches_of(batches):
+            texts = b.column(keep.index(whole)).field(field) if whole else b.column(len(keep))
+            made = work(texts.to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]], names=[*keep, *made])
 
     fields = T.StructType([*(docs.schema[k] for k in keep), *T.StructType.fromDDL(schema)])
     return docs.select(*keep, *([] if whole else [text_col])).mapInArrow(run, fields)
@@ -57,26 +58,38 @@ def crc_mod(doc_id, n: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` labelled texts for each of the labels 0 and 1, the
-    first by a hash of the id. Rows with null ids, labels or texts, other label
-    values and texts over ``max_chars`` are not learned from. Ids that carry
-    both labels are left out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, per_class: int, max_chars: int) -> DataFrame:
+    """(k, y, text) of at most ``per_class`` labelled documents of each of the
+    labels 0 and 1, the first by a hash k of the id, written to the shared folder.
+
+    Rows with null ids, labels or texts, other label values and texts over
+    ``max_chars`` are left out before the choice, as are labels without such a
+    document. Ids that carry both labels are not learned from; of rows that
+    repeat an id the smallest text counts."""
+    usable = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     rows = (
         labels.where(allowed & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
         .groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("y2"))
         .where("y = y2")
-        .select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
+        .join(usable.select("doc_id").distinct(), "doc_id", "left_semi")
+        .select("doc_id", "y", F.xxhash64("doc_id").alias("k"))
     )
-    ids = None
-    for y in (0, 1):
-        part = rows.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class).select("doc_id", "y")
-        ids = part if ids is None else ids.unionByName(part)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    parts = [rows.where(F.col("y") == y).orderBy("k", "doc_id").limit(per_class) for y in (0, 1)]
+    ids = materialize(parts[0].unionByName(parts[1]), "sample-ids")
     # at most 2 * per_class ids: a stated bound, so the broadcast is safe
-    got = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").toArrow().to_pydict()
-    return sorted(set(zip(got["text"], got["y"], strict=True)))
+    texts = usable.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "k", "y").agg(F.min("text").alias("text"))
+    return materialize(texts.select("k", "y", "text").repartition(SAMPLE_PARTS, "k"), "sample")
+
+
+def spread_out(sample: DataFrame) -> DataFrame:
+    """A written sample dealt to SAMPLE_PARTS tasks, however few its bytes."""
+    return sample.repartition(SAMPLE_PARTS, "k")
+
+
+def texts_of(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[bytes]]:
+    for b in batches_of(batches):
+        yield [(t or "").encode("utf-8", "surrogatepass") for t in b.column(column).to_pylist()]
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -169,7 +182,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long") * 3)).first()
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
         if now == mark or not now[0]:
             break
         mark = now
@@ -184,6 +197,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.unionByName(roots) if mark else spark.createDataFrame([], stars.schema)
 
 
+def salted_join(rows: DataFrame, values: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """Inner join with ``values``, which has one row for each key: the rows of
+    a key are dealt to ``salts`` tasks by their other columns, and each value
+    goes to all of them."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(salts)).cast("int"))
+    copies = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 class Forest:
     """Union-find over 0..n-1 that says which links join two trees."""
 

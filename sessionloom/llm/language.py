@@ -7,9 +7,12 @@ prototype the bundle of its training documents. A document takes the language
 whose prototype has the highest cosine with it, after the mean of the
 prototypes, which is what all languages share, is taken out of the prototypes.
 
-The prototypes are fitted on at most ``per_lang`` documents of each language of
-at most ``max_chars`` characters, and of at most ``MOST_LANGS`` languages, those with most
-documents; every text is predicted whole.
+The prototypes are fitted on a sample of each language: documents that have a
+letter and at most ``max_chars`` characters, drawn by a hash of their id so that
+``per_lang`` are expected, or all if there are fewer; a language without such a
+document learns from its longer ones. All languages are learned. Prototypes are
+bundled on the executors; the driver gets one vector for each language, and the
+model grows with the number of languages only. Every text is predicted whole.
 
 Defined cases: texts that are null or have no letter get ``und`` and score 0,
 as does everything if there is nothing to learn from. Equal cosines go to the
@@ -19,15 +22,20 @@ other than doc_id, text and (for learning) lang are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sessionloom.runtime import materialize
+
 from . import common
 
 DIM = 512
-MOST_LANGS = 200
+STEPS = 1 << 20  # sums are taken in these steps of 1, so that their order does not matter
+HELD = 256  # languages a task sums at once
 _state: dict = {}
 
 
@@ -84,29 +92,49 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
 
+def training_sample(docs: DataFrame, allowed, per_lang: int, max_chars: int) -> DataFrame:
+    """(k, lang, text) to learn from, written to the shared folder."""
+    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
+        F.xxhash64("doc_id").alias("k"), F.col("lang").cast("string").alias("lang"), "text", (F.length("text") <= max_chars).alias("fits")
+    )
+    sizes = rows.groupBy("lang").agg(F.sum(F.col("fits").cast("long")).alias("n_fit"), F.count("*").alias("n"))
+    share = F.lit(float(per_lang)) / F.when(F.col("n_fit") > 0, F.col("n_fit")).otherwise(F.col("n"))
+    drawn = rows.join(sizes, "lang").where((F.col("fits") | (F.col("n_fit") == 0)) & (F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1 << 30)) < share * float(1 << 30)))
+    return materialize(drawn.select("k", "lang", "text").distinct(), "language-sample")
+
+
 def prototypes(docs: DataFrame, allowed, per_lang: int, max_chars: int) -> tuple[list[str], np.ndarray]:
-    """Sorted languages and their centred unit prototypes, bundled on the
-    executors from the sampled documents."""
-    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    ids = rows.where(F.col("lang").isin(langs)).select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("k") <= per_lang).select("doc_id", "lang")
-    # at most MOST_LANGS * per_lang ids: a stated bound, so the broadcast is safe
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).where(F.length("text") <= max_chars)
-    common.small_batches(docs.sparkSession)
-
-    def run(frames):
-        for f in frames:
-            v, has = bundles(f["text"].tolist())
-            f = f.assign(v=list(unit(v).astype(float)))[has]
-            for lang, g in f.groupby("lang"):
-                yield g.iloc[:1][["lang"]].assign(v=[np.sum(np.stack(g["v"].to_list()), 0).tolist()])
-
-    parts = texts.select("lang", "text").mapInPandas(run, "lang string, v array<double>").toPandas()  # a row for each batch of the sample and language
-    if not len(parts):
+    """Sorted languages and their centred unit prototypes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "v"])
+            sums.clear()
+            return out
+
+        for b in common.batches_of(batches):
+            v, has = bundles(b.column(1).to_pylist())
+            steps = np.rint(unit(v) * STEPS).astype(np.int64)
+            for lang, x, h in zip(b.column(0).to_pylist(), steps, has, strict=True):
+                if h:
+                    sums[lang] = sums[lang] + x if lang in sums else x
+            if len(sums) > HELD:
+                yield flush()
+        yield flush()
+
+    def add(key, part):
+        return part.iloc[:1][["lang"]].assign(v=[np.sum([np.frombuffer(v, np.int64) for v in part["v"]], 0).tobytes()])
+
+    sample = common.spread_out(training_sample(docs, allowed, per_lang, max_chars)).select("lang", "text")
+    # SAMPLE_PARTS tasks sum it, so a group has few rows; the driver gets a row for each language
+    got = sample.mapInArrow(run, "lang string, v binary").groupBy("lang").applyInPandas(add, "lang string, v binary").orderBy("lang").toArrow()
+    if not got.num_rows:
         return [], np.zeros((0, DIM), np.float32)
-    names = sorted(set(parts["lang"]))
-    proto = unit(np.stack([np.sum(np.stack(parts["v"][parts["lang"] == n].to_list()), 0) for n in names]))
-    return names, unit(proto - proto.mean(0) if len(names) > 1 else proto).astype(np.float32)
+    names, sums = zip(*sorted(zip(got["lang"].to_pylist(), got["v"].to_pylist(), strict=True)), strict=True)
+    proto = unit(np.stack([np.frombuffer(v, np.int64) for v in sums]).astype(float))
+    return list(names), unit(proto - proto.mean(0) if len(names) > 1 else proto).astype(np.float32)
 
 
 def identify(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 400, max_chars: int = 20_000) -> DataFrame:

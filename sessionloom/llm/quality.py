@@ -10,7 +10,10 @@ numpy, gives a logit, and a temperature fitted on rows kept out of the training
 turns it into a probability.
 
 Word vectors and network are fitted on at most ``per_class`` labelled documents
-of each class of at most ``max_chars`` characters; every text is scored whole.
+of each class of at most ``max_chars`` characters. Executors count their words,
+sum the word vectors and pool the documents; the driver gets the vocabulary, its
+vectors and one row of numbers for each document, and trains the network. Every
+text is scored whole.
 
 Defined cases: null, empty and blank texts pool to the zero vector and are
 scored as that. Null or conflicting labels are not learned from. Without labels
@@ -20,9 +23,11 @@ are scored each. Columns other than doc_id, text and labels are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,8 @@ DIM = 64
 NONZERO = 4
 REACH = 2
 VOCABULARY = 20_000
+LEAST_SEEN = 5
+CHUNK = 1024  # word vectors that travel as one row
 SHAPES = 48
 ONES = np.ones(4096, np.float32)
 
@@ -133,33 +140,71 @@ def pool(texts: list[str | None], known: np.ndarray, vectors: np.ndarray) -> np.
     return np.concatenate([m, sd, np.log1p(n)[:, None], (again / np.maximum(n, 1))[:, None]], 1)
 
 
-def train(sample: list[tuple[str, int]], hidden: int = 24, epochs: int = 120, seed: int = 11) -> Model | None:
-    y = np.array([label for _, label in sample], float)
-    if len(set(y.tolist())) < 2:
-        return None
-    texts = [t for t, _ in sample]
-    streams = [tokens(part) for _, part in common.slices([t.encode("utf-8", "surrogatepass") for t in texts])]
-    every = np.concatenate([h for _, h, _ in streams])
-    distinct, count = np.unique(every, return_counts=True)
-    often = distinct[count >= 5]
-    known = np.sort(often[np.argsort(-count[count >= 5], kind="stable")][:VOCABULARY])
-    index = index_vectors(np.concatenate([known, common.mix(np.arange(1, SHAPES + 1, dtype=np.uint64))]))
+def vocabulary(sample: DataFrame) -> np.ndarray:
+    """Sorted hashes of the VOCABULARY most frequent words of the sample that
+    occur LEAST_SEEN times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in common.texts_of(batches):
+            for _, part in common.slices(texts):
+                h, n = np.unique(tokens(part)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    counts = common.spread_out(sample).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    often = counts.where(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "h").limit(VOCABULARY)
+    return np.sort(np.array(often.select("h").toArrow()["h"].to_numpy()).view(np.uint64))
+
+
+def word_vectors(sample: DataFrame, known: np.ndarray) -> np.ndarray:
+    """Vectors of the known words, then of the shapes: the sum of the index
+    vectors of a word's neighbours, at unit length, and its own index vector."""
     size = len(known) + SHAPES
+    shared = sample.sparkSession.sparkContext.broadcast(known)  # VOCABULARY at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        index, total = index_of(known), np.zeros((size, DIM), np.float32)
+        for texts in common.texts_of(batches):
+            for _, part in common.slices(texts):
+                doc, h, shape = tokens(part)
+                ids = lookup(known, h, shape)
+                for step in range(1, min(REACH, len(ids) - 1) + 1):
+                    ok = doc[step:] == doc[:-step]
+                    a, b = ids[:-step][ok], ids[step:][ok]
+                    for d in range(DIM):
+                        total[:, d] += np.bincount(a, index[b, d], minlength=size) + np.bincount(b, index[a, d], minlength=size)
+        for at in range(0, size, CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[at : at + CHUNK].tobytes()])], names=["at", "sums"])
+
+    def add(key, part):
+        return part.iloc[:1][["at"]].assign(sums=[np.sum([np.frombuffer(v, np.float32) for v in part["sums"]], 0).astype(np.float32).tobytes()])
+
+    # a group has a chunk of SAMPLE_PARTS tasks
+    sums = common.spread_out(sample).select("text").mapInArrow(run, "at long, sums binary").groupBy("at").applyInPandas(add, "at long, sums binary").toArrow()
+    shared.destroy()
     vectors = np.zeros((size, DIM), np.float32)
-    seen = np.zeros(size)
-    for doc, h, shape in streams:
-        ids = lookup(known, h, shape)
-        seen += np.bincount(ids, minlength=size)
-        for step in range(1, REACH + 1):
-            if len(ids) <= step:
-                continue
-            ok = doc[step:] == doc[:-step]
-            a, b = ids[:-step][ok], ids[step:][ok]
-            for d in range(DIM):
-                vectors[:, d] += np.bincount(a, index[b, d], minlength=size) + np.bincount(b, index[a, d], minlength=size)
+    for at, data in zip(sums["at"].to_pylist(), sums["sums"].to_pylist(), strict=True):
+        vectors[at : at + CHUNK] = np.frombuffer(data, np.float32).reshape(-1, DIM)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
-    vectors += index / NONZERO**0.5  # a word counts as itself as well as by its company
-    x = pool(texts, known, vectors)
+    return vectors + index_of(known) / np.float32(NONZERO**0.5)  # a word counts as itself as well as by its company
+
+
+def index_of(known: np.ndarray) -> np.ndarray:
+    return index_vectors(np.concatenate([known, common.mix(np.arange(1, SHAPES + 1, dtype=np.uint64))]))
+
+
+def pooled_sample(sample: DataFrame, known: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pooled documents and their labels, in the order of the sample's hash."""
+    shared = sample.sparkSession.sparkContext.broadcast((known, vectors))
+    made = common.per_text(common.spread_out(sample), ["k", "y"], "x array<double>", lambda texts: {"x": list(pool(texts, *shared.value))}).select("k", "y", "x").toArrow()
+    shared.destroy()
+    order = np.argsort(made["k"].to_numpy(), kind="stable")
+    x = made["x"].combine_chunks().flatten().to_numpy().reshape(len(order), -1)
+    return x[order], made["y"].to_numpy()[order].astype(float)
+
+
+def train(x: np.ndarray, y: np.ndarray, known: np.ndarray, vectors: np.ndarray, hidden: int = 24, epochs: int = 120, seed: int = 11) -> Model:
+    """Adam on the two-layer network over the pooled documents."""
     model = Model(known, vectors, (np.zeros(0),) * 3 + (0.0,), x.mean(0), x.std(0) + 1e-6)
     x = (x - model.mean) / model.scale
     rng = np.random.default_rng(seed)
@@ -189,10 +234,19 @@ def train(sample: list[tuple[str, int]], hidden: int = 24, epochs: int = 120, se
     return model
 
 
-def fitted(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, per_class: int = 3000, max_chars: int = 20_000):
+def fit(docs: DataFrame, labels: DataFrame, allowed, per_class: int = 3000, max_chars: int = 20_000) -> Model | None:
+    """The model, or None where the labels of one class are missing."""
+    sample = common.labelled_sample(docs, labels, "quality", allowed, per_class, max_chars)
+    if sample.select("y").distinct().count() < 2:
+        return None
+    known = vocabulary(sample)
+    vectors = word_vectors(sample, known)
+    return train(*pooled_sample(sample, known, vectors), known, vectors)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, **bounds):
     """A function from texts to probabilities of good quality."""
-    model = train(common.labelled_sample(docs, labels, "quality", common.crc_mod(F.col("doc_id"), modulus) != held, per_class, max_chars))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY + SHAPES vectors
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, common.crc_mod(F.col("doc_id"), modulus) != held, **bounds))  # at most VOCABULARY + SHAPES vectors
     return lambda texts: shared.value.score(texts) if shared.value else np.ones(len(texts))
 
 
