@@ -28,6 +28,8 @@ from . import common
 
 BITS = 64
 BLOCK = 4096
+KEYS_PER_TASK = 1 << 19
+SAMPLED = 16  # one fingerprint of so many counts towards the size of a bucket
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -79,10 +81,14 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     most ``distance`` bits: not all of them, but a spanning forest of those that
     meet in each bucket, so reachability is that of all links.
 
-    A bucket over BLOCK rows is dealt to pairs of blocks, so that no task holds
-    a whole bucket."""
-    keys = fps.select("fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
-    large = keys.groupBy("key").count().where(F.col("count") > BLOCK)
+    A bucket of more than about BLOCK rows is dealt to pairs of blocks, so that
+    no task holds a whole bucket. How many rows it has is estimated from one
+    fingerprint in SAMPLED: that decides how it is dealt, not what is compared."""
+    number = BITS * fps.count()  # variants: one for each bit
+    dealt = fps.select("fp").repartition(max(8, -(-number // KEYS_PER_TASK)), "fp")
+    keys = dealt.select("fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
+    some = dealt.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(SAMPLED)) == 0).select(F.explode(variants(F.col("fp"), distance)).alias("key"))
+    large = some.groupBy("key").agg((F.count("*") * SAMPLED).alias("count")).where(F.col("count") > BLOCK)
     near = (
         keys.join(large, "key", "left")
         .withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK).cast("int"), F.lit(1)))
@@ -134,11 +140,15 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     return near.mapInArrow(run, "a long, b long")
 
 
-def roots(fps: DataFrame, distance: int) -> DataFrame:
-    """(fp, root) of the distinct fingerprints of ``fps``; root names the group."""
-    distinct = materialize(fps.select("fp").distinct(), "distinct")
-    comp = common.components(linked(distinct, distance))
-    return distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
+def roots(classes: DataFrame, first: str, distance: int) -> DataFrame:
+    """(fp, and in ``first`` the smallest ``first`` of its group) of the rows of
+    ``classes`` (fp, first), which has each fingerprint once."""
+    classes = materialize(classes, "classes")
+    comp = common.components(linked(classes, distance))
+    inner = classes.join(comp.withColumnRenamed("node", "fp"), "fp").select("fp", "component", first)
+    lowest = inner.groupBy("component").agg(F.min(first).alias("lowest"))
+    named = common.salted_join(inner.select("fp", "component"), lowest, "component").select("fp", "lowest")
+    return classes.join(named, "fp", "left").select("fp", F.coalesce("lowest", first).alias(first))
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -148,9 +158,8 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     keyed = rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     fps = materialize(common.per_text(keyed, ["rid", "doc_id"], "fp long", lambda texts: {"fp": np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)}), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
-    # one row of each fingerprint, then of each group: copies collapse before the join
-    lead = fps.groupBy("fp").agg(first)
-    kept = lead.join(roots(fps, distance), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
+    # copies collapse to one row of each fingerprint before anything is compared
+    kept = roots(fps.groupBy("fp").agg(first), "first", distance).select("first.rid").distinct()
     return common.unwrapped(rows.join(kept, "rid", "left_semi"), docs.columns)
 
 
@@ -160,9 +169,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     Equal fingerprints collapse before any comparison, so large groups of copies
     cost no more than one; components are over distinct fingerprints."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(roots(fps, distance), "fp")
-    lowest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = classes.join(lowest, "root").select("fp", "component_id")
+    classes = roots(fps.groupBy("fp").agg(F.min("doc_id").alias("component_id")), "component_id", distance)
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

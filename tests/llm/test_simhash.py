@@ -68,7 +68,7 @@ def test_components_against_all_pairs(spark):
             f ^= 1 << r.randrange(64)
             f ^= 1 << r.randrange(64)
     signed = [x - (1 << 64) if x >> 63 else x for x in set(fps)]
-    got = {r.fp: r.root for r in simhash.roots(spark.createDataFrame([(x,) for x in signed], "fp long"), 4).collect()}
+    got = {r.fp: r.root for r in simhash.roots(spark.createDataFrame([(x, x) for x in signed], "fp long, root long"), "root", 4).collect()}
     links = [(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
     want = groups(signed, links)
     by_got, by_want = defaultdict(set), defaultdict(set)
@@ -80,9 +80,10 @@ def test_components_against_all_pairs(spark):
 
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 3)
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
     base = 0x00FF00FF00FF00FF
     fps = [base ^ (1 << i) for i in range(40)]
-    out = simhash.roots(spark.createDataFrame([(x,) for x in fps], "fp long"), 4).collect()
+    out = simhash.roots(spark.createDataFrame([(x, x) for x in fps], "fp long, root long"), "root", 4).collect()
     assert len({r.root for r in out}) == 1
 
 
