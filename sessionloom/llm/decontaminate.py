@@ -5,18 +5,23 @@ row of a Parquet table in the shared folder) holds, for each term of the test
 vocabulary, the sorted list of (document, position). A phrase is answered in
 each segment by intersecting the lists of its terms, moved by their offsets,
 rarest term of the corpus first. Lists never leave their segment, so no term,
-however frequent, is gathered anywhere, and nothing is shuffled.
+however frequent, is gathered anywhere. The index is built once, for all terms of
+the test items (for all terms of the corpus where the items have more than
+VOCABULARY), and asked by blocks of items.
 
 Defined cases: null or word-less texts have no words and are never hit; an item
 without words has no window; a null item_id hits words but is not listed among
 items; repeated items and documents count as one item and as rows of their own.
-Only doc_id/text and item_id/text are read, further columns do not matter.
-Terms are compared by a 64-bit hash of their bytes.
+Only doc_id/text and item_id/text are read, further columns do not matter; ids
+are integers. Terms are compared by a 64-bit hash of their bytes: two different
+words of a corpus of n distinct ones share a hash with a chance of about n^2 / 2^65,
+and to matter they must also stand in the same place of a test window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +33,8 @@ from sessionloom.runtime import materialize
 from . import common
 
 WINDOW = 13
-#: words of test items that one pass over the index holds; more are taken in blocks
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18  # words of test items that one pass over the index asks for
+VOCABULARY = 1 << 22  # distinct terms of test items, 32 MB of hashes
 _WORD = np.ones(256, bool)
 _WORD[:0x80] = False
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
@@ -53,14 +58,53 @@ def text_terms(text: str | None) -> np.ndarray:
     return np.concatenate(got) if got else np.zeros(0, np.uint64)
 
 
-def item_windows(items: list[tuple[object, str | None]], size: int = WINDOW) -> dict[tuple[int, ...], set]:
-    """Distinct windows of term hashes, with the ids of the items they are in."""
-    found: dict[tuple[int, ...], set] = {}
+@dataclass
+class Windows:
+    """Distinct windows, one in a row of ``terms`` (short ones padded with 0),
+    with their lengths and, from first[k] to first[k + 1], the ids of the items
+    they are in; ordered by the term that is rarest in the corpus."""
+
+    terms: np.ndarray
+    length: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+    rarest: np.ndarray
+    rank: np.ndarray  # how often the corpus holds each term of a window
+
+
+def item_windows(items: list[tuple[int | None, str | None]], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """terms, length, first and items of Windows, in any order of windows."""
+    rows, length, owner, known = [np.zeros((0, size), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for item_id, text in items:
-        h = text_terms(text).tolist()
-        for i in range(max(1, len(h) - size + 1) if h else 0):
-            found.setdefault(tuple(h[i : i + size]), set()).add(item_id)
-    return found
+        h = text_terms(text)
+        if len(h):
+            n = max(1, len(h) - size + 1)
+            rows.append(np.lib.stride_tricks.sliding_window_view(h, size) if len(h) >= size else np.pad(h, (0, size - len(h)))[None])
+            length.append(np.full(n, min(size, len(h))))
+            owner.append(np.full(n, item_id or 0))
+            known.append(np.full(n, item_id is not None))
+    every = np.concatenate([np.concatenate(rows), np.concatenate(length)[:, None].astype(np.uint64)], 1)
+    distinct, which = np.unique(every, axis=0, return_inverse=True)
+    # an item once in each of its windows; items without an id in none
+    pair = np.unique(np.stack([which.reshape(-1), np.concatenate(owner)], 1)[np.concatenate(known)], axis=0)
+    first = np.searchsorted(pair[:, 0], np.arange(len(distinct) + 1))
+    return distinct[:, :size], distinct[:, size].astype(np.int64), first, pair[:, 1]
+
+
+def ranked(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], terms_: np.ndarray, counts: np.ndarray) -> Windows:
+    """The windows whose terms all occur; ``terms_`` is sorted."""
+    rows, length, first, items = found
+    at = np.minimum(np.searchsorted(terms_, rows), max(0, len(terms_) - 1))
+    rank = np.where(terms_[at] == rows, counts[at], 0) if len(terms_) else np.zeros(rows.shape, np.int64)
+    inside = np.arange(rows.shape[1]) < length[:, None]
+    rank = np.where(inside, rank, np.iinfo(np.int64).max)
+    keep = np.flatnonzero((rank > 0).all(1))
+    rarest = rows[keep, rank[keep].argmin(1)] if len(keep) else np.zeros(0, np.uint64)
+    keep, rarest = keep[np.argsort(rarest, kind="stable")], np.sort(rarest, kind="stable")
+    n = first[keep + 1] - first[keep]
+    start = np.concatenate(([0], np.cumsum(n)))
+    flat = np.repeat(first[keep] - start[:-1], n) + np.arange(n.sum())
+    return Windows(rows[keep], length[keep], start, items[flat], rarest, rank[keep])
 
 
 SEGMENT = "segment long, doc_ids array<long>, n_words array<long>, terms array<long>, ends array<long>, postings binary"
@@ -69,7 +113,6 @@ SEGMENT = "segment long, doc_ids array<long>, n_words array<long>, terms array<l
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
     """The index as a DataFrame, one row for each segment. ``vocabulary``:
     sorted term hashes to keep (None: all terms of the texts)."""
-    common.small_batches(docs.sparkSession)
     vocab = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def segment(ids: list, hashes: list[np.ndarray], first: int) -> list:
@@ -86,26 +129,27 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFr
         return [first, ids, n, h[ends - 1].view(np.int64), ends, at.tobytes()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.batches_of(batches):
             ids, texts = b.column(0).to_pylist(), [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            part: list[tuple[object, np.ndarray]] = []
+            part: list[tuple[int, list[np.ndarray]]] = []
             size, rows = 0, []
+            flush = lambda: segment([ids[k] for k, _ in part], [np.concatenate(x) for _, x in part], 0)
             for who, datas in common.slices(texts, _SEPARATORS):
                 buf, text_end = common.joined(datas)
                 h, start = terms(buf)
                 cut = np.searchsorted(start, text_end)[:-1]
                 for i, x in zip(who, np.split(h, cut), strict=True):
                     if part and part[-1][0] == i:
-                        part[-1] = (i, np.concatenate((part[-1][1], x)))  # a further piece of a long text
+                        part[-1][1].append(x)  # a further piece of a long text
                         size += len(x)
                         continue
                     if size > 1 << 18:
-                        rows.append(segment([ids[k] for k, _ in part], [x for _, x in part], 0))
+                        rows.append(flush())
                         part, size = [], 0
-                    part.append((i, x))
+                    part.append((i, [x]))
                     size += len(x)
             if part:
-                rows.append(segment([ids[k] for k, _ in part], [x for _, x in part], 0))
+                rows.append(flush())
             for r in rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0]], pa.int64()), pa.array([r[1]], pa.list_(pa.int64())), pa.array([r[2]], pa.list_(pa.int64())), pa.array([r[3]], pa.list_(pa.int64())), pa.array([r[4]], pa.list_(pa.int64())), pa.array([r[5]], pa.binary())],
@@ -138,11 +182,11 @@ class Lists:
             return self.at[:0]
         return self.at[(self.ends[k - 1] if k else 0) : self.ends[k]]
 
-    def phrase(self, window: tuple[int, ...], rank: dict[int, int]) -> np.ndarray:
+    def phrase(self, window: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Postings at which the window starts: rarest term first."""
         found = None
-        for o in sorted(range(len(window)), key=lambda i: rank.get(window[i], 0)):
-            at = self[window[o]] - o
+        for o in np.argsort(rank, kind="stable").tolist():
+            at = self[int(window[o])] - o
             if found is None:
                 found = at
             elif len(found):
@@ -182,29 +226,24 @@ def proximity(index: DataFrame, first: str, second: str, slop: int) -> DataFrame
     return index.select("doc_ids", "terms", "ends", "postings").mapInArrow(run, "doc_id long, position long")
 
 
-def spans(index: DataFrame, windows: dict[tuple[int, ...], set], counts: dict[int, int]) -> DataFrame:
+def spans(index: DataFrame, windows: Windows) -> DataFrame:
     """For every document (segment, ord, doc_id, n_words): the merged spans of
     its words that windows cover, and the items of those windows."""
-    order = sorted(windows)
-    by_rarest: dict[int, list[int]] = {}
-    for k, w in enumerate(order):
-        if all(counts.get(t, 0) for t in w):
-            by_rarest.setdefault(min(w, key=lambda t: counts[t]), []).append(k)
-    shared = index.sparkSession.sparkContext.broadcast((order, [sorted(i for i in windows[w] if i is not None) for w in order], by_rarest, counts))
+    shared = index.sparkSession.sparkContext.broadcast(windows)  # of BLOCK_WORDS words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, items, by_rarest, rank = shared.value
+        w = shared.value
         for b in batches:
             for seg, ids, n, t, e, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4), b.column(5).to_pylist(), strict=True):
                 lists = Lists(np.asarray(t.values, np.int64), np.asarray(e.values, np.int64), p)
                 hit: dict[int, list[tuple[int, int]]] = {}
                 which: dict[int, set] = {}
-                for term in lists.terms.tolist():
-                    for k in by_rarest.get(term, ()):
-                        for at in lists.phrase(order[k], rank).tolist():
-                            d, s = at >> SHIFT, at & ((1 << SHIFT) - 1)
-                            hit.setdefault(d, []).append((s, s + len(order[k])))
-                            which.setdefault(d, set()).update(items[k])
+                for k in np.flatnonzero(np.isin(w.rarest, lists.terms)).tolist():
+                    size = int(w.length[k])
+                    for at in lists.phrase(w.terms[k, :size], w.rank[k, :size]).tolist():
+                        d, s = at >> SHIFT, at & ((1 << SHIFT) - 1)
+                        hit.setdefault(d, []).append((s, s + size))
+                        which.setdefault(d, set()).update(w.items[w.first[k] : w.first[k + 1]].tolist())
                 merged = []
                 for d in range(len(ids)):
                     own: list[list[int]] = []
@@ -222,25 +261,39 @@ def spans(index: DataFrame, windows: dict[tuple[int, ...], set], counts: dict[in
     return index.select("segment", "doc_ids", "n_words", "terms", "ends", "postings").mapInArrow(run, "segment long, ord int, doc_id long, n_words long, spans array<struct<s:long,e:long>>, items array<long>")
 
 
+def distinct_terms(items: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.batches_of(batches):
+            found = np.unique(np.concatenate([text_terms(t) for t in b.column(0).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["term"])
+
+    return items.select("text").mapInArrow(run, "term long").distinct()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, spans (merged, end exclusive, in
     words), items (ids whose windows occur).
 
-    The test items are the stated query set: they are read in blocks of at most
-    about ``block_words`` words (a longer single item makes its own block), each
-    block against an index of all documents."""
+    The test items are the stated query set: they are read in blocks of about
+    ``block_words`` words (a longer single item makes its own block), and every
+    block is asked of the one index of all documents."""
+    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+    wanted = materialize(distinct_terms(items), "terms")
+    vocabulary = np.sort(wanted.toArrow()["term"].to_numpy().view(np.uint64)) if wanted.count() <= VOCABULARY else None
+    # segments and the order of documents in them are written down here
+    index = materialize(build_index(docs, vocabulary), "index")
+    counts = materialize(term_counts(index), "term-counts")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // (6 * block_words)))
     parts = []
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().to_pydict()
-        windows = item_windows(list(zip(block["item_id"], block["text"], strict=True)), size)
-        vocabulary = np.unique(np.array([t for w in windows for t in w], np.uint64))
-        # file order decides the segment ids, and the files of a table are fixed
-        index = materialize(build_index(docs, vocabulary), "index")
-        counts = {r["term"] % (1 << 64): r["n"] for r in term_counts(index).toLocalIterator()}  # at most the block's words
-        parts.append(spans(index, windows, counts))
+        found = item_windows(list(zip(block["item_id"], block["text"], strict=True)), size)
+        own = np.unique(found[0])  # at most the block's words
+        got = counts.join(F.broadcast(spark.createDataFrame(pa.table({"term": pa.array(own.view(np.int64))}))), "term").toArrow()
+        order = np.argsort(got["term"].to_numpy().view(np.uint64))
+        parts.append(spans(index, ranked(found, got["term"].to_numpy().view(np.uint64)[order], got["n"].to_numpy()[order])))
     if blocks == 1:
         return parts[0].drop("segment", "ord")
     every = parts[0]
