@@ -1,18 +1,21 @@
 """Embedding near-duplicates: exact cosine-threshold links by dual traversal of
 cover trees.
 
-Equal vectors collapse into weighted classes. Classes are dealt to cells around
-pivots, cells are cut into blocks of about BLOCK classes, and each block gets a
-cover tree: nested levels of centres whose radii halve, every node with its
-covering radius. Two blocks whose cells can hold a link meet in one task, which
-walks both trees at once: a node pair farther apart than threshold plus covering
-radii is dropped, one that lies wholly within the threshold is counted at once,
-others are opened. The result is exact; a task returns counts by class and a
-spanning forest of its links, never all pairs.
+Equal vectors (by a 128-bit hash) collapse into weighted classes. Classes are
+dealt to cells around pivots, cells that are too large to cells around pivots of
+their own, and each cell is a block of about BLOCK_BYTES (cut by a hash only
+where that does not help). Each block gets a cover tree: nested levels of centres
+whose radii halve, every node with its covering radius. Two blocks whose cells
+can hold a link meet in one task, which walks both trees at once: a node pair
+farther apart than threshold plus covering radii is dropped, one that lies wholly
+within the threshold is counted at once, others are opened. The result is exact;
+a task returns counts by class and a spanning forest of its links, never all
+pairs.
 
 Vectors without neighbours in a high dimension leave little to prune: then the
 walk ends as a blocked product of the two blocks. The number of block pairs is
-quadratic in that case, as for every exact method of this kind.
+quadratic in that case, as for every exact method of this kind; a block travels
+once for each block it meets, which is little beside the product of the two.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows without vec_id, link with nothing; such a row is its own
@@ -37,9 +40,12 @@ from sessionloom.runtime import materialize
 from . import common
 
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
-BLOCK = 4096
-CELLS = 1024
+BLOCK_BYTES = 8 << 20  # of unit vectors in a block
+LEAST_BLOCKS = 5  # so that some tasks share even small tables
+CELLS = 1024  # pivots of the first level
+SUBCELLS = 64  # of a cell that is too large
 SLACK = 1e-6
+MOST_TASKS = 4096
 COARSE = 1e-4
 
 
@@ -219,42 +225,64 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def class_links(classes: DataFrame, dim: int, cosine: float, cells: int, block: int) -> DataFrame:
+def placed_at(rows: DataFrame, pivots: np.ndarray, group: np.ndarray, dim: int) -> DataFrame:
+    """``rows`` (cid, weight, vec, cell, far) with the nearest of those pivots
+    whose group is the row's cell as new cell, and the distance to it."""
+    shared = rows.sparkSession.sparkContext.broadcast((pivots, group))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, group = shared.value
+        for b in common.batches_of(batches, 4096):
+            x, cell, far = unit(matrix(b.column(2), dim)), b.column(3).to_numpy().copy(), np.zeros(b.num_rows)
+            for c in np.unique(b.column(3).to_numpy()).tolist():
+                at, mine = np.flatnonzero(b.column(3).to_numpy() == c), np.flatnonzero(group == c)
+                dot = x[at] @ pivots[mine].T
+                best = dot.argmax(axis=1)
+                cell[at], far[at] = mine[best], chord(dot[np.arange(len(at)), best])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cell.astype(np.int32)), pa.array(far)], names=["cid", "weight", "vec", "cell", "far"])
+
+    return materialize(rows.select("cid", "weight", "vec", "cell", "far").mapInArrow(run, rows.select("cid", "weight", "vec", "cell", "far").schema), "cells")
+
+
+def class_links(classes: DataFrame, dim: int, cosine: float, cells: int, block: int | None) -> DataFrame:
     """(a, b, n) over classes (cid, weight, vec): n is the weight linked to
     class a across other classes where b is null, otherwise a and b are linked."""
     spark = classes.sparkSession
     total = classes.count()
+    block = block or max(256, min(BLOCK_BYTES // (8 * dim), -(-total // LEAST_BLOCKS)))
     wanted = max(1, min(cells, -(-total // block)))
-    # at most CELLS pivots: a stated bound for the driver and the broadcast
-    pivots = unit(np.array([r[0] for r in classes.orderBy(F.xxhash64("cid"), "cid").limit(wanted).select("vec").collect()], np.float64))
-    shared = spark.sparkContext.broadcast(pivots)
-    kind = classes.schema["vec"].dataType.simpleString()
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                dot = unit(matrix(b.column(2), dim)) @ shared.value.T
-                cell = dot.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(chord(dot[np.arange(len(cell)), cell]))], names=["cid", "weight", "vec", "cell", "far"])
-
-    placed = materialize(classes.select("cid", "weight", "vec").mapInArrow(place, f"cid long, weight long, vec {kind}, cell int, far double"), "cells")
-    stat = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
+    # at most CELLS pivots here and SUBCELLS for each cell below: stated bounds for the driver and the broadcast
+    as_rows = lambda found: unit(np.array([r["vec"] for r in found], np.float64).reshape(-1, dim))
+    pivots, group = as_rows(classes.orderBy(F.xxhash64("cid"), "cid").limit(wanted).select("vec").collect()), np.zeros(wanted, np.int64)
+    placed = placed_at(classes.withColumns({"cell": F.lit(0), "far": F.lit(0.0)}), pivots, group, dim)
+    sizes = lambda: {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
+    stat = sizes()
+    large = {c: r["n"] for c, r in stat.items() if 2 * r["n"] > 3 * block}
+    if large:
+        share = F.lit([min(SUBCELLS, -(-large[c] // block)) / large[c] if c in large else 0.0 for c in range(len(pivots))])
+        drawn = placed.where(F.pmod(F.xxhash64("cid", F.lit(5)), F.lit(1 << 30)) < share[F.col("cell")] * float(1 << 30)).select("cell", "vec").collect()
+        split = {r["cell"] for r in drawn}
+        kept = [c for c in range(len(pivots)) if c not in split]
+        pivots, group = np.concatenate([pivots[kept], as_rows(drawn)]), np.array([*kept, *(r["cell"] for r in drawn)])
+        placed = placed_at(placed, pivots, group, dim)
+        stat = sizes()
     radius = np.array([stat[c]["far"] if c in stat else 0.0 for c in range(len(pivots))])
-    parts = np.array([-(-stat[c]["n"] // block) if c in stat else 0 for c in range(len(pivots))])
-    gap = chord(np.clip(pivots @ pivots.T, -1, 1))
-    meet = gap <= radius[:, None] + radius[None, :] + np.sqrt(2 - 2 * cosine) + SLACK
+    parts = np.array([-(-2 * stat[c]["n"] // (3 * block)) if c in stat else 0 for c in range(len(pivots))])
     first = np.concatenate(([0], np.cumsum(parts)))  # number of a cell's first block
-    layout = spark.sparkContext.broadcast((meet, parts, first))
+    pairs = int(first[-1]) * (int(first[-1]) + 1) // 2
+    layout = spark.sparkContext.broadcast((pivots, radius, parts, first))
     dealt = placed.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(parts.tolist())[F.col("cell")]).cast("int"))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meet, parts, first = layout.value
+        pivots, radius, parts, first = layout.value
+        reach = np.sqrt(2 - 2 * cosine) + SLACK
 
         def emit(cell: int, part: int, rows: list) -> Iterator[pa.RecordBatch]:
             ids, weight, x = (np.concatenate(v) for v in zip(*rows, strict=True))
             tree = pickle.dumps(Tree(x, ids, weight), protocol=5)
             me = int(first[cell]) + part
-            for c in np.flatnonzero(meet[cell] & (parts > 0)):
+            gap = chord(np.clip(pivots @ pivots[cell], -1, 1))
+            for c in np.flatnonzero((gap <= radius + radius[cell] + reach) & (parts > 0)):
                 for other in range(int(first[c]), int(first[c] + parts[c])):
                     i, j = min(me, other), max(me, other)
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([j], pa.int64()), pa.array([int(me != i)], pa.int32()), pa.array([tree], pa.binary())], names=["i", "j", "side", "tree"])
@@ -302,17 +330,16 @@ def class_links(classes: DataFrame, dim: int, cosine: float, cells: int, block:
                     names=["a", "b", "n"],
                 )
 
-    return trees.repartition("i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(walk, "a long, b long, n long")
+    return trees.repartition(max(1, min(pairs, MOST_TASKS)), "i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(walk, "a long, b long, n long")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = CELLS, block: int = BLOCK) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    common.small_batches(spark)
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = CELLS, block: int | None = None) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept. ``block`` is the
+    number of classes in a block (None: by BLOCK_BYTES)."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
     ok = usable(F.col("vec")) & F.col("vec_id").isNotNull()
-    good = rows.where(ok)
-    classes = materialize(good.groupBy("vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    good = rows.where(ok).select("vec_id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec", F.size("vec")).alias("h2"))
+    classes = materialize(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.any_value("vec").alias("vec")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     found = None
     for (dim,) in classes.select(F.size("vec")).distinct().collect():
         links = class_links(classes.where(F.size("vec") == dim), dim, cosine, cells, block)
@@ -324,11 +351,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     found = materialize(found, "links")
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "cid")
     comp = common.components(found.where("b IS NOT NULL")).withColumnRenamed("node", "cid")
-    joined = classes.join(counts, "cid", "left").join(comp, "cid", "left").withColumn("root", F.coalesce("component", "cid"))
+    slim = classes.select("cid", "h1", "h2", "first", "weight")
     # rows that repeat a vec_id with other vectors: its component is the smallest
-    lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(lowest, "root").select("vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    linked = good.join(named, "vec").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    inner = slim.join(comp, "cid").select("cid", "component", "first")
+    lowest = inner.groupBy("component").agg(F.min("first").alias("lowest"))
+    named = common.salted_join(inner.select("cid", "component"), lowest, "component").select("cid", "lowest")
+    by_class = slim.join(counts, "cid", "left").join(named, "cid", "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("lowest", "first").alias("component_id"))
+    linked = good.select("vec_id", "h1", "h2").join(by_class, ["h1", "h2"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return linked.unionByName(rest)
 
 
