@@ -2,8 +2,10 @@
 
 Documents are summed to cells (source, language, topic) of tokens. The cells'
 weights are raked to target shares of each source, language and topic in turn
-until all three marginals hold; a cell's ratio of raked to natural share is its
-weight. Raking then goes on with the cells' expected tokens, none over the
+until all three marginals hold within TOLERANCE; a cell's ratio of raked to natural
+share is its weight. Targets that no weights of the present cells can meet together
+stop getting closer: raking then ends with a warning that names the largest gap
+left, and the last dimension (topic) holds exactly. Raking then goes on with the cells' expected tokens, none over the
 tokens it has, until the expected sample has ``budget`` of all tokens and meets
 the targets (``bound``). Expected tokens over tokens are the probability of a
 cell's documents, which are drawn by a hash of their id. DataFrame functions only.
@@ -26,12 +28,14 @@ probability 0 and are never drawn. Null sources, languages and topics are a
 value of their own (``''``). Values that the given targets do not name keep
 their natural share of what the named ones leave. Repeated rows and ids count
 with all their tokens and are drawn together. Only doc_id, text, source, lang
-are read; further columns are kept by ``sample`` and do not clash. No rows give
-no rows.
+are read; further columns are kept by ``sample`` and do not clash, but for a
+column ``p_selected``, which the sample's own replaces. No rows give no rows.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,7 +43,9 @@ from pyspark.sql import functions as F
 from sessionloom.runtime import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
-SWEEPS = 8
+SWEEPS = 12  # of the unrolled SQL, beyond what TOLERANCE needs there
+MOST_SWEEPS = 400
+TOLERANCE = 1e-9  # of a target share
 ROUNDS = 12
 STRETCH = 4  # sweeps in one plan
 CLOSE = 1e-5
@@ -64,8 +70,8 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: float, sweeps: int) -> DataFrame:
-    """Adds ``w``, the raked share of each cell, and ``g_d``, the target share of
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: float, sweeps: int = MOST_SWEEPS) -> DataFrame:
+    """Rakes to TOLERANCE, ``sweeps`` times at most. Adds ``w``, the raked share of each cell, and ``g_d``, the target share of
     its value of d; cells are (source, lang, topic, tokens) with tokens over 0."""
     over = {d: W.partitionBy(d) for d in DIMENSIONS}
     with_sums = cells
@@ -92,12 +98,27 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: f
         else:
             goals[d] = F.pow(F.col(f"m_{d}"), F.lit(alpha)) / F.lit(s[f"norm_{d}"])
     fitted = with_sums.withColumn("w", F.col("tokens") / F.lit(s["total"]))
-    for _ in range(sweeps):
-        for d in DIMENSIONS:
-            fitted = fitted.withColumn("w", F.coalesce(F.try_divide(F.col("w") * goals[d], F.sum("w").over(over[d])), F.lit(0.0)))
+    done, gap = 0, float("inf")
+    while done < sweeps:
+        for _ in range(min(STRETCH, sweeps - done)):
+            for d in DIMENSIONS:
+                fitted = fitted.withColumn("w", F.coalesce(F.try_divide(F.col("w") * goals[d], F.sum("w").over(over[d])), F.lit(0.0)))
+            done += 1
+        fitted = materialize(fitted, "raked")
+        before, gap = gap, residual(fitted, goals)
+        if gap <= TOLERANCE or gap > 0.999 * before:
+            break
+    if gap > CLOSE:
+        warnings.warn(f"the target shares cannot all be met: after {done} sweeps one is missed by {gap:.4f}", stacklevel=2)
     return fitted.withColumns({f"g_{d}": goals[d] for d in DIMENSIONS})
 
 
+def residual(fitted: DataFrame, goals: dict[str, Column]) -> float:
+    """The largest distance of a raked share of a value from its target."""
+    gaps = [fitted.groupBy(d).agg(F.abs(F.sum("w") - F.max(goals[d])).alias("gap")).select("gap") for d in DIMENSIONS]
+    return gaps[0].unionByName(gaps[1]).unionByName(gaps[2]).agg(F.max("gap")).first()[0] or 0.0
+
+
 def bound(fitted: DataFrame, total: float, budget: float) -> DataFrame:
     """Adds ``u``, raked so that the expected tokens least(tokens, u) of each
     value are its target, or all it has. Raised values take a Newton step: what
@@ -136,7 +157,7 @@ def _of(given: dict[str, float], d: str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[x for k, v in given.items() for x in (F.lit(k), F.lit(float(v)))]), F.col(d)), F.lit(0.0))
 
 
-def plan(docs: DataFrame, keep: list[str], targets=None, budget: float = 0.5, alpha: float = 0.7, sweeps: int = SWEEPS, topic=layout, bounded: bool = True) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, keep: list[str], targets=None, budget: float = 0.5, alpha: float = 0.7, sweeps: int = MOST_SWEEPS, topic=layout, bounded: bool = True) -> tuple[DataFrame, DataFrame]:
     """The documents with their cell (columns row, source, lang, topic,
     n_tokens; row has the columns ``keep``) and the cells with weight and
     probability. Texts are looked at once: the first result is written."""
@@ -144,7 +165,7 @@ def plan(docs: DataFrame, keep: list[str], targets=None, budget: float = 0.5, al
     keyed = docs.select(named, F.col("text").alias("_text"), n_tokens(F.col("text")).alias("n_tokens"), *[F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in ("source", "lang")])
     keyed = materialize(keyed.withColumn("topic", F.coalesce(topic(F.col("_text"), F.col("n_tokens")), F.lit(""))).drop("_text"), "cells-of-rows")
     cells = keyed.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    fitted = materialize(rake(cells, targets, alpha, sweeps), "raked")
+    fitted = rake(materialize(cells, "cells"), targets, alpha, sweeps)
     total = fitted.agg(F.sum("tokens")).first()[0]
     if not total:
         return keyed, fitted.withColumn("weight", F.lit(0.0)).withColumn("probability", F.lit(0.0))

@@ -13,7 +13,7 @@ ROWS = [(i, prose(5 + i % 37, i), ["en", "de", None][i % 3 if i % 5 else 0], f"s
 
 def test_marginals_hold(spark):
     d = docs(spark, ROWS)
-    _, cells = M.plan(d, ["doc_id"], sweeps=30)
+    _, cells = M.plan(d, ["doc_id"])
     cells = cells.collect()
     total = sum(c.tokens for c in cells)
     for dim in M.DIMENSIONS:
@@ -28,7 +28,7 @@ def test_marginals_hold(spark):
 
 
 def test_given_targets(spark):
-    _, cells = M.plan(docs(spark, ROWS), ["doc_id"], targets={"lang": {"en": 0.2, "de": 0.6}}, sweeps=40)
+    _, cells = M.plan(docs(spark, ROWS), ["doc_id"], targets={"lang": {"en": 0.2, "de": 0.6}})
     by = defaultdict(float)
     for c in cells.collect():
         by[c.lang] += c.w
@@ -93,3 +93,12 @@ def test_a_value_beyond_its_target_is_taken_whole(spark):
     _, cells = M.plan(docs(spark, rows), ["doc_id"], targets={"source": {"small": 0.5}})
     for c in cells.collect():
         assert c.source == "big" or math.isclose(c.probability, 1)
+
+
+def test_targets_that_cannot_be_met_together(spark):
+    rows = [(i, prose(20, i), "en" if i % 2 else "de", "a" if i % 2 else "b") for i in range(100)]  # all of a is en
+    cells = spark.createDataFrame([("a", "en", "prose", 10), ("b", "de", "prose", 30)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="cannot all be met"):
+        M.rake(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.2, "de": 0.8}}, 0.7).collect()
+    with pytest.warns(UserWarning, match="cannot all be met"):
+        assert M.calibrated(docs(spark, rows), targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.2, "de": 0.8}}).count() == 100
