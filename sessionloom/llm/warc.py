@@ -51,7 +51,10 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    """Of a path with its scheme, as ``scratch_dir`` gives it."""
+    if "://" not in uri:
+        raise ValueError(f"{uri} has no scheme: which machine's folder it is would be open")
+    return pafs.FileSystem.from_uri(uri)
 
 
 # writing
@@ -152,7 +155,6 @@ class Package:
 def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Writes all rows (page_id, url, html); returns the manifest (path, records)
     of complete packages."""
-    common.small_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
@@ -166,7 +168,7 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0, package_
         where, root = file_system(folder)
         done: list[tuple[str, int]] = []
         package = None
-        for b in batches:
+        for b in common.batches_of(batches):
             for page_id, url, data, digest, size, best_id, best_url in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if package is None:
                     where.create_dir(root, recursive=True)
