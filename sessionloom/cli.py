@@ -37,7 +37,6 @@ def questions(store: Store, now: str) -> dict:
         "trends": lambda a: C.trends(t("sessions"), a.args[0], now, a.days),
         "slow": lambda a: C.slow(t("tool_calls"), a.threshold, *a.args[:1]),
         "tokens": lambda a: C.tokens(t("sessions"), *a.args[:1]),
-        "export": lambda a: C.export(t("sessions"), *a.args[:2]),
         "append-daily": lambda a: C.daily_totals(t("sessions"), now),
         "search": lambda a: found(t("events"), a.args),
         "sql": lambda a: store.sql(a.args[0], a.write),
@@ -78,7 +77,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--format", choices=["table", "json", "csv", "markdown"], default="table")
     p.add_argument("--days", type=int, default=7)
     p.add_argument("--threshold", type=int, default=5000)
-    for flag in ("--cwd", "--branch", "--label"):
+    for flag in ("--cwd", "--branch", "--label", "--since", "--out"):
         p.add_argument(flag)
     for flag in ("--all-time", "--include-today", "--write"):
         p.add_argument(flag, action="store_true")
@@ -95,9 +94,19 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "tail":
         tail(jobs.tail(spark, a.args[0]), *a.args[1:2])
     elif a.command == "health":
-        print(f"store: {store.check()}", render(C.table_counts({n: store.table(n) for n in TABLES}), a.format), render(C.chain_stats(store.table("sessions")), a.format), sep="\n")
+        print(f"store: {store.check()}", render(C.table_counts({n: store.table(n) for n in TABLES}), a.format), render(C.chain_stats(store.table("sessions")), a.format), *([render(jsonl.inventory(spark, a.logs, a.now), a.format)] if a.logs else []), sep="\n")
     elif a.command == "rebuild":
-        print(store.rebuild())
+        print(store.rebuild(since=a.since))
+    elif a.command == "init":
+        store.init()
+        print(f"store: {store.check()}")
+    elif a.command == "export":
+        made = C.export(store.table("sessions"), *a.args[:2])
+        if a.out:
+            made.write.text(a.out)  # the part files' order is that of the sessions
+        else:
+            for r in made.toLocalIterator():
+                print(r.value)
     elif a.command == "backup":
         store.backup(a.args[0])
     elif a.command == "label":

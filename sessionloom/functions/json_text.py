@@ -57,20 +57,19 @@ def canonical(raw: pd.Series) -> pd.Series:
     return raw.map(lambda r: next((dump(v, True) for v in _load(r)), None))
 
 
-@F.pandas_udf(T.StructType([T.StructField("present", T.BooleanType()), T.StructField("is_text", T.BooleanType()), T.StructField("stored", T.StringType()), T.StructField("bytes", T.LongType())]))
-def field(raw: pd.Series, names: pd.Series) -> pd.DataFrame:
-    """Of the payload of a log line: the first of the comma-separated fields that
-    is present (be it null): its stored form, a string as it is and else compact
-    JSON, and the size of that in bytes."""
-    rows = []
-    for r, ns in zip(raw, names, strict=True):
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stored_fields(raw: pd.Series, names: pd.Series) -> pd.Series:
+    """Of the payload of a log line, for each of the comma-separated fields: its
+    value, a string as it is and else compact JSON; null where it is absent or
+    null. A null line gives null."""
+
+    def of(r, ns):
         payload = next((v.get("p") for v in _load(r) if isinstance(v, dict)), None)
         payload = payload if isinstance(payload, dict) else {}
-        name = next((n for n in ns.split(",") if n in payload), None)
-        value = payload.get(name)
-        stored = value if isinstance(value, str) else dump(value)
-        rows.append((name is not None, isinstance(value, str), None if value is None else stored, 0 if name is None else len(stored.encode("utf-8", "surrogatepass"))))
-    return pd.DataFrame(rows, columns=["present", "is_text", "stored", "bytes"])
+        values = [payload.get(n) for n in ns.split(",")]
+        return [v if v is None or isinstance(v, str) else dump(v) for v in values]
+
+    return pd.Series([None if r is None else of(r, ns) for r, ns in zip(raw, names, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())

@@ -235,7 +235,8 @@ def tokens(sessions: DataFrame, prefix: str | None = None, limit: int = 20) -> D
     return made.where("context_total_bytes > 0").orderBy(F.desc("context_total_bytes"), "session_id").limit(limit)
 
 
-EXPORTED = ("session_id", "started_at", "ended_at", "total_tool_calls", "total_failures", "total_prompts", "total_subagents", "cwd", "git_branch", "chain_id", "config_version", "source", "model", "context_total_bytes")
+# The fields of an exported session, in order.
+EXPORTED = ("session_id", "started_at", "ended_at", "total_tool_calls", "total_failures", "total_prompts", "total_subagents", "cwd", "git_branch", "git_commit", "chain_id", "config_version", "source", "model", "context_total_bytes")
 
 
 def export(sessions: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ and over the hours' totals, so that one very long session spreads over tasks.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,8 +64,8 @@ def first_of_hash(events: DataFrame, stored: DataFrame | None = None) -> DataFra
 def session_rows(events: DataFrame) -> DataFrame:
     """One row per file and session: from its first SessionStart (else its first
     event), its last SessionEnd, and its bytes at the last automatic compaction."""
-    at = F.struct(*ORDER)
-    start = F.min(F.struct((F.col("event_type") != "SessionStart").alias("other"), *ORDER, "source", *IDENTITY)).alias("s")
+    at, identity = F.struct(*ORDER), [*IDENTITY, *(c for c in ("git_commit",) if c in events.columns)]
+    start = F.min(F.struct((F.col("event_type") != "SessionStart").alias("other"), *ORDER, "source", *identity)).alias("s")
     end = F.max(F.when(F.col("event_type") == "SessionEnd", F.struct(*ORDER, "reason"))).alias("e")
     auto = F.max_by("context_cumulative_bytes", F.when((F.col("event_type") == "PreCompact") & (F.col("compact_trigger") == "auto"), at)).alias("context_at_compact")
     rows = events.groupBy(*GROUP).agg(start, end, auto)
@@ -73,7 +75,7 @@ def session_rows(events: DataFrame) -> DataFrame:
         F.col("e.timestamp").alias("ended_at"),
         F.col("s.source").alias("source"),
         F.col("e.reason").alias("end_reason"),
-        *[F.col(f"s.{c}").alias(c) for c in IDENTITY],
+        *[F.col(f"s.{c}").alias(c) for c in identity],
         "context_at_compact",
     )
 
@@ -125,11 +127,11 @@ def fold_tool_calls(rows: DataFrame) -> DataFrame:
     return folded.withColumn("succeeded", F.when(F.col("_e") > F.col("_f"), 0).otherwise(F.col("_s")).cast("long")).drop("_s", "_e", "_f")
 
 
-def counters(events: DataFrame) -> DataFrame:
-    """All counters of a session in one aggregation."""
+def counters(events: DataFrame, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """All counters of a session (or of each of ``by``) in one aggregation."""
     n = lambda cond: F.count_if(cond)
     et = F.col("event_type")
-    return events.groupBy("session_id").agg(
+    return events.groupBy(*by).agg(
         F.count("*").alias("total_events"),
         n(et == "PreToolUse").alias("total_tool_calls"),
         n(et == "PostToolUseFailure").alias("total_failures"),
@@ -149,17 +151,22 @@ def sessions(events: DataFrame) -> DataFrame:
 
 # lineage
 
+# Look-back, least score, and the points of gaps and of equal fields below.
 LOOK_BACK_S = 1800
 LEAST_SCORE = 6
+GAP_POINTS = ((30, 5), (120, 4), (300, 3), (900, 2), (LOOK_BACK_S, 1))
+FIELD_POINTS = {"cwd": 3, "git_branch": 2, "model": 1}
+STAYS_POINTS = 2
 
 
 def lineage_score(prev: str, cur: str) -> Column:
     """How well session ``prev`` (struct column) explains the start of ``cur``."""
-    gap = gap_seconds(prev, cur)
-    near = F.when(gap < 30, 5).when(gap < 120, 4).when(gap < 300, 3).when(gap < 900, 2).when(gap < LOOK_BACK_S, 1).otherwise(0)
+    gap, near = gap_seconds(prev, cur), F.lit(0)
+    for most, points in reversed(GAP_POINTS):
+        near = F.when(gap < most, points).otherwise(near)
     same = lambda c, points: F.when((F.col(f"{prev}.{c}") == F.col(f"{cur}.{c}")) & (F.col(f"{prev}.{c}") != ""), points).otherwise(0)
-    stays = F.when(F.col(f"{prev}.end_reason").eqNullSafe("logout"), 0).otherwise(2)
-    return near + same("cwd", 3) + same("git_branch", 2) + same("model", 1) + stays
+    stays = F.when(F.col(f"{prev}.end_reason").eqNullSafe("logout"), 0).otherwise(STAYS_POINTS)
+    return near + sum((same(c, points) for c, points in FIELD_POINTS.items()), F.lit(0)) + stays
 
 
 def gap_seconds(prev: str, cur: str) -> Column:
@@ -173,34 +180,63 @@ def parents(sessions: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     at least LEAST_SCORE; of equal scores the newest. ``within`` names columns
     that both must share (an owner, a host).
 
-    A range join on half-hour slots. What ended within the look-back lies in
-    three slots; the first session beyond it does too, or else is the newest of
-    the nearest slot before them. Slots are bounded by time, not by rows."""
+    No pairs are made. A newer session that shares the same fields and ended in
+    the same way scores at least as high, so the best one is the newest of those
+    that share some set of fields and way of ending: an as-of lookup for each such
+    set, in windows of half-hour slots that a session's end and the three slots
+    from there on share. The newest one beyond the look-back is an as-of lookup
+    of its own, in its slot or the nearest used slot before. Work is linear in
+    the sessions."""
     slot = lambda ts: F.floor(F.unix_seconds(ts) / LOOK_BACK_S)
     fields = ("session_id", "started_at", "ended_at", "cwd", "git_branch", "model", "end_reason")
-    # written, as both sides of several joins come from it
+    # written, as several lookups come from it
     eligible = materialize(sessions.where(F.col("source").isin("startup", "resume")).select(*within, *[f for f in fields if f not in within]), "eligible")
-    side = lambda name, text: eligible.withColumn("_at", E.parse_ts(F.col(text))).where("_at IS NOT NULL").select(*within, F.struct("_at", *fields).alias(name), slot(F.col("_at")).alias("slot"))
-    ended, started = side("prev", "ended_at"), side("cur", "started_at").withColumnRenamed("slot", "here")
-    near = started.withColumn("slot", F.explode(F.array("here", F.col("here") - 1, F.col("here") - 2))).join(ended, [*within, "slot"]).select(*within, "cur", "prev")
-    # the two newest of each slot and the two nearest used slots: one of them may be the session itself
-    newest_two = ended.withColumn("_r", F.row_number().over(W.partitionBy(*within, "slot").orderBy(F.col("prev._at").desc(), F.col("prev.session_id").desc()))).where("_r <= 2").drop("_r")
+    side = lambda name, text: eligible.withColumn("_at", E.parse_ts(F.col(text))).where("_at IS NOT NULL").select(*within, F.struct("_at", *fields).alias(name))
+    ended, started = side("prev", "ended_at"), side("cur", "started_at")
+    sets = [[c for c in FIELD_POINTS if c in chosen] for n in range(len(FIELD_POINTS) + 1) for chosen in combinations(FIELD_POINTS, n)]
+    filled = lambda name, own: F.forall(F.array(F.lit("x"), *[F.col(f"{name}.{c}") for c in own]), lambda v: F.coalesce(v != "", F.lit(False)))
+    keys = lambda name: F.array(*[F.when(filled(name, own), F.concat_ws("\u0001", F.lit(str(k)), *[F.col(f"{name}.{c}") for c in own])) for k, own in enumerate(sets)])
+    looked = lambda df, name, slots, left: df.select(*within, name, F.explode(F.filter(keys(name), lambda k: k.isNotNull())).alias("key"), slots.alias("slots"), left.alias("ways")).withColumn("slot", F.explode("slots")).withColumn("way", F.explode("ways")).drop("slots", "ways")
+    here = slot(F.col("prev._at"))
+    lefts = looked(ended, "prev", F.array(here, here + 1, here + 2), F.array(F.col("prev.end_reason").eqNullSafe("logout")))
+    rights = looked(started, "cur", F.array(slot(F.col("cur._at"))), F.array(F.lit(True), F.lit(False)))
+    near = as_of(lefts, rights, (*within, "key", "slot", "way")).select(*within, "cur", "prev").where(gap_seconds("prev", "cur") <= LOOK_BACK_S)
+    # beyond: at the last moment from which the gap counts as longer
+    asked = started.withColumn("_before", F.timestamp_micros(F.unix_micros("cur._at") - (LOOK_BACK_S + 1) * 1_000_000))
+    asked = asked.withColumn("cur", F.struct(F.col("_before").alias("_at"), F.col("cur").alias("_cur"), F.col("cur.session_id").alias("session_id"))).withColumn("slot", slot(F.col("_before"))).drop("_before")
+    placed = ended.withColumn("slot", slot(F.col("prev._at")))
+    inside = as_of(placed, asked, (*within, "slot")).select(*within, F.col("cur._cur").alias("cur"), "prev")
+    # in no own slot: the newest two of the nearest slot before that has any, one of which may be the session itself
     by_slot = W.partitionBy(*within).orderBy("slot")
-    used = ended.select(*within, "slot").distinct().withColumn("used", F.array("slot", F.lag("slot").over(by_slot)))
-    asked = started.select(*within, (F.col("here") - 2).alias("slot")).distinct().withColumn("used", F.lit(None).cast("array<long>"))
-    before = by_slot.rangeBetween(W.unboundedPreceding, -1)
-    nearest = used.unionByName(asked).withColumn("used", F.last("used", ignorenulls=True).over(before)).distinct().select(*within, F.col("slot").alias("to"), F.explode("used").alias("slot")).where("slot IS NOT NULL")
-    far = started.withColumn("to", F.col("here") - 2).join(nearest, [*within, "to"]).join(newest_two, [*within, "slot"]).select(*within, "cur", "prev")
-    pairs = near.unionByName(far).where((F.col("prev._at") <= F.col("cur._at")) & (F.col("prev.session_id") != F.col("cur.session_id")))
+    newest_two = placed.withColumn("_r", F.row_number().over(W.partitionBy(*within, "slot").orderBy(F.col("prev._at").desc(), F.col("prev.session_id").desc()))).where("_r <= 2").drop("_r")
+    used = placed.select(*within, "slot").distinct().withColumn("used", F.array("slot", F.lag("slot").over(by_slot)))
+    wanted = asked.select(*within, "slot").distinct().withColumn("used", F.lit(None).cast("array<long>"))
+    nearest = used.unionByName(wanted).withColumn("used", F.last("used", ignorenulls=True).over(by_slot.rangeBetween(W.unboundedPreceding, -1))).distinct().select(*within, F.col("slot").alias("to"), F.explode("used").alias("slot")).where("slot IS NOT NULL")
+    outside = asked.withColumnRenamed("slot", "to").join(nearest, [*within, "to"]).join(newest_two, [*within, "slot"]).select(*within, F.col("cur._cur").alias("cur"), "prev").where("prev.session_id <> cur.session_id")
     newest = [F.col("prev._at").desc(), F.col("prev.session_id").desc()]
     key = F.col("cur.session_id")
-    beyond = gap_seconds("prev", "cur") > LOOK_BACK_S
-    scored = pairs.withColumns({"score": lineage_score("prev", "cur"), "beyond": beyond})
+    # at most one near row for each set of fields and way of ending, and three beyond, for each session
+    scored = near.unionByName(inside).unionByName(outside).withColumns({"score": lineage_score("prev", "cur"), "beyond": gap_seconds("prev", "cur") > LOOK_BACK_S})
     scored = scored.withColumn("_r", F.row_number().over(W.partitionBy(key, "beyond").orderBy(*newest))).where("NOT beyond OR _r = 1")
     best = scored.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), *newest))).where("_r = 1")
     return best.where(F.col("score") >= LEAST_SCORE).select(key.alias("session_id"), F.col("prev.session_id").alias("parent_session_id"), F.col("score").cast("long").alias("score"))
 
 
+def as_of(lefts: DataFrame, rights: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, cur, prev): for each row of ``rights`` (by, cur) the newest of
+    ``lefts`` (by, prev) with the same ``by`` whose prev._at is not after cur._at,
+    and whose session is another. Every left row carries the one before it, for
+    rights whose newest is themselves."""
+    order = [F.col("prev._at"), F.col("prev.session_id")]
+    two = lefts.withColumn("two", F.struct(F.col("prev").alias("one"), F.lag("prev").over(W.partitionBy(*by).orderBy(*order)).alias("other")))
+    rows = two.select(*by, F.col("prev._at").alias("_at"), F.lit(0).alias("_kind"), F.col("prev.session_id").alias("_id"), "two", F.lit(None).cast(rights.schema["cur"].dataType).alias("cur"))
+    rows = rows.unionByName(rights.select(*by, F.col("cur._at").alias("_at"), F.lit(1).alias("_kind"), F.col("cur.session_id").alias("_id"), F.lit(None).cast(two.schema["two"].dataType).alias("two"), "cur"))
+    seen = F.last("two", ignorenulls=True).over(W.partitionBy(*by).orderBy("_at", "_kind", "_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = rows.withColumn("two", seen).where("_kind = 1")
+    prev = F.when(F.col("two.one.session_id") == F.col("cur.session_id"), F.col("two.other")).otherwise(F.col("two.one"))
+    return found.select(*by, "cur", prev.alias("prev")).where("prev IS NOT NULL")
+
+
 def chains(edges: DataFrame) -> DataFrame:
     """(session_id, chain_id): the root that the parent edges lead to, by pointer
     doubling, so the rounds grow with the logarithm of the longest chain. Roots

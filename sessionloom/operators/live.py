@@ -3,12 +3,13 @@ provenance of edits, and the coverage gate."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionloom.functions import events as E
 
+# Names of agents and tools in the logs.
 EXPLORERS = ("search", "ast-search", "lsp-search")
 WORKER = "worker"
 READS = ("Read", "NotebookRead")
@@ -27,9 +28,18 @@ def coverage(events: DataFrame, agent_id: str) -> DataFrame:
     return out.unionByName(numbered.select("kind", F.format_string("<redacted:%d>", "i").alias("item")))
 
 
+def truncated(tool_input: Column) -> Column:
+    """Whether an input is a marker for one that was cut (an object with a field
+    _t or _b)."""
+    v = F.try_parse_json(tool_input)
+    return F.coalesce(tool_input.contains('"_') & (F.try_variant_get(v, "$._t", "variant").isNotNull() | F.try_variant_get(v, "$._b", "variant").isNotNull()), F.lit(False))
+
+
 def touched(events: DataFrame) -> DataFrame:
     """Distinct (session_id, file_path) with flags for who touched it how."""
     kept = events.where((F.col("event_type") == "PreToolUse") & (F.col("file_path") != "") & (F.col("session_id") != ""))
+    if "tool_input" in events.columns:
+        kept = kept.where(~truncated(F.col("tool_input")))
     explorer, worker = F.col("agent_type").isin(*EXPLORERS), F.col("agent_type") == WORKER
     reads, edits = F.col("tool_name").isin(*READS), F.col("tool_name").isin(*EDITS)
     flag = lambda c: F.max(F.coalesce(c, F.lit(False)))

@@ -41,6 +41,16 @@ def last_days(files: list[tuple[str, str]], today: str, days: int) -> list[str]:
     return [p for d, p in files if first <= d <= today]
 
 
+def inventory(spark: SparkSession, folder: str, today: str) -> DataFrame:
+    """Daily logs of a folder by state: how many, their bytes, first and last day.
+    Today's is active, packed ones are archived, others are waiting."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = [(("active" if day >= today else "archived" if p.lower().endswith(".gz") else "waiting"), day, fs.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(p)).getLen()) for day, p in log_files(spark, folder)]
+    listed = spark.createDataFrame(rows, "state string, day string, bytes long")
+    return listed.groupBy("state").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.min("day").alias("first_day"), F.max("day").alias("last_day")).orderBy("state")
+
+
 # lines
 
 
@@ -99,6 +109,9 @@ def malformed(lines: DataFrame) -> DataFrame:
 _TEXTS = "tool_name tool_use_id agent_id agent_type source reason model permission_mode cwd notification_type config_version git_branch git_commit skill_name skill_type task_id task_subject teammate_name error".split()
 
 
+_PAYLOADS = ("tool_input", "tool_result", "tool_response")
+
+
 def events(envelopes: DataFrame) -> DataFrame:
     """Payload fields as columns, ready for enrichment."""
     j, et = F.col("j"), F.col("event_type")
@@ -115,10 +128,19 @@ def events(envelopes: DataFrame) -> DataFrame:
         truthy("stop_hook_active").alias("stop_hook_active"),
         F.when(_kind(j, "$.p.tool_input").startswith("OBJECT"), _typed(j, "$.p.tool_input.file_path", "STRING")).alias("file_path"),
         F.when(_kind(j, "$.p.tool_input").startswith("OBJECT"), _typed(j, "$.p.tool_input.pattern", "STRING")).alias("pattern"),
-        json_text.field("raw_line", F.lit("tool_input")).alias("_in"),
-        json_text.field("raw_line", F.lit("tool_result,tool_response")).alias("_out"),
+        *[_kind(j, f"$.p.{k}").alias(f"_kind_{k}") for k in _PAYLOADS],
+        *[get(k).alias(f"_text_{k}") for k in _PAYLOADS],
     )
-    detected = lambda f: f(F.col("_in.stored"))
+    # only values that are neither text nor null need their exact JSON text, which Python makes, once for each line
+    plain = lambda k: F.col(f"_kind_{k}").isin("ABSENT", "VOID", "STRING")
+    asked = F.when(~(plain("tool_input") & plain("tool_result") & plain("tool_response")), F.col("raw_line"))
+    base = base.withColumn("_made", json_text.stored_fields(asked, F.lit(",".join(_PAYLOADS))))
+    stored = {k: F.when(plain(k), F.col(f"_text_{k}")).otherwise(F.col("_made")[i]) for i, k in enumerate(_PAYLOADS)}
+    size = lambda k: F.when(F.col(f"_kind_{k}") == "ABSENT", 0).when(F.col(f"_kind_{k}") == "VOID", 4).otherwise(F.octet_length(stored[k])).cast("long")
+    # a result that is there, be it null, hides the other name
+    named = lambda of: F.when(F.col("_kind_tool_result") != "ABSENT", of("tool_result")).otherwise(of("tool_response"))
+    base = base.withColumns({"_in": stored["tool_input"], "_out": named(stored.get), "_in_bytes": size("tool_input"), "_out_bytes": named(size)})
+    detected = lambda f: f(F.col("_in"))
     given = F.col("skill_name").isNotNull()
     made = base.withColumns(
         {
@@ -130,14 +152,14 @@ def events(envelopes: DataFrame) -> DataFrame:
             "is_slash_command": E.slash_command(et, F.coalesce("prompt_text", F.lit(""))),
             "skill_name": F.when(given, F.col("skill_name")).otherwise(detected(E.skill_name)),
             "skill_type": F.when(given, F.col("skill_type")).otherwise(detected(E.skill_type)),
-            "tool_input": F.col("_in.stored"),
-            "tool_result": F.col("_out.stored"),
-            "input_bytes": F.col("_in.bytes"),
-            "output_bytes": F.col("_out.bytes"),
+            "tool_input": F.col("_in"),
+            "tool_result": F.col("_out"),
+            "input_bytes": F.col("_in_bytes"),
+            "output_bytes": F.col("_out_bytes"),
             "event_hash": E.event_hash(F.col("session_id"), et, F.col("timestamp"), F.col("tool_use_id"), F.col("h")),
         }
     )
-    return made.drop("j", "h", "_in", "_out")
+    return made.drop("j", "h", *[c for c in made.columns if c.startswith("_")])
 
 
 # other formats

@@ -1,16 +1,21 @@
-"""Tables as versioned Parquet folders.
+"""Tables as folders of Parquet parts.
 
-Each write of a table makes a new folder; a small pointer file, renamed into
-place, says which version of each table is current, so readers see whole
-versions and a failed job leaves the old ones. Bronze lines are kept; events,
-sessions and tool calls of touched sessions follow from them, which makes
-ingesting a file twice change nothing. One writer at a time, by convention of
-the job that owns the folder."""
+A numbered pointer file names the parts of every table; the highest number
+counts. A new one is written beside it and renamed into place, and older ones
+are only deleted once they are two behind, so readers always see whole versions
+and a failed job leaves the old ones. One writer at a time, by convention of the
+job that owns the folder.
+
+Ingesting a file adds one part to the lines, the events, the session rows and the
+tool-call rows; events, numbers and pairs follow from the file's own lines.
+Sessions and tool calls of the sessions it touches are folded again from their
+rows; no events of other files are read but for their hashes."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +23,17 @@ from pyspark.sql import functions as F
 
 from sessionloom.operators import commands as C
 from sessionloom.operators import enrich as N
+from sessionloom.runtime import materialize
 from sessionloom.sources import jsonl
 
-SCHEMA_VERSION = "v4"
+# Schema version, columns of the users' tables and statements that change data.
+SCHEMA_VERSION = "v5"
 USER_TABLES = {
     "config_versions": "version_hash string, captured_at string, description string, files_snapshot string",
     "annotations": "session_id string, label string, notes string, created_at string",
 }
-TABLES = ("lines", "events", "sessions", "tool_calls", *USER_TABLES)
+TABLES = ("lines", "events", "session_rows", "tool_call_rows", "sessions", "tool_calls", *USER_TABLES)
+COUNTED = ("total_events", "total_tool_calls", "total_failures", "total_prompts", "total_subagents", "total_tasks", "compaction_count", "auto_compact_count", "permission_prompts")
 MUTATIONS = ("INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "REPLACE")
 
 
@@ -34,6 +42,24 @@ def config_hash(contents: list[bytes]) -> str:
     return hashlib.sha256(b"".join(contents)).hexdigest()[:8]
 
 
+POINTER = re.compile(r"/CURRENT-(\d+)\.json$")
+
+
+def known(events: DataFrame, lines: DataFrame) -> DataFrame:
+    """What was known at ingest, put over the payload's fields."""
+    sources = lines.groupBy("source_file").agg(F.max("config_version").alias("_version"), F.max("git").alias("_git"))
+    pair = F.from_json("_git", "map<string,array<string>>")[F.col("cwd")]
+    joined = events.join(sources, "source_file")
+    return joined.withColumns({"config_version": F.coalesce("_version", "config_version"), "git_branch": F.coalesce(pair[0], F.col("git_branch")), "git_commit": F.coalesce(pair[1], F.col("git_commit"))}).drop("_version", "_git")
+
+
+def folded_sessions(rows: DataFrame) -> DataFrame:
+    """Sessions from their rows by file: fields folded, counters added up, the
+    largest context."""
+    counted = rows.groupBy("session_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTED], F.coalesce(F.max("context_total_bytes"), F.lit(0)).alias("context_total_bytes"))
+    return N.fold_sessions(rows.drop(*COUNTED, "context_total_bytes")).join(counted.where("total_events > 0"), "session_id")
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -44,47 +70,62 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
-    def current(self) -> dict[str, str]:
+    def _pointers(self) -> list[tuple[int, str]]:
         fs, path = self._fs()
-        at = path(f"{self.folder}/CURRENT.json")
-        if not fs.exists(at):
-            return {}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(at.toString()).collect()))
+        if not fs.exists(path(self.folder)):
+            return []
+        names = [str(f.getPath()) for f in fs.listStatus(path(self.folder))]
+        return sorted((int(m[1]), n) for n in names if (m := POINTER.search(n)))
+
+    def current(self) -> dict[str, list[str]]:
+        """The parts of each table."""
+        found = self._pointers()
+        return json.loads("\n".join(r.value for r in self.spark.read.text(found[-1][1]).collect()))["tables"] if found else {}
 
-    def _point(self, versions: dict[str, str]) -> None:
+    def _point(self, tables: dict[str, list[str]]) -> None:
         fs, path = self._fs()
-        new, at = path(f"{self.folder}/CURRENT-{uuid.uuid4().hex}.json"), path(f"{self.folder}/CURRENT.json")
+        found = self._pointers()
+        new = path(f"{self.folder}/.new-{uuid.uuid4().hex}")
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps(versions).encode()))
+        out.write(bytearray(json.dumps({"schema": SCHEMA_VERSION, "tables": tables}).encode()))
         out.close()
-        fs.delete(at, False)
-        fs.rename(new, at)
-
-    def write(self, **tables: DataFrame) -> None:
-        """New versions of some tables, visible together."""
-        versions = self.current()
+        if not fs.rename(new, path(f"{self.folder}/CURRENT-{found[-1][0] + 1 if found else 1:012d}.json")):
+            raise OSError("another writer was faster")
+        for _, old in found[:-1]:
+            fs.delete(path(old), False)
+
+    def write(self, append: bool = False, **tables: DataFrame) -> None:
+        """New contents of some tables, or with ``append`` a further part of
+        each, visible together."""
+        parts = self.current()
         for name, df in tables.items():
             path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
             df.write.parquet(path)
-            versions[name] = path
-        self._point(versions | {"schema": SCHEMA_VERSION})
+            parts[name] = [*(parts.get(name, []) if append else []), path]
+        self._point(parts)
+
+    def init(self) -> None:
+        """An empty store; one that is there stays as it is."""
+        if not self.current():
+            self.ingest_lines(jsonl.scan(self.spark, []))
 
     def table(self, name: str) -> DataFrame:
-        versions = self.current()
-        if name not in versions:
+        parts = self.current()
+        if name not in parts:
             if name in USER_TABLES:
                 return self.spark.createDataFrame([], USER_TABLES[name])
             raise LookupError(f"no table {name}: nothing was ingested")
-        return self.spark.read.parquet(versions[name])
+        return self.spark.read.parquet(*parts[name])
 
     def check(self) -> str:
         """ok, empty, stale, or the tables that are missing."""
-        versions = self.current()
-        if not versions:
+        found = self._pointers()
+        if not found:
             return "empty"
-        if versions.get("schema") != SCHEMA_VERSION:
+        text = json.loads("\n".join(r.value for r in self.spark.read.text(found[-1][1]).collect()))
+        if text.get("schema") != SCHEMA_VERSION:
             return "stale"
-        missing = [t for t in TABLES if t not in versions and t not in USER_TABLES]
+        missing = [t for t in TABLES if t not in text["tables"] and t not in USER_TABLES]
         return "missing: " + ", ".join(missing) if missing else "ok"
 
     # ingest
@@ -96,38 +137,53 @@ class Store:
     def ingest_lines(self, lines: DataFrame, config_version: str | None = None, git: dict[str, tuple[str, str]] | None = None) -> dict[str, int]:
         """Adds lines (source_file, raw_index, raw_line), with what is known when
         they come in: the configuration's version, and branch and commit by
-        working folder. Both stay with the lines and win over the payload."""
+        working folder. Both stay with the lines and win over the payload.
+
+        Says what came of these lines, and how many sessions and tool calls there
+        are now. Of equal events the one that was stored first stays."""
         text = "string"
-        lines = lines.withColumn("config_version", F.lit(config_version).cast(text)).withColumn("git", F.lit(json.dumps(git) if git else None).cast(text))
+        lines = materialize(lines.withColumn("config_version", F.lit(config_version).cast(text)).withColumn("git", F.lit(json.dumps(git) if git else None).cast(text)), "lines")
         if "lines" in self.current():
-            old = self.table("lines")
-            lines = old.join(lines.select("source_file").distinct(), "source_file", "left_anti").unionByName(lines)
-        return self.rebuild(lines)
-
-    def rebuild(self, lines: DataFrame | None = None) -> dict[str, int]:
-        """All derived tables from the lines."""
-        if lines is not None:
-            self.write(lines=lines)
+            # a file that comes again: its rows go from every table that has them, without a look at other rows
+            again = [r[0] for r in self.table("lines").select("source_file").distinct().join(lines.select("source_file").distinct(), "source_file").collect()]
+            if again:
+                self.write(**{name: self.table(name).where(~F.col("source_file").isin(again)) for name in ("lines", "events", "session_rows", "tool_call_rows")})
+        self.write(append=True, lines=lines)
+        return self._derive(lines)
+
+    def rebuild(self, since: str | None = None) -> dict[str, int]:
+        """All derived tables from the kept lines; with ``since`` from those of
+        files of that day and later, rows of older files stay as they are."""
         lines = self.table("lines")
-        raw = self._known(jsonl.events(jsonl.envelopes(lines)), lines)
+        derived = ("events", "session_rows", "tool_call_rows")
+        parts = self.current()
+        if since is None:
+            self._point({k: v for k, v in parts.items() if k not in (*derived, "sessions", "tool_calls")})
+            return self._derive(materialize(lines, "lines"))
+        recent = F.coalesce(F.regexp_extract("source_file", r"(\d{4}-\d\d-\d\d)", 1) >= since, F.lit(False))
+        self.write(**{name: self.table(name).where(~recent) for name in derived})
+        return self._derive(materialize(lines.where(recent), "lines"))
+
+    def _derive(self, lines: DataFrame) -> dict[str, int]:
+        """Adds to the derived tables what follows from written lines."""
+        raw = known(jsonl.events(jsonl.envelopes(lines)), lines)
         size = F.col("input_bytes") + F.col("output_bytes") + F.coalesce("prompt_length", F.lit(0))
-        numbered = N.running(N.tool_duration(raw), {"_n": F.lit(1), "context_cumulative_bytes": size}).withColumn("sequence_num", F.col("_n") - 1).drop("_n")
+        numbered = materialize(N.running(N.tool_duration(raw), {"_n": F.lit(1), "context_cumulative_bytes": size}).withColumn("sequence_num", F.col("_n") - 1).drop("_n"), "numbered")
+        stored = self.table("events") if "events" in self.current() else None
         # duplicates take part in numbers and pairs before they go
-        self.write(events=N.first_of_hash(numbered))
+        fresh = materialize(N.first_of_hash(numbered, stored), "fresh")
         # rows of sessions and calls come from all events, counters from the stored ones
-        rows = N.fold_sessions(N.session_rows(numbered)).join(N.counters(self.table("events")), "session_id")
-        self.write(sessions=N.with_lineage(rows), tool_calls=N.fold_tool_calls(N.tool_call_rows(numbered)))
-        bad = jsonl.malformed(lines).count()
-        seen = jsonl.envelopes(lines).count()
-        stored = self.table("events").count()
-        return {"events_seen": seen, "events_stored": stored, "duplicates": seen - stored, "malformed": bad, "sessions": self.table("sessions").count(), "tool_calls": self.table("tool_calls").count()}
-
-    def _known(self, events: DataFrame, lines: DataFrame) -> DataFrame:
-        """What was known at ingest, put over the payload's fields."""
-        sources = lines.groupBy("source_file").agg(F.max("config_version").alias("_version"), F.max("git").alias("_git"))
-        pair = F.from_json("_git", "map<string,array<string>>")[F.col("cwd")]
-        joined = events.join(sources, "source_file")
-        return joined.withColumns({"config_version": F.coalesce("_version", "config_version"), "git_branch": F.coalesce(pair[0], F.col("git_branch")), "git_commit": F.coalesce(pair[1], F.col("git_commit"))}).drop("_version", "_git")
+        rows = N.session_rows(numbered).join(N.counters(fresh, N.GROUP), list(N.GROUP), "left")
+        self.write(append=True, events=fresh, session_rows=rows, tool_call_rows=N.tool_call_rows(numbered))
+        touched = numbered.select("session_id").distinct()
+        calls = N.fold_tool_calls(self.table("tool_call_rows").join(touched, "session_id", "left_semi"))
+        if "tool_calls" in self.current():
+            here = self.table("tool_call_rows").select("session_id").distinct()  # sessions that a replaced file took along have none
+            calls = self.table("tool_calls").join(touched, "session_id", "left_anti").join(here, "session_id", "left_semi").unionByName(calls)
+        self.write(sessions=N.with_lineage(folded_sessions(self.table("session_rows"))), tool_calls=calls)
+        n = jsonl.parse(lines).agg(F.count_if(F.col("error").isNull()), F.count("error")).first()
+        kept = fresh.count()
+        return {"events_seen": n[0], "events_stored": kept, "duplicates": n[0] - kept, "malformed": n[1], "sessions": self.table("sessions").count(), "tool_calls": self.table("tool_calls").count()}
 
     # changes by users
 
@@ -143,11 +199,19 @@ class Store:
         self.write(config_versions=made.withColumn("files_snapshot", F.lit(None).cast("string")))
 
     def prune(self, cutoff: str) -> DataFrame:
-        """Removes events, sessions and calls before a day; returns the counts."""
+        """Removes events, sessions and calls before a day, and the lines and rows
+        they came from, so that no later ingest or rebuild brings them back;
+        returns the counts. Lines that are no envelopes stay."""
         tables = {name: self.table(name) for name in C.DATED}
         counts = C.prune_counts(tables, cutoff)
         held = self.spark.createDataFrame(counts.collect(), counts.schema)  # three rows
-        self.write(**{name: C.keep_from(tables[name], column, cutoff) for name, column in C.DATED.items()})
+        gone = C.before(tables["sessions"], "started_at", cutoff).select("session_id")
+        rest = {
+            "lines": C.keep_from(jsonl.parse(self.table("lines")), "ts", cutoff).select(*self.table("lines").columns),
+            "session_rows": self.table("session_rows").join(gone, "session_id", "left_anti"),
+            "tool_call_rows": C.keep_from(self.table("tool_call_rows"), "started_at", cutoff),
+        }
+        self.write(**rest, **{name: C.keep_from(tables[name], column, cutoff) for name, column in C.DATED.items()})
         return held
 
     def backup(self, folder: str) -> None:
