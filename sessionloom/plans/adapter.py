@@ -64,3 +64,46 @@ TEV = _TEMPLATE.format(
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_SPARK, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+# Awkward log lines, made from the view's columns in both dialects: fields of wrong
+# types, nulls, other letters, and the older formats.
+PAYLOAD_LINE = """concat('{{"v":1,"ts":"', timestamp, '","p":{{"hook_event_name":"UserPromptSubmit","session_id":"', session_id, '","prompt_length":',
+  CASE k % 5 WHEN 0 THEN CAST(k AS {str}) WHEN 1 THEN concat('"', CAST(k AS {str}), '"') WHEN 2 THEN 'null' WHEN 3 THEN '2.5' ELSE '{{}}' END,
+  ',"is_interrupt":', CASE k % 6 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '3' WHEN 3 THEN '"true"' WHEN 4 THEN 'null' ELSE '0' END,
+  ',"tool_name":', CASE k % 3 WHEN 0 THEN '"Größe ☃"' WHEN 1 THEN '7' ELSE 'null' END,
+  ',"tool_input":', CASE k % 4 WHEN 0 THEN '{{"b" : [1.50, 1e3, true], "é":null}}' WHEN 1 THEN '"plain é"' WHEN 2 THEN 'null' ELSE '[ ]' END, '}}}}')"""
+LEGACY_LINE = """CASE k % 7 WHEN 0 THEN concat('{{"phase":"pre","timestamp":"', timestamp, '","session_id":"', session_id, '","tool":"Read","tool_use_id":"t', CAST(k AS {str}), '","input_summary":"é ', CAST(k AS {str}), '","cwd":"/p"}}')
+  WHEN 1 THEN concat('{{"phase":"post","ts":"', timestamp, '","session_id":"', session_id, '","tool_name":"Edit","response_summary":null}}')
+  WHEN 2 THEN concat('{{"event_type":"Odd","session_id":"', session_id, '","n":', CAST(k AS {str}), '}}')
+  WHEN 3 THEN concat('{{"v":1,"ts":"', timestamp, '","p":{{"n":', CAST(k AS {str}), '}}}}')
+  WHEN 4 THEN '{{"event_type":"NoSession"}}' WHEN 5 THEN '{{broken' ELSE concat('  {{"session_id":"', session_id, '"}} ') END"""
+RAW_LINE = """CASE WHEN k % 9 = 0 THEN '' WHEN k % 9 = 1 THEN '  ' WHEN k % 9 = 2 THEN concat('café ☃ ', CAST(raw_index AS {str})) ELSE concat('{{"n":', CAST(raw_index AS {str}), '}}') END"""
+
+
+def spark_text(template: str) -> str:
+    return template.format(str="STRING")
+
+
+def duck_text(template: str) -> str:
+    return template.format(str="VARCHAR")
+
+
+# (JSON text, compact, sorted); None where it is no JSON
+JSON_SHAPES = [
+    ('{"b" : 1, "a":[1 ,2.0]}', '{"b":1,"a":[1,2.0]}', '{"a":[1,2.0],"b":1}'),
+    ('{"z":{"y":-0.0,"x":1e100},"é":"ñ☃"}', '{"z":{"y":-0.0,"x":1e100},"\\u00e9":"\\u00f1\\u2603"}', '{"z":{"x":1e100,"y":-0.0},"\\u00e9":"\\u00f1\\u2603"}'),
+    ('[0.00001, 1.5e300 , 12345678901234567890]', '[1e-5,1.5e300,12345678901234567890]', '[1e-5,1.5e300,12345678901234567890]'),
+    ('"tab\\t and \\u0041"', '"tab\\t and A"', '"tab\\t and A"'),
+    ('{"a":{"c":[],"b":{}},"A":null}', '{"a":{"c":[],"b":{}},"A":null}', '{"A":null,"a":{"b":{},"c":[]}}'),
+    ("{broken", None, None),
+    ("", None, None),
+    ("true", "true", "true"),
+]
+JSON_PAIRS = [('{"a":1,"b":[2]}', '{"b":[2],"a":1}', True), ("2", "2.0", False), ("x", "x", True), ('"é"', '"\\u00e9"', True), ("[1, 2]", "[1,2]", True), ("[1,2]", "[2,1]", False), ("{", "[", False)]
+
+
+def picked(values: list, by: str = "k") -> str:
+    """SQL in both dialects: the value that belongs to a row's number."""
+    quoted = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
+    return f"CASE {by} % {len(values)} " + " ".join(f"WHEN {i} THEN {quoted(v)}" for i, v in enumerate(values)) + " END"

@@ -17,8 +17,10 @@ from sessionloom.operators import live as L
 from sessionloom.operators import policy as P
 from sessionloom.operators import search as S
 from sessionloom.plans import oracles
-from sessionloom.plans.adapter import NOW, telemetry
+from sessionloom.plans.adapter import JSON_PAIRS, JSON_SHAPES, LEGACY_LINE, NOW, PAYLOAD_LINE, RAW_LINE, picked, spark_text, telemetry
+from sessionloom.runtime import scratch_dir
 from sessionloom.sources import jsonl
+from sessionloom.store import Store, known
 
 
 class Tables:
@@ -105,7 +107,7 @@ def _events_diff(t: Tables) -> DataFrame:
 
 def _sessions_diff(t: Tables) -> DataFrame:
     cols = ("session_id", "started_at", "ended_at", "source", "model", "total_events")
-    changed = N.sessions(N.enrich(_changed(t.raw).withColumn("timestamp", F.regexp_replace("timestamp", r"\\+00:00$", "Z"))))
+    changed = N.sessions(N.enrich(_changed(t.raw).withColumn("timestamp", F.regexp_replace("timestamp", r"\+00:00$", "Z"))))
     return D.sessions_diff(t.base.select(*cols), changed.select(*cols))
 
 
@@ -114,6 +116,55 @@ def _tool_calls_diff(t: Tables) -> DataFrame:
     return D.tool_calls_diff(t.tool_calls.select(*cols), t.tool_calls.where("succeeded = 1").withColumn("error", F.lit("x")).select(*cols))
 
 
+def _repeated(t: Tables) -> DataFrame:
+    """The events, a third of them twice under another number."""
+    own = t.projected.select("source_file", "raw_index", "timestamp", "event_hash", "k")
+    return own.unionByName(own.where("k % 3 = 0").withColumn("raw_index", F.col("raw_index") + 1_000_000_000))
+
+
+def _written_lines(t: Tables) -> DataFrame:
+    """Lines of files, blank ones among them, as the scan reads them back."""
+    folder = f"{scratch_dir(t.spark)}/logs"
+    t.raw.selectExpr(f"{spark_text(RAW_LINE)} AS value").write.text(folder)
+    return jsonl.scan(t.spark, [folder]).select("raw_line")
+
+
+def _as_lines(t: Tables, template: str) -> DataFrame:
+    return t.raw.selectExpr("source_file", "raw_index", f"{_doubled(spark_text(template))} AS raw_line")
+
+
+def _doubled(sql: str) -> str:
+    return sql.replace("\\", "\\\\")  # Spark reads a backslash in a literal as an escape
+
+
+def _payload(t: Tables) -> DataFrame:
+    return jsonl.events(jsonl.envelopes(_as_lines(t, PAYLOAD_LINE))).select("raw_index", "session_id", "prompt_length", "is_interrupt", "tool_name", "tool_input", "input_bytes")
+
+
+def _known(t: Tables) -> DataFrame:
+    """Events of files of which the configuration or the folders' branches are known."""
+    day = F.substring("source_file", -7, 1).cast("int")
+    git = F.when(day % 3 > 0, F.lit('{"/proj/0":["main","abc"],"/proj/1":["dev","def"]}'))
+    lines = t.raw.select("source_file", F.when(day % 2 == 0, F.lit("known")).alias("config_version"), git.alias("git"))
+    return known(t.raw.withColumn("git_commit", F.lit(None).cast("string")), lines)
+
+
+def _annotated(t: Tables) -> DataFrame:
+    store = Store(t.spark, f"{scratch_dir(t.spark)}/annotated")
+    store.write(sessions=t.base)
+    store.annotate("U9", "odd", None, NOW)
+    return store.table("annotations")
+
+
+def _ingested(t: Tables) -> DataFrame:
+    store = Store(t.spark, f"{scratch_dir(t.spark)}/ingested")
+    stats = store.ingest_lines(t.lines)
+    return t.spark.createDataFrame([tuple(stats[k] for k in INGESTED)], ", ".join(f"{k} long" for k in INGESTED))
+
+
+INGESTED = ("events_seen", "events_stored", "duplicates", "malformed", "sessions")
+
+
 def _searched(t: Tables) -> DataFrame:
     return S.build(t.documents, "doc_id", ["text"])
 
@@ -141,7 +192,7 @@ _SINCE, _SPLIT = "2024-01-20 12:00:00", "2024-01-15"
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # enrichment
-    "payload_extract": lambda t: t.raw.select("raw_index", "k", (F.col("k") % 2).alias("flag")),
+    "payload_extract": _payload,
     "truthy_flags": lambda t: t.raw.select("raw_index", E.truthy(F.to_json(F.struct("k")), "k").alias("flag")),
     "field_isolation": lambda t: t.projected.select("raw_index", "source", "reason", "compact_trigger", "task_id"),
     "slash_flag": lambda t: t.projected.select("raw_index", "is_slash_command"),
@@ -151,7 +202,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "sequence_num": lambda t: t.events.select(*_IDS, "sequence_num"),
     "tool_duration": lambda t: t.events.select(*_IDS, "duration_ms"),
     "context_cumulative": lambda t: t.events.select(*_IDS, "input_bytes", "output_bytes", "context_cumulative_bytes"),
-    "event_dedup": lambda t: N.first_of_hash(t.projected.withColumn("full", F.col("event_hash")).withColumn("event_hash", F.substring("event_hash", 1, 3))).select("raw_index", F.col("full").alias("event_hash")),
+    "event_dedup": lambda t: N.first_of_hash(_repeated(t)).select("raw_index", "event_hash"),
     "session_rows": lambda t: N.session_rows(t.events),
     "session_upsert": lambda t: N.fold_sessions(N.session_rows(t.events)),
     "session_counters": lambda t: N.counters(t.events),
@@ -161,22 +212,23 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "lineage_parent": lambda t: N.parents(t.base).select("session_id", "parent_session_id"),
     "lineage_chain": lambda t: t.sessions.select("session_id", "chain_id"),
     "lineage_candidates": lambda t: N.lineage_candidates(t.base, _SINCE),
-    "git_join": lambda t: t.raw.join(F.broadcast(t.spark.createDataFrame([("/proj/0", "main"), ("/proj/1", "dev")], "cwd string, branch string")), "cwd", "left").select("raw_index", "cwd", "branch"),
-    "payload_merge": lambda t: t.projected.select("raw_index", F.coalesce("skill_name", "agent_type").alias("merged")),
+    "git_join": lambda t: _known(t).select("raw_index", "cwd", "git_branch", "git_commit"),
+    "payload_merge": lambda t: _known(t).select("raw_index", "config_version"),
     # log lines
-    "scan_jsonl": lambda t: t.lines.select("raw_index", F.length("raw_line").alias("n")).where("n > 30").select("raw_index"),
+    "scan_jsonl": _written_lines,
     "parse_envelope": lambda t: jsonl.envelopes(t.lines).select("raw_index", "ts"),
     "malformed_lines": lambda t: jsonl.malformed(t.lines).select("raw_index", "error"),
     "events_row": lambda t: jsonl.events(jsonl.envelopes(t.lines)).select("raw_index", "session_id", "event_type", "tool_name", "file_path", "prompt_text", "prompt_length"),
     "tool_payload_text": lambda t: jsonl.events(jsonl.envelopes(t.lines)).select("raw_index", "tool_input", "tool_result"),
     "replay": lambda t: jsonl.replay(t.lines).select("line", "ts", "session_id", "event_type"),
     "tail_projection": lambda t: jsonl.tail_lines(t.lines, "bash").select("raw_index", "shown"),
-    "legacy_normalize": lambda t: jsonl.normalize_legacy(t.lines, NOW).where("length(raw_line) < 30").select("raw_index", "raw_line"),
-    "ingest_stats": lambda t: jsonl.parse(t.lines).agg(F.count_if(F.col("error").isNull()).alias("events_seen"), F.count("error").alias("malformed")),
-    "json_compact": lambda t: t.raw.select("raw_index", json_text.compact(F.concat(F.lit('{"b" : '), F.col("k").cast("string"), F.lit(', "a":[1 ,2.0]}'))).alias("j")),
-    "json_canonical": lambda t: t.raw.select("raw_index", json_text.canonical(F.concat(F.lit('{"b" : '), F.col("k").cast("string"), F.lit(', "a":[1 ,2.0]}'))).alias("j")),
-    "json_equal": lambda t: t.raw.select("raw_index", json_text.equal(F.concat(F.lit('{"b":1,"a":'), (F.col("k") % 2).cast("string"), F.lit("}")), F.lit('{"a":1,"b":1}')).alias("same")),
-    "annotate": lambda t: C.by_prefix(t.base, "u9").select("session_id", F.lit("odd").alias("label")),
+    # ids made from a hash of the line are shown without it
+    "legacy_normalize": lambda t: jsonl.normalize_legacy(_as_lines(t, LEGACY_LINE), NOW).select("raw_index", F.regexp_replace("raw_line", "legacy_[0-9a-f]+", "legacy_x").alias("raw_line")),
+    "ingest_stats": _ingested,
+    "json_compact": lambda t: t.raw.select("raw_index", json_text.compact(F.expr(_doubled(picked([s[0] for s in JSON_SHAPES])))).alias("j")),
+    "json_canonical": lambda t: t.raw.select("raw_index", json_text.canonical(F.expr(_doubled(picked([s[0] for s in JSON_SHAPES])))).alias("j")),
+    "json_equal": lambda t: t.raw.select("raw_index", json_text.equal(*[F.expr(_doubled(picked([p[i] for p in JSON_PAIRS]))) for i in (0, 1)]).alias("same")),
+    "annotate": _annotated,
     # search, diffs, policy
     "search_boolean": _boolean,
     "search_phrase": lambda t: S.phrase(_searched(t), ["licensed", "under", "the"]),
@@ -225,6 +277,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # live
     "coverage": lambda t: L.coverage(_coverage_input(t), "a3"),
     "provenance_sessions": lambda t: L.provenance_sessions(t.raw),
+    "provenance_marked": lambda t: L.provenance_sessions(t.raw.withColumn("tool_input", F.when(F.col("k") % 13 == 0, F.lit('{"_t":"cut","file_path":"x"}')).when(F.col("k") % 13 == 1, F.lit('{"_b":9}')).otherwise(F.col("tool_input")))),
     "provenance_total": lambda t: L.provenance_total(t.raw),
     "gate_decisions": lambda t: L.gate(t.raw),
     "session_diff": lambda t: C.session_diff(t.events, t.base, "u1", "u2"),

@@ -3,7 +3,7 @@ from the same chain of common tables, built on the adapter's view."""
 
 from __future__ import annotations
 
-from sessionloom.plans.adapter import NOW, TEV
+from sessionloom.plans.adapter import JSON_PAIRS, JSON_SHAPES, LEGACY_LINE, NOW, RAW_LINE, TEV, duck_text, picked
 
 _MS = "((epoch_us(CAST({b} AS TIMESTAMP)) - epoch_us(CAST({a} AS TIMESTAMP))) // 1000)"
 
@@ -159,19 +159,24 @@ evdiff AS (
 
 _BODIES = {
     # log lines
-    "scan_jsonl": "SELECT raw_index FROM tev WHERE k % 50 > 2",
+    "scan_jsonl": f"SELECT raw_line FROM (SELECT {duck_text(RAW_LINE)} AS raw_line FROM tev) WHERE trim(raw_line) <> ''",
     "parse_envelope": "SELECT raw_index, timestamp AS ts FROM tev WHERE k % 50 > 2",
     "malformed_lines": "SELECT raw_index, CASE k % 50 WHEN 0 THEN 'JSON parse error' WHEN 1 THEN 'payload is not a JSON object' ELSE 'missing hook_event_name or session_id' END AS error FROM tev WHERE k % 50 < 3",
     "events_row": "SELECT raw_index, session_id, event_type, tool_name, file_path, prompt_text, prompt_length FROM tev WHERE k % 50 > 2",
     "tool_payload_text": "SELECT raw_index, '{\"file_path\":\"' || file_path || '\",\"k\":' || k || '}' AS tool_input, tool_result FROM tev WHERE k % 50 > 2",
     "replay": "SELECT raw_index + 1 AS line, CASE WHEN k % 50 = 0 THEN '' WHEN k % 50 < 3 THEN 'x' ELSE substr(timestamp, 1, 19) END AS ts, CASE WHEN k % 50 < 3 THEN '' ELSE substr(session_id, 1, 8) END AS session_id, CASE WHEN k % 50 = 0 THEN 'MALFORMED' WHEN k % 50 < 3 THEN '' ELSE event_type END AS event_type FROM tev",
     "tail_projection": "SELECT raw_index, CASE WHEN k % 50 = 0 THEN '[malformed] {broken' ELSE concat_ws('  ', substr(timestamp, 1, 19), substr(session_id, 1, 8), rpad(event_type, 25, ' '), tool_name) END AS shown FROM tev WHERE k % 50 = 0 OR (k % 50 > 2 AND tool_name = 'Bash')",
-    "legacy_normalize": "SELECT raw_index, CASE WHEN k % 50 = 1 THEN '{\"v\":1,\"ts\":\"x\",\"p\":3}' ELSE '{\"v\":1,\"ts\":\"x\",\"p\":{}}' END AS raw_line FROM tev WHERE k % 50 IN (1, 2)",
-    "ingest_stats": "SELECT count(*) FILTER (k % 50 > 2) AS events_seen, count(*) FILTER (k % 50 < 3) AS malformed FROM tev",
-    "json_compact": "SELECT raw_index, '{\"b\":' || k || ',\"a\":[1,2.0]}' AS j FROM tev",
-    "json_canonical": "SELECT raw_index, '{\"a\":[1,2.0],\"b\":' || k || '}' AS j FROM tev",
-    "json_equal": "SELECT raw_index, k % 2 = 1 AS same FROM tev",
-    "annotate": "SELECT session_id, 'odd' AS label FROM sessions WHERE session_id LIKE 'u9%' ORDER BY session_id LIMIT 1",
+    "legacy_normalize": f"""SELECT raw_index, CASE k % 7 WHEN 0 THEN concat('{{"v":1,"ts":"', timestamp, '","p":{{"hook_event_name":"PreToolUse","session_id":"', session_id, '","tool_name":"Read","tool_use_id":"t', k, '","tool_input":{{"_legacy_summary":"é ', k, '"}},"cwd":"/p"}}}}')
+  WHEN 1 THEN concat('{{"v":1,"ts":"', timestamp, '","p":{{"hook_event_name":"PostToolUse","session_id":"', session_id, '","tool_name":"Edit","tool_use_id":"legacy_x","tool_response":"","cwd":""}}}}')
+  WHEN 2 THEN concat('{{"v":1,"ts":"{NOW}","p":{{"hook_event_name":"Odd","event_type":"Odd","session_id":"', session_id, '","n":', k, '}}}}')
+  WHEN 3 THEN {duck_text(LEGACY_LINE)}
+  ELSE concat('{{"v":1,"ts":"{NOW}","p":{{"hook_event_name":"UnknownEvent","session_id":"', session_id, '"}}}}') END AS raw_line FROM tev WHERE k % 7 IN (0, 1, 2, 3, 6)""",
+    "ingest_stats": """SELECT count(*) FILTER (k % 50 > 2) AS events_seen, count(DISTINCT event_hash) FILTER (k % 50 > 2) AS events_stored, count(*) FILTER (k % 50 > 2) - count(DISTINCT event_hash) FILTER (k % 50 > 2) AS duplicates,
+  count(*) FILTER (k % 50 < 3) AS malformed, count(DISTINCT session_id) FILTER (k % 50 > 2) AS sessions FROM ev""",
+    "json_compact": f"SELECT raw_index, {picked([s[1] for s in JSON_SHAPES])} AS j FROM tev",
+    "json_canonical": f"SELECT raw_index, {picked([s[2] for s in JSON_SHAPES])} AS j FROM tev",
+    "json_equal": f"SELECT raw_index, {picked([p[2] for p in JSON_PAIRS])} AS same FROM tev",
+    "annotate": f"SELECT session_id, 'odd' AS label, CAST(NULL AS VARCHAR) AS notes, '{NOW}' AS created_at FROM sessions WHERE session_id LIKE 'u9%' ORDER BY session_id LIMIT 1",
     # search, diffs, policy
     "search_boolean": _WORDS + "SELECT id FROM docs WHERE ((list_contains(w, 'the') AND list_contains(w, 'licensed')) OR list_contains(w, 'token')) AND NOT list_contains(w, 'released')",
     "search_phrase": _WORDS + "SELECT DISTINCT a.id FROM idx a JOIN idx b ON a.id = b.id AND b.pos = a.pos + 1 JOIN idx c ON a.id = c.id AND c.pos = a.pos + 2 WHERE a.term = 'licensed' AND b.term = 'under' AND c.term = 'the'",
@@ -190,7 +195,8 @@ SELECT call_id, profile, CASE WHEN profile IS NULL THEN 'unknown agent'
   WHEN tool_name = 'Bash' AND k % 3 = 2 THEN 'wrapper command'
   WHEN tool_name = 'Bash' AND (profile = 'editor' AND k % 3 <> 0 OR profile = 'main' AND k % 3 <> 1) THEN 'command not allowed' END AS denied FROM c""",
     # enrichment
-    "payload_extract": "SELECT raw_index, k, k % 2 AS flag FROM tev",
+    "payload_extract": """SELECT raw_index, session_id, CASE WHEN k % 5 = 0 THEN k END AS prompt_length, CAST(k % 6 IN (0, 2) AS BIGINT) AS is_interrupt, CASE WHEN k % 3 = 0 THEN 'Größe ☃' END AS tool_name,
+  CASE k % 4 WHEN 0 THEN '{"b":[1.5,1000.0,true],"\\u00e9":null}' WHEN 1 THEN 'plain é' WHEN 3 THEN '[]' END AS tool_input, CAST(CASE k % 4 WHEN 0 THEN 37 WHEN 1 THEN 8 WHEN 2 THEN 4 ELSE 2 END AS BIGINT) AS input_bytes FROM tev""",
     "truthy_flags": "SELECT raw_index, CAST(k <> 0 AS BIGINT) AS flag FROM tev",
     "field_isolation": "SELECT raw_index, source, reason, compact_trigger, task_id FROM ev",
     "slash_flag": "SELECT raw_index, is_slash_command FROM ev",
@@ -200,7 +206,8 @@ SELECT call_id, profile, CASE WHEN profile IS NULL THEN 'unknown agent'
     "sequence_num": f"SELECT {_COLUMNS}, sequence_num FROM ev",
     "tool_duration": f"SELECT {_COLUMNS}, duration_ms FROM ev",
     "context_cumulative": f"SELECT {_COLUMNS}, input_bytes, output_bytes, context_cumulative_bytes FROM ev",
-    "event_dedup": "SELECT raw_index, event_hash FROM (SELECT *, row_number() OVER (PARTITION BY substr(event_hash, 1, 3) ORDER BY timestamp, raw_index) AS r FROM ev) WHERE r = 1",
+    "event_dedup": """SELECT raw_index, event_hash FROM (SELECT *, row_number() OVER (PARTITION BY event_hash ORDER BY timestamp, raw_index, source_file) AS r
+  FROM (SELECT source_file, raw_index, timestamp, event_hash FROM ev UNION ALL SELECT source_file, raw_index + 1000000000, timestamp, event_hash FROM ev WHERE k % 3 = 0)) WHERE r = 1""",
     "session_rows": "SELECT * FROM srow",
     "session_upsert": "SELECT * FROM sfold",
     "session_counters": "SELECT * FROM ctr",
@@ -210,8 +217,9 @@ SELECT call_id, profile, CASE WHEN profile IS NULL THEN 'unknown agent'
     "lineage_parent": "SELECT session_id, parent_session_id FROM sessions WHERE parent_session_id IS NOT NULL",
     "lineage_chain": "SELECT session_id, chain_id FROM sessions",
     "lineage_candidates": "SELECT session_id, ended_at, cwd, git_branch, model, end_reason, source FROM sessions WHERE CAST(ended_at AS TIMESTAMP) > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 30 MINUTE ORDER BY ended_at, session_id LIMIT 20",
-    "git_join": "SELECT raw_index, cwd, b.branch FROM ev LEFT JOIN (VALUES ('/proj/0', 'main'), ('/proj/1', 'dev')) b(cwd, branch) USING (cwd)",
-    "payload_merge": "SELECT raw_index, coalesce(skill_name, agent_type) AS merged FROM ev",
+    "git_join": """SELECT raw_index, cwd, CASE WHEN CAST(substr(source_file, -7, 1) AS INT) % 3 > 0 AND cwd = '/proj/0' THEN 'main' WHEN CAST(substr(source_file, -7, 1) AS INT) % 3 > 0 AND cwd = '/proj/1' THEN 'dev' ELSE git_branch END AS git_branch,
+  CASE WHEN CAST(substr(source_file, -7, 1) AS INT) % 3 > 0 THEN CASE cwd WHEN '/proj/0' THEN 'abc' WHEN '/proj/1' THEN 'def' END END AS git_commit FROM ev""",
+    "payload_merge": "SELECT raw_index, CASE WHEN CAST(substr(source_file, -7, 1) AS INT) % 2 = 0 THEN 'known' ELSE config_version END AS config_version FROM ev",
     # scalar functions
     "days_to_date": "SELECT DISTINCT k, strftime(DATE '1970-01-01' + CAST(k * 200 AS INTEGER), '%Y-%m-%d') AS day FROM tev",
     "parse_ts": "SELECT raw_index, epoch_us(CAST(timestamp AS TIMESTAMP)) AS micros, CAST(CAST(CAST(timestamp AS TIMESTAMP) AS DATE) AS VARCHAR) AS day FROM tev",
@@ -261,6 +269,7 @@ SELECT call_id, profile, CASE WHEN profile IS NULL THEN 'unknown agent'
 SELECT 'read' AS kind, file_path AS item FROM rd UNION ALL SELECT DISTINCT 'dir', {_PARENT.format(p="file_path")} FROM rd WHERE {_PARENT.format(p="file_path")} IS NOT NULL
 UNION ALL SELECT kind, '<redacted:' || unnest(range(1, n + 1)) || '>' FROM (SELECT lower(tool_name) AS kind, count(DISTINCT tool_input) AS n FROM own WHERE tool_name IN ('Glob', 'Grep') GROUP BY 1)""",
     "provenance_sessions": f", {_TOUCHED} SELECT * FROM prov",
+    "provenance_marked": f", {_TOUCHED.replace('FROM ev', 'FROM (SELECT * FROM ev WHERE k % 13 > 1)')} SELECT * FROM prov",
     "provenance_total": f", {_TOUCHED} SELECT count(reexploration_overlap) AS sessions_with_both, round(avg(reexploration_overlap), 4) AS mean_reexploration_overlap, CAST(coalesce(sum(worker_edit_count), 0) AS BIGINT) AS total_worker_edits, CAST(coalesce(sum(coverage_edge_incidents), 0) AS BIGINT) AS total_coverage_edge_incidents FROM prov",
     "gate_decisions": GATE,
     "session_diff": f""", {_STATS}, m AS (SELECT unnest(range(10)) AS ord, unnest(['session_id', 'started_at', 'duration', 'tool_calls', 'failures', 'prompts', 'subagents', 'top_tools', 'cwd', 'branch']) AS metric)
@@ -293,3 +302,12 @@ SELECT CAST(ord AS INTEGER) AS ord, metric, (SELECT v[ord + 1] FROM figs WHERE i
 }
 
 SQL = {k: chain(v) for k, v in _BODIES.items()}
+
+# the sessions of all events against those of the events that _changed() leaves; only totals and times can differ
+_SIDE = "SELECT session_id, started_at, ended_at, source, model, CAST(total_events AS VARCHAR) AS total_events FROM sessions"
+_FEWER = chain(_SIDE).replace(f"({TEV})", f"(SELECT * FROM ({TEV}) WHERE raw_index % 101 <> 0)", 1)
+_NORMAL = "CASE WHEN {x} LIKE '%Z' THEN left({x}, length({x}) - 1) || '+00:00' ELSE {x} END"
+_SEEN = {c: (_NORMAL.format(x=f"a.{c}"), _NORMAL.format(x=f"b.{c}")) if c.endswith("_at") else (f"a.{c}", f"b.{c}") for c in ("started_at", "ended_at", "source", "model", "total_events")}
+SQL["parity_sessions"] = f"""WITH a AS ({chain(_SIDE)}), b AS ({_FEWER})
+SELECT coalesce(a.session_id, b.session_id) AS key, CASE WHEN b.session_id IS NULL THEN 'only_a' ELSE 'only_b' END AS kind, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b FROM a FULL JOIN b USING (session_id) WHERE a.session_id IS NULL OR b.session_id IS NULL
+""" + "".join(f"UNION ALL SELECT a.session_id, 'differs', '{c}', {x}, {y} FROM a JOIN b USING (session_id) WHERE {x} IS DISTINCT FROM {y}\n" for c, (x, y) in _SEEN.items())

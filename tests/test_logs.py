@@ -230,3 +230,81 @@ def test_command_line(spark, logs, tmp_path, capsys, monkeypatch):
     old.write_text(json.dumps({"phase": "pre", "ts": "2026-01-01T00:00:00Z", "session_id": "z", "tool": "Read"}) + "\n")
     assert "'sessions': 2" in go("import-legacy", str(old))
     assert path
+
+
+def day(n, session="s1"):
+    return [line("01.000", "SessionStart", session, source="startup", cwd="/w").replace("2026-02-01", f"2026-02-{n:02}"), line("02.000", "PreToolUse", session, tool_name="Read", tool_use_id=f"t{n}").replace("2026-02-01", f"2026-02-{n:02}")]
+
+
+def test_pruned_rows_do_not_come_back(store, logs):
+    store.ingest([logs(day(1, "old"), "hook_logs_2026-02-01.jsonl")])
+    store.ingest([logs(day(5, "new"), "hook_logs_2026-02-05.jsonl")])
+    assert {r.key: r.value for r in store.prune("2026-02-03").collect()} == {"events_count": 2, "sessions_count": 1, "tool_calls_count": 0}
+    store.ingest([logs(day(6, "next"), "hook_logs_2026-02-06.jsonl")])
+    assert {r.session_id for r in store.table("sessions").collect()} == {"new", "next"} and store.table("events").count() == 4
+    store.rebuild()
+    assert {r.session_id for r in store.table("sessions").collect()} == {"new", "next"} and store.table("events").count() == 4
+    assert {r.key: r.value for r in store.prune("2020-01-01").collect()} == {"events_count": 0, "sessions_count": 0, "tool_calls_count": 0}
+
+
+def test_one_more_day_leaves_other_parts_alone(store, logs):
+    store.ingest([logs(day(1, "a"), "hook_logs_2026-02-01.jsonl")])
+    before = store.current()
+    stats = store.ingest([logs([*day(2, "a"), *day(2, "b")], "hook_logs_2026-02-02.jsonl")])
+    after = store.current()
+    for name in ("lines", "events", "session_rows", "tool_call_rows"):
+        assert after[name][:1] == before[name] and len(after[name]) == 2
+    assert stats["events_seen"] == 4 and stats["sessions"] == 2
+    counts = {r.session_id: (r.total_events, r.started_at[:10]) for r in store.table("sessions").collect()}
+    assert counts == {"a": (4, "2026-02-01"), "b": (2, "2026-02-02")}
+    one = sorted(map(str, store.table("sessions").collect())), sorted(map(str, store.table("tool_calls").collect()))
+    store.rebuild()
+    assert one == (sorted(map(str, store.table("sessions").collect())), sorted(map(str, store.table("tool_calls").collect())))
+    store.ingest([logs(day(2, "c"), "hook_logs_2026-02-02.jsonl")])  # the file comes again with other lines
+    assert {r.session_id for r in store.table("sessions").collect()} == {"a", "c"} and store.table("events").count() == 4
+    store.rebuild(since="2026-02-02")
+    assert {r.session_id for r in store.table("sessions").collect()} == {"a", "c"} and store.table("events").count() == 4
+
+
+def test_pointers(store, logs, tmp_path):
+    store.init()
+    assert store.check() == "ok" and store.table("events").count() == 0
+    for n in (1, 2):
+        store.ingest([logs(day(n), f"hook_logs_2026-02-0{n}.jsonl")])
+    pointers = sorted((tmp_path / "store").glob("CURRENT-*.json"))
+    assert len(pointers) == 2
+    pointers[-1].unlink()  # as if the last write had not happened: the one before still names whole tables
+    assert {r.session_id for r in store.table("sessions").collect()} <= {"s1"} and store.table("lines").count() >= 2
+
+
+def test_export_is_not_cut(spark, tmp_path, capsys, monkeypatch):
+    from sessionloom import cli
+    from sessionloom.render import render
+
+    many = spark.range(10_001).selectExpr("format_string('s%05d', id) AS session_id", "'2026-02-01T00:00:00Z' AS started_at", "'abc' AS git_commit")
+    folder = str(tmp_path / "many")
+    Store(spark, folder).write(sessions=many)
+    monkeypatch.setattr(cli, "build_session", lambda: spark)
+    cli.main(["--store", folder, "--out", str(tmp_path / "out"), "export"])
+    got = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(got) == 10_001 and got[0]["git_commit"] == "abc"
+    capsys.readouterr()
+    cli.main(["--store", folder, "export", "2026-02-01"])
+    assert len(capsys.readouterr().out.splitlines()) == 10_001
+    assert render(many).endswith("(only the first 10000 rows are shown)")
+    with pytest.raises(ValueError, match="more than"):
+        render(many, "csv")
+
+
+def test_truncated_inputs_have_no_paths(spark, logs):
+    use = lambda ts, who, tool, **i: line(ts, "PreToolUse", agent_type=who, tool_name=tool, tool_input=i)
+    events = jsonl.events(jsonl.envelopes(jsonl.scan(spark, [logs([use("1.0", "search", "Read", file_path="/a", _t="cut"), use("2.0", "worker", "Edit", file_path="/a"), use("3.0", "worker", "Edit", file_path="/b", _b=9)])])))
+    assert live.provenance_total(events).first().total_coverage_edge_incidents == 1
+
+
+def test_inventory(spark, tmp_path):
+    for n in ("hook_logs_2026-01-03.jsonl", "hook_logs_2026-01-01.jsonl.gz", "hook_logs_2026-01-02.jsonl"):
+        (tmp_path / n).write_text("xx")
+    got = [tuple(r) for r in jsonl.inventory(spark, str(tmp_path), "2026-01-03").collect()]
+    assert got == [("active", 1, 2, "2026-01-03", "2026-01-03"), ("archived", 1, 2, "2026-01-01", "2026-01-01"), ("waiting", 1, 2, "2026-01-02", "2026-01-02")]
+    assert jsonl.inventory(spark, str(tmp_path / "none"), "2026-01-03").count() == 0
