@@ -1,5 +1,8 @@
+import random
 from collections import Counter
 
+import pytest
+
 from sessionloom.llm import licences as L
 
 from .samples import AWKWARD, docs, prose
@@ -52,3 +55,54 @@ def test_awkward_and_empty(spark):
     got = L.scan(d).collect()
     assert len(got) == len(AWKWARD) and {(r.licence, r.dice) for r in got} == {(None, 0.0)}
     assert L.scan(d.where("false")).count() == 0
+
+
+def every_match(text, templates, least):
+    """By all stretches of the text: for each start the best, then the longest;
+    of overlapping ones the highest Dice, the longer, the first name, the first."""
+    w, found = L.words(text), []
+    for name, t in templates:
+        tw = L.words(t)
+        own = Counter(zip(tw, tw[1:], strict=False))
+        for i in range(len(w) - 1):
+            best = None
+            for j in range(i + 1, len(w)):
+                here = Counter(zip(w[i:j], w[i + 1 : j + 1], strict=False))
+                dice = 2 * sum((here & own).values()) / (j - i + len(tw) - 1)
+                if (w[i], w[i + 1]) in own and (w[j - 1], w[j]) in own and dice >= least and (best is None or dice >= best[0]):
+                    best = (dice, j - i)
+            if best:
+                found.append((*best, name, i))
+    kept = []
+    for dice, n, name, i in sorted(found, key=lambda m: (-m[0], -m[1], m[2], m[3])):
+        if all(i + n < a or i > a + b for _, _, a, b in kept):
+            kept.append((name, dice, i, n))
+    return sorted((name, round(dice, 9), i, i + n + 1) for name, dice, i, n in kept)
+
+
+SMALL = [("a", "one two three four five six"), ("b", "one two three four nine ten"), ("c", "alpha beta"), ("d", "two two two two")]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_all_matches_by_brute_force(seed):
+    r = random.Random(seed)
+    text = " ".join(r.choice("one two three four five six nine ten alpha beta x".split()) if r.random() < 0.3 else r.choice([t for _, t in SMALL]) for _ in range(7))
+    got = L.Templates(SMALL, 0.6).find(text)
+    assert sorted((n, round(d, 9), s, e) for n, d, s, e in got) == every_match(text, SMALL, 0.6)
+
+
+def test_names_and_versions_are_told_apart():
+    table = L.Templates(L.TEMPLATES)
+    for name, text in L.TEMPLATES:
+        found = table.find("before it all " + text.upper() + " after it all")
+        assert [(n, round(d, 9)) for n, d, _, _ in found] == [(name, 1.0)], name
+    gpl2 = next(t for n, t in L.TEMPLATES if n == "GPL-2.0" and len(t) > 200)
+    assert table.find(gpl2.replace("any later version", "any newer version"))[0][0] == "GPL-2.0"
+
+
+def test_words_by_hash():
+    table = L.Templates(L.TEMPLATES)
+    texts = [None, "", "MIT", *(t for _, t in ROWS if t), "“Licensed” under_the MIT—licence ½ ₂ ñlicense İstanbul license\u0301", "\ud800 license"]
+    for t, ids in zip(texts, table.ids_of(texts), strict=True):
+        assert ids.tolist() == [table.vocabulary.get(w, -1) for w in L.words(t)]
+    assert table.all_of(texts) == [table.find(t) for t in texts]
