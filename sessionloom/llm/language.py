@@ -97,7 +97,8 @@ def training_sample(docs: DataFrame, allowed, per_lang: int, max_chars: int) ->
     rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         F.xxhash64("doc_id").alias("k"), F.col("lang").cast("string").alias("lang"), "text", (F.length("text") <= max_chars).alias("fits")
     )
-    sizes = rows.groupBy("lang").agg(F.sum(F.col("fits").cast("long")).alias("n_fit"), F.count("*").alias("n"))
+    # written: Spark then knows its size before it plans the join, and sends it around only where it is small, so texts stay where they are
+    sizes = materialize(rows.groupBy("lang").agg(F.sum(F.col("fits").cast("long")).alias("n_fit"), F.count("*").alias("n")), "languages")
     share = F.lit(float(per_lang)) / F.when(F.col("n_fit") > 0, F.col("n_fit")).otherwise(F.col("n"))
     drawn = rows.join(sizes, "lang").where((F.col("fits") | (F.col("n_fit") == 0)) & (F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1 << 30)) < share * float(1 << 30)))
     return materialize(drawn.select("k", "lang", "text").distinct(), "language-sample")
