@@ -165,6 +165,6 @@ def test_rendering(spark):
 
 
 def test_scratch_folder(spark):
-    assert scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert scratch_dir(spark).startswith("file://" + spark.conf.get("spark.checkpoint.dir") + "/")
     df = materialize(spark.range(5), "x")
     assert df.count() == 5 and "Range" not in df._jdf.queryExecution().logical().toString()
