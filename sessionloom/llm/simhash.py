@@ -88,7 +88,8 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     dealt = fps.select("fp").repartition(max(8, -(-number // KEYS_PER_TASK)), "fp")
     keys = dealt.select("fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
     some = dealt.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(SAMPLED)) == 0).select(F.explode(variants(F.col("fp"), distance)).alias("key"))
-    large = some.groupBy("key").agg((F.count("*") * SAMPLED).alias("count")).where(F.col("count") > BLOCK)
+    # written: Spark then knows how few they are before it plans the join, and keys travel once
+    large = materialize(some.groupBy("key").agg((F.count("*") * SAMPLED).alias("count")).where(F.col("count") > BLOCK), "large")
     near = (
         keys.join(large, "key", "left")
         .withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK).cast("int"), F.lit(1)))
@@ -169,7 +170,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     Equal fingerprints collapse before any comparison, so large groups of copies
     cost no more than one; components are over distinct fingerprints."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = roots(fps.groupBy("fp").agg(F.min("doc_id").alias("component_id")), "component_id", distance)
+    # written, so that both sides of the join are plain exchanges, which AQE splits where one fingerprint is frequent
+    classes = materialize(roots(fps.groupBy("fp").agg(F.min("doc_id").alias("component_id")), "component_id", distance), "components")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
