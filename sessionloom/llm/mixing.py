@@ -45,7 +45,7 @@ from sessionloom.runtime import materialize
 DIMENSIONS = ("source", "lang", "topic")
 SWEEPS = 12  # of the unrolled SQL, beyond what TOLERANCE needs there
 MOST_SWEEPS = 400
-TOLERANCE = 1e-9  # of a target share
+TOLERANCE = 1e-12  # of a target share
 ROUNDS = 12
 STRETCH = 4  # sweeps in one plan
 CLOSE = 1e-5
