@@ -77,6 +77,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--format", choices=["table", "json", "csv", "markdown"], default="table")
     p.add_argument("--days", type=int, default=7)
     p.add_argument("--threshold", type=int, default=5000)
+    p.add_argument("--max-age", type=float, help="seconds; older tables take in the logs before the answer")
     for flag in ("--cwd", "--branch", "--label", "--since", "--out"):
         p.add_argument(flag)
     for flag in ("--all-time", "--include-today", "--write"):
@@ -86,10 +87,17 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = build_session()
     store = Store(spark, a.store)
+    waiting = lambda: jsonl.unprocessed(jsonl.log_files(spark, a.logs), a.now, a.include_today)
+    if a.max_age is not None and a.logs and a.command in questions(store, a.now):
+        store.ingest_if_older(waiting, a.max_age)
     if a.command == "ingest":
-        print(store.ingest(a.args or jsonl.unprocessed(jsonl.log_files(spark, a.logs), a.now, a.include_today)))
+        print(store.ingest(a.args or waiting()))
     elif a.command == "import-legacy":
-        old = legacy_sqlite.read_events(spark, a.args[0]) if a.args[0].endswith(".db") else jsonl.scan(spark, a.args)
+        if not a.args:
+            p.error("import-legacy: files, an old database, or a home folder to look through")
+        one = a.args[0]
+        files = a.args if one.endswith((".jsonl", ".gz")) else jsonl.legacy_files(spark, one)
+        old = legacy_sqlite.read_events(spark, one) if one.endswith(".db") else jsonl.scan(spark, files)
         print(store.ingest_lines(jsonl.normalize_legacy(old, a.now)))
     elif a.command == "tail":
         tail(jobs.tail(spark, a.args[0]), *a.args[1:2])

@@ -49,6 +49,15 @@ def tool_calls_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return table_diff(a, b, ["session_id", "tool_use_id"], times=("started_at", "completed_at"), skip=("id",))
 
 
+def config_versions_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    return table_diff(a, b, ["version_hash"], times=("captured_at",))
+
+
+def annotations_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """A label given twice at one time is one row if its notes are equal."""
+    return table_diff(a.distinct(), b.distinct(), ["session_id", "label", "created_at"])
+
+
 def report(diff: DataFrame) -> DataFrame:
     """Counts by kind and field."""
     return diff.groupBy("kind", "field").agg(F.count("*").alias("n"))

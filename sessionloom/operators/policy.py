@@ -1,19 +1,37 @@
 """Audit of tool calls against an allow policy, as joins with small rule tables.
 
 A rule set has ``aliases`` (agent, profile), ``tools`` (profile, tool; a trailing *
-allows a prefix), ``spawns`` (profile, target) and ``prefixes`` (profile, words: the
-leading words of allowed shell commands). Commands are split at shell operators
-and white space; quoting is not interpreted."""
+allows a prefix), ``spawns`` (profile, target, and may_bypass where some targets may
+run without permissions) and ``prefixes`` (profile, words: the leading words of
+allowed shell commands). Commands are split at shell operators and white space;
+quoting is not interpreted."""
 
 from __future__ import annotations
 
+import tomllib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Shells and wrappers, tool names, and what to use instead of a denied command.
 WRAPPERS = ("bash", "sh", "zsh", "sudo", "env", "command")
 SHELL, SPAWN = "Bash", "Task"
+DEFAULT = "_default"
+TOOLS = (
+    "Agent", "AskUserQuestion", "Bash", "Edit", "EnterPlanMode", "ExitPlanMode", "Glob", "Grep", "Read", "Search", "Skill", "Task",
+    "TaskCreate", "TaskGet", "TaskList", "TaskOutput", "TaskUpdate", "TodoRead", "TodoWrite", "WebFetch", "Write", "ast_grep_search",
+    "lsp_diagnostics", "lsp_document_symbols", "lsp_find_references", "lsp_goto_definition", "lsp_hover", "lsp_servers", "lsp_workspace_symbols",
+)
+INSTEAD = {
+    "Use the native Grep tool instead.": ("grep", "egrep", "fgrep", "rg"),
+    "Use the native Glob tool instead.": ("find", "fd"),
+    "Use the native Read tool for file inspection.": ("cat", "head", "tail", "sed", "awk"),
+    "Use Read, Glob, and task context for path inspection; for symlinks, resolve the real target with allowed native tools or report the blocker.": ("ls", "stat", "file", "readlink", "greadlink", "realpath"),
+    "Do not use scripting languages as shell substitutes; use native tools or report the blocked command.": ("python", "python3", "node", "ruby", "perl"),
+    "Use Edit/Write for file changes; if runtime/editor verification is needed, report the blocked command so the orchestrator can route or update policy.": ("nvim", "vim", "vi", "emacs"),
+    "Ask the orchestrator to delegate build/test verification to build-runner.": ("npm", "pnpm", "mvn", "mvnw", "gradle", "cargo", "go", "jest", "vitest"),
+}
 
 
 @dataclass
@@ -24,6 +42,58 @@ class Rules:
     prefixes: DataFrame
 
 
+def rule_errors(rules: dict) -> list[str]:
+    """What is wrong with a rule file's contents; nothing if it can be used."""
+    profiles, categories, guards = (rules.get(k, {}) for k in ("profiles", "command-categories", "safety"))
+    found = [] if DEFAULT in profiles else [f"no profile {DEFAULT}"]
+    owner: dict[str, str] = {}
+    for profile, p in profiles.items():
+        own = p.get("commands", {}).get("categories", [])
+        for what, names, there in (
+            ("tool", p.get("tools", []), TOOLS),
+            ("command category", own, categories),
+            ("safety override", p.get("safety-overrides", []), guards),
+            ("spawn target", [t["profile"] for t in p.get("agent", {}).get("spawn", {}).get("allow", [])], profiles),
+        ):
+            found += [f"profile {profile}: unknown {what} {n}" for n in names if n not in there]
+        found += [f"profile {profile}: the name {n} is taken by {owner[n]}" for n in _names(profile, p) if owner.setdefault(n, profile) != profile]
+        allowed = [words for c in own for words in categories.get(c, {}).get("allow", [])]
+        for guard in p.get("safety-overrides", []):
+            start = guards.get(guard, {}).get("command", {}).get("prefix")
+            if start is not None and not any(words[: len(start)] == start for words in allowed):
+                found.append(f"profile {profile}: safety override {guard} is for no command that the profile allows")
+    return found
+
+
+def _names(profile: str, p: dict) -> list[str]:
+    return [n.strip().lower() for n in (profile, *p.get("aliases", []))]
+
+
+def read_rules(spark: SparkSession, text: str) -> Rules:
+    """The rule tables of a TOML file's text: profiles with their other names,
+    tools, command categories and spawn targets (under any name of the target).
+    Raises ValueError with all that is wrong with it."""
+    rules = tomllib.loads(text)
+    if wrong := rule_errors(rules):
+        raise ValueError("; ".join(wrong))
+    profiles, categories = rules["profiles"], rules.get("command-categories", {})
+    each = profiles.items()
+    spawns = [(k, n, t.get("may-bypass", False)) for k, p in each for t in p.get("agent", {}).get("spawn", {}).get("allow", []) for n in _names(t["profile"], profiles[t["profile"]])]
+    make = spark.createDataFrame
+    return Rules(
+        make([(n, k) for k, p in each for n in _names(k, p)], "agent string, profile string").distinct(),
+        make([(k, t) for k, p in each for t in (*p.get("tools", []), *p.get("mcp-tools", []))], "profile string, tool string"),
+        make(spawns, "profile string, target string, may_bypass boolean"),
+        make([(k, " ".join(words)) for k, p in each for c in p.get("commands", {}).get("categories", []) for words in categories[c]["allow"]], "profile string, words string"),
+    )
+
+
+def suggestion(command: Column) -> Column:
+    """What to use instead of a shell line's first command; null if nothing is known."""
+    name = F.get(F.get(simple_commands(command), 0), 0)
+    return F.coalesce(*[F.when(name.isin(*names), text) for text, names in INSTEAD.items()])
+
+
 def simple_commands(command: Column) -> Column:
     """The simple commands of a shell line, each an array of words; the name is
     cut to its last path part, a leading ``cd … &&`` goes."""
@@ -40,15 +110,18 @@ def composed(command: Column) -> Column:
 
 def audit(calls: DataFrame, rules: Rules) -> DataFrame:
     """Calls (call_id, agent_type, tool_name, command, target, bypass) with
-    ``denied``: the first reason that holds, or null."""
+    ``denied``: the first reason that holds, or null. Sides are small rule tables;
+    which of them are broadcast is left to their measured size."""
     agent = F.lower(F.trim(F.coalesce("agent_type", F.lit(""))))
-    named = calls.withColumn("agent", agent).join(F.broadcast(rules.aliases), "agent", "left")
-    exact = F.broadcast(rules.tools.where(~F.col("tool").endswith("*")).select("profile", F.col("tool").alias("tool_name"), F.lit(True).alias("_exact")).distinct())
-    starts = F.broadcast(rules.tools.where(F.col("tool").endswith("*")).groupBy("profile").agg(F.collect_set(F.expr("substr(tool, 1, length(tool) - 1)")).alias("_starts")))
-    joined = named.join(exact, ["profile", "tool_name"], "left").join(starts, "profile", "left")
-    targets = F.broadcast(rules.spawns.groupBy("profile").agg(F.collect_set("target").alias("_targets")))
-    prefixes = F.broadcast(rules.prefixes.groupBy("profile").agg(F.collect_set(F.split("words", " ")).alias("_prefixes")))
-    joined = joined.join(targets, "profile", "left").join(prefixes, "profile", "left")
+    named = calls.withColumn("agent", agent).join(rules.aliases, "agent", "left")
+    exact = rules.tools.where(~F.col("tool").endswith("*")).select("profile", F.col("tool").alias("tool_name"), F.lit(True).alias("_exact")).distinct()
+    starts = rules.tools.where(F.col("tool").endswith("*")).groupBy("profile").agg(F.collect_set(F.expr("substr(tool, 1, length(tool) - 1)")).alias("_starts"))
+    free = F.col("may_bypass") if "may_bypass" in rules.spawns.columns else F.lit(False)
+    targets = rules.spawns.groupBy("profile").agg(F.collect_set("target").alias("_targets"), F.collect_set(F.when(free, F.col("target"))).alias("_free"))
+    prefixes = rules.prefixes.groupBy("profile").agg(F.collect_set(F.split("words", " ")).alias("_prefixes"))
+    joined = named.join(exact, ["profile", "tool_name"], "left")
+    for side in (starts, targets, prefixes):
+        joined = joined.join(side, "profile", "left")
     commands = simple_commands(F.col("command"))
     allowed = F.forall(commands, lambda c: F.exists(F.coalesce("_prefixes", F.array(F.array(F.lit("")))), lambda p: F.slice(c, 1, F.size(p)) == p))
     wrapped = F.exists(commands, lambda c: c[0].isin(*WRAPPERS))
@@ -57,7 +130,7 @@ def audit(calls: DataFrame, rules: Rules) -> DataFrame:
     reason = (
         F.when(F.col("profile").isNull(), "unknown agent")
         .when(~tool_ok, "tool not allowed")
-        .when((F.col("tool_name") == SPAWN) & F.coalesce(F.col("bypass"), F.lit(False)), "bypassed permissions")
+        .when((F.col("tool_name") == SPAWN) & F.coalesce(F.col("bypass"), F.lit(False)) & ~F.coalesce(F.array_contains("_free", F.col("target")), F.lit(False)), "bypassed permissions")
         .when((F.col("tool_name") == SPAWN) & ~F.coalesce(F.array_contains("_targets", F.col("target")), F.lit(False)), "target not allowed")
         .when(shell & wrapped, "wrapper command")
         .when(shell & composed(F.col("command")), "composed command")

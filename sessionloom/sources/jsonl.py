@@ -14,6 +14,9 @@ from sessionloom.functions import events as E
 from sessionloom.functions import json_text
 
 LOG_NAME = re.compile(r"hook_logs_(\d{4}-\d\d-\d\d)\.jsonl(\.gz)?$", re.IGNORECASE)
+# Where older versions kept their logs, below a home folder.
+PROJECT_ROOTS = ("Projects", "projects", "code", "Code", "dev", "Dev", "workspace", "repos")
+USER_LOGS = (".claude/logs", ".local/share/claude/logs")
 
 # discovery
 
@@ -28,6 +31,15 @@ def log_files(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     return sorted((m[1], p) for p in found if (m := LOG_NAME.search(p)))
 
 
+def legacy_files(spark: SparkSession, home: str) -> list[str]:
+    """Logs of older versions below a home folder: plain and packed ones of
+    projects, plain ones of the user."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(home).getFileSystem(spark._jsc.hadoopConfiguration())
+    patterns = [*[f"{home}/{root}/*/.claude/logs/*.{end}" for root in PROJECT_ROOTS for end in ("jsonl", "jsonl.gz")], *[f"{home}/{folder}/*.jsonl" for folder in USER_LOGS]]
+    return list(dict.fromkeys(p for pattern in patterns for p in sorted(s.getPath().toString() for s in (fs.globStatus(path(pattern)) or []))))
+
+
 def unprocessed(files: list[tuple[str, str]], today: str, include_today: bool = False) -> list[str]:
     return [p for d, p in files if d < today or (include_today and d == today)]
 

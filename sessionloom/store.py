@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,6 +136,15 @@ class Store:
         """Adds log files. Lines of a file that was there are replaced."""
         return self.ingest_lines(jsonl.scan(self.spark, paths), **known)
 
+    def ingest_if_older(self, paths: Callable[[], list[str]], seconds: float, **known) -> dict[str, int] | None:
+        """Ingests unless the last change of the tables is younger than this;
+        then None, and the files are not even listed."""
+        fs, path = self._fs()
+        found = self._pointers()
+        if found and time.time() - fs.getFileStatus(path(found[-1][1])).getModificationTime() / 1000 < seconds:
+            return None
+        return self.ingest(paths(), **known)
+
     def ingest_lines(self, lines: DataFrame, config_version: str | None = None, git: dict[str, tuple[str, str]] | None = None) -> dict[str, int]:
         """Adds lines (source_file, raw_index, raw_line), with what is known when
         they come in: the configuration's version, and branch and commit by

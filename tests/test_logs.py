@@ -308,3 +308,19 @@ def test_inventory(spark, tmp_path):
     got = [tuple(r) for r in jsonl.inventory(spark, str(tmp_path), "2026-01-03").collect()]
     assert got == [("active", 1, 2, "2026-01-03", "2026-01-03"), ("archived", 1, 2, "2026-01-01", "2026-01-01"), ("waiting", 1, 2, "2026-01-02", "2026-01-02")]
     assert jsonl.inventory(spark, str(tmp_path / "none"), "2026-01-03").count() == 0
+
+
+def test_ingest_by_age(store, logs):
+    path = logs(HAPPY)
+    assert store.ingest_if_older(lambda: [path], 3600)["sessions"] == 1
+    assert store.ingest_if_older(lambda: 1 / 0, 3600) is None
+    assert store.ingest_if_older(lambda: [path], 0)["events_seen"] == 5
+
+
+def test_legacy_discovery(spark, tmp_path):
+    for name in ("code/p/.claude/logs/b.jsonl", "code/p/.claude/logs/a.jsonl.gz", "code/p/deep/.claude/logs/x.jsonl", "repos/q/.claude/logs/c.jsonl", ".claude/logs/d.jsonl", ".claude/logs/e.jsonl.gz", ".local/share/claude/logs/f.jsonl"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"")
+    assert [p.rpartition("/")[2] for p in jsonl.legacy_files(spark, str(tmp_path))] == ["b.jsonl", "a.jsonl.gz", "c.jsonl", "d.jsonl", "f.jsonl"]
+    assert jsonl.legacy_files(spark, str(tmp_path / "none")) == []

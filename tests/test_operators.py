@@ -8,6 +8,7 @@ from sessionloom.operators import commands as C
 from sessionloom.operators import diff, enrich, live, policy, search
 from sessionloom.render import render
 from sessionloom.runtime import materialize, scratch_dir
+from sessionloom.store import USER_TABLES
 
 
 def one(spark, column, **values):
@@ -157,6 +158,73 @@ def test_policy(spark, agent, tool, command, target, bypass, denied):
     assert policy.audit(calls, rules).first().denied == denied
 
 
+RULES = """
+[profiles._default]
+aliases = ["", "main"]
+tools = ["Task"]
+[[profiles._default.agent.spawn.allow]]
+profile = "worker"
+[[profiles._default.agent.spawn.allow]]
+profile = "free"
+may-bypass = true
+[profiles.worker]
+aliases = ["Helper"]
+tools = ["Bash", "Read"]
+mcp-tools = ["mcp_*"]
+safety-overrides = ["push"]
+[profiles.worker.commands]
+categories = ["git"]
+[profiles.free]
+[command-categories.git]
+allow = [["git", "status"], ["git", "push"]]
+[safety.push]
+kind = "deny-always"
+message = "no"
+[safety.push.command]
+prefix = ["git", "push"]
+"""
+
+
+def test_rules_of_a_file(spark):
+    rules = policy.read_rules(spark, RULES)
+    make = [("helper", "Bash", "git status -s", None, False), ("WORKER", "Bash", "git log", None, False), ("worker", "mcp_x", None, None, False), ("main", "Task", None, "helper", False), (None, "Task", None, "helper", True), (None, "Task", None, "free", True)]
+    calls = spark.createDataFrame([(k, *c) for k, c in enumerate(make)], "call_id long, agent_type string, tool_name string, command string, target string, bypass boolean")
+    got = {r.call_id: r.denied for r in policy.audit(calls, rules).collect()}
+    assert got == {0: None, 1: "command not allowed", 2: None, 3: None, 4: "bypassed permissions", 5: None}
+
+
+@pytest.mark.parametrize(
+    ("old", "new", "wrong"),
+    [
+        ("_default", "other", "no profile _default"),
+        ('"Read"]', '"Raed"]', "unknown tool Raed"),
+        ('categories = ["git"]', 'categories = ["hg"]', "unknown command category hg"),
+        ('safety-overrides = ["push"]', 'safety-overrides = ["pull"]', "unknown safety override pull"),
+        ('"Helper"]', '"MAIN "]', "the name main is taken"),
+        ('profile = "free"', 'profile = "gone"', "unknown spawn target gone"),
+        ('prefix = ["git", "push"]', 'prefix = ["git", "push", "-f"]', "override push is for no command"),
+    ],
+)
+def test_wrong_rules(spark, old, new, wrong):
+    with pytest.raises(ValueError, match=wrong):
+        policy.read_rules(spark, RULES.replace(old, new))
+
+
+def test_suggestions(spark):
+    lines = [("/usr/bin/rg x",), ("cd /a && cat b",), ("git status",), ("",), (None,)]
+    got = [r.s for r in spark.createDataFrame(lines, "c string").select(policy.suggestion(F.col("c")).alias("s")).collect()]
+    assert got == ["Use the native Grep tool instead.", "Use the native Read tool for file inspection.", None, None, None]
+
+
+def test_diff_of_users_tables(spark):
+    a = spark.createDataFrame([("c1", "2026-01-01T00:00:00Z", "x", None), ("c2", "t", "y", "{}")], USER_TABLES["config_versions"])
+    b = spark.createDataFrame([("c1", "2026-01-01T00:00:00+00:00", "z", None)], USER_TABLES["config_versions"])
+    assert {tuple(r) for r in diff.config_versions_diff(a, b).collect()} == {("c1", "differs", "description", "x", "z"), ("c2", "only_a", None, None, None)}
+    a = spark.createDataFrame([("s", "good", None, "t"), ("s", "good", None, "t")], USER_TABLES["annotations"])
+    b = spark.createDataFrame([("s", "good", "n", "t"), ("r", "bad", None, "t")], USER_TABLES["annotations"])
+    assert {tuple(r) for r in diff.annotations_diff(a, b).collect()} == {("s|good|t", "differs", "notes", None, "n"), ("r|bad|t", "only_b", None, None, None)}
+
+
 def test_rendering(spark):
     df = spark.createDataFrame([("a|b", 1.0, None), ("ü", 2.5, True)], "x string, y double, z boolean")
     assert render(df) == "x    y    z\n---  ---  ----\na|b  1\nü    2.5  true"
