@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import covertree, decontaminate, language, licences, mixing, quality, secrets, simhash, toxicity, warc
+from . import codes, covertree, decontaminate, fim, language, licences, mixing, quality, secrets, simhash, tokens, toxicity, warc
 
 ORACLES: dict[str, str] = {
     "op5_embedding_near_dedup": covertree.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
     "op10_mixing": mixing.oracle(),
+    "op11_vector_codes": codes.oracle(),
+    "op12_fill_in_middle": fim.ORACLE,
 }
 
 
@@ -24,6 +26,9 @@ def queries() -> dict:
         decontaminate.op8_benchmark_decontamination,
         language.op9_language_id,
         mixing.op10_mixing,
+        codes.op11_vector_codes,
+        fim.op12_fill_in_middle,
+        tokens.op13_token_counts,
     ]
     return {f.__name__: f for f in ops}
 
