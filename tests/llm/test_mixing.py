@@ -97,8 +97,34 @@ def test_a_value_beyond_its_target_is_taken_whole(spark):
 
 def test_targets_that_cannot_be_met_together(spark):
     rows = [(i, prose(20, i), "en" if i % 2 else "de", "a" if i % 2 else "b") for i in range(100)]  # all of a is en
-    cells = spark.createDataFrame([("a", "en", "prose", 10), ("b", "de", "prose", 30)], "source string, lang string, topic string, tokens long")
     with pytest.warns(UserWarning, match="cannot all be met"):
-        M.rake(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.2, "de": 0.8}}, 0.7).collect()
+        M.rake(cells_of(spark, {("a", "en"): 10, ("b", "de"): 30}), {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.2, "de": 0.8}}, 0.7)
     with pytest.warns(UserWarning, match="cannot all be met"):
         assert M.calibrated(docs(spark, rows), targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.2, "de": 0.8}}).count() == 100
+
+
+def cells_of(spark, tokens):
+    return spark.createDataFrame([(*k, "prose", v) for k, v in tokens.items()], "source string, lang string, topic string, tokens long")
+
+
+NEARLY_DIAGONAL = {("a", "x"): 10**6, ("b", "y"): 10**6, ("a", "y"): 1, ("b", "x"): 1}
+
+
+def test_targets_that_are_met_slowly(spark):
+    fitted, _, never = M.rake(cells_of(spark, NEARLY_DIAGONAL), {"source": {"a": 0.6, "b": 0.4}, "lang": {"x": 0.5, "y": 0.5}}, 0.7)
+    w = {(r.source, r.lang): r.w for r in fitted.collect()}
+    assert not never and math.isclose(w["a", "x"] + w["a", "y"], 0.6, rel_tol=1e-9) and math.isclose(w["a", "x"] + w["b", "x"], 0.5, rel_tol=1e-9)
+
+
+def test_not_met_yet_is_said(spark):
+    with pytest.warns(UserWarning, match="not met yet"):
+        M.rake(cells_of(spark, NEARLY_DIAGONAL), {"source": {"a": 0.6, "b": 0.4}, "lang": {"x": 0.5, "y": 0.5}}, 0.7, sweeps=3)
+
+
+def test_many_cells_give_the_same(spark, monkeypatch):
+    d = docs(spark, ROWS[:120])
+    one = {(c.source, c.lang, c.topic): c.probability for c in M.plan(d, ["doc_id"])[1].collect()}
+    monkeypatch.setattr(M, "FEW", 0)
+    monkeypatch.setattr(M, "STRETCH", 2)
+    many = {(c.source, c.lang, c.topic): c.probability for c in M.plan(d, ["doc_id"], sweeps=20)[1].collect()}
+    assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-6) for k in one)
