@@ -36,7 +36,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 from . import common
 
 PIECE = 1 << 18  # characters
-HELD = 1 << 18  # words whose counts a task remembers
+HELD = 1 << 19  # words whose counts a task remembers
 LONGEST_HELD = 64
 # Fixed value: the pattern of words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -100,27 +100,32 @@ def read_ranks(path: str) -> tuple[dict[tuple[str, str], int], list[str]]:
 
 def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """What is left of the symbols when no adjacent pair has a rank."""
-    n = len(symbols)
+    n, get = len(symbols), ranks.get
     part, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i) for i, pair in enumerate(zip(part, part[1:], strict=False)) if (r := ranks.get(pair)) is not None]
+    pair = [get(p, -1) for p in zip(part, part[1:], strict=False)]  # the rank of each symbol with its next one
+    pair.append(-1)
+    heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
     heapq.heapify(heap)
     merges = 0
     while heap:
-        rank, i = heapq.heappop(heap)
-        j = after[i]
-        if part[i] is None or j == n or ranks.get((part[i], part[j])) != rank:
+        rank, i = divmod(heapq.heappop(heap), n)
+        if pair[i] != rank:
             continue  # one of the two has been merged since
+        j = after[i]
         part[i] += part[j]
-        part[j] = None
+        pair[i] = pair[j] = -1
         merges += 1
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if (r := ranks.get((part[i], part[k]))) is not None:
-                heapq.heappush(heap, (r, i))
+            pair[i] = rank = get((part[i], part[k]), -1)
+            if rank >= 0:
+                heapq.heappush(heap, rank * n + i)
         h = before[i]
-        if h >= 0 and (r := ranks.get((part[h], part[i]))) is not None:
-            heapq.heappush(heap, (r, h))
+        if h >= 0:
+            pair[h] = rank = get((part[h], part[i]), -1)
+            if rank >= 0:
+                heapq.heappush(heap, rank * n + h)
     return n - merges
 
 
@@ -134,7 +139,7 @@ class Counter(dict):
         self.special = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
 
     def __missing__(self, word: str) -> int:
-        n = merged_count([self.letters[b] for b in word.encode("utf-8", "surrogatepass")], self.ranks)
+        n = merged_count(list(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass"))), self.ranks)
         if len(word) <= LONGEST_HELD:
             if len(self) >= HELD:
                 self.clear()
