@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionloom.functions import events as E
+from sessionloom.operators import enrich as N
 
 
 def since(column: str, now: str, days: int) -> Column:
@@ -115,10 +116,10 @@ def failures(events: DataFrame, now: str, days: int = 7, limit: int = 200) -> Da
 
 def before_stop(events: DataFrame, limit: int = 50, marker: str = "Stop") -> DataFrame:
     """The five events before each marker of a session, newest markers first."""
-    w = W.partitionBy("session_id").orderBy("source_file", "sequence_num")
     label = F.concat("event_type", F.lit("/"), F.coalesce("tool_name", F.lit("")))
-    lagged = events.select("session_id", "event_type", "timestamp", "raw_index", *[F.lag(label, k).over(w).alias(f"m{k}") for k in range(5, 0, -1)])
-    return lagged.where(F.col("event_type") == marker).orderBy(F.desc("timestamp"), F.desc("raw_index")).limit(limit).select("session_id", "timestamp", "m5", "m4", "m3", "m2", "m1")
+    found = N.lagged(events.select("session_id", "source_file", "sequence_num", "event_type", "timestamp", "raw_index", "tool_name"), label, 5, order=("source_file", "sequence_num"), wanted=F.col("event_type") == marker)
+    newest = found.orderBy(F.desc("timestamp"), F.desc("raw_index")).limit(limit)
+    return newest.select("session_id", "timestamp", *[F.try_element_at("before", F.lit(-k))["v"].alias(f"m{k}") for k in range(5, 0, -1)])
 
 
 def compactions(events: DataFrame, limit: int = 100) -> DataFrame:

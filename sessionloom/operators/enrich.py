@@ -3,7 +3,9 @@ rows, upserts, lineage.
 
 Order is the text order of (timestamp, raw_index). Running values are kept by
 (source file, session) and computed in two steps, within the hours of a session
-and over the hours' totals, so that one very long session spreads over tasks.
+and over the hours' totals, so that one very long session spreads over tasks. Rows
+before (``lagged``) and the latest value (``latest``) go the same way: a part hands
+on its last rows or value, and only parts are looked at in a window over a session.
 """
 
 from __future__ import annotations
@@ -36,6 +38,44 @@ def running(events: DataFrame, values: dict[str, Column], group: tuple[str, ...]
     return summed.drop("_part", *[f"_{x}_{k}" for k in values for x in "vo"])
 
 
+def lagged(events: DataFrame, value: Column, k: int, group: tuple[str, ...] = ("session_id",), order: tuple[str, ...] = ("source_file", *ORDER), wanted: Column | None = None) -> DataFrame:
+    """Adds ``before``: the values, as structs of v, of the k rows before a row in
+    its group, the nearest last. Rows other than ``wanted`` are left out after
+    they were counted.
+
+    A group is cut into parts by hour, and by file where order begins with it. The
+    last k values of a part are all that later parts need of it, and as each part
+    has a row, they need no more than the k parts before: what is carried on is
+    bounded, and a task has an hour of a group at most."""
+    own = [*group, "_part"]
+    keyed = events.withColumns({"_part": F.struct(*[c for c in order if c == "source_file"], F.substring("timestamp", 1, 13).alias("hour")), "_v": F.struct(value.alias("v"))})
+    newest = F.row_number().over(W.partitionBy(*own).orderBy(*[F.desc(c) for c in order]))
+    # all but k rows of a part go before they are shuffled
+    rows = keyed.select(*own, *[c for c in order if c not in group], "_v").withColumn("_r", newest).where(F.col("_r") <= k)
+    tails = rows.groupBy(*own).agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("_r", "_v")))), lambda x: x["_v"]).alias("_tail"))
+    last = lambda values: F.when(F.size(values) > k, F.slice(values, -k, k)).otherwise(values)
+    carried = F.flatten(F.collect_list("_tail").over(W.partitionBy(*group).orderBy("_part").rowsBetween(-k, -1)))
+    carry = tails.select(*own, carried.alias("_carry")).where(F.size("_carry") > 0).select(*own, last(F.col("_carry")).alias("_carry"))
+    within = F.collect_list("_v").over(W.partitionBy(*own).orderBy(*order).rowsBetween(-k, -1))
+    found = keyed.withColumn("_own", within)
+    found = (found if wanted is None else found.where(wanted)).join(carry, own, "left")
+    return found.withColumn("before", last(F.concat(F.coalesce("_carry", F.array()), "_own"))).select(*events.columns, "before")
+
+
+def latest(rows: DataFrame, value: Column, group: tuple[str, ...], order: tuple[str, ...] = ORDER) -> DataFrame:
+    """Adds ``latest``: the last value that is not null of a row's group up to the
+    row itself. The last value of each hour is an aggregate; it is handed to the
+    hours after it, where they have none of their own. The group's columns are
+    not null."""
+    own = [*group, "_part"]
+    keyed = rows.withColumns({"_part": F.substring("timestamp", 1, 13), "_v": value})
+    ends = keyed.groupBy(*own).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last"))
+    carried = F.last("_last", ignorenulls=True).over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    carry = ends.select(*own, carried.alias("_carry")).where("_carry IS NOT NULL")
+    within = F.last("_v", ignorenulls=True).over(W.partitionBy(*own).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return keyed.withColumn("_v", within).join(carry, own, "left").select(*rows.columns, F.coalesce("_v", "_carry").alias("latest"))
+
+
 def tool_duration(events: DataFrame) -> DataFrame:
     """duration_ms of each tool end: time since the last start in the same file
     and session with its tool_use_id, be it earlier or later."""
@@ -91,10 +131,11 @@ def fold_sessions(rows: DataFrame) -> DataFrame:
 def tool_call_rows(events: DataFrame) -> DataFrame:
     """One row per tool end that has an id, paired with the latest earlier start
     of its file, session and id; without one it keeps its own time."""
-    w = W.partitionBy(*GROUP, "tool_use_id").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, W.currentRow)
-    kept = ("timestamp", "tool_input", "tool_name", "agent_id", "agent_type", "skill_name", "skill_type")
-    pre = F.last(F.when(F.col("event_type") == "PreToolUse", F.struct(*kept)), ignorenulls=True).over(w)
-    ends = events.where(F.col("tool_use_id").isNotNull() & F.col("event_type").isin("PreToolUse", *E.TOOL_END)).withColumn("_pre", pre).where(F.col("event_type").isin(*E.TOOL_END))
+    kept = ("timestamp", "tool_name", "agent_id", "agent_type", "skill_name", "skill_type")
+    pre = F.when(F.col("event_type") == "PreToolUse", F.struct(*kept, F.substring("tool_input", 1, 200).alias("input_summary")))
+    tool = events.where(F.col("tool_use_id").isNotNull() & F.col("event_type").isin("PreToolUse", *E.TOOL_END))
+    needed = (*GROUP, *ORDER, "event_type", "tool_use_id", "tool_input", *kept[1:], "duration_ms", "output_bytes", "error")
+    ends = latest(tool.select(*needed), pre, (*GROUP, "tool_use_id")).where(F.col("event_type").isin(*E.TOOL_END)).withColumnRenamed("latest", "_pre")
     failed = F.col("event_type") == "PostToolUseFailure"
     either = lambda c: F.coalesce(F.col(c), F.col(f"_pre.{c}")).alias(c)
     return ends.select(
@@ -107,7 +148,7 @@ def tool_call_rows(events: DataFrame) -> DataFrame:
         F.coalesce("_pre.timestamp", "timestamp").alias("started_at"),
         F.col("timestamp").alias("completed_at"),
         "duration_ms",
-        F.substring("_pre.tool_input", 1, 200).alias("input_summary"),
+        F.col("_pre.input_summary").alias("input_summary"),
         "output_bytes",
         F.when(failed, F.col("error")).alias("error"),
         F.when(failed, 0).otherwise(1).cast("long").alias("succeeded"),

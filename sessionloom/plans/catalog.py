@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionloom.functions import events as E
@@ -82,10 +81,6 @@ def _path_prefix(t: Tables) -> DataFrame:
     return paths.withColumn("path", F.explode(E.ancestors(F.col("file_path")))).join(dirs, ["session_id", "path"], "left_semi").select("session_id", "file_path").distinct()
 
 
-def _in_session(order: tuple[str, ...] = N.ORDER):
-    return W.partitionBy("session_id").orderBy(*order)
-
-
 def _sql(t: Tables) -> DataFrame:
     return t.spark.sql("SELECT event_type, count(*) AS n, count(DISTINCT session_id) AS s FROM {events} GROUP BY event_type HAVING count(*) > 10", events=t.raw)
 
@@ -299,10 +294,10 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "agg_global": lambda t: t.projected.agg(F.count("*").alias("n"), F.coalesce(F.sum("output_bytes"), F.lit(0)).alias("total")),
     "agg_nested": lambda t: t.raw.groupBy("session_id").agg(F.count("*").alias("n")).agg(F.avg("n").alias("mean_size"), F.max("n").alias("max_size")),
     "agg_by_date": lambda t: t.raw.groupBy(E.event_date(F.col("timestamp")).cast("string").alias("day"), "event_type").agg(F.count("*").alias("n")),
-    "window_lag": lambda t: t.raw.select("raw_index", F.lag("event_type").over(_in_session()).alias("prev")),
+    "window_lag": lambda t: N.lagged(t.raw.select("session_id", "event_type", "source_file", *N.ORDER), F.col("event_type"), 1).select("raw_index", F.try_element_at("before", F.lit(-1))["v"].alias("prev")),
     "window_running_sum": lambda t: N.running(t.projected, {"total": F.col("output_bytes")}, ("session_id",)).select("raw_index", "total"),
-    "window_row_number": lambda t: t.raw.select("raw_index", F.row_number().over(_in_session()).alias("n")),
-    "window_asof_last": lambda t: t.raw.where("tool_use_id IS NOT NULL").select("raw_index", F.last(F.when(F.col("event_type") == "PreToolUse", F.col("timestamp")), ignorenulls=True).over(W.partitionBy("session_id", "tool_use_id").orderBy(*N.ORDER).rowsBetween(W.unboundedPreceding, 0)).alias("pre")),
+    "window_row_number": lambda t: N.running(t.raw.select("session_id", *N.ORDER), {"n": F.lit(1)}, ("session_id",)).select("raw_index", F.col("n").cast("int").alias("n")),
+    "window_asof_last": lambda t: N.latest(t.raw.where("tool_use_id IS NOT NULL").select("session_id", "tool_use_id", "event_type", *N.ORDER), F.when(F.col("event_type") == "PreToolUse", F.col("timestamp")), ("session_id", "tool_use_id")).select("raw_index", F.col("latest").alias("pre")),
     "topk": lambda t: t.projected.orderBy(F.desc("output_bytes"), "raw_index").limit(20).select("raw_index", "output_bytes"),
     "union_files": lambda t: t.raw.where(F.col("timestamp") < _SPLIT).select("raw_index").unionByName(t.raw.where(F.col("timestamp") >= _SPLIT).select("raw_index")),
     "daily_window": lambda t: t.raw.groupBy(F.window(E.parse_ts(F.col("timestamp")), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("w.start").cast("string").alias("day"), "event_type", "n"),

@@ -1,6 +1,9 @@
 """Cases that the benchmark data do not hold."""
 
+import random
+
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionloom.functions import events as E
@@ -236,3 +239,51 @@ def test_scratch_folder(spark):
     assert scratch_dir(spark).startswith("file://" + spark.conf.get("spark.checkpoint.dir") + "/")
     df = materialize(spark.range(5), "x")
     assert df.count() == 5 and "Range" not in df._jdf.queryExecution().logical().toString()
+
+
+def _busy(spark, n=900, seed=5):
+    """One session with most rows, over files and hours of very unequal size, with equal times."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        hour = r.choice([1, 1, 1, 1, 2, 5, 5, 9, 23])
+        day = r.choice([1, 1, 2])
+        kind = r.choice(["PreToolUse", "PostToolUse", "Stop", "PostToolUseFailure"])
+        rows.append((f"f{day}", f"2026-02-0{day}T{hour:02}:{r.randint(0, 3):02}:00Z", i, r.choice(["hot", "hot", "hot", f"s{i % 40}"]), kind, r.choice([None, "Read", "Bash"]), r.choice([None, "a", "a", "b", f"t{i}"])))
+    return spark.createDataFrame(rows, "source_file string, timestamp string, raw_index long, session_id string, event_type string, tool_name string, tool_use_id string").repartition(6)
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_rows_before_by_parts(spark, k):
+    events = _busy(spark)
+    order = ("source_file", "timestamp", "raw_index")
+    w = W.partitionBy("session_id").orderBy(*order)
+    plain = events.select("raw_index", F.collect_list(F.struct(F.col("tool_name").alias("v"))).over(w.rowsBetween(-k, -1)).alias("before"))
+    got = enrich.lagged(events, F.col("tool_name"), k)
+    assert got.columns == [*events.columns, "before"]
+    assert {r.raw_index: r.before for r in got.collect()} == {r.raw_index: r.before for r in plain.collect()}
+    some = enrich.lagged(events, F.col("tool_name"), k, wanted=F.col("event_type") == "Stop")
+    stops = plain.join(events.where("event_type = 'Stop'").select("raw_index"), "raw_index")
+    assert {r.raw_index: r.before for r in some.collect()} == {r.raw_index: r.before for r in stops.collect()}
+
+
+def test_latest_value_by_parts(spark):
+    events = _busy(spark).where("tool_use_id IS NOT NULL")
+    group, value = ("source_file", "session_id", "tool_use_id"), F.when(F.col("event_type") == "PreToolUse", F.struct("timestamp", "tool_name"))
+    w = W.partitionBy(*group).orderBy(*enrich.ORDER).rowsBetween(W.unboundedPreceding, W.currentRow)
+    plain = events.select("raw_index", F.last(value, ignorenulls=True).over(w).alias("latest"))
+    got = enrich.latest(events, value, group)
+    assert got.columns == [*events.columns, "latest"]
+    assert {r.raw_index: r.latest for r in got.collect()} == {r.raw_index: r.latest for r in plain.collect()}
+
+
+def test_no_window_holds_a_session(spark):
+    """A session of one busy hour of ten is dealt to tasks by its hours."""
+    hours = spark.range(4000).select(F.lit("f").alias("source_file"), F.format_string("2026-02-01T%02d:00:00Z", F.col("id") % 10).alias("timestamp"), F.col("id").alias("raw_index"), F.lit("one").alias("session_id"), F.lit("x").alias("event_type"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = enrich.lagged(hours, F.col("event_type"), 5).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(dealt) > 1 and max(r["count"] for r in dealt) < 4000
+    assert enrich.lagged(hours.where("false"), F.col("event_type"), 5).count() == 0
