@@ -13,7 +13,7 @@ Defined cases: null or word-less texts have no words and are never hit; an item
 without words has no window; a null item_id hits words but is not listed among
 items; repeated items and documents count as one item and as rows of their own.
 Only doc_id/text and item_id/text are read, further columns do not matter; ids
-are integers. Terms are compared by a 64-bit hash of their bytes: two different
+are integers. Terms are compared by the XXH64 of their bytes: two different
 words of a corpus of n distinct ones share a hash with a chance of about n^2 / 2^65,
 and to matter they must also stand in the same place of a test window.
 """
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +46,18 @@ _SEPARATORS = bytes(c for c in range(0x80) if not _WORD[_LOWER[c]])
 SHIFT = 40  # a posting is (document in segment) << SHIFT | position
 
 
-def terms(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start offsets of the words of a buffer, A-Z lower-cased."""
-    low = _LOWER[buf]
-    start, end = common.runs(_WORD[low])
-    return common.range_hash(common.prefix_hash(low), start, end), start
+_SPACED = bytes(_LOWER[c] if _WORD[_LOWER[c]] else 0x20 for c in range(256))
+
+
+def terms(data: bytes) -> np.ndarray:
+    """Hashes of the words of UTF-8 bytes, A-Z lower-cased."""
+    words = data.translate(_SPACED).split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def text_terms(text: str | None) -> np.ndarray:
     data = (text or "").encode("utf-8", "surrogatepass")
-    got = [terms(np.frombuffer(p, np.uint8))[0] for p in common.pieces(data, _SEPARATORS)]
+    got = [terms(p) for p in common.pieces(data, _SEPARATORS)]
     return np.concatenate(got) if got else np.zeros(0, np.uint64)
 
 
@@ -135,10 +138,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFr
             size, rows = 0, []
             flush = lambda: segment([ids[k] for k, _ in part], [np.concatenate(x) for _, x in part], 0)
             for who, datas in common.slices(texts, _SEPARATORS):
-                buf, text_end = common.joined(datas)
-                h, start = terms(buf)
-                cut = np.searchsorted(start, text_end)[:-1]
-                for i, x in zip(who, np.split(h, cut), strict=True):
+                for i, x in zip(who, map(terms, datas), strict=True):
                     if part and part[-1][0] == i:
                         part[-1][1].append(x)  # a further piece of a long text
                         size += len(x)
@@ -272,13 +272,13 @@ def distinct_terms(items: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, spans (merged, end exclusive, in
-    words), items (ids whose windows occur).
+    words), items (ids whose windows occur). Equal rows of the benchmark are read once.
 
     The test items are the stated query set: they are read in blocks of about
     ``block_words`` words (a longer single item makes its own block), and every
     block is asked of the one index of all documents."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
     wanted = materialize(distinct_terms(items), "terms")
     vocabulary = np.sort(wanted.toArrow()["term"].to_numpy().view(np.uint64)) if wanted.count() <= VOCABULARY else None
     # segments and the order of documents in them are written down here

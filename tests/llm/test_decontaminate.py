@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from sessionloom.llm import decontaminate as D
 
 from .samples import AWKWARD, docs, prose
@@ -76,3 +78,19 @@ def test_empty_tables(spark):
     assert D.contamination(docs(spark, ROWS).where("false"), items(spark)).count() == 0
     none = D.report(D.contamination(docs(spark, ROWS), items(spark).where("false"))).collect()
     assert len(none) == len(ROWS) and not any(r.contaminated for r in none)
+
+
+def test_words_that_differ_only_in_their_pattern(spark):
+    """Thue-Morse words, whose polynomial hashes modulo a power of two are equal."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    assert D.text_terms(a)[0] != D.text_terms(b)[0]
+    one = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert [(r.doc_id, r.n_hit) for r in D.report(D.contamination(docs(spark, [(1, a), (2, b)]), one)).orderBy("doc_id").collect()] == [(1, 1), (2, 0)]
+
+
+def test_equal_items_are_read_once(spark):
+    many = spark.range(20_000).select(F.lit(1).cast("long").alias("item_id"), F.lit(prose(30, 50)).alias("text"))
+    want = plain(ROWS, [(1, prose(30, 50))])
+    assert found(D.contamination(docs(spark, ROWS), many, block_words=100_000)) == want
