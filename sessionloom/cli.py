@@ -8,7 +8,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 
 from sessionloom.operators import commands as C
-from sessionloom.operators import live, search
+from sessionloom.operators import live
 from sessionloom.render import render
 from sessionloom.runtime import build_session
 from sessionloom.sources import jsonl, legacy_sqlite
@@ -38,7 +38,7 @@ def questions(store: Store, now: str) -> dict:
         "slow": lambda a: C.slow(t("tool_calls"), a.threshold, *a.args[:1]),
         "tokens": lambda a: C.tokens(t("sessions"), *a.args[:1]),
         "append-daily": lambda a: C.daily_totals(t("sessions"), now),
-        "search": lambda a: found(t("events"), a.args),
+        "search": lambda a: store.search(a.args),
         "sql": lambda a: store.sql(a.args[0], a.write),
         "coverage": lambda a: live.coverage(recent(a), a.args[0]),
         "provenance": lambda a: live.provenance_sessions(recent(a)),
@@ -48,12 +48,6 @@ def questions(store: Store, now: str) -> dict:
     }
 
 
-def found(events: DataFrame, words: list[str]) -> DataFrame:
-    index = search.build(events, "event_hash", ["prompt_text", "error", "tool_input"])
-    hits = search.ranked(index, words, search.all_of(*[search.term(index, w) for w in words])).withColumnRenamed("id", "event_hash")
-    return hits.join(events.select("event_hash", "session_id", "timestamp", "event_type"), "event_hash").orderBy("score", ascending=False)
-
-
 def tail(stream: DataFrame, only: str | None = None) -> None:
     """Prints new lines until interrupted."""
 

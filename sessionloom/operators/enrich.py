@@ -94,11 +94,23 @@ def enrich(raw: DataFrame) -> DataFrame:
     return running(projected, {"_n": F.lit(1), "context_cumulative_bytes": size}).withColumn("sequence_num", F.col("_n") - 1).drop("_n")
 
 
-def first_of_hash(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """One event of each event_hash, the first in order; none that is stored."""
+FEW_HASHES = 1_000_000  # of 16 characters: a batch with no more goes to where the stored ones are
+
+
+def first_of_hash(events: DataFrame, stored: DataFrame | None = None, batch: int | None = None) -> DataFrame:
+    """One event of each event_hash, the first in order; none that is stored.
+
+    ``batch`` is how many events there are, if it is known. The hashes of a small
+    batch are sent around to look for them among the stored ones, which then stay
+    where they are; the few that are found are taken out of the batch."""
     rank = F.row_number().over(W.partitionBy("event_hash").orderBy(*ORDER, "source_file"))
     fresh = events.withColumn("_r", rank).where("_r = 1").drop("_r")
-    return fresh if stored is None else fresh.join(stored.select("event_hash"), "event_hash", "left_anti")
+    if stored is None:
+        return fresh
+    if batch is None or batch > FEW_HASHES:
+        return fresh.join(stored.select("event_hash"), "event_hash", "left_anti")
+    known = stored.select("event_hash").join(F.broadcast(events.select("event_hash").distinct()), "event_hash", "left_semi")
+    return fresh.join(known, "event_hash", "left_anti")
 
 
 def session_rows(events: DataFrame) -> DataFrame:
@@ -214,12 +226,14 @@ def gap_seconds(prev: str, cur: str) -> Column:
     return E.div(F.unix_micros(E.parse_ts(F.col(f"{cur}.started_at"))) - F.unix_micros(E.parse_ts(F.col(f"{prev}.ended_at"))), 1_000_000)
 
 
-def parents(sessions: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+def parents(sessions: DataFrame, within: tuple[str, ...] = (), of: DataFrame | None = None) -> DataFrame:
     """(session_id, parent_session_id, score) of sessions that continue another:
     of the sessions ended before it started, newest first up to and including
     the first that ended over 30 minutes before, the one that scores highest,
     at least LEAST_SCORE; of equal scores the newest. ``within`` names columns
-    that both must share (an owner, a host).
+    that both must share (an owner, a host). ``of`` has the session_ids to find
+    parents for, if not for all; the others are then looked at only where they
+    ended within an hour before the first of these, later, or as the last before.
 
     No pairs are made. A newer session that shares the same fields and ended in
     the same way scores at least as high, so the best one is the newest of those
@@ -234,6 +248,13 @@ def parents(sessions: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     eligible = materialize(sessions.where(F.col("source").isin("startup", "resume")).select(*within, *[f for f in fields if f not in within]), "eligible")
     side = lambda name, text: eligible.withColumn("_at", E.parse_ts(F.col(text))).where("_at IS NOT NULL").select(*within, F.struct("_at", *fields).alias(name))
     ended, started = side("prev", "ended_at"), side("cur", "started_at")
+    if of is not None:
+        started = started.join(of.select(F.col("session_id").alias("_of")), F.col("cur.session_id") == F.col("_of"), "left_semi")
+        if not within:
+            first, last = started.agg(F.min("cur._at"), F.max("cur._at")).first()
+            early = F.unix_seconds("prev._at") < F.unix_seconds(F.lit(first)) - 2 * LOOK_BACK_S
+            # three: one may be the session itself, and two are compared
+            ended = materialize(ended.where((F.col("prev._at") <= F.lit(last)) & ~early).unionByName(ended.where(early).orderBy(F.col("prev._at").desc(), F.col("prev.session_id").desc()).limit(3)), "ended")
     sets = [[c for c in FIELD_POINTS if c in chosen] for n in range(len(FIELD_POINTS) + 1) for chosen in combinations(FIELD_POINTS, n)]
     filled = lambda name, own: F.forall(F.array(F.lit("x"), *[F.col(f"{name}.{c}") for c in own]), lambda v: F.coalesce(v != "", F.lit(False)))
     keys = lambda name: F.array(*[F.when(filled(name, own), F.concat_ws("\u0001", F.lit(str(k)), *[F.col(f"{name}.{c}") for c in own])) for k, own in enumerate(sets)])
@@ -300,6 +321,52 @@ def with_lineage(sessions: DataFrame, within: tuple[str, ...] = ()) -> DataFrame
     return sessions.join(edges.select("session_id", "parent_session_id"), "session_id", "left").join(chains(edges), "session_id", "left")
 
 
+def affected(sessions: DataFrame, before: DataFrame, touched: DataFrame) -> DataFrame:
+    """(session_id) of the sessions whose parent may be another than it was:
+    ``touched`` ones (session_id), and those that start where the end of a touched
+    one, as it is in ``sessions`` or was in ``before``, can count: from that end on,
+    up to half an hour after the second later end of an untouched session. By slots
+    of half an hour, of which there are few."""
+    slot = lambda c: F.floor(F.unix_seconds(E.parse_ts(F.col(c))) / LOOK_BACK_S)
+    all_ends = lambda df: df.select(slot("ended_at").alias("slot")).where("slot IS NOT NULL").distinct()
+    moved = all_ends(sessions.join(touched, "session_id", "left_semi")).union(all_ends(before.join(touched, "session_id", "left_semi"))).distinct()
+    used = all_ends(sessions.join(touched, "session_id", "left_anti"))
+    starts = sessions.select("session_id", slot("started_at").alias("slot"))
+    by_slot = W.orderBy("slot")  # over slots of time, not sessions
+    two = used.withColumn("two", F.struct(F.col("slot").alias("one"), F.lead("slot").over(by_slot).alias("other"))).withColumn("moved", F.lit(False))
+    line = two.unionByName(moved.withColumns({"two": F.lit(None).cast(two.schema["two"].dataType), "moved": F.lit(True)}))
+    reach = F.coalesce(F.first("two", ignorenulls=True).over(by_slot.rangeBetween(1, W.unboundedFollowing))["other"] + 2, F.lit(1 << 40))
+    until = line.withColumn("until", reach).where("moved").select("slot", "until")
+    asked = starts.select("slot").where("slot IS NOT NULL").distinct().withColumn("until", F.lit(None).cast("long"))
+    reached = F.max("until").over(by_slot.rangeBetween(W.unboundedPreceding, 0)) >= F.col("slot")
+    hit = until.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True))).withColumn("hit", reached).where("asked AND hit").select("slot")
+    return starts.join(hit, "slot", "left_semi").select("session_id").union(touched.select("session_id").join(sessions, "session_id", "left_semi").select("session_id")).distinct()
+
+
+def relinked(sessions: DataFrame, before: DataFrame, touched: DataFrame) -> DataFrame:
+    """(session_id, parent_session_id, chain_id) of the sessions whose lineage has
+    to be written anew. ``sessions`` are all sessions as they are now, with the
+    lineage they had (null for new ones); ``before`` are at least the touched ones
+    as they were.
+
+    Only affected sessions look for a parent again, and only the chains that a
+    changed edge was in, or leads out of, are followed again; a parent in any other
+    chain stands for the root it had."""
+    asked = materialize(affected(sessions, before, touched), "affected")
+    found = parents(sessions, of=asked).select("session_id", F.col("parent_session_id").alias("_new"))
+    old = sessions.select("session_id", "parent_session_id", "chain_id", F.coalesce("chain_id", "session_id").alias("_root"))
+    now = materialize(asked.join(found, "session_id", "left"), "parents")
+    # touched ones always: a new session, or one that comes back, may be the root of others
+    changed = old.join(now, "session_id").join(touched.select("session_id", F.lit(True).alias("_touched")), "session_id", "left").where("_touched OR NOT (_new <=> parent_session_id)")
+    roots = changed.select("_root").union(changed.select(F.col("session_id").alias("_root"))).distinct()
+    members = old.join(roots, "_root", "left_semi").join(now.withColumn("_asked", F.lit(True)), "session_id", "left")
+    members = materialize(members.select("session_id", F.when(F.col("_asked"), F.col("_new")).otherwise(F.col("parent_session_id")).alias("parent_session_id")), "members")
+    outside = old.join(members, "session_id", "left_anti").select(F.col("session_id").alias("parent_session_id"), F.col("_root").alias("_end"))
+    edges = members.where("parent_session_id IS NOT NULL").join(outside, "parent_session_id", "left")
+    found = chains(edges.select("session_id", F.coalesce("_end", "parent_session_id").alias("parent_session_id")))
+    return members.join(found, "session_id", "left")
+
+
 def lineage_candidates(sessions: DataFrame, now: str, limit: int = 20) -> DataFrame:
     """The oldest ``limit`` sessions that ended within 30 minutes before now."""
     since = F.to_timestamp(F.lit(now)) - F.expr("INTERVAL 30 MINUTES")

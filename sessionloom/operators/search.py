@@ -1,4 +1,6 @@
-"""Full-text search as joins over an inverted index.
+"""Full-text search as joins over an inverted index, made on the way (``build``)
+or written in parts by term and added to (``write``), of which a question reads the
+parts of its words only (``read``).
 
 Queries are built from functions (``term``, ``phrase``, ``prefix``, ``near`` and the
 set operations), not from a query language, and words match as they are written,
@@ -8,10 +10,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.runtime import materialize
+
 K1, B = 1.2, 0.75
+BUCKETS, BUCKET = 64, "_bucket"
 _WORD = r"[\p{L}\p{N}]+"
 # Letters with marks and what they are searched as.
 _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -77,14 +82,75 @@ def but_not(found: DataFrame, other: DataFrame) -> DataFrame:
     return found.join(other, "id", "left_anti")
 
 
-def ranked(index: DataFrame, query: list[str], found: DataFrame | None = None, limit: int | None = 50) -> DataFrame:
-    """(id, score) by BM25 over the query's words, best first, ties by id."""
+def bucket(term: Column, buckets: int = BUCKETS) -> Column:
+    """The part of an index that holds a term."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def postings(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(id, field, term, at, len): the positions of a term in a field of a row, and
+    how many words the row has, so that ranking needs no other table. Ids are unique."""
+    cut = rows.select(F.col(id_col).alias("id"), *[words(F.col(f)).alias(f) for f in fields])
+    sized = cut.withColumn("len", sum((F.size(f) for f in fields), F.lit(0)).cast("long"))
+    parts = [sized.select("id", "len", F.lit(f).alias("field"), F.posexplode(f).alias("pos", "term")) for f in fields]
+    return reduce(DataFrame.unionByName, parts).groupBy("id", "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("at"), F.max("len").alias("len"))
+
+
+def totals(postings: DataFrame) -> DataFrame:
+    """One row: docs with words, and their words."""
+    return postings.agg(F.count_distinct("id").alias("docs"), F.coalesce(F.sum(F.size("at")), F.lit(0)).alias("words"))
+
+
+def write(rows: DataFrame, id_col: str, fields: list[str], folder: str, append: bool = True, buckets: int = BUCKETS) -> None:
+    """Adds rows with new ids to an index in a folder, or replaces it. Postings are
+    kept by a hash of the term, frequent terms in several files, and how many rows
+    and words there are for each addition."""
+    mode = "append" if append else "overwrite"
+    made = materialize(postings(rows, id_col, fields), "postings")
+    dealt = made.withColumn(BUCKET, bucket(F.col("term"), buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, "term")
+    dealt.write.mode(mode).partitionBy(BUCKET).parquet(f"{folder}/postings")
+    totals(made).withColumn("buckets", F.lit(buckets)).write.mode(mode).parquet(f"{folder}/totals")
+
+
+def read(spark: SparkSession, folder: str, asked: list[str], id_type: str = "string") -> DataFrame:
+    """The index of these words, in the form that ``build`` makes, with each row's
+    length ``len``. Only the parts that hold one of them are read."""
+    buckets = spark.read.parquet(f"{folder}/totals").agg(F.max("buckets")).first()[0]
+    kept = spark.read.schema(f"id {id_type}, field string, term string, at array<int>, len long, {BUCKET} int").parquet(f"{folder}/postings")
+    return opened(kept.where(F.col(BUCKET).isin(buckets_of(spark, asked, buckets))), asked)
+
+
+def buckets_of(spark: SparkSession, asked: list[str], buckets: int = BUCKETS) -> list[int]:
+    plain = spark.createDataFrame([(_plain(w),) for w in asked], "term string")  # the words of a question
+    return sorted({r[0] for r in plain.select(bucket(F.col("term"), buckets)).collect()})
+
+
+def opened(postings: DataFrame, asked: list[str]) -> DataFrame:
+    return postings.where(F.col("term").isin([_plain(w) for w in asked])).select("id", "field", "term", F.explode("at").alias("pos"), "len")
+
+
+def size_of(spark: SparkSession, folder: str) -> DataFrame:
+    """docs and mean (their words) of a written index."""
+    return mean_length(spark.read.parquet(f"{folder}/totals"))
+
+
+def mean_length(totals: DataFrame) -> DataFrame:
+    return totals.agg(F.sum("docs").alias("docs"), F.coalesce(F.try_divide(F.sum("words").cast("double"), F.sum("docs")), F.lit(1.0)).alias("mean"))
+
+
+def ranked(index: DataFrame, query: list[str], found: DataFrame | None = None, limit: int | None = 50, size: DataFrame | None = None) -> DataFrame:
+    """(id, score) by BM25 over the query's words, best first, ties by id. For a
+    written index ``size`` has docs and mean."""
     wanted = [_plain(w) for w in query]
-    lengths = index.groupBy("id").agg(F.count("*").alias("len"))
-    size = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    tf = index.where(F.col("term").isin(wanted)).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    matches = index.where(F.col("term").isin(wanted))
+    if size is None:
+        lengths = index.groupBy("id").agg(F.count("*").alias("len"))
+        size = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
+        tf = matches.groupBy("id", "term").agg(F.count("*").alias("tf")).join(lengths, "id")
+    else:
+        tf = matches.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row for each word of the query
-    joined = tf.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(size))
+    joined = tf.join(F.broadcast(df), "term").join(F.broadcast(size.select("docs", "mean")))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     scored = joined.groupBy("id").agg(F.sum(weight).alias("score"))

@@ -164,6 +164,20 @@ def _searched(t: Tables) -> DataFrame:
     return S.build(t.documents, "doc_id", ["text"])
 
 
+def _written_index(t: Tables, asked: list[str]) -> tuple[DataFrame, DataFrame]:
+    """An index written in two additions, opened for some words, and its size."""
+    folder = f"{scratch_dir(t.spark)}/index"
+    for half in (0, 1):
+        S.write(t.documents.where(F.pmod("doc_id", F.lit(2)) == half), "doc_id", ["text"], folder)
+    return S.read(t.spark, folder, asked, "long"), S.size_of(t.spark, folder)
+
+
+def _stored_search(t: Tables) -> DataFrame:
+    asked = ["license", "version"]
+    index, size = _written_index(t, asked)
+    return S.ranked(index, asked, size=size).select("id", F.round("score", 9).alias("score"))
+
+
 def _boolean(t: Tables) -> DataFrame:
     i = _searched(t)
     return S.but_not(S.any_of(S.all_of(S.term(i, "the"), S.term(i, "licensed")), S.term(i, "token")), S.term(i, "released"))
@@ -230,6 +244,8 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "search_near": lambda t: S.near(_searched(t), "license", "version", 3),
     "search_prefix": lambda t: S.prefix(_searched(t), "licen"),
     "search": lambda t: S.ranked(_searched(t), ["license", "version"]).select("id", F.round("score", 9).alias("score")),
+    "search_stored": _stored_search,
+    "search_stored_phrase": lambda t: S.phrase(_written_index(t, ["licensed", "under", "the"])[0], ["licensed", "under", "the"]),
     "parity_events": _events_diff,
     "full_outer_diff": lambda t: D.report(_events_diff(t)),
     "parity_sessions": _sessions_diff,

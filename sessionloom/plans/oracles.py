@@ -311,3 +311,4 @@ _SEEN = {c: (_NORMAL.format(x=f"a.{c}"), _NORMAL.format(x=f"b.{c}")) if c.endswi
 SQL["parity_sessions"] = f"""WITH a AS ({chain(_SIDE)}), b AS ({_FEWER})
 SELECT coalesce(a.session_id, b.session_id) AS key, CASE WHEN b.session_id IS NULL THEN 'only_a' ELSE 'only_b' END AS kind, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b FROM a FULL JOIN b USING (session_id) WHERE a.session_id IS NULL OR b.session_id IS NULL
 """ + "".join(f"UNION ALL SELECT a.session_id, 'differs', '{c}', {x}, {y} FROM a JOIN b USING (session_id) WHERE {x} IS DISTINCT FROM {y}\n" for c, (x, y) in _SEEN.items())
+SQL |= {"search_stored": SQL["search"], "search_stored_phrase": SQL["search_phrase"]}

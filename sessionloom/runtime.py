@@ -28,14 +28,16 @@ def scratch_dir(spark: SparkSession) -> str:
     """A fresh path below the shared folder that the cluster names in
     ``spark.checkpoint.dir``, with its scheme. Where that is unset, a session on
     one machine gets a folder of its own; any other is an error, as executors
-    would not see each other's files."""
+    would not see each other's files. Deleted when the driver process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="sessionloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{qualified(spark, root)}/sessionloom/{uuid.uuid4().hex}"
+    folder = f"{qualified(spark, root)}/sessionloom/{uuid.uuid4().hex}"
+    _delete_at_exit(spark, folder)
+    return folder
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -54,7 +56,6 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}"
     df.write.parquet(path)
-    _delete_at_exit(spark, path.rpartition("/")[0])
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -44,6 +44,11 @@ def unprocessed(files: list[tuple[str, str]], today: str, include_today: bool =
     return [p for d, p in files if d < today or (include_today and d == today)]
 
 
+def of_day(files: list[tuple[str, str]], day: str) -> list[str]:
+    """The logs of a day; a day without one has no lines, which is no error."""
+    return [p for d, p in files if d == day]
+
+
 def newest(files: list[tuple[str, str]], n: int) -> list[str]:
     return [p for _, p in files[::-1][:n]]
 
@@ -69,7 +74,9 @@ def inventory(spark: SparkSession, folder: str, today: str) -> DataFrame:
 def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(source_file, raw_index, raw_line): all lines but blank ones, with their
     number in the file, from 0, blank ones counted. Files may be split: numbers
-    are the rank in a split plus the lines of the splits before it."""
+    are the rank in a split plus the lines of the splits before it. A source_file
+    is name@folder: logs of one name from several folders stay apart, and text
+    order is that of the days in their names."""
     schema = "source_file string, raw_index long, raw_line string"
     if not paths:
         return spark.createDataFrame([], schema)
@@ -77,7 +84,7 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = read.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(W.partitionBy("file", "block").orderBy("at")) - 1
-    lines = read.join(offsets, ["file", "block"]).select(F.element_at(F.split("file", "/"), -1).alias("source_file"), (rank + F.col("offset")).alias("raw_index"), F.col("value").alias("raw_line"))
+    lines = read.join(offsets, ["file", "block"]).select(F.concat(F.substring_index("file", "/", -1), F.lit("@"), F.regexp_replace("file", "/[^/]*$", "")).alias("source_file"), (rank + F.col("offset")).alias("raw_index"), F.col("value").alias("raw_line"))
     return lines.where(F.trim("raw_line") != "")
 
 

@@ -2,14 +2,23 @@
 
 A numbered pointer file names the parts of every table; the highest number
 counts. A new one is written beside it and renamed into place, and older ones
-are only deleted once they are two behind, so readers always see whole versions
-and a failed job leaves the old ones. One writer at a time, by convention of the
-job that owns the folder.
+are only deleted once they are two behind. Whatever an ingest changes is written
+first and becomes visible by one new pointer, so readers see whole versions and a
+failed job leaves the old one. One writer at a time, by convention of the job that
+owns the folder.
 
-Ingesting a file adds one part to the lines, the events, the session rows and the
-tool-call rows; events, numbers and pairs follow from the file's own lines.
-Sessions and tool calls of the sessions it touches are folded again from their
-rows; no events of other files are read but for their hashes."""
+Lines and events are cut into parts by the file they come from, sessions, tool
+calls and the rows that they are folded from by a hash of the session. Ingesting a
+file adds its lines and events and writes the session parts anew that it touches,
+or whose lineage it changes; other parts are neither read nor written, but for the
+hashes of events and the columns that lineage goes by.
+
+A file is known by its whole path, so logs of several hosts stay apart. One that
+comes again with all its old lines takes their place; if some of those are gone
+(the name was used for another log), it is kept beside them as ``path#2`` and so on.
+
+Pruning remembers what it took: a cutoff for each file that was there, and the
+session rows. Rebuilding works from whole files, and takes the same away again."""
 
 from __future__ import annotations
 
@@ -18,13 +27,15 @@ import json
 import re
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.operators import commands as C
 from sessionloom.operators import enrich as N
+from sessionloom.operators import search
 from sessionloom.runtime import materialize
 from sessionloom.sources import jsonl
 
@@ -34,7 +45,16 @@ USER_TABLES = {
     "config_versions": "version_hash string, captured_at string, description string, files_snapshot string",
     "annotations": "session_id string, label string, notes string, created_at string",
 }
-TABLES = ("lines", "events", "session_rows", "tool_call_rows", "sessions", "tool_calls", *USER_TABLES)
+# what was pruned
+PRUNED = {"pruned_files": "source_file string, cutoff string", "pruned_rows": "source_file string, session_id string"}
+TABLES = ("lines", "events", "session_rows", "tool_call_rows", "sessions", "tool_calls", "postings", "index_size", *USER_TABLES)
+BY_FILE = ("lines", "events")
+BY_SESSION = ("session_rows", "tool_call_rows", "sessions", "tool_calls")
+INDEX = ("postings", "index_size")  # of the texts of events
+DERIVED = ("events", *BY_SESSION, *INDEX)
+TEXTS = ["prompt_text", "error", "tool_input"]
+CROWDED = 16  # parts of one hash of terms, before they become one
+KEY = "_part"
 COUNTED = ("total_events", "total_tool_calls", "total_failures", "total_prompts", "total_subagents", "total_tasks", "compaction_count", "auto_compact_count", "permission_prompts")
 MUTATIONS = ("INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "REPLACE")
 
@@ -47,6 +67,19 @@ def config_hash(contents: list[bytes]) -> str:
 POINTER = re.compile(r"/CURRENT-(\d+)\.json$")
 
 
+def file_key(name: str) -> str:
+    return hashlib.sha256(name.encode()).hexdigest()[:16]
+
+
+def part_key(part: str) -> str:
+    return part.partition(f"/{KEY}=")[2]
+
+
+def generation(name: str, n: int) -> str:
+    """What the n-th log that came under a name is kept by."""
+    return name if n == 1 else f"{name}#{n}"
+
+
 def known(events: DataFrame, lines: DataFrame) -> DataFrame:
     """What was known at ingest, put over the payload's fields."""
     sources = lines.groupBy("source_file").agg(F.max("config_version").alias("_version"), F.max("git").alias("_git"))
@@ -63,8 +96,9 @@ def folded_sessions(rows: DataFrame) -> DataFrame:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        """``buckets`` is the number of session parts of a new store."""
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
 
     # versions
 
@@ -79,32 +113,73 @@ class Store:
         names = [str(f.getPath()) for f in fs.listStatus(path(self.folder))]
         return sorted((int(m[1]), n) for n in names if (m := POINTER.search(n)))
 
+    def _pointed(self) -> dict:
+        found = self._pointers()
+        told = json.loads("\n".join(r.value for r in self.spark.read.text(found[-1][1]).collect())) if found else {"tables": {}}
+        if found and "buckets" not in told:
+            raise ValueError("a store of an older layout: make it anew from its logs")
+        self.buckets = told.get("buckets", self.buckets)
+        return told
+
     def current(self) -> dict[str, list[str]]:
         """The parts of each table."""
-        found = self._pointers()
-        return json.loads("\n".join(r.value for r in self.spark.read.text(found[-1][1]).collect()))["tables"] if found else {}
+        return self._pointed()["tables"]
 
     def _point(self, tables: dict[str, list[str]]) -> None:
         fs, path = self._fs()
         found = self._pointers()
         new = path(f"{self.folder}/.new-{uuid.uuid4().hex}")
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"schema": SCHEMA_VERSION, "tables": tables}).encode()))
+        out.write(bytearray(json.dumps({"schema": SCHEMA_VERSION, "buckets": self.buckets, "tables": tables}).encode()))
         out.close()
         if not fs.rename(new, path(f"{self.folder}/CURRENT-{found[-1][0] + 1 if found else 1:012d}.json")):
             raise OSError("another writer was faster")
         for _, old in found[:-1]:
             fs.delete(path(old), False)
 
-    def write(self, append: bool = False, **tables: DataFrame) -> None:
-        """New contents of some tables, or with ``append`` a further part of
-        each, visible together."""
+    def _write(self, name: str, df: DataFrame) -> list[str]:
+        """Writes rows as parts of their own, and returns these."""
+        folder = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+        if name in BY_FILE:
+            key = F.substring(F.sha2("source_file", 256), 1, 16)
+        elif name in BY_SESSION:
+            key = self.bucket()
+        elif name == "postings":
+            key = search.bucket(F.col("term")).cast("string")
+        else:
+            df.write.parquet(folder)
+            return [folder]
+        # dealt by part, large ones split
+        dealt = df.withColumn(KEY, key).hint("rebalance", KEY)
+        (dealt.sortWithinPartitions(KEY, "term") if name == "postings" else dealt).write.partitionBy(KEY).parquet(folder)
+        fs, path = self._fs()
+        made = [str(f.getPath()) for f in fs.listStatus(path(folder)) if f"/{KEY}=" in str(f.getPath())]
+        if made:
+            return sorted(made)
+        df.limit(0).write.parquet(f"{folder}/{KEY}=none")  # the schema, where there are no rows
+        return [f"{folder}/{KEY}=none"]
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("session_id"), F.lit(self.buckets)).cast("string")
+
+    def write(self, **tables: DataFrame) -> None:
+        """New contents of some tables, visible together."""
         parts = self.current()
-        for name, df in tables.items():
-            path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            parts[name] = [*(parts.get(name, []) if append else []), path]
-        self._point(parts)
+        self._point(parts | {name: self._write(name, df) for name, df in tables.items()})
+
+    def clean(self) -> int:
+        """Deletes the folders that neither of the last two versions names; says how many."""
+        fs, path = self._fs()
+        kept = set()
+        for _, pointer in self._pointers()[-2:]:
+            told = json.loads("\n".join(r.value for r in self.spark.read.text(pointer).collect()))
+            kept |= {p.partition(f"/{KEY}=")[0].rpartition("/")[2] for parts in told["tables"].values() for p in parts}
+        n = 0
+        for table in fs.listStatus(path(self.folder)) if fs.exists(path(self.folder)) else []:
+            for old in fs.listStatus(table.getPath()) if table.isDirectory() else []:
+                if old.getPath().getName() not in kept:
+                    n += fs.delete(old.getPath(), True)
+        return n
 
     def init(self) -> None:
         """An empty store; one that is there stays as it is."""
@@ -112,28 +187,29 @@ class Store:
             self.ingest_lines(jsonl.scan(self.spark, []))
 
     def table(self, name: str) -> DataFrame:
-        parts = self.current()
-        if name not in parts:
-            if name in USER_TABLES:
-                return self.spark.createDataFrame([], USER_TABLES[name])
-            raise LookupError(f"no table {name}: nothing was ingested")
-        return self.spark.read.parquet(*parts[name])
+        return self._read(self.current(), name)
+
+    def _read(self, parts: dict[str, list[str]], name: str) -> DataFrame:
+        if name in parts:
+            return self.spark.read.parquet(*parts[name])
+        if name in USER_TABLES or name in PRUNED:
+            return self.spark.createDataFrame([], (USER_TABLES | PRUNED)[name])
+        raise LookupError(f"no table {name}: nothing was ingested")
 
     def check(self) -> str:
         """ok, empty, stale, or the tables that are missing."""
-        found = self._pointers()
-        if not found:
+        if not self._pointers():
             return "empty"
-        text = json.loads("\n".join(r.value for r in self.spark.read.text(found[-1][1]).collect()))
-        if text.get("schema") != SCHEMA_VERSION:
+        told = self._pointed()
+        if told.get("schema") != SCHEMA_VERSION:
             return "stale"
-        missing = [t for t in TABLES if t not in text["tables"] and t not in USER_TABLES]
+        missing = [t for t in TABLES if t not in told["tables"] and t not in USER_TABLES]
         return "missing: " + ", ".join(missing) if missing else "ok"
 
     # ingest
 
     def ingest(self, paths: list[str], **known) -> dict[str, int]:
-        """Adds log files. Lines of a file that was there are replaced."""
+        """Adds log files."""
         return self.ingest_lines(jsonl.scan(self.spark, paths), **known)
 
     def ingest_if_older(self, paths: Callable[[], list[str]], seconds: float, **known) -> dict[str, int] | None:
@@ -154,47 +230,130 @@ class Store:
         are now. Of equal events the one that was stored first stays."""
         text = "string"
         lines = materialize(lines.withColumn("config_version", F.lit(config_version).cast(text)).withColumn("git", F.lit(json.dumps(git) if git else None).cast(text)), "lines")
-        if "lines" in self.current():
-            # a file that comes again: its rows go from every table that has them, without a look at other rows
-            again = [r[0] for r in self.table("lines").select("source_file").distinct().join(lines.select("source_file").distinct(), "source_file").collect()]
-            if again:
-                self.write(**{name: self.table(name).where(~F.col("source_file").isin(again)) for name in ("lines", "events", "session_rows", "tool_call_rows")})
-        self.write(append=True, lines=lines)
-        return self._derive(lines)
+        parts = self.current()
+        lines, replaced = self._named(lines, parts)
+        added = {"lines": self._write("lines", lines)}
+        rest = self._without(parts, replaced)
+        return self._derive(rest, lines, added, replaced, set(parts.get("events", [])) - set(rest.get("events", [])))
+
+    def _named(self, lines: DataFrame, parts: dict[str, list[str]]) -> tuple[DataFrame, set[str]]:
+        """The lines under the names that their files are kept by, and the names
+        that are stored and come again whole."""
+        stored = {part_key(p) for p in parts.get("lines", [])}
+        newest = {}
+        for (name,) in lines.select("source_file").distinct().collect():  # files of one ingest
+            n = 1
+            while file_key(generation(name, n)) in stored:
+                newest[name] = generation(name, n)
+                n += 1
+        if not newest:
+            return lines, set()
+        names = F.broadcast(self.spark.createDataFrame(list(newest.items()), "source_file string, _newest string"))  # at most a row for each file
+        again = lines.join(names, "source_file").select(F.col("_newest").alias("source_file"), "raw_index", "raw_line")
+        keys = {file_key(v) for v in newest.values()}
+        old = self._read({"lines": [p for p in parts["lines"] if part_key(p) in keys]}, "lines")
+        lost = {r[0] for r in old.join(again, ["source_file", "raw_index", "raw_line"], "left_anti").select("source_file").distinct().collect()}
+        kept = [(k, generation(k, int(v.removeprefix(k + "#") if v != k else 1) + 1) if v in lost else v) for k, v in newest.items()]
+        names = F.broadcast(self.spark.createDataFrame(kept, "source_file string, _name string"))
+        named = lines.join(names, "source_file", "left").withColumn("source_file", F.coalesce("_name", "source_file")).select(*lines.columns)
+        return materialize(named, "lines"), set(newest.values()) - lost
+
+    def _without(self, parts: dict[str, list[str]], names: set[str]) -> dict[str, list[str]]:
+        """The parts less those of these files."""
+        keys = {file_key(n) for n in names}
+        return {t: [p for p in v if part_key(p) not in keys] if t in BY_FILE else v for t, v in parts.items()}
 
     def rebuild(self, since: str | None = None) -> dict[str, int]:
         """All derived tables from the kept lines; with ``since`` from those of
         files of that day and later, rows of older files stay as they are."""
-        lines = self.table("lines")
-        derived = ("events", "session_rows", "tool_call_rows")
         parts = self.current()
+        lines = self.table("lines")
         if since is None:
-            self._point({k: v for k, v in parts.items() if k not in (*derived, "sessions", "tool_calls")})
-            return self._derive(materialize(lines, "lines"))
+            return self._derive({k: v for k, v in parts.items() if k not in DERIVED}, materialize(lines, "lines"), {}, set(), set())
         recent = F.coalesce(F.regexp_extract("source_file", r"(\d{4}-\d\d-\d\d)", 1) >= since, F.lit(False))
-        self.write(**{name: self.table(name).where(~recent) for name in derived})
-        return self._derive(materialize(lines.where(recent), "lines"))
-
-    def _derive(self, lines: DataFrame) -> dict[str, int]:
-        """Adds to the derived tables what follows from written lines."""
+        lines = materialize(lines.where(recent), "lines")
+        names = {r[0] for r in lines.select("source_file").distinct().collect()}
+        keys = {file_key(n) for n in names}
+        kept = [p for p in parts["events"] if part_key(p) not in keys]
+        return self._derive(parts | {"events": kept}, lines, {}, names, set(parts["events"]) - set(kept))
+
+    def _derive(self, parts: dict[str, list[str]], lines: DataFrame, added: dict[str, list[str]], replaced: set[str], gone_events: set[str]) -> dict[str, int]:
+        """Adds to ``parts`` what is in ``added`` and what follows from written
+        lines, where rows of ``replaced`` files are theirs, and points to it.
+        ``gone_events`` are the parts of events that the new ones stand for."""
         raw = known(jsonl.events(jsonl.envelopes(lines)), lines)
         size = F.col("input_bytes") + F.col("output_bytes") + F.coalesce("prompt_length", F.lit(0))
         numbered = materialize(N.running(N.tool_duration(raw), {"_n": F.lit(1), "context_cumulative_bytes": size}).withColumn("sequence_num", F.col("_n") - 1).drop("_n"), "numbered")
-        stored = self.table("events") if "events" in self.current() else None
+        n_events = numbered.count()
+        stored = self._read(parts, "events") if parts.get("events") else None
         # duplicates take part in numbers and pairs before they go
-        fresh = materialize(N.first_of_hash(numbered, stored), "fresh")
+        fresh = materialize(N.first_of_hash(numbered, stored, n_events), "fresh")
+        cut, gone = self._read(parts, "pruned_files"), self._read(parts, "pruned_rows")
+        late = lambda df, at: df.join(cut, "source_file", "left").where(F.col("cutoff").isNull() | (F.coalesce(F.to_date(F.substring(at, 1, 10)).cast("string"), F.lit("9")) >= F.col("cutoff"))).drop("cutoff")
         # rows of sessions and calls come from all events, counters from the stored ones
-        rows = N.session_rows(numbered).join(N.counters(fresh, N.GROUP), list(N.GROUP), "left")
-        self.write(append=True, events=fresh, session_rows=rows, tool_call_rows=N.tool_call_rows(numbered))
-        touched = numbered.select("session_id").distinct()
-        calls = N.fold_tool_calls(self.table("tool_call_rows").join(touched, "session_id", "left_semi"))
-        if "tool_calls" in self.current():
-            here = self.table("tool_call_rows").select("session_id").distinct()  # sessions that a replaced file took along have none
-            calls = self.table("tool_calls").join(touched, "session_id", "left_anti").join(here, "session_id", "left_semi").unionByName(calls)
-        self.write(sessions=N.with_lineage(folded_sessions(self.table("session_rows"))), tool_calls=calls)
+        rows = N.session_rows(numbered).join(N.counters(fresh, N.GROUP), list(N.GROUP), "left").join(gone, list(N.GROUP), "left_anti")
+        new = {"session_rows": rows, "tool_call_rows": late(N.tool_call_rows(numbered), "started_at")}
+        touched = materialize(numbered.select("session_id").distinct().withColumn("_bucket", self.bucket()), "touched")
+        hit = {r[0] for r in touched.select("_bucket").distinct().collect()}
+        made = {}
+        for name, df in new.items():
+            old = [p for p in parts.get(name, []) if part_key(p) in hit]
+            if old:
+                here = self._read({name: old}, name)
+                if replaced:
+                    names = F.broadcast(self.spark.createDataFrame([(r,) for r in replaced], "source_file string"))  # files of one ingest
+                    here = here.join(names, "source_file", "left_anti")
+                df = here.unionByName(df)
+            made[name] = materialize(df, name)
+        here = materialize(folded_sessions(made["session_rows"]), "sessions")
+        lineage = ("session_id", "parent_session_id", "chain_id")
+        was = self._read(parts, "sessions") if parts.get("sessions") else here.where("false").withColumns({c: F.lit(None).cast("string") for c in lineage[1:]})
+        others = [p for p in parts.get("sessions", []) if part_key(p) not in hit]
+        now = here.join(was.select(*lineage), "session_id", "left")
+        if others:
+            now = now.unionByName(self._read({"sessions": others}, "sessions"))
+        moved = materialize(N.relinked(now, was, touched.select("session_id")).withColumn("_bucket", self.bucket()), "moved")
+        far = {r[0] for r in moved.select("_bucket").distinct().collect()} | hit
+        again = moved.select("session_id", F.col("parent_session_id").alias("_parent"), F.col("chain_id").alias("_chain"), F.lit(True).alias("_moved"))
+        sessions = now.where(self.bucket().isin(list(far))).join(again, "session_id", "left")
+        either = lambda moved, own: F.when(F.col("_moved"), F.col(moved)).otherwise(F.col(own))
+        made["sessions"] = sessions.withColumns({"parent_session_id": either("_parent", "parent_session_id"), "chain_id": either("_chain", "chain_id")}).drop("_parent", "_chain", "_moved")
+        made["tool_calls"] = N.fold_tool_calls(made["tool_call_rows"])
+        events = materialize(late(fresh, "timestamp"), "events")
+        unknown = events.join(self._read({"events": sorted(gone_events)}, "events").select("event_hash"), "event_hash", "left_anti") if gone_events else events
+        texts = materialize(search.postings(unknown, "event_hash", TEXTS), "postings")
+        size = search.totals(texts)
+        if parts.get("index_size"):
+            size = size.unionByName(self._read(parts, "index_size")).agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
+        crowded = {k for k, n in Counter(map(part_key, parts.get("postings", []))).items() if n >= CROWDED}
+        if crowded:
+            texts = texts.unionByName(self._read({"postings": [p for p in parts["postings"] if part_key(p) in crowded]}, "postings"))
+        parts = {t: [p for p in v if not (t == "postings" and part_key(p) in crowded)] for t, v in parts.items() if t != "index_size"}
+        made |= {"events": events, "postings": texts, "index_size": size}
+        kept = {t: [p for p in v if t not in BY_SESSION or part_key(p) not in (far if t == "sessions" else hit)] for t, v in parts.items()}
+        wrote = added | {t: self._write(t, df) for t, df in made.items()}
         n = jsonl.parse(lines).agg(F.count_if(F.col("error").isNull()), F.count("error")).first()
-        kept = fresh.count()
-        return {"events_seen": n[0], "events_stored": kept, "duplicates": n[0] - kept, "malformed": n[1], "sessions": self.table("sessions").count(), "tool_calls": self.table("tool_calls").count()}
+        n_fresh = events.count()
+        whole = kept | {t: [*kept.get(t, []), *v] for t, v in wrote.items()}
+        # a part without rows only stands where there is no other
+        self._point({t: [p for p in v if part_key(p) != "none"] or v[:1] for t, v in whole.items()})
+        return {"events_seen": n[0], "events_stored": n_fresh, "duplicates": n[0] - n_fresh, "malformed": n[1], "sessions": self.table("sessions").count(), "tool_calls": self.table("tool_calls").count()}
+
+    # search
+
+    def search(self, asked: list[str], limit: int | None = 50) -> DataFrame:
+        """Events with all these words in their texts, best first: score,
+        event_hash, session_id, timestamp, event_type. Of the index only the parts
+        of these words are read."""
+        parts = self.current()
+        at = set(map(str, search.buckets_of(self.spark, asked)))
+        held = [p for p in parts.get("postings", []) if part_key(p) in at]
+        if not held:
+            held = parts.get("postings", [])[:1]
+        index = search.opened(self._read({"postings": held}, "postings"), asked)
+        every = search.all_of(*[search.term(index, w) for w in asked])
+        hits = search.ranked(index, asked, every, limit, search.mean_length(self._read(parts, "index_size"))).withColumnRenamed("id", "event_hash")
+        return hits.join(self._read(parts, "events").select("event_hash", "session_id", "timestamp", "event_type"), "event_hash").orderBy(F.desc("score"), "event_hash")
 
     # changes by users
 
@@ -210,25 +369,43 @@ class Store:
         self.write(config_versions=made.withColumn("files_snapshot", F.lit(None).cast("string")))
 
     def prune(self, cutoff: str) -> DataFrame:
-        """Removes events, sessions and calls before a day, and the lines and rows
-        they came from, so that no later ingest or rebuild brings them back;
-        returns the counts. Lines that are no envelopes stay."""
+        """Removes events, sessions and calls before a day, so that no later
+        rebuild brings them back; returns the counts. Files without an event of
+        that day or later lose their envelopes; lines that are none stay. Files
+        that come later are not cut."""
+        parts = self.current()
         tables = {name: self.table(name) for name in C.DATED}
         counts = C.prune_counts(tables, cutoff)
         held = self.spark.createDataFrame(counts.collect(), counts.schema)  # three rows
         gone = C.before(tables["sessions"], "started_at", cutoff).select("session_id")
-        rest = {
-            "lines": C.keep_from(jsonl.parse(self.table("lines")), "ts", cutoff).select(*self.table("lines").columns),
-            "session_rows": self.table("session_rows").join(gone, "session_id", "left_anti"),
+        lines = jsonl.parse(self.table("lines"))
+        files = lines.groupBy("source_file").agg(F.count("*").alias("n"), F.max(F.when(F.col("error").isNull(), F.substring("ts", 1, 10))).alias("last"))
+        over = [r[0] for r in files.where(F.coalesce("last", F.lit("")) < cutoff).select("source_file").collect()]  # names of files
+        keys = {file_key(n) for n in over}
+        old = [p for p in parts["lines"] if part_key(p) in keys]
+        rest = [p for p in parts["lines"] if part_key(p) not in keys]
+        rows = self.table("session_rows")
+        cut = self.table("pruned_files").unionByName(files.select("source_file", F.lit(cutoff).alias("cutoff"))).groupBy("source_file").agg(F.max("cutoff").alias("cutoff"))
+        taken = self.table("pruned_rows").unionByName(rows.join(gone, "session_id", "left_semi").select(*N.GROUP))
+        made = {
+            "session_rows": rows.join(gone, "session_id", "left_anti"),
             "tool_call_rows": C.keep_from(self.table("tool_call_rows"), "started_at", cutoff),
+            "pruned_files": cut,
+            "pruned_rows": taken,
+            **dict(zip(INDEX, (lambda texts: (texts, search.totals(texts)))(self.table("postings").join(C.keep_from(tables["events"], "timestamp", cutoff).select(F.col("event_hash").alias("id")), "id", "left_semi")), strict=True)),
+            **{name: C.keep_from(tables[name], column, cutoff) for name, column in C.DATED.items()},
         }
-        self.write(**rest, **{name: C.keep_from(tables[name], column, cutoff) for name, column in C.DATED.items()})
+        wrote = {name: self._write(name, df) for name, df in made.items()}
+        if old:
+            dead = jsonl.malformed(self._read({"lines": old}, "lines")).select("source_file", "raw_index")
+            wrote["lines"] = [*rest, *self._write("lines", self._read({"lines": old}, "lines").join(dead, ["source_file", "raw_index"], "left_semi"))]
+        self._point(parts | wrote)
         return held
 
     def backup(self, folder: str) -> None:
         """The current versions of all tables as a store of their own."""
-        other = Store(self.spark, folder)
-        other.write(**{name: self.table(name) for name in self.current() if name in TABLES})
+        other = Store(self.spark, folder, self.buckets)
+        other.write(**{name: self.table(name) for name in self.current()})
 
     # SQL
 

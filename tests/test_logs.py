@@ -3,6 +3,7 @@
 import gzip
 import json
 import sqlite3
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,7 @@ def test_discovery(spark, tmp_path):
         (tmp_path / n).write_text("")
     files = jsonl.log_files(spark, str(tmp_path))
     assert [d for d, _ in files] == ["2026-01-01", "2026-01-02", "2026-01-03"]
+    assert len(jsonl.of_day(files, "2026-01-02")) == 1 and jsonl.scan(spark, jsonl.of_day(files, "2026-01-09")).count() == 0
     assert len(jsonl.unprocessed(files, "2026-01-03")) == 2 and len(jsonl.unprocessed(files, "2026-01-03", True)) == 3
     assert [p[-16:-6] for p in jsonl.newest(files, 1)] == ["2026-01-03"] and len(jsonl.last_days(files, "2026-01-03", 2)) == 2
     assert jsonl.log_files(spark, str(tmp_path / "none")) == [] and jsonl.scan(spark, []).count() == 0
@@ -170,10 +172,21 @@ def test_legacy_sqlite(spark, tmp_path):
     with sqlite3.connect(path) as con:
         con.execute("CREATE TABLE events (timestamp TEXT, event_type TEXT, session_id TEXT, tool_name TEXT, extra INT)")
         con.executemany("INSERT INTO events VALUES (?, ?, ?, ?, 1)", [("2026-01-02", "Stop", "b", None), ("2026-01-01", "PreToolUse", "a", "Read")])
-    rows = jsonl.envelopes(legacy_sqlite.read_events(spark, str(path))).orderBy("raw_index").collect()
+    for n in (50_000, 1):
+        rows = jsonl.envelopes(legacy_sqlite.read_events(spark, str(path), n)).orderBy("ts").collect()
+        assert [r.raw_index for r in rows] == [2, 1]
     assert [json.loads(r.raw_line)["p"] for r in rows] == [{"hook_event_name": "PreToolUse", "session_id": "a", "tool_name": "Read"}, {"hook_event_name": "Stop", "session_id": "b"}]
 
 
+def test_legacy_sqlite_is_read_whole(spark, tmp_path):
+    path = tmp_path / "old.db"
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE events (timestamp TEXT, event_type TEXT, session_id TEXT)")
+        assert legacy_sqlite.read_events(spark, str(path)).count() == 0
+        con.executemany("INSERT INTO events VALUES ('2026-01-01', 'Stop', ?)", [(f"s{i}",) for i in range(12_000)])
+    assert legacy_sqlite.read_events(spark, str(path), 5_000).select("raw_index").distinct().count() == 12_000
+
+
 def test_user_tables_and_maintenance(store, logs, tmp_path):
     store.ingest([logs([*HAPPY, line("20.000", "SessionStart", "old", config_version="c1")])])
     assert store.annotate("S1", "good", None, "2026-02-02") == 1 and store.annotate("none", "x", None, "2026-02-02") == 0
@@ -247,23 +260,170 @@ def test_pruned_rows_do_not_come_back(store, logs):
     assert {r.key: r.value for r in store.prune("2020-01-01").collect()} == {"events_count": 0, "sessions_count": 0, "tool_calls_count": 0}
 
 
-def test_one_more_day_leaves_other_parts_alone(store, logs):
-    store.ingest([logs(day(1, "a"), "hook_logs_2026-02-01.jsonl")])
+def whole(store):
+    """All tables' rows, without the order of rows."""
+    return {t: sorted(map(str, store.table(t).select(*sorted(store.table(t).columns)).collect())) for t in ("events", "session_rows", "tool_call_rows", "sessions", "tool_calls")}
+
+
+def test_one_more_day_leaves_other_parts_alone(spark, logs, tmp_path):
+    store = Store(spark, str(tmp_path / "many"), buckets=16)
+    store.ingest([logs([x for i in range(12) for x in day(1, f"s{i}")], "hook_logs_2026-02-01.jsonl")])
     before = store.current()
-    stats = store.ingest([logs([*day(2, "a"), *day(2, "b")], "hook_logs_2026-02-02.jsonl")])
+    stats = store.ingest([logs([*day(2, "s3"), *day(2, "other")], "hook_logs_2026-02-02.jsonl")])
     after = store.current()
-    for name in ("lines", "events", "session_rows", "tool_call_rows"):
-        assert after[name][:1] == before[name] and len(after[name]) == 2
-    assert stats["events_seen"] == 4 and stats["sessions"] == 2
+    assert stats["events_seen"] == 4 and stats["sessions"] == 13
+    for name in ("lines", "events"):
+        assert set(after[name]) > set(before[name]) and len(after[name]) == len(before[name]) + 1
+    touched = {r[0] for r in store.table("sessions").where("session_id IN ('s3', 'other')").select(store.bucket()).collect()}
+    for name in ("session_rows", "tool_call_rows", "tool_calls", "sessions"):
+        new = {p.partition("_part=")[2] for p in set(after[name]) - set(before[name])}
+        assert new <= touched and all(p in after[name] for p in before[name] if p.partition("_part=")[2] not in touched | {"none"}), name
     counts = {r.session_id: (r.total_events, r.started_at[:10]) for r in store.table("sessions").collect()}
-    assert counts == {"a": (4, "2026-02-01"), "b": (2, "2026-02-02")}
-    one = sorted(map(str, store.table("sessions").collect())), sorted(map(str, store.table("tool_calls").collect()))
+    assert counts["s3"] == (4, "2026-02-01") and counts["other"] == (2, "2026-02-02")
+    one = whole(store)
     store.rebuild()
-    assert one == (sorted(map(str, store.table("sessions").collect())), sorted(map(str, store.table("tool_calls").collect())))
-    store.ingest([logs(day(2, "c"), "hook_logs_2026-02-02.jsonl")])  # the file comes again with other lines
-    assert {r.session_id for r in store.table("sessions").collect()} == {"a", "c"} and store.table("events").count() == 4
+    assert whole(store) == one
     store.rebuild(since="2026-02-02")
-    assert {r.session_id for r in store.table("sessions").collect()} == {"a", "c"} and store.table("events").count() == 4
+    assert whole(store) == one
+
+
+def test_a_log_that_grows_and_one_that_is_another(store, logs):
+    path = logs([*day(1, "a"), *day(1, "b")])
+    store.ingest([path])
+    logs([*day(1, "a"), *day(1, "b"), line("30.000", "Stop", "a")])
+    assert store.ingest([path])["events_stored"] == 5 and store.table("lines").count() == 5
+    assert {r.session_id: r.total_events for r in store.table("sessions").collect()} == {"a": 3, "b": 2}
+    logs(day(3, "c"))  # the name is used for another log: nothing goes
+    assert store.ingest([path])["sessions"] == 3 and store.table("events").count() == 7 and store.table("lines").count() == 7
+    logs([*day(3, "c"), *day(3, "d")])
+    assert store.ingest([path])["sessions"] == 4 and store.table("lines").count() == 9
+    one = whole(store)
+    store.rebuild()
+    assert whole(store) == one
+
+
+def test_logs_of_several_hosts(store, tmp_path):
+    paths = []
+    for host in ("A", "B"):
+        (tmp_path / host).mkdir()
+        paths.append(tmp_path / host / "hook_logs_2026-02-01.jsonl")
+        paths[-1].write_text("\n".join([*day(1, f"{host}1"), *day(1, "both")]) + "\n")
+    assert store.ingest([str(paths[0])])["sessions"] == 2
+    stats = store.ingest([str(paths[1])])
+    assert stats["sessions"] == 3 and stats["duplicates"] == 2 and store.table("lines").count() == 8
+    assert {r.session_id: r.total_events for r in store.table("sessions").collect()} == {"A1": 2, "B1": 2, "both": 2}
+    together = Store(store.spark, str(tmp_path / "together"))
+    together.ingest(list(map(str, paths)))
+    assert whole(together)["events"] == whole(store)["events"] and whole(together)["sessions"] == whole(store)["sessions"]
+
+
+def test_legacy_logs_of_several_projects(spark, store, tmp_path, capsys, monkeypatch):
+    from sessionloom import cli
+
+    monkeypatch.setattr(cli, "build_session", lambda: spark)
+    for p in "pqr":
+        folder = tmp_path / f"home/code/{p}/.claude/logs"
+        folder.mkdir(parents=True)
+        old = [json.dumps({"phase": "pre", "ts": f"2026-01-01T00:00:0{i}Z", "session_id": f"{p}{i}", "tool": "Read"}) for i in range(2)]
+        (folder / "log.jsonl").write_text("\n".join(old) + "\n")
+    store.ingest_lines(spark.createDataFrame([("log.jsonl", 0, HAPPY[0])], "source_file string, raw_index long, raw_line string"))
+    cli.main(["--store", store.folder, "--now", "2026-02-02", "import-legacy", str(tmp_path / "home")])
+    assert "'sessions': 7" in capsys.readouterr().out and store.table("events").count() == 7
+
+
+def test_a_failed_ingest_leaves_the_old_state(store, logs, monkeypatch):
+    from sessionloom.operators import enrich
+
+    store.ingest([logs(day(1, "a"))])
+    one, pointers = whole(store), store.current()
+    again = logs([*day(1, "a"), *day(2, "b")])
+
+    def fail(*a, **k):
+        raise RuntimeError("fault")
+
+    for step in ("_named", "_write", "session_rows", "fold_tool_calls", "relinked", "_point"):
+        with monkeypatch.context() as m:
+            m.setattr(*(Store, step) if step.startswith("_") else (enrich, step), fail)
+            with pytest.raises(RuntimeError, match="fault"):
+                store.ingest([again])
+        assert store.current() == pointers
+    assert whole(store) == one
+    assert store.ingest([again])["sessions"] == 2
+
+
+def test_pruned_sessions_do_not_come_back_at_rebuild(store, logs):
+    store.ingest([logs([*day(1, "s1"), *day(2, "s1"), line("03.000", "PostToolUse", "s1", tool_use_id="t1").replace("2026-02-01", "2026-02-02"), *day(2, "s2"), "{broken"])])
+    store.prune("2026-02-02")
+    one = whole(store)
+    assert {r.session_id for r in store.table("sessions").collect()} == {"s2"} and store.table("events").count() == 5
+    store.rebuild()
+    assert whole(store) == one
+    store.ingest([logs(day(3, "s1"), "hook_logs_2026-02-03.jsonl")])
+    assert {r.session_id: r.started_at[:10] for r in store.table("sessions").collect()} == {"s1": "2026-02-03", "s2": "2026-02-02"}
+    one = whole(store)
+    store.rebuild()
+    assert {k: v for k, v in whole(store).items() if k != "events"} == {k: v for k, v in one.items() if k != "events"}
+    store.prune("2027-01-01")
+    assert store.table("lines").count() == 1 and store.table("events").count() == 0
+
+
+def test_search_reads_the_parts_of_its_words(store, logs, monkeypatch):
+    from sessionloom import store as stores
+    from sessionloom.operators import search
+
+    monkeypatch.setattr(stores, "CROWDED", 2)
+    said = lambda n, i, text: line(f"{i:02}.000", "UserPromptSubmit", f"s{n}", prompt=text).replace("2026-02-01", f"2026-02-0{n}")
+    for n in (1, 2, 3, 4):
+        path = logs([said(n, i, f"word{i % 3} common {'rare' if i == n else ''} Größe") for i in range(6)], f"hook_logs_2026-02-0{n}.jsonl")
+        store.ingest([path])
+    logs([said(4, i, f"word{i % 3} common {'rare' if i == 4 else ''} Größe") for i in range(6)] + [said(4, 7, "rare again")], "hook_logs_2026-02-04.jsonl")
+    store.ingest([path])
+
+    def same():
+        plain = search.build(store.table("events"), "event_hash", stores.TEXTS)
+        for asked in (["rare"], ["common", "RARE"], ["große"], ["none"], ["word1", "common"]):
+            want = search.ranked(plain, asked, search.all_of(*[search.term(plain, w) for w in asked]))
+            got = store.search(asked)
+            assert {(r.event_hash, round(r.score, 9)) for r in got.collect()} == {(r.id, round(r.score, 9)) for r in want.collect()}, asked
+        read = {f.rpartition("/")[0].partition("_part=")[2] for f in store.search(["rare"]).inputFiles() if "/postings/" in f}
+        assert len(read) == 1 and len({stores.part_key(p) for p in store.current()["postings"]}) > 5
+
+    same()
+    assert max(Counter(map(stores.part_key, store.current()["postings"])).values()) <= 3
+    store.prune("2026-02-03")
+    same()
+    store.rebuild()
+    same()
+
+
+def test_clean_deletes_what_no_version_names(store, logs):
+    for n in (1, 2, 3):
+        store.ingest([logs(day(n, f"s{n}"), f"hook_logs_2026-02-0{n}.jsonl")])
+    one = whole(store)
+    store.rebuild()
+    store.rebuild()
+    assert store.clean() > 0 and store.clean() == 0
+    assert whole(store) == one
+
+
+def test_stored_hashes_stay_where_they_are(spark):
+    from sessionloom.operators import enrich
+
+    cols = "event_hash string, timestamp string, raw_index long, source_file string"
+    spark.createDataFrame([(f"{i:016x}", "t", i, "f") for i in range(500)], cols).write.mode("overwrite").parquet(f"{spark.conf.get('spark.checkpoint.dir')}/hashes")
+    stored = spark.read.parquet(f"{spark.conf.get('spark.checkpoint.dir')}/hashes")
+    batch = spark.createDataFrame([(f"{i:016x}", "t", i, "g") for i in range(450, 550)], cols)
+    for n in (100, None, 10**9):
+        assert sorted(r.raw_index for r in enrich.first_of_hash(batch, stored, n).collect()) == list(range(500, 550))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = enrich.first_of_hash(batch, stored, 100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    lines = plan.splitlines()
+    at = next(i for i, x in enumerate(lines) if "FileScan" in x or "Scan parquet" in x)
+    join = max(i for i in range(at) if "BroadcastHashJoin" in lines[i] and "LeftSemi" in lines[i])
+    assert not any("Exchange hashpartitioning" in x for x in lines[join:at])
 
 
 def test_pointers(store, logs, tmp_path):
