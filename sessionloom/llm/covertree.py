@@ -362,6 +362,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
 
 
 def op5_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings. The cases are those of the module."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

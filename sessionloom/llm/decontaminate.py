@@ -338,6 +338,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFram
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark windows hit. The cases are those of
+    the module."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return report(contamination(docs, items))
 

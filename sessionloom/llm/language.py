@@ -158,4 +158,5 @@ def identify(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 4
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
+    """Language of every document. The cases are those of the module."""
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -225,5 +225,6 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
 
 
 def op3_licence_scan(spark, sf_dir: str) -> DataFrame:
+    """Licence notices in every document. The cases are those of the module."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "licence", "dice", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct("matches.licence")), ",").alias("licences"))

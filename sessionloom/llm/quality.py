@@ -271,5 +271,6 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, **bounds) -
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Quality of every document. The cases are those of the module."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return scores(docs, labels)

@@ -176,4 +176,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. The cases are those of the
+    module."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -336,5 +336,6 @@ def scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Toxicity of every document. The cases are those of the module."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return scores(docs, labels)

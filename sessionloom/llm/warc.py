@@ -327,6 +327,8 @@ def _scheme(spark) -> str:
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page written to packages and read back. The cases are those of the
+    module."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     manifest = write_packages(pages, f"{scratch_dir(spark)}/packages")
     return read_records(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,4 +1,5 @@
 import importlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,8 @@ import __spark_entry__
 import corpus_pipeline
 from sessionloom.llm import simhash
 
+from . import samples
+
 
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -29,6 +32,26 @@ def test_run_keeps_one_of_each_group(spark, sf):
     assert out.where(F.col("p_selected") <= 0).count() == 0
 
 
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages_on_awkward_rows(spark, sf, k):
+    """Null, repeated and clashing things; a text of a million words."""
+    name, stage = corpus_pipeline.STAGES[k]
+    rows = [*samples.AWKWARD, (11, samples.prose(1000, 5) + " " + "word " * 1_000_000), (None, None), (12, samples.prose(60, 6)), (12, samples.prose(60, 7))]
+    docs = samples.docs(spark, rows).withColumn("p_selected", F.lit(9.0)).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    made = stage(spark, docs, sf)
+    assert sorted(made.columns) == sorted(docs.columns), name
+    out = made.collect()
+    before, after = Counter((r.doc_id, r.text) for r in docs.collect()), Counter((r.doc_id, r.text) for r in out)
+    assert after <= before, name  # nothing here is a secret
+    if name == "SimHash near-dedup":
+        assert after[9, samples.prose(40, 2)] == 1 and sum(n for (_, t), n in after.items() if not (t or "").strip()) == 1
+    elif name == "mixing sources to target weights":
+        assert not any(not (t or "").strip() for _, t in after) and all(0 < r.p_selected <= 1 for r in out)
+    elif name != "quality classifier":
+        assert after == before, name
+    assert stage(spark, docs.where("false"), sf).count() == 0
+
+
 def test_registered():
     names = [*__spark_entry__.queries()]
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
