@@ -295,17 +295,17 @@ class Store:
         new = {"session_rows": rows, "tool_call_rows": late(N.tool_call_rows(numbered), "started_at")}
         touched = materialize(numbered.select("session_id").distinct().withColumn("_bucket", self.bucket()), "touched")
         hit = {r[0] for r in touched.select("_bucket").distinct().collect()}
-        made = {}
+        wrote, read = dict(added), self._read
         for name, df in new.items():
             old = [p for p in parts.get(name, []) if part_key(p) in hit]
             if old:
-                here = self._read({name: old}, name)
+                here = read({name: old}, name)
                 if replaced:
                     names = F.broadcast(self.spark.createDataFrame([(r,) for r in replaced], "source_file string"))  # files of one ingest
                     here = here.join(names, "source_file", "left_anti")
                 df = here.unionByName(df)
-            made[name] = materialize(df, name)
-        here = materialize(folded_sessions(made["session_rows"]), "sessions")
+            wrote[name] = self._write(name, df)
+        here = materialize(folded_sessions(read(wrote, "session_rows")), "sessions")
         lineage = ("session_id", "parent_session_id", "chain_id")
         was = self._read(parts, "sessions") if parts.get("sessions") else here.where("false").withColumns({c: F.lit(None).cast("string") for c in lineage[1:]})
         others = [p for p in parts.get("sessions", []) if part_key(p) not in hit]
@@ -317,27 +317,33 @@ class Store:
         again = moved.select("session_id", F.col("parent_session_id").alias("_parent"), F.col("chain_id").alias("_chain"), F.lit(True).alias("_moved"))
         sessions = now.where(self.bucket().isin(list(far))).join(again, "session_id", "left")
         either = lambda moved, own: F.when(F.col("_moved"), F.col(moved)).otherwise(F.col(own))
-        made["sessions"] = sessions.withColumns({"parent_session_id": either("_parent", "parent_session_id"), "chain_id": either("_chain", "chain_id")}).drop("_parent", "_chain", "_moved")
-        made["tool_calls"] = N.fold_tool_calls(made["tool_call_rows"])
-        events = materialize(late(fresh, "timestamp"), "events")
-        unknown = events.join(self._read({"events": sorted(gone_events)}, "events").select("event_hash"), "event_hash", "left_anti") if gone_events else events
-        texts = materialize(search.postings(unknown, "event_hash", TEXTS), "postings")
-        size = search.totals(texts)
-        if parts.get("index_size"):
-            size = size.unionByName(self._read(parts, "index_size")).agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
-        crowded = {k for k, n in Counter(map(part_key, parts.get("postings", []))).items() if n >= CROWDED}
-        if crowded:
-            texts = texts.unionByName(self._read({"postings": [p for p in parts["postings"] if part_key(p) in crowded]}, "postings"))
-        parts = {t: [p for p in v if not (t == "postings" and part_key(p) in crowded)] for t, v in parts.items() if t != "index_size"}
-        made |= {"events": events, "postings": texts, "index_size": size}
+        sessions = sessions.withColumns({"parent_session_id": either("_parent", "parent_session_id"), "chain_id": either("_chain", "chain_id")}).drop("_parent", "_chain", "_moved")
+        wrote |= {"sessions": self._write("sessions", sessions), "tool_calls": self._write("tool_calls", N.fold_tool_calls(read(wrote, "tool_call_rows"))), "events": self._write("events", late(fresh, "timestamp"))}
         kept = {t: [p for p in v if t not in BY_SESSION or part_key(p) not in (far if t == "sessions" else hit)] for t, v in parts.items()}
-        wrote = added | {t: self._write(t, df) for t, df in made.items()}
-        n = jsonl.parse(lines).agg(F.count_if(F.col("error").isNull()), F.count("error")).first()
-        n_fresh = events.count()
+        kept, wrote = self._indexed(kept, wrote, gone_events)
+        n_lines, n_fresh = lines.count(), read(wrote, "events").count()
         whole = kept | {t: [*kept.get(t, []), *v] for t, v in wrote.items()}
         # a part without rows only stands where there is no other
         self._point({t: [p for p in v if part_key(p) != "none"] or v[:1] for t, v in whole.items()})
-        return {"events_seen": n[0], "events_stored": n_fresh, "duplicates": n[0] - n_fresh, "malformed": n[1], "sessions": self.table("sessions").count(), "tool_calls": self.table("tool_calls").count()}
+        return {"events_seen": n_events, "events_stored": n_fresh, "duplicates": n_events - n_fresh, "malformed": n_lines - n_events, "sessions": self.table("sessions").count(), "tool_calls": self.table("tool_calls").count()}
+
+    def _indexed(self, kept: dict[str, list[str]], wrote: dict[str, list[str]], gone_events: set[str]) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+        """Adds the new events' texts to the index. Of a hash of terms with many
+        parts, one is made."""
+        new = self._read(wrote, "events")
+        if gone_events:  # the index has them
+            new = new.join(self._read({"events": sorted(gone_events)}, "events").select("event_hash"), "event_hash", "left_anti")
+        texts = search.postings(new, "event_hash", TEXTS)
+        crowded = {k for k, n in Counter(map(part_key, kept.get("postings", []))).items() if n >= CROWDED}
+        made = self._write("postings", texts)
+        size = search.totals(self._read({"postings": made}, "postings"))
+        if kept.get("index_size"):
+            size = size.unionByName(self._read(kept, "index_size")).agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
+        if crowded:
+            many = [p for p in (*kept["postings"], *made) if part_key(p) in crowded]
+            made = [p for p in made if part_key(p) not in crowded] + self._write("postings", self._read({"postings": many}, "postings"))
+        rest = {t: [p for p in v if not (t == "postings" and part_key(p) in crowded)] for t, v in kept.items() if t != "index_size"}
+        return rest, wrote | {"postings": made, "index_size": self._write("index_size", size)}
 
     # search
 
