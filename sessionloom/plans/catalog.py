@@ -184,7 +184,9 @@ def _boolean(t: Tables) -> DataFrame:
 
 
 def _policy(t: Tables) -> DataFrame:
-    make = t.spark.createDataFrame
+    def make(rows: list[tuple], schema: str) -> DataFrame:
+        return P.table(t.spark, rows, schema)
+
     rules = P.Rules(
         make([("search", "reader"), ("worker", "editor"), ("", "main")], "agent string, profile string"),
         make([("reader", "Read"), ("reader", "G*"), ("editor", "*"), ("main", "Bash")], "profile string, tool string"),
@@ -196,6 +198,40 @@ def _policy(t: Tables) -> DataFrame:
     return P.audit(calls, rules)
 
 
+_GUARDS = """
+[profiles._default]
+[profiles.worker]
+tools = ["Bash"]
+safety-overrides = ["bounded"]
+commands = { categories = ["all"], structure = { single-command = true, no-redirection = true } }
+[profiles.reviewer]
+aliases = ["search"]
+tools = ["Bash"]
+commands = { categories = ["all"] }
+[command-categories.all]
+allow = [["git"], ["curl"], ["docker", "logs"]]
+[safety]
+bounded = { kind = "require-bounded-logs", command = { prefix = ["docker", "logs"] }, message = "unbounded" }
+branch = { kind = "deny-protected-branch", command = { prefix = ["git", "push"] }, branches = ["b1"], message = "protected" }
+header = { kind = "allow-curl-headers", command = { prefix = ["curl"] }, prefixes = ["Accept: "], message = "header" }
+url = { kind = "require-curl-url-prefix", command = { prefix = ["curl"] }, prefixes = ["https://a.b/1", "https://a.b/2"], message = "url" }
+"""
+
+
+def _guarded(t: Tables) -> DataFrame:
+    """Shell lines made of the events' own fields, under guards and limits of profiles."""
+    branch, n = F.coalesce("git_branch", F.lit("b0")), F.col("k").cast("string")
+    command = (
+        F.when(F.col("k") % 5 == 0, F.concat(F.lit("git -C "), "cwd", F.lit(" push origin HEAD:"), branch))
+        .when(F.col("k") % 5 == 1, F.concat(F.lit("curl -s -H '"), F.when(F.col("k") % 2 == 0, "Accept: a|b").otherwise("X: y"), F.lit("' \"https://a.b/"), n, F.lit('"')))
+        .when(F.col("k") % 5 == 2, F.concat(F.lit('git log --grep "'), "file_path", F.lit(' | ; > x"')))
+        .when(F.col("k") % 5 == 3, F.concat(F.lit("docker logs "), F.when(F.col("k") % 3 == 0, "--tail=5 ").otherwise(""), "model"))
+        .otherwise(F.concat(F.lit("git status > "), "file_path", F.lit(" && git log")))
+    )
+    calls = t.raw.where(F.col("agent_type").isNotNull()).select(F.col("raw_index").alias("call_id"), "agent_type", F.lit(P.SHELL).alias("tool_name"), command.alias("command"), F.lit(None).cast("string").alias("target"), F.lit(False).alias("bypass"))
+    return P.audit(calls, P.read_rules(t.spark, _GUARDS))
+
+
 _IDS = ("raw_index", "session_id", "event_type")
 _SINCE, _SPLIT = "2024-01-20 12:00:00", "2024-01-15"
 
@@ -251,6 +287,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "parity_sessions": _sessions_diff,
     "parity_tool_calls": _tool_calls_diff,
     "policy_audit": _policy,
+    "policy_guards": _guarded,
     # scalar functions
     "days_to_date": lambda t: t.raw.select("k", E.days_to_date(F.col("k") * 200).alias("day")).distinct(),
     "parse_ts": lambda t: t.raw.select("raw_index", F.unix_micros(E.parse_ts(F.col("timestamp"))).alias("micros"), E.event_date(F.col("timestamp")).cast("string").alias("day")),

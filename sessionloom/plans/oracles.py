@@ -194,6 +194,11 @@ SELECT call_id, profile, CASE WHEN profile IS NULL THEN 'unknown agent'
   WHEN profile = 'reader' AND NOT (tool_name = 'Read' OR starts_with(tool_name, 'G')) OR profile = 'main' AND tool_name <> 'Bash' THEN 'tool not allowed'
   WHEN tool_name = 'Bash' AND k % 3 = 2 THEN 'wrapper command'
   WHEN tool_name = 'Bash' AND (profile = 'editor' AND k % 3 <> 0 OR profile = 'main' AND k % 3 <> 1) THEN 'command not allowed' END AS denied FROM c""",
+    "policy_guards": """SELECT raw_index AS call_id, CASE agent_type WHEN 'worker' THEN 'worker' ELSE 'reviewer' END AS profile, CASE k % 5
+  WHEN 0 THEN CASE WHEN git_branch = 'b1' THEN 'protected' END
+  WHEN 1 THEN CASE WHEN k % 2 = 1 THEN 'header' WHEN CAST(k AS VARCHAR)[1] NOT IN ('1', '2') THEN 'url' END
+  WHEN 3 THEN CASE WHEN k % 3 > 0 AND agent_type <> 'worker' THEN 'unbounded' END
+  WHEN 4 THEN CASE WHEN agent_type = 'worker' THEN 'composed command' END END AS denied FROM tev WHERE agent_type IS NOT NULL""",
     # enrichment
     "payload_extract": """SELECT raw_index, session_id, CASE WHEN k % 5 = 0 THEN k END AS prompt_length, CAST(k % 6 IN (0, 2) AS BIGINT) AS is_interrupt, CASE WHEN k % 3 = 0 THEN 'Größe ☃' END AS tool_name,
   CASE k % 4 WHEN 0 THEN '{"b":[1.5,1000.0,true],"\\u00e9":null}' WHEN 1 THEN 'plain é' WHEN 3 THEN '[]' END AS tool_input, CAST(CASE k % 4 WHEN 0 THEN 37 WHEN 1 THEN 8 WHEN 2 THEN 4 ELSE 2 END AS BIGINT) AS input_bytes FROM tev""",

@@ -213,6 +213,75 @@ def test_wrong_rules(spark, old, new, wrong):
         policy.read_rules(spark, RULES.replace(old, new))
 
 
+GUARDS = """
+[profiles._default]
+aliases = ["", "main"]
+[profiles.w]
+tools = ["Bash"]
+safety-overrides = ["waived"]
+[profiles.w.commands]
+categories = ["all"]
+structure = { single-command = true, no-redirection = true, allow-pipeline = true }
+[profiles.loose]
+tools = ["Bash"]
+[profiles.loose.commands]
+categories = ["all"]
+[command-categories.all]
+allow = [["git"], ["rm"], ["curl"], ["docker"], ["jq"], ["show"], ["mvn", "test"]]
+[safety]
+waived = { kind = "deny-always", command = { prefix = ["git"] }, message = "waived" }
+recursive = { kind = "deny-flags", command = { prefix = ["rm"] }, flags = ["-r", "--recursive"], message = "recursive" }
+place = { kind = "require-positional-prefix", command = { prefix = ["show"] }, prefixes = ["/tmp/"], message = "place" }
+url = { kind = "require-curl-url-prefix", command = { prefix = ["curl"] }, prefixes = ["https://a.b"], message = "url" }
+header = { kind = "allow-curl-headers", command = { prefix = ["curl"] }, prefixes = ["Accept: "], message = "header" }
+method = { kind = "allow-curl-methods", command = { prefix = ["curl"] }, prefixes = ["GET"], message = "method" }
+form = { kind = "allow-curl-forms", command = { prefix = ["curl"] }, targets = ["https://a.b/up"], prefixes = ["f=@/tmp/"], message = "form" }
+paths = { kind = "require-explicit-pathspecs", command = { prefix = ["git", "add"] }, forbid = [".", "-A"], message = "paths" }
+push = { kind = "require-explicit-push-target", command = { prefix = ["git", "push"] }, message = "push" }
+branch = { kind = "deny-protected-branch", command = { prefix = ["git", "push"] }, branches = ["main"], message = "branch" }
+logs = { kind = "require-bounded-logs", command = { prefix = ["docker", "logs"] }, message = "logs" }
+rebase = { kind = "deny-always", command = { prefix = ["git", "rebase"] }, allow-exact = [["git", "rebase", "o/m"]], message = "rebase" }
+remove = { kind = "deny-subcommands", command = { prefix = ["docker"] }, subcommands = [["rm"], ["volume", "rm"]], message = "remove" }
+"""
+
+GUARDED = [
+    ("rm a", None), ("rm -fr a", "recursive"), ("rm --recursive=x a", "recursive"), ("rm --force a", None), ("rm -- -x", None),
+    ("show -v /tmp/x", None), ("show -v /etc/x", "place"), ("show", "place"),
+    ("curl https://a.b/c", None), ("curl -s 'https://a.b/c'", None), ("curl https://c.d", "url"), ("curl", "url"), ("curl -o https://a.b x", "url"),
+    ("curl --url=https://a.b", None), ("curl --url https://a.b", None), ("curl -- https://a.b", None), ("curl -d x https://a.b", None),
+    ('curl -H "Accept: x; y" https://a.b', None), ("curl -s https://a.b -H 'X: y'", "header"), ("curl https://a.b -HX:y", "header"), ("curl https://a.b --header=X:y", "header"),
+    ("curl -X get https://a.b", None), ("curl -X 'DELETE' https://a.b", "method"), ("curl https://a.b -- -X DELETE", None), ("curl -d -X https://a.b", None),
+    ("curl -F 'f=@/tmp/q' https://a.b/up/1", None), ("curl -F 'f=@/etc/q' https://a.b/up", "form"), ("curl -F f=@/tmp/q https://a.b/c", "form"),
+    ("git add a b", None), ("git add", "paths"), ("git add .", "paths"), ("git add x -A", "paths"),
+    ("git push o x", None), ("git push o", "push"), ("git push -u o x", None), ("git push o +x:main", "branch"), ("git push o +main", "branch"),
+    ("docker logs x", "logs"), ("docker logs --tail=5 x", None), ("docker logs -n 5 x", None),
+    ("git rebase o/m", None), ("git rebase o/n", "rebase"), ("git -C /x rebase o/n", "rebase"), ("git -C /a --directory /b rebase o/m", None),
+    ("docker volume rm x", "remove"), ("docker volume ls", None),
+    ("mvn -q -pl core test", None), ("mvn -pl test", "command not allowed"), ("mvn -f", "command not allowed"),
+    ('git log --grep "a|b;c"', None), (r"git log a\;b", None), ("git log 'a > b'", None), ("git log | jq .", None), ("git log && jq .", "composed command"),
+    ("git log | jq . &", "composed command"), ("git log > f", "composed command"), ("git log 2>&1", "composed command"),
+    ('git log "$(rm x)"', "composed command"), ("git log '$(rm x)'", None), ("git log \"it's\" `x`", "composed command"), ("(git log)", "composed command"),
+    ('git log "a', None), ("bd show 5", None), ("bd close 5", "command not allowed"), ("bd -C /x dep list", None), ("", None), ("  ", None),
+    ("git log " + "a" * 100_000 + ' "' + "b c" * 50_000 + '"', None),
+]
+
+
+def test_guards(spark):
+    calls = spark.createDataFrame([(k, "w", "Bash", c, None, False) for k, (c, _) in enumerate(GUARDED)], "call_id long, agent_type string, tool_name string, command string, target string, bypass boolean")
+    got = {r.call_id: r.denied for r in policy.audit(calls, policy.read_rules(spark, GUARDS)).collect()}
+    assert {c[:80]: got[k] for k, (c, _) in enumerate(GUARDED)} == {c[:80]: want for c, want in GUARDED}
+
+
+def test_guards_of_profiles(spark):
+    """Overridden guards hold for others; a line without limits is checked command by command."""
+    lines = [("loose", "jq . a > b 2>&1; docker rm x", "remove"), ("loose", "jq . a >> b && jq . c", None), ("loose", "jq $(rm x)", "composed command"), ("loose", "git log", "waived"), ("w", "git log", None), ("main", "bd list", None), ("main", "bd list; bd list", "tool not allowed"), ("main", None, "tool not allowed")]
+    calls = spark.createDataFrame([(k, p, "Bash", c, None, False) for k, (p, c, _) in enumerate(lines)], "call_id long, agent_type string, tool_name string, command string, target string, bypass boolean")
+    got = {r.call_id: r.denied for r in policy.audit(calls, policy.read_rules(spark, GUARDS)).collect()}
+    assert [got[k] for k in range(len(lines))] == [want for *_, want in lines]
+    with pytest.raises(ValueError, match="guard push: unknown kind deny-some"):
+        policy.read_rules(spark, GUARDS.replace("require-explicit-push-target", "deny-some"))
+
+
 def test_suggestions(spark):
     lines = [("/usr/bin/rg x",), ("cd /a && cat b",), ("git status",), ("",), (None,)]
     got = [r.s for r in spark.createDataFrame(lines, "c string").select(policy.suggestion(F.col("c")).alias("s")).collect()]
