@@ -180,10 +180,11 @@ class Templates:
             p, g = at[own], gram[own]
             # a start needs enough template bigrams within the longest stretch
             reach = np.searchsorted(p, p + longest, "left") - np.arange(len(p))
-            for i in np.flatnonzero(reach >= needed).tolist():
-                best = self._best(p, g, i, size, counts, longest)
-                if best:
-                    found.append((best[0], best[1] - p[i], name, int(p[i])))
+            starts = np.flatnonzero(reach >= needed)
+            starts = starts[np.argsort(-reach[starts], kind="stable")]
+            dice, after = self._best(p, g, starts, reach[starts], size, counts, needed)
+            ok = np.flatnonzero(after)
+            found += [(d, q - i, name, i) for d, q, i in zip(dice[ok].tolist(), after[ok].tolist(), p[starts[ok]].tolist(), strict=True)]
         found.sort(key=lambda m: (-m[0], -m[1], m[2], m[3]))
         taken, kept = np.zeros(len(ids), bool), []
         for dice, length, name, start in found:
@@ -192,19 +193,32 @@ class Templates:
                 kept.append((name, dice, start, int(start + length + 1)))
         return sorted(kept, key=lambda m: m[2])
 
-    def _best(self, p, g, i: int, size: int, counts: Counter, longest: float) -> tuple[float, int] | None:
-        seen: Counter = Counter()
-        shared, best = 0, None
-        for q, x in zip(p[i:].tolist(), g[i:].tolist(), strict=True):
-            length = q - int(p[i]) + 1
-            if length > longest:
-                break
-            seen[x] += 1
-            shared += seen[x] <= counts[x]
-            dice = 2 * shared / (length + size)
-            if dice >= self.least and (best is None or dice >= best[0]):
-                best = (dice, q + 1)
-        return best
+    def _best(self, p, g, starts, reach, size: int, counts: Counter, needed: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each start the highest dice of a stretch from it, of equal ones the
+        longest's, and the bigram after it (0: none reaches the least). All starts
+        take their next bigram together; they come by falling reach, so those that
+        are not at their end are the first ones."""
+        best, after = np.zeros(len(starts)), np.zeros(len(starts), np.int64)
+        if not len(starts):
+            return best, after
+        # a bigram is shared unless the template's number of it lies between the start and it
+        order = np.argsort(g, kind="stable")
+        values, first, n = np.unique(g[order], return_index=True, return_counts=True)
+        rank = np.arange(len(g)) - np.repeat(first, n) - np.repeat([counts[v] for v in values.tolist()], n)
+        before = np.full(len(g), -1)
+        own = rank >= 0
+        before[order[own]] = order[np.repeat(first, n)[own] + rank[own]]
+        shared, until = np.zeros(len(starts), np.int32), -reach
+        for j in range(int(reach[0])):
+            live = np.searchsorted(until, -j, "left")
+            at = starts[:live] + j
+            shared[:live] += before[at] < starts[:live]
+            near = np.flatnonzero(shared[:live] >= needed)
+            end = p[at[near]] + 1
+            dice = 2 * shared[near] / (end - p[starts[near]] + size)
+            better = (dice >= self.least) & (dice >= best[near])
+            best[near[better]], after[near[better]] = dice[better], end[better]
+        return best, after
 
 
 MATCHES = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -106,3 +107,13 @@ def test_words_by_hash():
     for t, ids in zip(texts, table.ids_of(texts), strict=True):
         assert ids.tolist() == [table.vocabulary.get(w, -1) for w in L.words(t)]
     assert table.all_of(texts) == [table.find(t) for t in texts]
+
+
+def test_a_text_of_notices_alone():
+    """Work follows the text's length, not its square: every notice is found."""
+    bsd = max((t for n, t in L.TEMPLATES if n == "BSD-3-Clause"), key=len)
+    n = len(L.words(bsd))
+    began = time.perf_counter()
+    found = L.Templates(L.TEMPLATES).find((bsd + "\n") * 150)
+    assert found == [("BSD-3-Clause", 1.0, k * n, (k + 1) * n) for k in range(150)]
+    assert time.perf_counter() - began < 20
