@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from sessionloom.functions import events as E
+from sessionloom.operators import live
 from sessionloom.operators.live import EXPLORERS, READS, WORKER
 from sessionloom.sources.tail import TailSource
 from sessionloom.store import Store
@@ -50,30 +51,42 @@ GATE_SCHEMA = "session_id string, file_path string, raw_index long, decision str
 
 
 class Gate(StatefulProcessor):
-    """State of a session: what explorers covered, and files warned about."""
+    """State of a session: what explorers covered, files warned about, and whether
+    an explorer was active. With ``keep_ms`` each entry goes that long after it was
+    last written."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.files = handle.getMapState("files", "path string", "seen boolean")
-        self.dirs = handle.getMapState("dirs", "path string", "seen boolean")
-        self.warned = handle.getMapState("warned", "path string", "seen boolean")
+        self.file, self.dir, self.warned = (handle.getMapState(n, "path string", "seen boolean", self.keep_ms) for n in ("file", "dir", "warned"))
+        self.active = handle.getValueState("active", "seen boolean", self.keep_ms)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for kind, path in zip(initialState["kind"], initialState["path"], strict=True):
+            getattr(self, kind).updateValue((path,), (True,))
+        if (initialState["kind"] == "file").any():
+            self.active.update((True,))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         todo = pd.concat(list(rows)).sort_values(["timestamp", "raw_index"])
-        out = []
-        for r in todo.itertuples():
-            if r.agent_type in EXPLORERS and r.tool_name in (*READS, "Glob", "Grep"):
-                self.files.updateValue((r.file_path,), (True,))
-                parent = r.file_path.rpartition("/")[0] or ("/" if r.file_path.startswith("/") else "")
-                if parent:
-                    self.dirs.updateValue((parent,), (True,))
-            elif r.agent_type == WORKER:
-                out.append((key[0], r.file_path, r.raw_index, self._decide(r.file_path)))
-        yield pd.DataFrame(out, columns=["session_id", "file_path", "raw_index", "decision"])
+        explores = todo["agent_type"].isin(EXPLORERS) & todo["tool_name"].isin([*READS, "Glob", "Grep"])
+        works = todo["agent_type"] == WORKER
+        decided = [self._decide(path) if work else self._cover(path) for path, work in zip(todo["file_path"][explores | works], works[explores | works], strict=True)]
+        out = todo[works].assign(decision=[d for d in decided if d])
+        yield out[["session_id", "file_path", "raw_index", "decision"]]
+
+    def _cover(self, path: str) -> None:
+        self.active.update((True,))
+        self.file.updateValue((path,), (True,))
+        parent = path.rpartition("/")[0] or ("/" if path.startswith("/") else "")
+        if parent:
+            self.dir.updateValue((parent,), (True,))
 
     def _decide(self, path: str) -> str:
         parts = path.split("/")
         above = {"/".join(parts[:n]) or "/" for n in range(1, len(parts) + 1)}
-        if next(iter(self.files.keys()), None) is None or self.files.containsKey((path,)) or any(self.dirs.containsKey((d,)) for d in above if d) or self.warned.containsKey((path,)):
+        if not self.active.exists() or self.file.containsKey((path,)) or any(self.dir.containsKey((d,)) for d in above if d) or self.warned.containsKey((path,)):
             return "allow"
         self.warned.updateValue((path,), (True,))
         return "warn"
@@ -82,8 +95,27 @@ class Gate(StatefulProcessor):
         pass
 
 
-def gate(events: DataFrame) -> DataFrame:
+def _watched(events: DataFrame) -> DataFrame:
+    kept = (F.col("event_type") == "PreToolUse") & (F.col("file_path") != "") & (F.col("session_id") != "")
+    return events.where(kept).select("session_id", "file_path", "agent_type", "tool_name", "timestamp", "raw_index")
+
+
+def gate_state(events: DataFrame) -> DataFrame:
+    """What a gate knows after a table of events, a row for each session, kind
+    (file, dir, warned) and path."""
+    seen = _watched(events).where(F.col("agent_type").isin(*EXPLORERS) & F.col("tool_name").isin(*READS, "Glob", "Grep"))
+    paths = F.array(F.struct(F.lit("file").alias("kind"), F.col("file_path").alias("path")), F.struct(F.lit("dir").alias("kind"), E.parent_dir(F.col("file_path")).alias("path")))
+    covered = seen.select("session_id", F.inline(paths)).where("path IS NOT NULL")
+    warned = live.gate(events).where("decision = 'warn'").select("session_id", F.lit("warned").alias("kind"), F.col("file_path").alias("path"))
+    return covered.unionByName(warned).distinct()
+
+
+def gate(events: DataFrame, state: DataFrame | None = None, keep_ms: int | None = None) -> DataFrame:
     """Decisions of the coverage gate for a stream of events, as live.gate()
-    takes them for a table; needs the RocksDB state store provider."""
-    pre = events.where((F.col("event_type") == "PreToolUse") & (F.col("file_path") != "") & (F.col("session_id") != "")).select("session_id", "file_path", "agent_type", "tool_name", "timestamp", "raw_index")
-    return pre.groupBy("session_id").transformWithStateInPandas(statefulProcessor=Gate(), outputStructType=GATE_SCHEMA, outputMode="Append", timeMode="None")
+    takes them for a table; needs the RocksDB state store provider. ``state`` (of
+    gate_state) is what a new query starts from. With ``keep_ms`` what a session was
+    silent about for so long is forgotten; as time passes without input too, a query
+    over what is available then ends only with
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off."""
+    known = None if state is None else state.select("session_id", "kind", "path").groupBy("session_id")
+    return _watched(events).groupBy("session_id").transformWithStateInPandas(statefulProcessor=Gate(keep_ms), outputStructType=GATE_SCHEMA, outputMode="Append", timeMode="ProcessingTime" if keep_ms else "None", initialState=known)

@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ def spark(spark):
     yield spark
     spark.conf.set("spark.sql.shuffle.partitions", old)
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
 
 
 def streamed(spark, df, path, files=3):
@@ -53,6 +56,42 @@ def test_gate_equals_the_batch(spark, tmp_path):
     assert {(r.raw_index, r.decision) for r in got.collect()} == {(r.raw_index, r.decision) for r in want.collect()}
 
 
+def test_gate_starts_from_a_table(spark, tmp_path):
+    """After half of the events as a table, the other half is decided as by one run over all."""
+    r = random.Random(5)
+    rows = [("PreToolUse", r.choice("pqs"), r.choice(["worker", "search", "other"]), r.choice(["Edit", "Read", "Grep"]), r.choice(["/", "/a/", "/a/b/", "c/", ""]) + r.choice("xyz"), f"t{i:03d}", i) for i in range(120)]
+    df = spark.createDataFrame(rows, "event_type string, session_id string, agent_type string, tool_name string, file_path string, timestamp string, raw_index long")
+    early, late = df.where("raw_index < 60"), df.where("raw_index >= 60")
+    got = run(jobs.gate(streamed(spark, late, tmp_path, 1), jobs.gate_state(early)), "gate_from_table")
+    want = live.gate(df).where("raw_index >= 60")
+    found = {(r.raw_index, r.decision) for r in got.collect()}
+    assert found == {(r.raw_index, r.decision) for r in want.collect()}
+    assert {d for _, d in found} == {"warn", "allow"}
+
+
+def test_gate_forgets(spark, tmp_path):
+    """State goes after its time: a warning is not held back by an old one, and without an active explorer there is none."""
+    e = lambda i, who, path, tool="Edit": ("PreToolUse", "s", who, tool, path, f"t{i:02d}", i)
+    schema = "event_type string, session_id string, agent_type string, tool_name string, file_path string, timestamp string, raw_index long"
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([e(0, "search", "/a/x", "Read"), e(1, "worker", "/b/x")], schema).write.parquet(folder)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    found = {}
+    for keep in (1000, 10**8):
+        out = str(tmp_path / f"out{keep}")
+
+        def step(keep=keep, out=out):
+            stream = jobs.gate(spark.readStream.schema(schema).parquet(folder), keep_ms=keep)
+            stream.writeStream.format("parquet").option("checkpointLocation", out + "_at").trigger(availableNow=True).start(out).awaitTermination()
+
+        step()
+        time.sleep(1.5)
+        spark.createDataFrame([e(10 + len(found), "worker", "/c/x")], schema).write.mode("append").parquet(folder)
+        step()
+        found[keep] = {r.raw_index: r.decision for r in spark.read.parquet(out).collect()}
+    assert found == {1000: {1: "warn", 10: "allow"}, 10**8: {1: "warn", 10: "warn", 11: "allow"}}
+
+
 def test_tail_sees_appended_lines(spark, tmp_path):
     path = tmp_path / "log.jsonl"
     path.write_text("old\n")
