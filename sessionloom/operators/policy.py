@@ -202,12 +202,12 @@ def _outside_quotes(command: Column) -> Column:
 def substituted(command: Column) -> Column:
     """A command substitution outside single quotes, or a subshell."""
     inner = F.regexp_replace(command, rf"(?s)({_DOUBLE})|\\.|{_SINGLE}", "$1")
-    return inner.rlike(r"(?<!\\)(`|\$\()") | _outside_quotes(command).rlike(r"(^|[\s;&|<>])\(")
+    return command.rlike("[`(]") & (inner.rlike(r"(?<!\\)(`|\$\()") | _outside_quotes(command).rlike(r"(^|[\s;&|<>])\("))
 
 
 def redirected(command: Column) -> Column:
     """A redirection outside quotes."""
-    return _outside_quotes(command).rlike("[<>]")
+    return command.rlike("[<>]") & _outside_quotes(command).rlike("[<>]")
 
 
 def composed(command: Column) -> Column:
