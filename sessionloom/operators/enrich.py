@@ -210,6 +210,7 @@ LEAST_SCORE = 6
 GAP_POINTS = ((30, 5), (120, 4), (300, 3), (900, 2), (LOOK_BACK_S, 1))
 FIELD_POINTS = {"cwd": 3, "git_branch": 2, "model": 1}
 STAYS_POINTS = 2
+NO_ROOT = "\u0000"  # no session is called so
 
 
 def lineage_score(prev: str, cur: str) -> Column:
@@ -302,15 +303,23 @@ def as_of(lefts: DataFrame, rights: DataFrame, by: tuple[str, ...]) -> DataFrame
 def chains(edges: DataFrame) -> DataFrame:
     """(session_id, chain_id): the root that the parent edges lead to, by pointer
     doubling, so the rounds grow with the logarithm of the longest chain. Roots
-    themselves have no chain. Edges point back in time, so there is no cycle."""
+    themselves have no chain. A session may end before it starts (a log without its
+    first start), so edges can lead in a ring; what leads into one has no root, and
+    no row here.
+
+    In a round those move on that are more than 1, 2, 4, ... edges from their root,
+    or have none. Where as many move as in the round before, no root is that far
+    away, as the sessions on the way to it would be nearer; the rest has none."""
     hop = materialize(edges.select("session_id", F.col("parent_session_id").alias("chain_id")), "hops")
+    moving = hop.count()
     while True:
         on = hop.select(F.col("session_id").alias("chain_id"), F.col("chain_id").alias("further"))
         step = hop.join(on, "chain_id", "left").select("session_id", F.coalesce("further", "chain_id").alias("chain_id"), F.col("further").isNotNull().alias("moved"))
         step = materialize(step, "hops")
+        before, moving = moving, step.where("moved").count()
+        if moving in (0, before):
+            return step.where("NOT moved").select("session_id", "chain_id")
         hop = step.select("session_id", "chain_id")
-        if step.where("moved").isEmpty():
-            return hop
 
 
 def with_lineage(sessions: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
@@ -351,10 +360,11 @@ def relinked(sessions: DataFrame, before: DataFrame, touched: DataFrame) -> Data
 
     Only affected sessions look for a parent again, and only the chains that a
     changed edge was in, or leads out of, are followed again; a parent in any other
-    chain stands for the root it had."""
+    chain stands for the root it had. Sessions without a root (``chains``) are
+    followed as if they were one chain."""
     asked = materialize(affected(sessions, before, touched), "affected")
     found = parents(sessions, of=asked).select("session_id", F.col("parent_session_id").alias("_new"))
-    old = sessions.select("session_id", "parent_session_id", "chain_id", F.coalesce("chain_id", "session_id").alias("_root"))
+    old = sessions.select("session_id", "parent_session_id", "chain_id", F.coalesce("chain_id", F.when(F.col("parent_session_id").isNull(), F.col("session_id")), F.lit(NO_ROOT)).alias("_root"))
     now = materialize(asked.join(found, "session_id", "left"), "parents")
     # touched ones always: a new session, or one that comes back, may be the root of others
     changed = old.join(now, "session_id").join(touched.select("session_id", F.lit(True).alias("_touched")), "session_id", "left").where("_touched OR NOT (_new <=> parent_session_id)")
@@ -364,7 +374,7 @@ def relinked(sessions: DataFrame, before: DataFrame, touched: DataFrame) -> Data
     outside = old.join(members, "session_id", "left_anti").select(F.col("session_id").alias("parent_session_id"), F.col("_root").alias("_end"))
     edges = members.where("parent_session_id IS NOT NULL").join(outside, "parent_session_id", "left")
     found = chains(edges.select("session_id", F.coalesce("_end", "parent_session_id").alias("parent_session_id")))
-    return members.join(found, "session_id", "left")
+    return members.join(found.withColumn("chain_id", F.nullif("chain_id", F.lit(NO_ROOT))), "session_id", "left")
 
 
 def lineage_candidates(sessions: DataFrame, now: str, limit: int = 20) -> DataFrame:

@@ -90,6 +90,29 @@ def test_chains_lead_to_the_root(spark):
     assert {r.session_id: r.chain_id for r in enrich.chains(edges).collect()} == {**{f"s{i}": "s0" for i in range(1, 20)}, "x": "y"}
 
 
+def test_what_leads_into_a_ring_has_no_chain(spark):
+    ring = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("self", "self")]
+    line = [(f"s{i}", f"s{i - 1}") for i in range(1, 12)]
+    found = lambda rows: {r.session_id: r.chain_id for r in enrich.chains(spark.createDataFrame(rows, "session_id string, parent_session_id string")).collect()}
+    assert found(ring + line) == {f"s{i}": "s0" for i in range(1, 12)}
+    assert found(ring) == {} and found(ring[:1]) == {"a": "b"}
+
+
+def test_rings_are_kept_up_by_increments(spark):
+    # a log that lacks its first start: the session ends before it starts
+    made = lambda *rows: spark.createDataFrame([(i, s, e, "startup", "/w", "b", "m", "exit") for i, s, e in rows], SESSION)
+    shown = lambda df: {r.session_id: (r.parent_session_id, r.chain_id) for r in df.select("session_id", "parent_session_id", "chain_id").collect()}
+    ring = [("a", at(20), at(10)), ("b", at(21), at(9)), ("c", at(40), at(41))]
+    one = materialize(enrich.with_lineage(made(*ring)))
+    assert shown(one) == {"a": ("b", None), "b": ("a", None), "c": ("a", None)}
+    for more in ([("d", at(42), at(50))], [("a", at(5), at(10))], [("b", at(21), at(30)), ("d", at(42), at(50))]):
+        now = {r[0]: r for r in ring} | {r[0]: r for r in more}
+        whole = made(*now.values())
+        kept = whole.join(one.select("session_id", "parent_session_id", "chain_id"), "session_id", "left")
+        moved = shown(enrich.relinked(kept, one, whole.where(F.col("session_id").isin([r[0] for r in more])).select("session_id")))
+        assert shown(one) | moved == shown(enrich.with_lineage(whole))
+
+
 def test_a_later_error_makes_a_call_fail(spark):
     cols = "source_file string, session_id string, raw_index long, tool_use_id string, tool_name string, agent_id string, agent_type string, started_at string, completed_at string, duration_ms long, input_summary string, output_bytes long, error string, succeeded long, skill_name string, skill_type string"
     row = lambda i, error, ok: ("f", "s", i, "t", f"tool{i}", None, None, "a", f"b{i}", i, None, 1, error, ok, None, None)
