@@ -41,7 +41,6 @@ from . import common
 
 CONTEXT = 60
 CORPUS_WORDS = 4000  # by frequency: a stated bound for the driver and the broadcast
-WORD_SAMPLE = 20_000  # documents, as expected, that the words are counted in
 
 _NAME = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|signature)"
 # Key blocks: their markers, and what the lines of one without an end are made of. Line ends and signs may be escaped as in JSON.
@@ -104,14 +103,15 @@ def by_start(words: list[str]) -> dict[str, list[str]]:
     return out
 
 
-def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS, sample: int = WORD_SAMPLE) -> list[str]:
-    """The most frequent words (three letters or more, lower-case) of a sample of
-    the texts: those drawn by a hash of their id so that ``sample`` are expected,
-    all if there are fewer. Texts stay where they are; words are counted before
-    they are shuffled."""
-    n = docs.count()
-    drawn = docs if n <= sample else docs.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < F.lit(float(sample) / n * (1 << 30)))
-    words = drawn.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(3, 30))
+def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS, sample: int | None = None) -> list[str]:
+    """The most frequent words (three letters or more, lower-case) of all texts, or
+    of a sample of them where one is asked for: those drawn by a hash of their id so
+    that ``sample`` are expected, all if there are fewer. Texts stay where they are;
+    words are counted before they are shuffled."""
+    if sample is not None:
+        draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < F.lit(float(sample) / max(docs.count(), sample, 1) * (1 << 30))
+        docs = docs.where(draw)
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(3, 30))
     return [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).collect()]
 
 

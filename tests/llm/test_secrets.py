@@ -210,3 +210,12 @@ def test_words_of_a_sample(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha beta "), F.repeat(F.lit("gamma "), (F.col("id") % 2).cast("int"))).alias("text"))
     assert S.corpus_words(df, 10) == S.corpus_words(df, 10, sample=300) == ["alpha", "beta", "gamma"]  # by frequency, then by letters
     assert S.corpus_words(df.where("false")) == []
+
+
+def test_words_are_counted_in_all_texts(spark):
+    # far more documents than any sample held, rare words in a few of them
+    df = spark.range(60_000, numPartitions=4).selectExpr("id AS doc_id", "CASE WHEN id % 3000 = 1 THEN 'rareword' ELSE 'common' END AS text")
+    words = spark.createDataFrame([(-1, "single")], "doc_id long, text string")
+    assert S.corpus_words(df.unionByName(words)) == ["common", "rareword", "single"]
+    few = df.selectExpr("doc_id", "concat('w', translate(CAST(doc_id AS STRING), '0123456789', 'abcdefghij')) AS text")
+    assert len(S.corpus_words(few, 100_000)) == few.select("text").where("length(text) >= 3").distinct().count()
