@@ -8,15 +8,18 @@ without stemming."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.runtime import materialize
-
 K1, B = 1.2, 0.75
-BUCKETS, BUCKET = 64, "_bucket"
+BUCKETS, BUCKET, ADDED = 64, "_bucket", "_added"
+ROWS = 65_536  # postings handed on at once
 _WORD = r"[\p{L}\p{N}]+"
 # Letters with marks and what they are searched as.
 _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -89,27 +92,62 @@ def bucket(term: Column, buckets: int = BUCKETS) -> Column:
 
 def postings(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(id, field, term, at, len): the positions of a term in a field of a row, and
-    how many words the row has, so that ranking needs no other table. Ids are unique."""
+    how many words the row has, so that ranking needs no other table. Ids are unique.
+    A row's words are grouped where they are, so nothing is shuffled."""
     cut = rows.select(F.col(id_col).alias("id"), *[words(F.col(f)).alias(f) for f in fields])
     sized = cut.withColumn("len", sum((F.size(f) for f in fields), F.lit(0)).cast("long"))
-    parts = [sized.select("id", "len", F.lit(f).alias("field"), F.posexplode(f).alias("pos", "term")) for f in fields]
-    return reduce(DataFrame.unionByName, parts).groupBy("id", "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("at"), F.max("len").alias("len"))
+    parts = [sized.select("id", F.lit(f).alias("field"), F.col(f).alias("words"), "len") for f in fields]
+    kind = sized.schema["id"].dataType.simpleString()
+    return reduce(DataFrame.unionByName, parts).mapInArrow(_grouped, f"id {kind}, field string, term string, at array<int>, len long")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of (id, field, words, len), those of equal terms beside each other."""
+    for b in batches:
+        held = b.column(2)
+        code = held.flatten().dictionary_encode()
+        n = held.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        term = code.indices.to_numpy()
+        order = np.argsort(term, kind="stable")
+        term, row, pos = term[order], row[order], pos[order]
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
+        first = np.append(np.flatnonzero(new), len(term))
+        for lo in range(0, len(first) - 1, ROWS):
+            at = first[lo : lo + ROWS + 1]
+            here, positions = pa.array(row[at[:-1]]), pa.array(pos[at[0] : at[-1]], pa.int32())
+            offsets = pa.array(at - at[0], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(here), b.column(1).take(here), code.dictionary.take(pa.array(term[at[:-1]])), pa.ListArray.from_arrays(offsets, positions), b.column(3).take(here)], names=["id", "field", "term", "at", "len"])
 
 
 def totals(postings: DataFrame) -> DataFrame:
-    """One row: docs with words, and their words."""
-    return postings.agg(F.count_distinct("id").alias("docs"), F.coalesce(F.sum(F.size("at")), F.lit(0)).alias("words"))
+    """One row: docs with words, and their words. A row with words has one at the
+    first place of some field."""
+    return postings.agg(F.count_distinct(F.when(F.get("at", F.lit(0)) == 0, F.col("id"))).alias("docs"), F.coalesce(F.sum(F.size("at")), F.lit(0)).alias("words"))
 
 
 def write(rows: DataFrame, id_col: str, fields: list[str], folder: str, append: bool = True, buckets: int = BUCKETS) -> None:
     """Adds rows with new ids to an index in a folder, or replaces it. Postings are
-    kept by a hash of the term, frequent terms in several files, and how many rows
-    and words there are for each addition."""
-    mode = "append" if append else "overwrite"
-    made = materialize(postings(rows, id_col, fields), "postings")
-    dealt = made.withColumn(BUCKET, bucket(F.col("term"), buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, "term")
-    dealt.write.mode(mode).partitionBy(BUCKET).parquet(f"{folder}/postings")
-    totals(made).withColumn("buckets", F.lit(buckets)).write.mode(mode).parquet(f"{folder}/totals")
+    kept by addition and by a hash of the term, frequent terms in several files, and
+    how many rows and words there are for each addition."""
+    spark, added = rows.sparkSession, f"{folder}/postings/{ADDED}=a{uuid.uuid4().hex}"
+    dealt = postings(rows, id_col, fields).withColumn(BUCKET, bucket(F.col("term"), buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, "term")
+    dealt.write.partitionBy(BUCKET).parquet(added)
+    if not append:
+        drop_others(spark, added)
+    made = spark.read.schema(dealt.schema).parquet(added)
+    totals(made).withColumn("buckets", F.lit(buckets)).write.mode("append" if append else "overwrite").parquet(f"{folder}/totals")
+
+
+def drop_others(spark: SparkSession, added: str) -> None:
+    """Deletes what lies beside an addition."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(added)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for other in fs.listStatus(path.getParent()):
+        if other.getPath().getName() != path.getName():
+            fs.delete(other.getPath(), True)
 
 
 def read(spark: SparkSession, folder: str, asked: list[str], id_type: str = "string") -> DataFrame:

@@ -379,3 +379,28 @@ def test_no_window_holds_a_session(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(dealt) > 1 and max(r["count"] for r in dealt) < 4000
     assert enrich.lagged(hours.where("false"), F.col("event_type"), 5).count() == 0
+
+
+def test_postings_shuffle_nothing_and_hold_every_word(spark, monkeypatch):
+    monkeypatch.setattr(search, "ROWS", 3)
+    texts = [(1, "b a b", "a"), (2, None, "Ä b"), (3, "", None), (4, "...", "c " * 9), (5, None, None)]
+    docs = spark.createDataFrame(texts, "id long, t string, u string")
+    made = search.postings(docs, "id", ["t", "u"])
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    plain = {(r.id, r.field, r.term, r.pos) for r in search.build(docs, "id", ["t", "u"]).collect()}
+    assert sorted((r.id, r.field, r.term, p) for r in made.collect() for p in r["at"]) == sorted(plain)
+    assert {(r.id, r.len) for r in made.collect()} == {(1, 4), (2, 2), (4, 9)} and all(r["at"] == sorted(r["at"]) for r in made.collect())
+    assert tuple(search.totals(made).first()) == (3, 15)
+    assert tuple(search.totals(made.where("false")).first()) == (0, 0)
+
+
+def test_written_indexes_grow_and_are_replaced(spark):
+    folder = f"{scratch_dir(spark)}/index"
+    docs = lambda *ids: spark.createDataFrame([(i, f"common w{i} w{i}") for i in ids], "id long, t string")
+    hits = lambda *words: sorted(r.id for r in search.any_of(*[search.term(search.read(spark, folder, list(words), "long"), w) for w in words]).collect())
+    for ids in ((1, 2), (3,), ()):
+        search.write(docs(*ids) if ids else docs(1).where("false"), "id", ["t"], folder)
+    assert hits("common") == [1, 2, 3] and hits("w3", "w1") == [1, 3]
+    assert tuple(search.size_of(spark, folder).first()) == (3, 3.0)
+    search.write(docs(4), "id", ["t"], folder, append=False)
+    assert hits("common") == [4] and hits("w1") == [] and tuple(search.size_of(spark, folder).first()) == (1, 3.0)
