@@ -113,14 +113,16 @@ def first_of_hash(events: DataFrame, stored: DataFrame | None = None, batch: int
     return fresh.join(known, "event_hash", "left_anti")
 
 
-def session_rows(events: DataFrame) -> DataFrame:
+def session_rows(events: DataFrame, counted: dict[str, Column] | None = None) -> DataFrame:
     """One row per file and session: from its first SessionStart (else its first
-    event), its last SessionEnd, and its bytes at the last automatic compaction."""
+    event), its last SessionEnd, and its bytes at the last automatic compaction;
+    with ``counted`` (``counts``) these counters of the same rows."""
     at, identity = F.struct(*ORDER), [*IDENTITY, *(c for c in ("git_commit",) if c in events.columns)]
     start = F.min(F.struct((F.col("event_type") != "SessionStart").alias("other"), *ORDER, "source", *identity)).alias("s")
     end = F.max(F.when(F.col("event_type") == "SessionEnd", F.struct(*ORDER, "reason"))).alias("e")
     auto = F.max_by("context_cumulative_bytes", F.when((F.col("event_type") == "PreCompact") & (F.col("compact_trigger") == "auto"), at)).alias("context_at_compact")
-    rows = events.groupBy(*GROUP).agg(start, end, auto)
+    counted = counted or {}
+    rows = events.groupBy(*GROUP).agg(start, end, auto, *[v.alias(k) for k, v in counted.items()])
     return rows.select(
         *GROUP,
         F.col("s.timestamp").alias("started_at"),
@@ -129,15 +131,19 @@ def session_rows(events: DataFrame) -> DataFrame:
         F.col("e.reason").alias("end_reason"),
         *[F.col(f"s.{c}").alias(c) for c in identity],
         "context_at_compact",
+        *counted,
     )
 
 
 def fold_sessions(rows: DataFrame) -> DataFrame:
     """Upsert of session rows file by file: started_at is the first, any other
-    column the last that is not null."""
-    rest = [c for c in rows.columns if c not in (*GROUP, "started_at")]
+    column the last that is not null; counters are added up, of the context the
+    largest counts."""
+    rest = [c for c in rows.columns if c not in (*GROUP, "started_at", *COUNTED, LARGEST)]
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("source_file"))).alias(c) for c in rest]
-    return rows.groupBy("session_id").agg(F.min_by("started_at", "source_file").alias("started_at"), *last)
+    added = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTED if c in rows.columns]
+    most = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in (LARGEST,) if c in rows.columns]
+    return rows.groupBy("session_id").agg(F.min_by("started_at", "source_file").alias("started_at"), *last, *added, *most)
 
 
 def tool_call_rows(events: DataFrame) -> DataFrame:
@@ -180,26 +186,36 @@ def fold_tool_calls(rows: DataFrame) -> DataFrame:
     return folded.withColumn("succeeded", F.when(F.col("_e") > F.col("_f"), 0).otherwise(F.col("_s")).cast("long")).drop("_s", "_e", "_f")
 
 
-def counters(events: DataFrame, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
-    """All counters of a session (or of each of ``by``) in one aggregation."""
+COUNTED = ("total_events", "total_tool_calls", "total_failures", "total_prompts", "total_subagents", "total_tasks", "compaction_count", "auto_compact_count", "permission_prompts")
+LARGEST = "context_total_bytes"
+
+
+def counts() -> dict[str, Column]:
+    """The counters of a group of events, as aggregates."""
     n = lambda cond: F.count_if(cond)
     et = F.col("event_type")
-    return events.groupBy(*by).agg(
-        F.count("*").alias("total_events"),
-        n(et == "PreToolUse").alias("total_tool_calls"),
-        n(et == "PostToolUseFailure").alias("total_failures"),
-        n(et == "UserPromptSubmit").alias("total_prompts"),
-        n(et == "SubagentStart").alias("total_subagents"),
-        n(et == "TaskCompleted").alias("total_tasks"),
-        n((et == "SessionStart") & (F.col("source") == "compact")).alias("compaction_count"),
-        n((et == "PreCompact") & (F.col("compact_trigger") == "auto")).alias("auto_compact_count"),
-        n(et == "PermissionRequest").alias("permission_prompts"),
-        F.max(F.coalesce("context_cumulative_bytes", F.lit(0))).alias("context_total_bytes"),
+    found = (
+        F.count("*"),
+        n(et == "PreToolUse"),
+        n(et == "PostToolUseFailure"),
+        n(et == "UserPromptSubmit"),
+        n(et == "SubagentStart"),
+        n(et == "TaskCompleted"),
+        n((et == "SessionStart") & (F.col("source") == "compact")),
+        n((et == "PreCompact") & (F.col("compact_trigger") == "auto")),
+        n(et == "PermissionRequest"),
     )
+    return dict(zip(COUNTED, found, strict=True)) | {LARGEST: F.max(F.coalesce("context_cumulative_bytes", F.lit(0)))}
+
+
+def counters(events: DataFrame, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """All counters of a session (or of each of ``by``) in one aggregation."""
+    return events.groupBy(*by).agg(*[v.alias(k) for k, v in counts().items()])
 
 
 def sessions(events: DataFrame) -> DataFrame:
-    return fold_sessions(session_rows(events)).join(counters(events), "session_id")
+    """Sessions with their counters; events, which are dear, are gone through once."""
+    return fold_sessions(session_rows(events, counts())).where("session_id IS NOT NULL")
 
 
 # lineage

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import events as E
 from sessionloom.operators import commands as C
 from sessionloom.operators import diff, enrich, live, policy, search
+from sessionloom.plans.adapter import telemetry
 from sessionloom.render import render
 from sessionloom.runtime import materialize, scratch_dir
 from sessionloom.store import USER_TABLES
@@ -90,6 +91,14 @@ def test_chains_lead_to_the_root(spark):
     assert {r.session_id: r.chain_id for r in enrich.chains(edges).collect()} == {**{f"s{i}": "s0" for i in range(1, 20)}, "x": "y"}
 
 
+def test_sessions_go_through_their_events_once(spark, sf):
+    events = materialize(enrich.enrich(telemetry(spark, sf)))
+    whole = enrich.sessions(events)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    apart = enrich.fold_sessions(enrich.session_rows(events)).join(enrich.counters(events), "session_id")
+    assert whole.columns == apart.columns and sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, apart.collect()), key=str)
+
+
 def test_what_leads_into_a_ring_has_no_chain(spark):
     ring = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("self", "self")]
     line = [(f"s{i}", f"s{i - 1}") for i in range(1, 12)]
