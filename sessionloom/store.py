@@ -55,7 +55,6 @@ DERIVED = ("events", *BY_SESSION, *INDEX)
 TEXTS = ["prompt_text", "error", "tool_input"]
 CROWDED = 16  # parts of one hash of terms, before they become one
 KEY = "_part"
-COUNTED = ("total_events", "total_tool_calls", "total_failures", "total_prompts", "total_subagents", "total_tasks", "compaction_count", "auto_compact_count", "permission_prompts")
 MUTATIONS = ("INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "REPLACE")
 
 
@@ -84,15 +83,14 @@ def known(events: DataFrame, lines: DataFrame) -> DataFrame:
     """What was known at ingest, put over the payload's fields."""
     sources = lines.groupBy("source_file").agg(F.max("config_version").alias("_version"), F.max("git").alias("_git"))
     pair = F.from_json("_git", "map<string,array<string>>")[F.col("cwd")]
-    joined = events.join(sources, "source_file")
+    joined = events.join(F.broadcast(sources), "source_file")  # a row for each file; else small events were taken for the side to send
     return joined.withColumns({"config_version": F.coalesce("_version", "config_version"), "git_branch": F.coalesce(pair[0], F.col("git_branch")), "git_commit": F.coalesce(pair[1], F.col("git_commit"))}).drop("_version", "_git")
 
 
 def folded_sessions(rows: DataFrame) -> DataFrame:
     """Sessions from their rows by file: fields folded, counters added up, the
     largest context."""
-    counted = rows.groupBy("session_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTED], F.coalesce(F.max("context_total_bytes"), F.lit(0)).alias("context_total_bytes"))
-    return N.fold_sessions(rows.drop(*COUNTED, "context_total_bytes")).join(counted.where("total_events > 0"), "session_id")
+    return N.fold_sessions(rows).where("total_events > 0")
 
 
 class Store:
@@ -229,7 +227,8 @@ class Store:
         Says what came of these lines, and how many sessions and tool calls there
         are now. Of equal events the one that was stored first stays."""
         text = "string"
-        lines = materialize(lines.withColumn("config_version", F.lit(config_version).cast(text)).withColumn("git", F.lit(json.dumps(git) if git else None).cast(text)), "lines")
+        # dealt anew: parsing is the dear part, and lines may come in one large part
+        lines = materialize(lines.withColumn("config_version", F.lit(config_version).cast(text)).withColumn("git", F.lit(json.dumps(git) if git else None).cast(text)).repartition("source_file", "raw_index"), "lines")
         parts = self.current()
         lines, replaced = self._named(lines, parts)
         added = {"lines": self._write("lines", lines)}
@@ -281,7 +280,7 @@ class Store:
         """Adds to ``parts`` what is in ``added`` and what follows from written
         lines, where rows of ``replaced`` files are theirs, and points to it.
         ``gone_events`` are the parts of events that the new ones stand for."""
-        raw = known(jsonl.events(jsonl.envelopes(lines)), lines)
+        raw = materialize(known(jsonl.events(jsonl.envelopes(lines)), lines), "raw")  # parsed once
         size = F.col("input_bytes") + F.col("output_bytes") + F.coalesce("prompt_length", F.lit(0))
         numbered = materialize(N.running(N.tool_duration(raw), {"_n": F.lit(1), "context_cumulative_bytes": size}).withColumn("sequence_num", F.col("_n") - 1).drop("_n"), "numbered")
         n_events = numbered.count()

@@ -12,7 +12,7 @@ from sessionloom.operators import diff, enrich, live, policy, search
 from sessionloom.plans.adapter import telemetry
 from sessionloom.render import render
 from sessionloom.runtime import materialize, scratch_dir
-from sessionloom.store import USER_TABLES
+from sessionloom.store import USER_TABLES, known
 
 
 def one(spark, column, **values):
@@ -99,6 +99,20 @@ def test_sessions_go_through_their_events_once(spark, sf):
     assert whole.columns == apart.columns and sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, apart.collect()), key=str)
 
 
+def test_what_is_known_of_files_goes_to_the_events(spark):
+    events = spark.createDataFrame([(f"f{i % 3}", "/w", None, None, None) for i in range(20)], "source_file string, cwd string, config_version string, git_branch string, git_commit string")
+    lines = events.select("source_file", F.lit("v1").alias("config_version"), F.lit('{"/w":["main","abc"]}').alias("git"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = known(events, lines)
+        # neither the events are sent around nor dealt by the few files
+        assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in joined.collect()} == {(f"f{i}", "/w", "v1", "main", "abc") for i in range(3)} and joined.count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_what_leads_into_a_ring_has_no_chain(spark):
     ring = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("self", "self")]
     line = [(f"s{i}", f"s{i - 1}") for i in range(1, 12)]
