@@ -47,6 +47,7 @@ SUBCELLS = 64  # of a cell that is too large
 SLACK = 1e-6
 MOST_TASKS = 4096
 COARSE = 1e-4
+STRIP, PAIRS = 128, 1 << 13  # rows of a product, and node pairs, that are looked at together: they stay in a core's cache
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -63,9 +64,11 @@ def net(x: np.ndarray, first: int, radius: float) -> tuple[np.ndarray, np.ndarra
     """Centres (``first`` among them) that cover all rows of x within radius,
     and the nearest centre's number for each row."""
     least, centres = 1.0 - radius * radius / 2.0, [first]
+    held, n = np.empty_like(x), 0  # the centres' rows, gathered once
     for lo in range(0, len(x), 256):
         here = np.arange(lo, min(len(x), lo + 256))
-        open_ = here[(x[here] @ x[centres].T).max(axis=1) < least]
+        held[n : len(centres)], n = x[centres[n:]], len(centres)
+        open_ = here[(x[here] @ held[:n].T).max(axis=1) < least]
         if len(open_):
             close = x[open_] @ x[open_].T >= least
             covered = np.zeros(len(open_), bool)
@@ -74,7 +77,8 @@ def net(x: np.ndarray, first: int, radius: float) -> tuple[np.ndarray, np.ndarra
                     centres.append(int(open_[k]))
                     covered |= close[k]
     centres = np.array(centres)
-    owner = np.concatenate([(x[lo : lo + 1024] @ x[centres].T).argmax(axis=1) for lo in range(0, len(x), 1024)])
+    right = x[centres].T
+    owner = np.concatenate([(x[lo : lo + 256] @ right).argmax(axis=1) for lo in range(0, len(x), 256)])
     owner[centres] = np.arange(len(centres))
     return centres, owner
 
@@ -137,6 +141,12 @@ def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[row]
 
 
+def true_at(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the true cells, which are few: faster than over two axes."""
+    k = np.flatnonzero(found)
+    return k // found.shape[1], k % found.shape[1]
+
+
 def dual(a: Tree, b: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Linked weight of each point of a and of b across the two trees, and links
     (point of a, point of b) that span what is linked."""
@@ -175,15 +185,15 @@ def dual(a: Tree, b: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
             return
         right = b.x[b.centre[j]]
         narrow = right.astype(np.float32).T
-        for lo in range(0, len(i), 512):
-            at = i[lo : lo + 512]
+        for lo in range(0, len(i), STRIP):
+            at = i[lo : lo + STRIP]
             left = a.x[a.centre[at]]
             if far is not None:
-                p, q = np.nonzero(left.astype(np.float32) @ narrow >= np.float32(cosine - COARSE))
+                p, q = true_at(left.astype(np.float32) @ narrow >= np.float32(cosine - COARSE))
                 dot = np.einsum("nd,nd->n", left[p], right[q])
             else:
                 full = left @ right.T
-                p, q = np.nonzero(full >= 1.0 - (a.radius[at, None] + b.radius[None, j] + reach + SLACK) ** 2 / 2.0)
+                p, q = true_at(full >= 1.0 - (a.radius[at, None] + b.radius[None, j] + reach + SLACK) ** 2 / 2.0)
                 dot = full[p, q]
             yield at[p], j[q], dot
 
@@ -203,9 +213,11 @@ def dual(a: Tree, b: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
                     nexts.append(sort_out(*found))
         few = np.flatnonzero(size < 4096)
         stop = np.cumsum(size[few])
-        for lo in range(0, int(stop[-1]) if len(few) else 0, 1 << 15):
-            flat = np.arange(lo, min(int(stop[-1]), lo + (1 << 15)))
-            row = np.searchsorted(stop, flat, "right")
+        for lo in range(0, int(stop[-1]) if len(few) else 0, PAIRS):
+            hi = min(int(stop[-1]), lo + PAIRS)
+            flat, (top, end) = np.arange(lo, hi), np.searchsorted(stop, (lo, hi - 1), "right")
+            held = np.minimum(stop[top : end + 1], hi) - np.maximum(stop[top : end + 1] - size[few[top : end + 1]], lo)
+            row = np.repeat(np.arange(top, end + 1), held)
             k = few[row]
             at = flat - (stop[row] - size[k])
             wide = bhi[k] - blo[k]

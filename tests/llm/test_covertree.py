@@ -66,3 +66,21 @@ def test_tree_covers_and_halves():
             kids = range(tree.low[k], tree.high[k])
             assert [tree.start[kids[0]], *[tree.end[c] for c in kids]] == [*[tree.start[c] for c in kids], tree.end[k]]
             assert tree.centre[k] in {tree.centre[c] for c in kids}
+
+
+def test_strips_and_pairs_of_any_size_find_the_same_links(monkeypatch):
+    from sessionloom.llm import covertree
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 8))
+    x = np.concatenate([base, base + 0.05 * rng.normal(size=base.shape), rng.normal(size=(80, 8))]).astype(np.float32)
+    a, b = (covertree.Tree(part, np.arange(len(part)), np.ones(len(part), np.int64)) for part in (x[:60], x[60:]))
+    close = a.x @ b.x.T >= 0.95
+    for strip, pairs in ((128, 1 << 13), (3, 7), (1, 1)):
+        monkeypatch.setattr(covertree, "STRIP", strip)
+        monkeypatch.setattr(covertree, "PAIRS", pairs)
+        na, nb, _, _ = covertree.dual(a, b, 0.95)
+        assert na.tolist() == close.sum(1).tolist() and nb.tolist() == close.sum(0).tolist() and close.any()
+    found = np.zeros((5, 9), bool)
+    found[[0, 2, 4], [8, 0, 8]] = True
+    assert [v.tolist() for v in covertree.true_at(found)] == [[0, 2, 4], [8, 0, 8]]
