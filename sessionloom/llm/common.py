@@ -227,6 +227,10 @@ class Forest:
         r = self.roots()
         open_ = r[i] != r[j]
         i, j, used = i[open_], j[open_], []
+        if len(i) > 1:  # of links between the same two trees the first is enough
+            ends = np.minimum(r[i], r[j]) * len(r) + np.maximum(r[i], r[j])
+            first = np.sort(np.unique(ends, return_index=True)[1])
+            i, j = i[first], j[first]
         p = self.parent
         for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
             while p[x] != x:

@@ -12,10 +12,15 @@ within the threshold is counted at once, others are opened. The result is exact;
 a task returns counts by class and a spanning forest of its links, never all
 pairs.
 
-Vectors without neighbours in a high dimension leave little to prune: then the
-walk ends as a blocked product of the two blocks. The number of block pairs is
-quadratic in that case, as for every exact method of this kind; a block travels
-once for each block it meets, which is little beside the product of the two.
+Vectors without neighbours in a high dimension leave little to prune: such a tree
+has wide nodes only where they hold many points each, else its points and tight
+nodes lie right under the root, and the walk ends as a blocked product of the two
+blocks. That product is one of sketches: the coordinates along a few principal
+directions and the length of what is left, so that the product of two sketches
+is never below the cosine. Only pairs that pass it are computed in full. The
+directions come from at most SAMPLE rows and bear on time alone: the bound holds
+for any. The number of block pairs is quadratic in that case, as for every exact
+method of this kind; a block travels once for each block it meets.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows without vec_id, link with nothing; such a row is its own
@@ -39,7 +44,9 @@ from sessionloom.runtime import materialize
 
 from . import common
 
-RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
+RADII = (0.5, 0.25, 0.125, 0.0625)  # wider nodes rule nothing out
+TIGHT = 0.125  # a level of wider nodes is made only where they hold WIDE points each
+WIDE = 128
 BLOCK_BYTES = 8 << 20  # of unit vectors in a block
 LEAST_BLOCKS = 5  # so that some tasks share even small tables
 CELLS = 1024  # pivots of the first level
@@ -47,7 +54,10 @@ SUBCELLS = 64  # of a cell that is too large
 SLACK = 1e-6
 MOST_TASKS = 4096
 COARSE = 1e-4
-STRIP, PAIRS = 128, 1 << 13  # rows of a product, and node pairs, that are looked at together: they stay in a core's cache
+STRIP, WIDTH, PAIRS = 128, 1024, 1 << 13  # rows and columns of a product, and node pairs, that are looked at together: they stay in a core's cache
+DENSE = 64  # a product with more than one pair in so many left is computed in full
+BLOCKED = 1024  # node pairs of one node from which they are a product
+SAMPLE = 1024  # rows that the directions of sketches are taken from
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -60,15 +70,67 @@ def chord(dot):
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dot))
 
 
-def net(x: np.ndarray, first: int, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Centres (``first`` among them) that cover all rows of x within radius,
-    and the nearest centre's number for each row."""
+def sketch(x: np.ndarray, basis: np.ndarray | None) -> np.ndarray:
+    """Rows whose products are upper bounds of those of the unit vectors x:
+    coordinates along the orthonormal columns of basis, and the length of the rest."""
+    if basis is None:
+        return x.astype(np.float32)
+    along = x @ basis
+    rest = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("nd,nd->n", along, along)))
+    return np.column_stack((along, rest)).astype(np.float32)
+
+
+def directions(x: np.ndarray, cosine: float) -> np.ndarray | None:
+    """The fewest principal directions of x whose sketches let few of its pairs
+    below cosine pass; None where not even half of all directions do."""
+    axes, far, k = np.linalg.svd(x, full_matrices=False)[2].T, x @ x.T < cosine, 7
+    while 2 * (k + 1) <= x.shape[1] and k <= axes.shape[1]:
+        s = sketch(x, axes[:, :k])
+        if (far & (s @ s.T >= cosine - COARSE)).mean() <= 1 / 256:
+            return axes[:, :k].copy()
+        k = 2 * k + 1
+    return None
+
+
+def true_at(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the true cells, which are few: faster than over two axes."""
+    k = np.flatnonzero(found)
+    return k // found.shape[1], k % found.shape[1]
+
+
+def near(left: np.ndarray, right: np.ndarray, x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in p and q, and product, of all pairs of rows x[p] and y[q] whose
+    product is at least ``least`` (and of some below). left and right are their
+    sketches, in single precision, whose error is below COARSE."""
+    found = left @ right.T >= np.float32(least - COARSE)
+    if np.count_nonzero(found) * DENSE > found.size:
+        full = x[p] @ y[q].T
+        k, m = true_at(full >= least - SLACK)
+        return k, m, full[k, m]
+    k, m = true_at(found)
+    return k, m, np.einsum("nd,nd->n", x[p[k]], y[q[m]])
+
+
+def net(x: np.ndarray, s: np.ndarray, first: int, radius: float, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Centres (``first`` among them) that cover all rows of x (sketches s) within
+    radius, and the nearest centre's number for each row; None if that takes more
+    than ``most`` centres."""
     least, centres = 1.0 - radius * radius / 2.0, [first]
-    held, n = np.empty_like(x), 0  # the centres' rows, gathered once
-    for lo in range(0, len(x), 256):
-        here = np.arange(lo, min(len(x), lo + 256))
-        held[n : len(centres)], n = x[centres[n:]], len(centres)
-        open_ = here[(x[here] @ held[:n].T).max(axis=1) < least]
+    held, n = np.empty_like(s), 0  # the centres' sketches, gathered once
+
+    def meet(here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in here and numbers of centres near each other, and product."""
+        found = [(at, near(s[here], held[at : min(n, at + WIDTH)], x, here, x, so_far[at : at + WIDTH], least)) for at in range(0, n, WIDTH)]
+        return tuple(np.concatenate(v) for v in zip(*((k, m + at, dot) for at, (k, m, dot) in found), strict=True))
+
+    for lo in range(0, len(x), STRIP):
+        held[n : len(centres)], n = s[centres[n:]], len(centres)
+        so_far = np.array(centres)
+        here = np.arange(lo, min(len(x), lo + STRIP))
+        k, _, dot = meet(here)
+        free = np.ones(len(here), bool)
+        free[k[dot >= least]] = False
+        open_ = here[free]
         if len(open_):
             close = x[open_] @ x[open_].T >= least
             covered = np.zeros(len(open_), bool)
@@ -76,19 +138,29 @@ def net(x: np.ndarray, first: int, radius: float) -> tuple[np.ndarray, np.ndarra
                 if not covered[k]:
                     centres.append(int(open_[k]))
                     covered |= close[k]
-    centres = np.array(centres)
-    right = x[centres].T
-    owner = np.concatenate([(x[lo : lo + 256] @ right).argmax(axis=1) for lo in range(0, len(x), 256)])
-    owner[centres] = np.arange(len(centres))
-    return centres, owner
+        if len(centres) > most:
+            return None
+    held[n : len(centres)], n = s[centres[n:]], len(centres)
+    so_far = np.array(centres)
+    owner = np.full(len(x), -1)
+    owner[so_far] = np.arange(n)
+    others = np.flatnonzero(owner < 0)
+    owner[others] = 0
+    for lo in range(0, len(others), STRIP):
+        here = others[lo : lo + STRIP]
+        k, m, dot = meet(here)
+        by = np.argsort(dot, kind="stable")  # of several values for a row the last stays: the nearest
+        owner[here[k[by]]] = m[by]
+    return so_far, owner
 
 
 class Tree:
     """Points in depth-first order; node k covers points start[k]:end[k] within
     radius[k] of point centre[k]; its children are nodes low[k]:high[k]."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, weight: np.ndarray):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, weight: np.ndarray, basis: np.ndarray | None = None):
         x = unit(vectors)
+        s = sketch(x, basis)
         self.centre, self.start, self.end, self.radius, self.low, self.high = [0], [0], [len(x)], [0.0], [0], [0]
         order: list[int] = []
         todo = [(0, np.arange(len(x)), 0, 0)]  # node, points, centre, level; last in, first out keeps depth-first order
@@ -104,10 +176,11 @@ class Tree:
                 if level == len(RADII):
                     centres, owner = points, np.arange(len(points))
                     break
-                at, owner = net(x[points], int(np.flatnonzero(points == centre)[0]), RADII[level])
-                centres = points[at]
+                most = len(points) if RADII[level] <= TIGHT else len(points) // WIDE
+                found = net(x[points], s[points], int(np.flatnonzero(points == centre)[0]), RADII[level], most) if most > 1 else None
                 level += 1
-                if len(centres) > 1:
+                if found is not None and len(found[0]) > 1:
+                    centres, owner = points[found[0]], found[1]
                     break
             first = len(self.centre)
             self.low[node], self.high[node] = first, first + len(centres)
@@ -120,6 +193,7 @@ class Tree:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.vectors, self.x, self.ids, self.weight = vectors[order], x[order], ids[order], weight[order]
+        self.basis, self.sketch = basis, s[order]
         self.centre = place[np.array(self.centre)]
         self.start, self.end, self.low, self.high = (np.array(v) for v in (self.start, self.end, self.low, self.high))
         self.radius = np.array(self.radius)
@@ -127,11 +201,12 @@ class Tree:
 
     def __getstate__(self) -> dict:
         """Vectors travel as they came, often half as wide as unit vectors."""
-        return {k: v for k, v in self.__dict__.items() if k != "x"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("x", "sketch")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.x = unit(self.vectors)
+        self.sketch = sketch(self.x, self.basis)
 
 
 def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,12 +216,6 @@ def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[row]
 
 
-def true_at(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the true cells, which are few: faster than over two axes."""
-    k = np.flatnonzero(found)
-    return k // found.shape[1], k % found.shape[1]
-
-
 def dual(a: Tree, b: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Linked weight of each point of a and of b across the two trees, and links
     (point of a, point of b) that span what is linked."""
@@ -177,25 +246,26 @@ def dual(a: Tree, b: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
         go = ~single & ~inside & (dot >= 1.0 - (both + reach + SLACK) ** 2 / 2.0)
         return i[go], j[go]
 
-    def close(i: np.ndarray, j: np.ndarray, far: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pairs of the two sets of nodes that may hold a link. Points (far = 0)
-        go through a product in single precision first, whose error is below
-        COARSE; what passes is computed again."""
-        if not len(i) or not len(j):
-            return
-        right = b.x[b.centre[j]]
-        narrow = right.astype(np.float32).T
+    def close(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of the two sets of nodes that may hold a link. Nodes of like
+        radius stand together, as the widest of a strip set its bound."""
+        i, j = i[np.argsort(a.radius[i], kind="stable")], j[np.argsort(b.radius[j], kind="stable")]
+        p, q = a.centre[i], b.centre[j]
+        left, right, held, n = a.sketch[p], b.sketch[q], [], 0
         for lo in range(0, len(i), STRIP):
-            at = i[lo : lo + STRIP]
-            left = a.x[a.centre[at]]
-            if far is not None:
-                p, q = true_at(left.astype(np.float32) @ narrow >= np.float32(cosine - COARSE))
-                dot = np.einsum("nd,nd->n", left[p], right[q])
-            else:
-                full = left @ right.T
-                p, q = true_at(full >= 1.0 - (a.radius[at, None] + b.radius[None, j] + reach + SLACK) ** 2 / 2.0)
-                dot = full[p, q]
-            yield at[p], j[q], dot
+            hi = min(len(i), lo + STRIP)
+            for at in range(0, len(j), WIDTH):
+                end = min(len(j), at + WIDTH)
+                far = a.radius[i[hi - 1]] + b.radius[j[end - 1]] + reach + SLACK
+                k, m, dot = near(left[lo:hi], right[at:end], a.x, p[lo:hi], b.x, q[at:end], 1.0 - far * far / 2.0)
+                if len(k):
+                    held.append((i[lo + k], j[at + m], dot))
+                    n += len(k)
+                if n >= PAIRS:
+                    yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
+                    held, n = [], 0
+        if n:
+            yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
 
     zero = np.zeros(1, np.int64)
     fi, fj = sort_out(zero, zero, np.array([a.x[a.centre[0]] @ b.x[b.centre[0]]]))
@@ -205,13 +275,15 @@ def dual(a: Tree, b: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
         blo, bhi = np.where(b.high[fj] > 0, b.low[fj], fj), np.where(b.high[fj] > 0, b.high[fj], fj + 1)
         size = (ahi - alo) * (bhi - blo)
         nexts = []
-        for k in np.flatnonzero(size >= 4096):
-            i, j = np.arange(alo[k], ahi[k]), np.arange(blo[k], bhi[k])
-            one, two = i[a.radius[i] == 0], j[b.radius[j] == 0]
-            for i, j, far in ((one, two, 0.0), (i[a.radius[i] > 0], j, None), (one, j[b.radius[j] > 0], None)):
-                for found in close(i, j, far):
-                    nexts.append(sort_out(*found))
-        few = np.flatnonzero(size < 4096)
+        # what one node meets is a product where it is much, whichever nodes it meets
+        by = np.argsort(fi, kind="stable")
+        edges = np.flatnonzero(np.diff(fi[by], prepend=-1))
+        much = np.add.reduceat(size[by], edges) >= BLOCKED
+        for lo, hi in zip(edges[much], np.append(edges[1:], len(by))[much], strict=True):
+            k = by[lo:hi]
+            for found in close(np.arange(alo[k[0]], ahi[k[0]]), spread(blo[k], bhi[k])[1]):
+                nexts.append(sort_out(*found))
+        few = by[~np.repeat(much, np.diff(np.append(edges, len(by))))]
         stop = np.cumsum(size[few])
         for lo in range(0, int(stop[-1]) if len(few) else 0, PAIRS):
             hi = min(int(stop[-1]), lo + PAIRS)
@@ -223,7 +295,7 @@ def dual(a: Tree, b: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nd
             wide = bhi[k] - blo[k]
             i, j = alo[k] + at // wide, blo[k] + at % wide
             nexts.append(sort_out(i, j, np.einsum("nd,nd->n", a.x[a.centre[i]], b.x[b.centre[j]])))
-        fi, fj = (np.concatenate([n[s] for n in nexts]) for s in (0, 1))
+        fi, fj = (np.concatenate([n[s] for n in nexts] or [zero[:0]]) for s in (0, 1))
     la, lb = (np.concatenate([o[s] for o in out]) if out else np.zeros(0, np.int64) for s in (0, 1))
     return np.cumsum(gain_a)[:-1], np.cumsum(gain_b)[:-1], la, lb
 
@@ -263,9 +335,11 @@ def class_links(classes: DataFrame, dim: int, cosine: float, cells: int, block:
     total = classes.count()
     block = block or max(256, min(BLOCK_BYTES // (8 * dim), -(-total // LEAST_BLOCKS)))
     wanted = max(1, min(cells, -(-total // block)))
-    # at most CELLS pivots here and SUBCELLS for each cell below: stated bounds for the driver and the broadcast
+    # at most CELLS pivots or SAMPLE rows here and SUBCELLS for each cell below: stated bounds for the driver and the broadcast
     as_rows = lambda found: unit(np.array([r["vec"] for r in found], np.float64).reshape(-1, dim))
-    pivots, group = as_rows(classes.orderBy(F.xxhash64("cid"), "cid").limit(wanted).select("vec").collect()), np.zeros(wanted, np.int64)
+    first_rows = as_rows(classes.orderBy(F.xxhash64("cid"), "cid").limit(max(wanted, SAMPLE)).select("vec").collect())
+    basis = directions(first_rows[:SAMPLE], cosine)
+    pivots, group = first_rows[:wanted], np.zeros(wanted, np.int64)
     placed = placed_at(classes.withColumns({"cell": F.lit(0), "far": F.lit(0.0)}), pivots, group, dim)
     sizes = lambda: {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     stat = sizes()
@@ -282,16 +356,16 @@ def class_links(classes: DataFrame, dim: int, cosine: float, cells: int, block:
     parts = np.array([-(-2 * stat[c]["n"] // (3 * block)) if c in stat else 0 for c in range(len(pivots))])
     first = np.concatenate(([0], np.cumsum(parts)))  # number of a cell's first block
     pairs = int(first[-1]) * (int(first[-1]) + 1) // 2
-    layout = spark.sparkContext.broadcast((pivots, radius, parts, first))
+    layout = spark.sparkContext.broadcast((pivots, radius, parts, first, basis))
     dealt = placed.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(parts.tolist())[F.col("cell")]).cast("int"))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, radius, parts, first = layout.value
+        pivots, radius, parts, first, basis = layout.value
         reach = np.sqrt(2 - 2 * cosine) + SLACK
 
         def emit(cell: int, part: int, rows: list) -> Iterator[pa.RecordBatch]:
             ids, weight, x = (np.concatenate(v) for v in zip(*rows, strict=True))
-            tree = pickle.dumps(Tree(x, ids, weight), protocol=5)
+            tree = pickle.dumps(Tree(x, ids, weight, basis), protocol=5)
             me = int(first[cell]) + part
             gap = chord(np.clip(pivots @ pivots[cell], -1, 1))
             for c in np.flatnonzero((gap <= radius + radius[cell] + reach) & (parts > 0)):

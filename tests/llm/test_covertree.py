@@ -84,3 +84,65 @@ def test_strips_and_pairs_of_any_size_find_the_same_links(monkeypatch):
     found = np.zeros((5, 9), bool)
     found[[0, 2, 4], [8, 0, 8]] = True
     assert [v.tolist() for v in covertree.true_at(found)] == [[0, 2, 4], [8, 0, 8]]
+
+
+def test_vectors_without_neighbours_get_no_wide_nodes():
+    """Such nodes rule nothing out, and their pairs were opened one by one."""
+    x = np.random.default_rng(2).normal(size=(1500, 64))
+    x[700:710] = x[700] + 0.02 * np.random.default_rng(3).normal(size=(10, 64))
+    tree = C.Tree(x, np.arange(1500), np.ones(1500, np.int64), C.directions(C.unit(x[:500]), 0.95))
+    assert tree.radius[1:].max() <= C.TIGHT and (tree.radius[1:] > 0).any()
+    groups = np.random.default_rng(4).normal(size=(5, 64))[np.arange(1500) % 5] + 0.03 * x
+    assert (C.Tree(groups, np.arange(1500), np.ones(1500, np.int64)).high[0] - 1) == 5
+
+
+def test_sketches_are_upper_bounds_and_let_few_pairs_pass():
+    x = C.unit(np.random.default_rng(6).normal(size=(600, 64)))
+    basis = C.directions(x, 0.95)
+    s = C.sketch(x, basis)
+    assert s.shape[1] < 40 and (s @ s.T >= x @ x.T - C.COARSE / 10).all()
+    assert (s @ s.T >= 0.95 - C.COARSE).mean() < 1 / 100
+    assert C.directions(C.unit(np.ones((600, 64)) + 2 * x), 0.95) is None  # cosines of about 0.94: no half of the directions tells them apart
+    assert C.directions(x[:1], 0.95) is None and C.directions(C.unit(np.ones((3, 1))), 0.95) is None
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_walk_finds_the_links_of_any_kind_of_data(seed, monkeypatch):
+    from sessionloom.llm import common
+
+    rng = np.random.default_rng(seed)
+    n, d = 500, (5, 32)[seed % 2]
+    x = rng.normal(size=(60, d))[rng.integers(60, size=n)] + rng.normal(size=(n, d)) * rng.choice([0.02, 0.1, 0.3], size=(n, 1))
+    if seed > 2:
+        x = 2 * rng.normal(size=d) + 0.5 * rng.normal(size=(n, d))
+    monkeypatch.setattr(C, "WIDE", (4, 128)[seed % 2])
+    monkeypatch.setattr(C, "WIDTH", (37, 1024)[seed % 2])
+    basis = (C.directions(C.unit(x), 0.95), np.linalg.qr(rng.normal(size=(d, 2)))[0])[seed % 2]
+    weight = rng.integers(1, 4, n)
+    a, b = (C.Tree(x[at], at, weight[at], basis) for at in (np.arange(200), np.arange(200, n)))
+    na, nb, la, lb = C.dual(a, b, 0.95)
+    close = a.x @ b.x.T >= 0.95
+    assert na.tolist() == (close @ b.weight).tolist() and nb.tolist() == (a.weight @ close).tolist() and close.any()
+    spans = []
+    for i, j in ((la, lb), np.nonzero(close)):
+        spans.append(common.Forest(n))
+        spans[-1].add(i, j + 200)
+    assert spans[0].roots().tolist() == spans[1].roots().tolist() and close[la, lb].all()
+
+
+def test_links_of_two_trees_are_joined_once():
+    from sessionloom.llm import common
+
+    forest = common.Forest(1000)
+    forest.add(np.zeros(998, np.int64), np.arange(1, 999))
+    looked = []
+
+    class Seen(np.ndarray):
+        def tolist(self):
+            looked.append(len(self))
+            return super().tolist()
+
+    i, j = forest.add(np.full(998, 999).view(Seen), np.arange(998).view(Seen))
+    assert (list(i), list(j)) == ([999], [0]) and looked == [1, 1]
+    i, j = common.Forest(5).add(np.array([4, 4, 3, 2, 4]), np.array([3, 3, 4, 1, 2]))
+    assert (i.tolist(), j.tolist()) == ([4, 2, 4], [3, 1, 2])
